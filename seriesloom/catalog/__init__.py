@@ -1,0 +1,18 @@
+"""Registered queries."""
+
+from __future__ import annotations
+
+from functools import cache
+from importlib import import_module
+
+from .views import Registry
+
+MODULES = ("features", "tables", "runs")
+
+
+@cache
+def registry() -> Registry:
+    out = Registry()
+    for name in MODULES:
+        import_module(f".{name}", __name__).register(out)
+    return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, over_groups
+from ..plans.series import Layout, measure, over_groups
 from ..spec import SeriesSpec
 
 # The default feature set.
@@ -34,35 +35,59 @@ def rolling(fn, y: Column, w: WindowSpec, rows: int, least: int | None = None) -
 
 
 def ewm_reach(span: int) -> int:
-    """Rows after which an observation's weight has fallen below 1e-15."""
-    rows, weight = 0, 1.0
-    while weight > 1e-15:
-        weight *= 1.0 - 2.0 / (span + 1.0)
-        rows += 1
-    return rows
+    """Rows after which an observation's weight is below 1e-15, however many of the rows between are missing."""
+    return math.ceil(2 * math.log(1e15) / -math.log(1.0 - 2.0 / (span + 1.0)))
 
 
-def ewm_mean(y: Column, w: WindowSpec, span: int) -> Column:
-    """Recursive exponentially weighted mean of the previous values.
+def ewm_levels(df: DataFrame, spec: SeriesSpec, spans: Sequence[int] = EWM_SPANS, layout: Layout | None = None) -> DataFrame:
+    """Add ``_ewm_<span>``: the recursive exponentially weighted mean at every observed row.
 
-    A missing step still ages the mean: the next observation meets a weight of (1 - a)^(gap + 1).
+    With the weight a, an observation that follows the previous one after g steps is mixed in with the share
+    b = a / ((1 - a)^g + a), because missing steps age the mean. The recursion unrolls into a sum of b * y * exp(D_i - D_t)
+    with D the running total of -ln(1 - b), so a bounded frame sum replaces the row-by-row fold. The exponents are taken
+    relative to segments of D to stay in range; a frame touches at most two neighbouring segments.
     """
-    a = 2.0 / (span + 1.0)
-    seen = F.collect_list(F.struct(y.alias("v"))).over(previous(w, ewm_reach(span)))
-    empty = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("wt"))
-
-    def step(acc: Column, x: Column) -> Column:
-        aged = acc["wt"] * (1.0 - a)
-        mixed = (aged * acc["m"] + a * x["v"]) / (aged + a)
-        return F.when(
-            x["v"].isNull(), F.struct(acc["m"].alias("m"), F.when(acc["m"].isNull(), 1.0).otherwise(aged).alias("wt"))
-        ).otherwise(F.struct(F.coalesce(mixed, x["v"]).alias("m"), F.lit(1.0).alias("wt")))
-
-    return F.aggregate(seen, empty, step, lambda acc: acc["m"])
+    y = F.col(spec.target_col)
+    width = 300.0
+
+    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        last_seen = F.last(F.when(y.isNotNull(), F.col("_pos")), ignorenulls=True).over(before)
+        frame = frame.withColumn("_gap", F.when(y.isNotNull(), F.col("_pos") - last_seen))
+        gap = F.col("_gap")
+        share, loss = {}, {}
+        for s in spans:
+            a = 2.0 / (s + 1.0)
+            norm = F.pow(F.lit(1.0 - a), gap) + a
+            share[f"_b{s}"] = F.when(y.isNotNull(), F.coalesce(a / norm, F.lit(1.0)))
+            loss[f"_l{s}"] = F.when(gap.isNotNull(), F.least(-math.log(1.0 - a) * gap + F.log(norm), F.lit(width)))
+        frame = frame.withColumns(share | loss)
+        frame = frame.withColumns({f"_d{s}": F.coalesce(F.sum(f"_l{s}").over(upto), F.lit(0.0)) for s in spans})
+        parts = {}
+        for s in spans:
+            d = F.col(f"_d{s}")
+            base = F.floor(d / width)
+            parts[f"_s{s}"] = base
+            parts[f"_v{s}"] = F.col(f"_b{s}") * y * F.exp(d - base * width)
+        frame = frame.withColumns(parts)
+        level = {}
+        for s in spans:
+            here = w.rowsBetween(-ewm_reach(s), 0)
+            d, seg, v = F.col(f"_d{s}"), F.col(f"_s{s}"), F.col(f"_v{s}")
+            even = F.coalesce(F.sum(F.when(seg % 2 == 0, v)).over(here), F.lit(0.0))
+            odd = F.coalesce(F.sum(F.when(seg % 2 != 0, v)).over(here), F.lit(0.0))
+            own, other = F.when(seg % 2 == 0, even).otherwise(odd), F.when(seg % 2 == 0, odd).otherwise(even)
+            total = F.exp(seg * width - d) * own + F.exp((seg - 1) * width - d) * other
+            level[f"_ewm_{s}"] = F.when(y.isNotNull(), total)
+        helpers = ["_gap", *[f"_{p}{s}" for p in "bldsv" for s in spans]]
+        return frame.withColumns(level).drop(*helpers)
+
+    return over_groups(df, spec.keys, spec.order, build, back=max(ewm_reach(s) for s in spans), layout=layout)
 
 
 def history_columns(y: Column, w: WindowSpec, ewm: bool = True) -> dict[str, Column]:
-    """The bounded part of the default history pack."""
+    """The default history pack without its expanding part; ``ewm`` expects the carried ``_level_<span>`` columns."""
     out = {f"hist_lag_{k}": F.lag(y, k).over(w) for k in LAGS}
     out |= {f"hist_diff_{k}": y - F.lag(y, k).over(w) for k in DIFFS}
     out |= {f"hist_roll_mean_{n}": rolling(F.avg, y, w, n) for n in MEAN_WINDOWS}
@@ -71,10 +96,14 @@ def history_columns(y: Column, w: WindowSpec, ewm: bool = True) -> dict[str, Col
         out[f"hist_roll_min_{n}"] = rolling(F.min, y, w, n)
         out[f"hist_roll_max_{n}"] = rolling(F.max, y, w, n)
     if ewm:
-        out |= {f"hist_ewm_mean_{s}": ewm_mean(y, w, s) for s in EWM_SPANS}
+        out |= {f"hist_ewm_mean_{s}": F.lag(f"_level_{s}", 1).over(w) for s in EWM_SPANS}
     return out
 
 
+def level_carry() -> dict[str, Column]:
+    return {f"_level_{s}": F.col(f"_ewm_{s}") for s in EWM_SPANS}
+
+
 def expanding_columns(prefix: str = "_past") -> dict[str, Column]:
     n, mean, m2 = (F.col(f"{prefix}_{p}") for p in ("n", "mean", "m2"))
     return {
@@ -83,20 +112,30 @@ def expanding_columns(prefix: str = "_past") -> dict[str, Column]:
     }
 
 
-def history_reach(ewm: bool = True) -> int:
-    return max(max(LAGS), max(MEAN_WINDOWS), *(ewm_reach(s) for s in EWM_SPANS)) if ewm else max(LAGS)
+HISTORY_REACH = max(*LAGS, *MEAN_WINDOWS)
 
 
 def history_features(df: DataFrame, spec: SeriesSpec, ewm: bool = True, layout: Layout | None = None) -> DataFrame:
     """Lags, differences, rolling and expanding statistics, EWM; every one over strictly earlier rows."""
     y = F.col(spec.target_col)
+    layout = layout or measure(df, spec.keys)
+    if ewm:
+        df = ewm_levels(df, spec, layout=layout)
 
     def build(frame, w):
         return frame.withColumns(history_columns(y, w, ewm) | expanding_columns())
 
-    return over_groups(
-        df, spec.keys, spec.order, build, back=history_reach(ewm), moments={"_past": y}, layout=layout
+    out = over_groups(
+        df,
+        spec.keys,
+        spec.order,
+        build,
+        back=HISTORY_REACH,
+        moments={"_past": y},
+        carry=level_carry() if ewm else None,
+        layout=layout,
     )
+    return out.drop(*[f"_ewm_{s}" for s in EWM_SPANS])
 
 
 def lag_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1, 7, 14), layout: Layout | None = None) -> DataFrame:
