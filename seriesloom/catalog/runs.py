@@ -60,11 +60,12 @@ def _runs(reg) -> None:
         rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"))
         return ra.model_metadata(rows, models, "event_id").select("run_id", "model_name", "backend", "search_alg")
 
-    cols = "stage_duration_ms, round(db_time_ms, 6) + 0.0 AS db_time_ms, round(gpu_util_avg, 6) + 0.0 AS gpu_util_avg, round(gpu_mem_used_mb_avg, 6) + 0.0 AS gpu_mem_used_mb_avg, stage_exception_count, dominant_stage, dominant_stage_duration_ms"
+    cols = "stage_duration_ms, round(db_time_ms, 4) + 0.0 AS db_time_ms, round(gpu_util_avg, 6) + 0.0 AS gpu_util_avg, round(gpu_mem_used_mb_avg, 6) + 0.0 AS gpu_mem_used_mb_avg, stage_exception_count, dominant_stage, dominant_stage_duration_ms"
 
     @reg.add("stage_totals", f"WITH {SPANS_SQL}{STAGE_TOTAL_SQL} SELECT st.run_id, {cols} FROM st JOIN dom ON st.run_id = dom.run_id AND rn = 1")
     def _(spark, sf):
-        return _rounded(ra.stage_totals(spans(spark, sf)), ["db_time_ms", "gpu_util_avg", "gpu_mem_used_mb_avg"])
+        out = ra.stage_totals(spans(spark, sf)).withColumn("db_time_ms", r("db_time_ms", 4))
+        return _rounded(out, ["gpu_util_avg", "gpu_mem_used_mb_avg"])
 
     modal = """SELECT run_id, count(*) AS {n}, strftime(max(event_ts), '%Y-%m-%d %H:%M:%S') AS {last}, (SELECT v FROM (SELECT {v} AS v, count(*) AS c FROM {t} i WHERE i.run_id = o.run_id GROUP BY 1) ORDER BY c DESC, v LIMIT 1) AS {mode} FROM {t} o GROUP BY run_id"""
 
@@ -80,12 +81,12 @@ def _runs(reg) -> None:
         "runs_with_aggregates",
         f"""WITH {METRIC_SQL}, {SPANS_SQL}{STAGE_TOTAL_SQL}, {HISTORY_SQL}, {ERRORS_SQL},
         h AS (SELECT run_id, count(*) AS history_events FROM history GROUP BY 1), e AS (SELECT run_id, count(*) AS error_events FROM errors GROUP BY 1)
-        SELECT rm.run_id, round(fail_rate, 6) + 0.0 AS fail_rate, round(db_time_ms / (duration_sec * 1000), 6) + 0.0 AS db_share, dominant_stage, history_events, error_events
+        SELECT rm.run_id, round(fail_rate, 6) + 0.0 AS fail_rate, round(db_time_ms / (duration_sec * 1000), 6) + 0.0 AS db_share, dominant_stage, CAST(history_events AS DOUBLE) AS history_events, CAST(error_events AS DOUBLE) AS error_events
         FROM rm LEFT JOIN st USING (run_id) LEFT JOIN (SELECT * FROM dom WHERE rn = 1) d USING (run_id) LEFT JOIN h USING (run_id) LEFT JOIN e USING (run_id)""",
     )
     def _(spark, sf):
         out = ra.with_aggregates(runs(spark, sf), spans(spark, sf), history(spark, sf), errors(spark, sf))
-        return out.select("run_id", r("fail_rate").alias("fail_rate"), r("db_share").alias("db_share"), "dominant_stage", "history_events", "error_events")
+        return out.select("run_id", r("fail_rate").alias("fail_rate"), r("db_share").alias("db_share"), "dominant_stage", *[F.col(c).cast("double").alias(c) for c in ("history_events", "error_events")])
 
     @reg.add(
         "error_context",
@@ -291,10 +292,10 @@ def _baselines(reg) -> None:
     def _(spark, sf):
         return _rounded(ra.beta_posterior(runs(spark, sf)), ["posterior_mean", "posterior_ci_low_95", "posterior_ci_high_95"])
 
-    @reg.add("metric_samples", "SELECT event_id, round(gap, 3) + 0.0 AS gap_sec FROM (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events)")
+    @reg.add("metric_samples", "SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts)) / 1e6, 6) + 0.0 AS gap_sec FROM events")
     def _(spark, sf):
         m = table(spark, sf, "events").select("event_id", F.col("user_id").alias("run_id"), F.col("event_type").alias("metric_key"), F.col("ts").alias("sampled_at"))
-        return ra.metric_gaps(m).select("event_id", r("gap_sec", 3).alias("gap_sec"))
+        return ra.metric_gaps(m).select("event_id", r("gap_sec").alias("gap_sec"))
 
     @reg.add("selected_metric", "SELECT event_id, value AS metric_value FROM events WHERE user_id = 7 AND event_type = 'view'")
     def _(spark, sf):
@@ -322,12 +323,12 @@ def _baselines(reg) -> None:
     @reg.add(
         "config_checks",
         """SELECT o_orderkey, unnest(['status', 'customer']) AS check, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR)]) AS expected, unnest([CASE WHEN o_orderkey % 3 > 0 THEN 'F' END, CAST(o_custkey - o_orderkey % 2 AS VARCHAR)]) AS actual,
-        unnest([CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus = 'F' END, o_orderkey % 2 = 0]) AS ok FROM orders""",
+        unnest([CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderstatus = 'F' AS VARCHAR) END, CAST(o_orderkey % 2 = 0 AS VARCHAR)]) AS ok FROM orders""",
     )
     def _(spark, sf):
         k = F.col("o_orderkey")
         t = table(spark, sf, "orders").withColumns({"s2": F.when(k % 3 > 0, "F"), "c2": F.col("o_custkey") - k % 2})
-        return ra.config_checks(t, ["o_orderkey"], {"status": ("o_orderstatus", "s2", False), "customer": ("o_custkey", "c2", True)})
+        return ra.config_checks(t, ["o_orderkey"], {"status": ("o_orderstatus", "s2", False), "customer": ("o_custkey", "c2", True)}).withColumn("ok", F.col("ok").cast("string"))
 
 
 LEVEL_SQL = """CASE WHEN regexp_matches(t, 'traceback|exception|modulenotfounderror|error:| failed|timeout') THEN 'ERROR' WHEN regexp_matches(t, 'warning|warn|deprecated|retry') THEN 'WARNING'

@@ -295,7 +295,7 @@ def _joins(reg) -> None:
     @reg.add(
         "unified_dataset",
         f"""WITH {SERIES_SQL}{hist} SELECT s.loto, s.unique_id, strftime(s.ds, '%Y-%m-%d') AS ds, round(s.y, 6) + 0.0 AS y, round(h.hist_signal, 6) + 0.0 AS hist_signal,
-        round(w.hist_signal, 6) + 0.0 AS hist_weather_signal, feat_n FROM series s LEFT JOIN hist h USING (loto, unique_id, ts_type, ds) LEFT JOIN w ON s.unique_id = w.unique_id AND s.ds = w.ds""",
+        round(w.hist_signal, 6) + 0.0 AS hist_weather_signal, CAST(feat_n AS DOUBLE) AS feat_n FROM series s LEFT JOIN hist h USING (loto, unique_id, ts_type, ds) LEFT JOIN w ON s.unique_id = w.unique_id AND s.ds = w.ds""",
     )
     def _(spark, sf):
         base = series(spark, sf)
@@ -305,7 +305,7 @@ def _joins(reg) -> None:
         weather = even.select("unique_id", "ds", F.col("y").alias("hist_signal")).join(n, ["unique_id", "ds"])
         res = joins.unified_dataset(base, ("hist", h), {"weather": weather, "skipme": weather, "nokeys": weather.select(F.col("feat_n").alias("z"))}, exclude=["skipme"])
         out = res.frame
-        return out.select("loto", "unique_id", day("ds").alias("ds"), *[r(c).alias(c) for c in ("y", "hist_signal", "hist_weather_signal")], "feat_n")
+        return out.select("loto", "unique_id", day("ds").alias("ds"), *[r(c).alias(c) for c in ("y", "hist_signal", "hist_weather_signal")], F.col("feat_n").cast("double").alias("feat_n"))
 
     @reg.add("last_row_per_key", "SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
     def _(spark, sf):

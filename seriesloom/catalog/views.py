@@ -126,7 +126,7 @@ def spans(spark, sf) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("stage_name"),
         F.col("l_shipdate").alias("started_at"),
         (F.col("l_quantity") * 1000).alias("duration_ms"),
-        (F.col("l_extendedprice") / 16).alias("db_time_ms"),
+        (F.col("l_extendedprice") / 17).alias("db_time_ms"),
         (F.col("l_discount") * 1000).alias("gpu_util_avg"),
         (F.col("l_tax") * 1000).alias("gpu_mem_used_mb_avg"),
         F.when(F.col("l_linenumber") == 7, "TimeoutError").when(F.col("l_linenumber") == 6, "ValueError").alias("exception_type"),
@@ -135,7 +135,7 @@ def spans(spark, sf) -> DataFrame:
 
 SPANS_SQL = """spans AS (
   SELECT l_orderkey AS run_id, l_linenumber AS span_no, l_returnflag || l_linestatus AS stage_name, l_shipdate AS started_at,
-         l_quantity * 1000 AS duration_ms, l_extendedprice / 16 AS db_time_ms, l_discount * 1000 AS gpu_util_avg,
+         l_quantity * 1000 AS duration_ms, l_extendedprice / 17 AS db_time_ms, l_discount * 1000 AS gpu_util_avg,
          l_tax * 1000 AS gpu_mem_used_mb_avg,
          CASE l_linenumber WHEN 7 THEN 'TimeoutError' WHEN 6 THEN 'ValueError' END AS exception_type FROM lineitem)"""
 

@@ -30,7 +30,7 @@ def _kind(v: Column) -> Column:
 
 
 def _item(key: Column, value: Column | None = None, text: Column | None = None, kind: Column | None = None) -> Column:
-    """One flattened entry: an open variant still to walk, or a finished text with its kind."""
+    """One flattened entry: an open variant (``v``) still to walk, or a finished text. Its kind is read once, here."""
     return F.struct(
         key.alias("key"),
         (value if value is not None else F.lit(None).cast("variant")).alias("v"),
@@ -39,8 +39,8 @@ def _item(key: Column, value: Column | None = None, text: Column | None = None,
     )
 
 
-def _numbers(items: Column) -> Column:
-    return F.transform(items, lambda x: F.try_variant_get(x, "$", "double"))
+def _kinded(items: Column) -> Column:
+    return F.transform(items, lambda x: F.struct(x.alias("x"), _kind(x).alias("k")))
 
 
 def _mean(xs: Column) -> Column:
@@ -48,39 +48,48 @@ def _mean(xs: Column) -> Column:
 
 
 def _number_rows(key: Column, xs: Column, extremes: bool) -> Column:
+    """Mean and population deviation (and extremes) of numbers as finished entries."""
     mean = _mean(xs)
-    std = F.sqrt(_mean(F.transform(xs, lambda x: (x - mean) * (x - mean))))
+    # Deviations from the first value keep the squares small without naming the mean twice per element.
+    base = F.element_at(xs, 1)
+    off = F.transform(xs, lambda x: x - base)
+    std = F.sqrt(F.greatest(_mean(F.transform(off, lambda d: d * d)) - F.pow(_mean(off), F.lit(2)), F.lit(0.0)))
     stats = {"__mean__": mean, "__std__": std}
     if extremes:
         stats |= {"__min__": F.array_min(xs), "__max__": F.array_max(xs)}
     return F.array(*[_item(F.concat(key, F.lit(f".{n}")), text=v.cast("string"), kind=F.lit("DOUBLE")) for n, v in stats.items()])
 
 
+def _size_row(key: Column, items: Column) -> Column:
+    return F.array(_item(F.concat(key, F.lit(".__len__")), text=F.size(items).cast("string"), kind=F.lit("BIGINT")))
+
+
 def _report_list(key: Column, items: Column) -> Column:
-    """Length, and mean and deviation where every item is a number."""
-    size = F.array(_item(F.concat(key, F.lit(".__len__")), text=F.size(items).cast("string"), kind=F.lit("BIGINT")))
-    numeric = (F.size(items) > 0) & F.forall(items, lambda x: _kind(x).rlike(_NUMBER))
-    return F.when(numeric, F.concat(size, _number_rows(key, _numbers(items), False))).otherwise(size)
+    """Length, and mean and deviation where every item is a number. ``items`` carry their kind."""
+    size = _size_row(key, items)
+    numeric = (F.size(items) > 0) & F.forall(items, lambda e: e["k"].rlike(_NUMBER))
+    xs = F.transform(items, lambda e: F.try_variant_get(e["x"], "$", "double"))
+    return F.when(numeric, F.concat(size, _number_rows(key, xs, False))).otherwise(size)
 
 
-def _dashboard_list(key: Column, items: Column, most: int, longest: int) -> Column:
+def _dashboard_list(key: Column, raw: Column, items: Column, most: int, longest: int) -> Column:
     """First items by index, a truncation mark and number statistics; lists of objects are walked, mixed ones kept as JSON."""
-    size = F.array(_item(F.concat(key, F.lit(".__len__")), text=F.size(items).cast("string"), kind=F.lit("BIGINT")))
+    size = _size_row(key, items)
     nothing = F.slice(size, 1, 0)
 
     def at(i: Column) -> Column:
         return F.concat(key, F.lit("["), i.cast("string"), F.lit("]"))
 
     head = F.slice(items, 1, most)
-    scalars = F.transform(head, lambda x, i: _item(at(i), text=_text(x), kind=_kind(x)))
-    objects = F.transform(head, lambda x, i: _item(at(i), value=x))
+    scalars = F.transform(head, lambda e, i: _item(at(i), text=_text(e["x"]), kind=e["k"]))
+    objects = F.transform(head, lambda e, i: _item(at(i), value=e["x"], kind=e["k"]))
     cut = F.when(F.size(items) > most, F.array(_item(F.concat(key, F.lit(".__truncated__")), text=F.lit("true"), kind=F.lit("BOOLEAN")))).otherwise(nothing)
-    xs = F.filter(_numbers(items), lambda x: x.isNotNull())
-    all_scalar = F.forall(items, lambda x: ~_kind(x).rlike("^(OBJECT|ARRAY)"))
-    all_object = F.forall(items, lambda x: _kind(x).startswith("OBJECT"))
-    numeric = F.forall(items, lambda x: _kind(x).rlike(_NUMBER + "|^VOID$|^BOOLEAN$")) & (F.size(items) <= longest) & (F.size(xs) > 0)
-    stats = F.when(numeric, _number_rows(key, xs, True)).otherwise(nothing)
-    mixed = F.array(_item(F.concat(key, F.lit(".__json__")), text=F.to_json(F.to_variant_object(items)), kind=F.lit("STRING")))
+    numeric = F.forall(items, lambda e: e["k"].rlike(_NUMBER + "|^VOID$|^BOOLEAN$")) & (F.size(items) <= longest)
+    xs = F.filter(F.transform(items, lambda e: F.try_variant_get(e["x"], "$", "double")), lambda x: x.isNotNull())
+    stats = F.when(numeric & (F.size(xs) > 0), _number_rows(key, xs, True)).otherwise(nothing)
+    mixed = F.array(_item(F.concat(key, F.lit(".__json__")), text=F.to_json(raw), kind=F.lit("STRING")))
+    all_scalar = F.forall(items, lambda e: ~e["k"].rlike("^(OBJECT|ARRAY)"))
+    all_object = F.forall(items, lambda e: e["k"].startswith("OBJECT"))
     body = F.when(all_scalar, F.concat(scalars, cut, stats)).when(all_object, F.concat(objects, cut)).otherwise(mixed)
     return F.when(F.size(items) > 0, F.concat(size, body)).otherwise(size)
 
@@ -96,31 +105,31 @@ def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, fo
     """
     depth = (4 if form == "report" else 3) if max_depth is None else max_depth
     root = F.try_parse_json(F.trim(F.col(column)))
-    cur = df.select(*ids, _item(F.lit(prefix), value=root).alias("_i")).where(F.col("_i.v").isNotNull())
-    cur = cur.where(_kind(F.col("_i.v")).startswith("OBJECT") | (F.lit(form == "dashboard") & _kind(F.col("_i.v")).startswith("ARRAY")))
-    for level in range(depth + 1):
-        item = F.col("_i")
-        kind = _kind(item["v"])
-        opened = F.transform(F.map_entries(item["v"].try_cast("map<string,variant>")), lambda e: _open(item["key"], e, form, most, longest))
-        parts = F.when(item["v"].isNull(), F.array(item)).when(kind.startswith("OBJECT"), F.flatten(opened))
-        if form == "dashboard":
-            parts = parts.when(kind.startswith("ARRAY"), _dashboard_list(item["key"], item["v"].try_cast("array<variant>"), most, longest))
+    cur = df.select(*ids, root.alias("_r")).select(*ids, _item(F.lit(prefix), value=F.col("_r"), kind=_kind(F.col("_r"))).alias("_i"))
+    cur = cur.where(F.col("_i.kind").rlike("^OBJECT" if form == "report" else "^(OBJECT|ARRAY)"))
+    item = F.col("_i")
+    entries = F.transform(
+        F.map_entries(item["v"].try_cast("map<string,variant>")),
+        lambda e: F.struct(F.concat(item["key"], F.lit("."), e["key"]).alias("key"), e["value"].alias("x"), _kind(e["value"]).alias("k")),
+    )
+    opened = F.transform(entries, lambda e: _open(e, form))
+    parts = F.when(item["v"].isNull(), F.array(item)).when(item["kind"].startswith("OBJECT"), F.flatten(opened))
+    if form == "dashboard":
+        listed = _dashboard_list(item["key"], item["v"], _kinded(item["v"].try_cast("array<variant>")), most, longest)
+        parts = parts.when(item["kind"].startswith("ARRAY"), listed)
+    for _ in range(depth + 1):
         cur = cur.select(*ids, F.explode(parts).alias("_i"))
-        del level
     done = cur.where(F.col("_i.v").isNull() & F.col("_i.kind").isNotNull())
     return done.select(*ids, F.col("_i.key").alias("key"), F.col("_i.text").alias("value"), F.col("_i.kind").alias("kind"))
 
 
-def _open(path: Column, entry: Column, form: str, most: int, longest: int) -> Column:
-    key = F.concat(path, F.lit("."), entry["key"])
-    v = entry["value"]
-    kind = _kind(v)
-    leaf = F.array(_item(key, text=_text(v), kind=kind))
-    walk = F.array(_item(key, value=v))
-    if form == "report":
-        listed = _report_list(key, v.try_cast("array<variant>"))
-        return F.when(kind.startswith("OBJECT"), walk).when(kind.startswith("ARRAY"), listed).otherwise(leaf)
-    return F.when(kind.rlike("^(OBJECT|ARRAY)"), walk).otherwise(leaf)
+def _open(e: Column, form: str) -> Column:
+    leaf = F.array(_item(e["key"], text=_text(e["x"]), kind=e["k"]))
+    walk = F.array(_item(e["key"], value=e["x"], kind=e["k"]))
+    if form == "dashboard":
+        return F.when(e["k"].rlike("^(OBJECT|ARRAY)"), walk).otherwise(leaf)
+    listed = _report_list(e["key"], _kinded(e["x"].try_cast("array<variant>")))
+    return F.when(e["k"].startswith("OBJECT"), walk).when(e["k"].startswith("ARRAY"), listed).otherwise(leaf)
 
 
 def flattened_columns(df: DataFrame, id_col: str, columns: Mapping[str, str], form: str = "dashboard", most_keys: int = 120, **kw) -> DataFrame:
