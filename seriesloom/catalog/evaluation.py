@@ -436,9 +436,6 @@ def _predicted(df):
     return df.withColumn("yhat", 0.6 * F.col("lag_1") + 0.4 * F.coalesce("roll_mean_7", "lag_1"))
 
 
-AXES = {"model": ["AutoNHITS", "AutoHINT"], "backend": ["optuna", "ray"], "search_alg": ["TPESampler", "HyperOptSearch"], "horizon": [7, 28], "fit_val_size": [0, 14], "dataset_input_method": ["db_table", "csv"]}
-
-
 def _task_events(spark, sf):
     """Events as task states: the task is the user, the state follows the event type."""
     t = F.col("event_type")
@@ -522,27 +519,52 @@ def _grids(reg) -> None:
         tasks = grid.expand_grid(spark, {"model": ["naive", "window_mean"]})
         return _rounded(grid.rank_tasks(grid.run_grid(series(spark, sf), SERIES, tasks, 14)), ["mae"])
 
-    @reg.add("combination_checks")
+    axes_sql = """WITH a AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT DISTINCT l_linenumber AS v FROM lineitem)), b AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem)),
+      c AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT DISTINCT o_orderpriority AS v FROM orders))
+      SELECT CAST((a.i * (SELECT count(*) FROM b) + b.i) * (SELECT count(*) FROM c) + c.i AS BIGINT) AS task_order, '{"line": ' || a.v || ', "mark": "' || b.v || '", "urgency": "' || c.v || '"}' AS params FROM a, b, c"""
+
+    @reg.add("grid_expansion", axes_sql)
+    def _(spark, sf):
+        def values(name, column):
+            return sorted(x[0] for x in table(spark, sf, name).select(column).distinct().collect())
+
+        return grid.expand_grid(spark, {"line": values("lineitem", "l_linenumber"), "mark": values("lineitem", "l_returnflag"), "urgency": values("orders", "o_orderpriority")})
+
+    # Every order proposes a training combination; its columns decide which checks it meets.
+    combos_sql = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'AutoHINT' ELSE 'AutoNHITS' END AS model, CASE WHEN o_orderstatus = 'F' THEN 'ray' ELSE 'optuna' END AS backend,
+        CASE WHEN o_orderpriority < '4' THEN 'TPESampler' ELSE 'HyperOptSearch' END AS search, CASE WHEN month(o_orderdate) < 4 THEN 'csv' ELSE 'db_table' END AS method, day(o_orderdate) AS v, year(o_orderdate) AS c FROM orders),
+      r AS (SELECT *, CASE WHEN model = 'AutoHINT' AND backend <> 'ray' THEN 'model_backend_requirement' WHEN (backend = 'ray') <> (search = 'HyperOptSearch') THEN 'backend_search_mismatch'
+        WHEN method = 'csv' THEN 'missing_dataset_path' WHEN v < 14 THEN 'fit_val_size_too_small' END AS reason FROM p),
+      d AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY model, backend, search, method, v, c ORDER BY k) > 1 THEN 'duplicate_combination' ELSE reason END AS why FROM r)
+      SELECT why AS reason, count(*) AS count FROM d WHERE why IS NOT NULL GROUP BY 1"""
+
+    @reg.add("combination_checks", combos_sql)
     def _(spark, sf):
-        ids = sorted(x["c_mktsegment"] for x in table(spark, sf, "customer").select("c_mktsegment").distinct().collect())
-        checked = grid.evaluate_combinations(grid.expand_grid(spark, AXES | {"unique_id": ids}), {"dataset_table": "series"})
-        return grid.reason_counts(checked)
+        o = table(spark, sf, "orders")
+        body = F.struct(
+            F.when(F.col("o_orderstatus") == "F", "ray").otherwise("optuna").alias("backend"), F.year("o_orderdate").alias("campaign"),
+            F.when(F.month("o_orderdate") < 4, "csv").otherwise("db_table").alias("dataset_input_method"), F.dayofmonth("o_orderdate").alias("fit_val_size"), F.lit(14).alias("horizon"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", "AutoHINT").otherwise("AutoNHITS").alias("model"),
+            F.when(F.col("o_orderpriority") < "4", "TPESampler").otherwise("HyperOptSearch").alias("search_alg"),
+        )
+        proposals = o.select(F.col("o_orderkey").alias("task_order"), F.to_json(body).alias("params"))
+        return grid.reason_counts(grid.evaluate_combinations(proposals, {"dataset_table": "series"})).drop("suggestion")
 
     @reg.add("combo_signatures", f"WITH {RESULTS_SQL} SELECT run_id, {SIGNATURE_SQL} AS signature FROM results")
     def _(spark, sf):
         return _results(spark, sf).select("run_id", grid.combo_signature(F.col("model_name"), F.col("horizon"), F.col("params_json")).alias("signature"))
 
-    @reg.add("unfinished_combos", f"""WITH {RESULTS_SQL}, s AS (SELECT *, {SIGNATURE_SQL} AS signature FROM results), d AS (SELECT DISTINCT signature FROM s WHERE lower(status) = 'success' AND trim(error_message) = '' AND run_id % 7 = 0)
+    @reg.add("unfinished_combos", f"""WITH {RESULTS_SQL}, s AS (SELECT *, {SIGNATURE_SQL} AS signature FROM results), d AS (SELECT DISTINCT signature FROM s WHERE lower(status) = 'success' AND trim(error_message) = '' AND model_name < '3')
         SELECT run_id FROM s WHERE signature NOT IN (SELECT signature FROM d)""")
     def _(spark, sf):
         x = _results(spark, sf).withColumn("signature", grid.combo_signature(F.col("model_name"), F.col("horizon"), F.col("params_json")))
-        return grid.skip_done(x, grid.succeeded_signatures(_results(spark, sf).where("run_id % 7 = 0"))).select("run_id")
+        return grid.skip_done(x, grid.succeeded_signatures(_results(spark, sf).where("model_name < '3'"))).select("run_id")
 
-    @reg.add("unfinished_by_prefix", f"""WITH {RESULTS_SQL}, s AS (SELECT *, {SIGNATURE_SQL} AS signature FROM results), d AS (SELECT DISTINCT left(signature, 10) AS p FROM s WHERE run_id % 11 = 0)
+    @reg.add("unfinished_by_prefix", f"""WITH {RESULTS_SQL}, s AS (SELECT *, {SIGNATURE_SQL} AS signature FROM results), d AS (SELECT DISTINCT left(signature, 10) AS p FROM s WHERE model_name > '4')
         SELECT run_id FROM s WHERE left(signature, 10) NOT IN (SELECT p FROM d)""")
     def _(spark, sf):
         x = _results(spark, sf).withColumn("signature", grid.combo_signature(F.col("model_name"), F.col("horizon"), F.col("params_json")))
-        done = x.where("run_id % 11 = 0").select(F.concat(F.lit("run_x_"), "signature").alias("run_id"))
+        done = x.where("model_name > '4'").select(F.concat(F.lit("run_x_"), "signature").alias("run_id"))
         return grid.skip_prefix_done(x, done).select("run_id")
 
     @reg.add("seeded_rounds", "SELECT p_partkey, d AS depth, 42 + 10 * d AS seed FROM part, range(0, 3) t(d)")

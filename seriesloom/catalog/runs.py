@@ -111,11 +111,11 @@ def _runs(reg) -> None:
     @reg.add(
         "completed_runs",
         f"""WITH {HISTORY_SQL}, {ERRORS_SQL}, l AS (SELECT run_id, arg_max(status, event_id) AS status FROM history GROUP BY 1),
-        x AS (SELECT DISTINCT run_id FROM errors WHERE event_id % 5 = 0 AND run_id % 2 = 0)
+        x AS (SELECT DISTINCT run_id FROM errors WHERE event_ts >= TIMESTAMP '2024-01-29' AND stage = 'fit')
         SELECT run_id FROM l WHERE status = 'success' AND NOT EXISTS (SELECT 1 FROM x WHERE x.run_id = l.run_id)""",
     )
     def _(spark, sf):
-        bad = errors(spark, sf).where("event_id % 5 = 0 AND run_id % 2 = 0")
+        bad = errors(spark, sf).where("event_ts >= '2024-01-29' AND stage = 'fit'")
         return ra.completed_runs(history(spark, sf), bad)
 
     @reg.add("stages_of_runs", f"WITH {SPANS_SQL}, {RUNS_SQL} SELECT run_id, span_no, duration_ms FROM spans WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'failed')")

@@ -121,17 +121,23 @@ def recent_values(df: DataFrame, spec: SeriesSpec, most: int, name: str = "_rece
     return out.withColumn(name, F.transform("_s", lambda s: s["v"])).drop("_s").join(last, spec.keys)
 
 
+def _runner(m: Model, p: Mapping, h: int):
+    """Arrow function from arrays of past values to arrays of ``h`` predictions."""
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([m.predict(np.array(v, float), h, p) for v in values], index=values.index)
+
+    return run
+
+
 def forecast(df: DataFrame, spec: SeriesSpec, model: str, h: int, freq: str = "D", params: Mapping | None = None, name: str = "yhat") -> DataFrame:
     """``h`` future rows per series from a registered model."""
     m = get_model(model)
     p = m.validate(params)
     recent = recent_values(df, spec, max(1, m.reach(p, h)))
 
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([m.predict(np.array(v, float), h, p) for v in values], index=values.index)
-
-    steps = recent.select(*spec.keys, "_last", F.posexplode(run("_recent")).alias("_i", name))
+    steps = recent.select(*spec.keys, "_last", F.posexplode(_runner(m, p, h)("_recent")).alias("_i", name))
     time = F.expr(f"_last + (_i + 1) * {FREQUENCIES[freq]}")
     return steps.select(*spec.keys, time.alias(spec.time_col), (F.col("_i") + 1).alias("step"), name)
 
@@ -160,13 +166,7 @@ def cross_validation(df: DataFrame, spec: SeriesSpec, models: Mapping[str, Mappi
     cut = over_groups(seen, spec.keys, spec.order, build, back=reach, ahead=h, whole={"_n": F.count(F.lit(1))}, layout=layout)
     cut = cut.where(F.col("_past").isNotNull()).select(*spec.keys, F.col(spec.time_col).alias("cutoff"), "_past", "_ahead")
 
-    outs = []
-    for n, (m, p) in ready.items():
-
-        def run(values: pd.Series, m=m, p=p) -> pd.Series:
-            return pd.Series([m.predict(np.array(v, float), h, p) for v in values], index=values.index)
-
-        outs.append(F.pandas_udf(run, "array<double>")("_past").alias(f"_f_{n}"))
+    outs = [_runner(m, p, h)("_past").alias(f"_f_{n}") for n, (m, p) in ready.items()]
     rows = cut.select(*spec.keys, "cutoff", "_ahead", *outs)
     zipped = F.posexplode("_ahead").alias("_i", "_a")
     long = rows.select(*spec.keys, "cutoff", *[f"_f_{n}" for n in ready], zipped)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, measure, over_groups
+from ..plans.series import Layout, measure, over_groups, split
 from ..spec import SeriesSpec
 from .embed import filled_windows
 
@@ -116,35 +117,84 @@ def matrix_profile(
     scored = over_groups(
         joined, spec.keys, spec.order, build, moments={"_p": F.col("_sc")}, whole={"_scored": F.count("_sc")}, layout=layout
     ).drop("_shift", "_fill", "_obs", "_use", "_dist", "_sc", "_at")
-    return discord_flags(scored, spec, out, f"hist_{name}_discord_flag", quantile, least_windows)
-
-
-def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int) -> DataFrame:
+    return discord_flags(scored, spec, out, f"hist_{name}_discord_flag", quantile, least_windows, layout)
+
+
+def _walk(scores: np.ndarray, held: list[float], low: int, before: int, quantile: float, least: int) -> np.ndarray:
+    """Flag each score against the quantile of the ``before`` earlier ones, of which ``held`` are the sorted values above
+    the ``low`` smallest; the scores are added as they pass."""
+    flags = np.full(len(scores), np.nan)
+    for i, s in enumerate(scores):
+        n = before + i
+        if n >= least:
+            rank = quantile * (n - 1)
+            lo = int(rank)
+            a = held[lo - low]
+            b = held[min(lo + 1, n - 1) - low]
+            flags[i] = float(s >= a + (b - a) * (rank - lo))
+        bisect.insort(held, s)
+    return flags
+
+
+def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, layout: Layout | None = None) -> DataFrame:
     """Whether a score reaches the quantile of all earlier scores of its series.
 
-    The border needs the earlier scores in sorted order, so each series is walked once in time order with a sorted list;
-    only the score and its place travel to Python.
+    Ordinary series are walked in time order with a sorted list. Oversized ones are cut into time blocks; a block can only
+    ever ask for order statistics within one block length of its starting rank, so it receives just that slice of the
+    earlier scores, found through a table of counts per (value bucket, time block).
     """
-    import bisect
-
-    order = spec.order
+    keys, order = spec.keys, spec.order
+    layout = layout or measure(df, keys)
+    empty = F.lit(None).cast("double")
+    seen, unseen = df.where(F.col(score).isNotNull()), df.where(F.col(score).isNull()).withColumn(name, empty)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` double"
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        held: list[float] = []
-        flags = np.full(len(pdf), np.nan)
-        for i, s in enumerate(pdf[score].to_numpy(dtype=float)):
-            if np.isnan(s):
-                continue
-            if len(held) >= least:
-                rank = quantile * (len(held) - 1)
-                lo = int(rank)
-                hi = min(lo + 1, len(held) - 1)
-                flags[i] = float(s >= held[lo] + (held[hi] - held[lo]) * (rank - lo))
-            bisect.insort(held, s)
-        return pdf.assign(**{name: flags})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(*spec.keys).applyInPandas(walk, f"{fields}, `{name}` double").withColumn(
-        name, F.nanvl(F.col(name), F.lit(None).cast("double"))
-    )
+        return pdf.assign(**{name: _walk(pdf[score].to_numpy(float), [], 0, 0, quantile, least)})
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).applyInPandas(whole, fields)
+
+    if layout.plain:
+        out = plain(seen)
+    elif layout.everything:
+        out = _blocked_flags(seen, spec, score, name, quantile, least, max(layout.limit // 4, 1), fields)
+    else:
+        cold, hot = split(seen, keys, layout)
+        out = plain(cold).unionByName(_blocked_flags(hot, spec, score, name, quantile, least, max(layout.limit // 4, 1), fields))
+    return out.unionByName(unseen).withColumn(name, F.nanvl(F.col(name), empty))
+
+
+def _blocked_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, size: int, fields: str) -> DataFrame:
+    keys, order = spec.keys, spec.order
+    placed = over_groups(df, keys, order, lambda f, _w: f.withColumns({"_n": F.col("_pos"), "_tb": F.floor(F.col("_pos") / size)}))
+    placed = over_groups(placed, keys, [score, *order], lambda f, _w: f.withColumn("_vb", F.floor(F.col("_pos") / size)))
+
+    # Counts per value bucket and time block, one row per pair of blocks; then what precedes each time block.
+    cells = placed.groupBy(*keys, "_vb", "_tb").agg(F.count(F.lit(1)).alias("_c"))
+    grid = cells.select(*keys, "_tb").distinct().join(cells.select(*keys, "_vb").distinct(), keys)
+    grid = grid.join(cells, [*keys, "_vb", "_tb"], "left").fillna(0, ["_c"])
+    earlier = Window.partitionBy(*keys, "_vb").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys, "_tb").orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_m", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    grid = grid.withColumn("_below", F.coalesce(F.sum("_m").over(lower), F.lit(0)))
+    start = F.col("_tb") * size
+    first = F.floor(quantile * (start - 1)) - size - 1
+    last = F.floor(quantile * (start + size)) + 2
+    need = grid.where((F.col("_m") > 0) & (F.col("_below") <= last) & (F.col("_below") + F.col("_m") > first))
+    need = need.select(*keys, "_vb", F.col("_tb").alias("_b"), "_below")
+    lows = need.groupBy(*keys, "_b").agg(F.min("_below").alias("_low"))
+    values = placed.select(*keys, "_vb", "_tb", F.col(score).alias("_v")).join(need.drop("_below"), [*keys, "_vb"]).where(F.col("_tb") < F.col("_b"))
+    slices = values.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list("_v")).alias("_slice")).join(lows, [*keys, "_b"])
+
+    def block(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        values_ = list(held["_slice"].iloc[0]) if len(held) else []
+        low = int(held["_low"].iloc[0]) if len(held) else 0
+        flags = _walk(rows[score].to_numpy(float), values_, low, int(rows["_n"].iloc[0]), quantile, least) if len(rows) else []
+        return rows.assign(**{name: flags}).drop(columns=["_n", "_tb", "_vb"])
+
+    names = [f"_s{i}" for i in range(len(keys))]
+    slices = slices.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_b", "_slice", "_low")
+    return placed.groupBy(*keys, "_tb").cogroup(slices.groupBy(*names, "_b")).applyInPandas(block, fields)

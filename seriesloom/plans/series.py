@@ -100,9 +100,9 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence, layout: Layou
     ranged = durable(ranged).withColumn("_part", F.shiftright("_mid", 33))
     runs = ranged.groupBy(*keys, "_part").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*keys, "_part", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    runs = runs.select(*keys, "_part", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")).alias("_pos_shift"))
     out = attach(ranged, runs, [*keys, "_part"], parts + layout.hot_groups)
-    return out.withColumn("_pos", F.col("_mid") + F.col("_shift")).drop("_mid", "_part", "_shift")
+    return out.withColumn("_pos", F.col("_mid") + F.col("_pos_shift")).drop("_mid", "_part", "_pos_shift")
 
 
 def over_groups(
