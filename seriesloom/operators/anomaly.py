@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.quantiles import with_group_quantiles
 from ..plans.ranks import value_table
-from ..plans.series import Layout, attach, measure, over_groups, split
+from ..plans.series import Layout, attach, by_size, measure, over_groups, split
 from ..spec import SeriesSpec
 from .windows import full, previous
 
@@ -75,6 +75,7 @@ def _score_columns() -> dict[str, Column]:
     }
 
 
+@by_size
 def publish(
     df: DataFrame,
     spec: SeriesSpec,
@@ -166,6 +167,7 @@ def tail_counts(df: DataFrame, keys, value: str, layout: Layout | None = None) -
     return plain(cold).unionByName(counted(hot))
 
 
+@by_size
 def tail_probability(df: DataFrame, spec: SeriesSpec, kind: str = "ecod", contamination: float = 0.1, least: int = 20, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """ECOD / COPOD in one dimension: negative log tail probabilities of the empirical distribution."""
     y = F.col(spec.target_col)
@@ -188,6 +190,7 @@ def tail_probability(df: DataFrame, spec: SeriesSpec, kind: str = "ecod", contam
     return publish(scored.drop("_le", "_ge", "_n"), spec, "_score", f"hist_pyod_{kind}", contamination, least, causal=causal, layout=layout)
 
 
+@by_size
 def histogram_score(df: DataFrame, spec: SeriesSpec, bins: int = 10, alpha: float = 0.1, contamination: float = 0.1, least: int = 20, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """HBOS: negative log density of the equal-width bin the value falls in."""
     y = F.col(spec.target_col)
@@ -210,6 +213,7 @@ def histogram_score(df: DataFrame, spec: SeriesSpec, bins: int = 10, alpha: floa
     return publish(scored.drop("_bin", "_width"), spec, "_score", "hist_pyod_hbos", contamination, least, causal=causal, layout=layout)
 
 
+@by_size
 def neighbour_scores(df: DataFrame, spec: SeriesSpec, k: int = 5, kind: str = "knn", contamination: float = 0.1, least: int = 20, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """One-dimensional KNN distance or LOF.
 
@@ -247,6 +251,7 @@ def neighbour_scores(df: DataFrame, spec: SeriesSpec, k: int = 5, kind: str = "k
     return publish(scored, spec, "_score", name, contamination, least, strict=kind == "knn", causal=causal, layout=layout)
 
 
+@by_size
 def threshold_score(df: DataFrame, spec: SeriesSpec, contamination: float = 0.1, least: int = 30, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """Absolute z-score against the series' own level; flagged at or above the score quantile."""
     y = F.col(spec.target_col)
@@ -313,6 +318,7 @@ def forest_profile(values: np.ndarray, trees: int, sample: int, seed: int) -> tu
     return starts[last], np.exp2(-mean[last] / max(float(_average_path(size)), 1e-12))
 
 
+@by_size
 def isolation_scores(df: DataFrame, spec: SeriesSpec, trees: int = 100, sample: int = 512, contamination: float = 0.1, least: int = 30, seed: int = 42, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """Isolation forest per series, grown on a bounded hash-ordered sample of at most 1000 values.
 
@@ -377,6 +383,7 @@ def _trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
     return (total[i] - total[start]) / (i - start)
 
 
+@by_size
 def spectral_residual(df: DataFrame, spec: SeriesSpec, segment: int = 4096, contamination: float = 0.1, least: int = 30, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """Spectral residual of the observed values, transformed in consecutive segments of bounded length.
 
@@ -386,7 +393,7 @@ def spectral_residual(df: DataFrame, spec: SeriesSpec, segment: int = 4096, cont
     layout = layout or measure(df, spec.keys)
     seen, unseen = df.where(y.isNotNull()), df.where(y.isNull())
     cut = over_groups(
-        seen, spec.keys, spec.order, lambda f, _w: f.withColumn("_seg", F.floor(F.col("_pos") / segment)), layout=layout
+        seen, spec.keys, spec.order, lambda f, _w: f.withColumn("_seg", F.floor(F.col("_pos") / segment)), layout=layout, fresh=True
     )
     target, order = spec.target_col, spec.order
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import feature_name
-from ..plans.series import Layout, measure, over_groups
+from ..plans.series import Layout, by_size, measure, over_groups
 from ..spec import SeriesSpec
 from .anomaly import sorted_quantile
 from .windows import fill_values, history_windows
@@ -23,6 +23,7 @@ def least_observed(rows: int) -> int:
     return max(4, rows // 4)
 
 
+@by_size
 def filled_windows(df: DataFrame, spec: SeriesSpec, rows: int, least_windows: int, fill: str = "ffill", causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """Prepare the shared input of all window packs.
 
@@ -52,6 +53,7 @@ def filled_windows(df: DataFrame, spec: SeriesSpec, rows: int, least_windows: in
     ).drop("_ok")
 
 
+@by_size
 def window_summary(df: DataFrame, spec: SeriesSpec, rows: int = 32, least_windows: int = 20, fill: str = "ffill", name: str = "autogluon", layout: Layout | None = None) -> DataFrame:
     """Last, mean, std, min, max, median, IQR, energy, slope and missing share of the previous window."""
     layout = layout or measure(df, spec.keys)
@@ -87,6 +89,7 @@ def _missing(rows: int, name: str) -> dict[str, Column]:
     }
 
 
+@by_size
 def minimal_pack(df: DataFrame, spec: SeriesSpec, rows: int = 32, least_windows: int = 20, fill: str = "ffill", name: str = "tsfresh", layout: Layout | None = None) -> DataFrame:
     """The published minimal statistics set of the previous window."""
     layout = layout or measure(df, spec.keys)
@@ -224,6 +227,7 @@ def domain_feature_names(domains=("statistical", "temporal", "spectral"), most:
     return names[: max(1, int(most))]
 
 
+@by_size
 def domain_pack(df: DataFrame, spec: SeriesSpec, rows: int = 32, least_windows: int = 20, fill: str = "ffill", domains=("statistical", "temporal", "spectral"), most: int = 64, fs: float = 1.0, name: str = "tsfel", layout: Layout | None = None) -> DataFrame:
     """Statistical, temporal and spectral features of the previous window, computed on Arrow batches of windows."""
     layout = layout or measure(df, spec.keys)

@@ -163,7 +163,7 @@ def cross_validation(df: DataFrame, spec: SeriesSpec, models: Mapping[str, Mappi
         ahead = F.collect_list(F.struct(F.col(spec.time_col).alias("t"), y.alias("v"))).over(w.rowsBetween(1, h))
         return frame.withColumns({"_past": F.when(is_cut, past), "_ahead": F.when(is_cut, ahead), "_turn": turn})
 
-    cut = over_groups(seen, spec.keys, spec.order, build, back=reach, ahead=h, whole={"_n": F.count(F.lit(1))}, layout=layout)
+    cut = over_groups(seen, spec.keys, spec.order, build, back=reach, ahead=h, whole={"_n": F.count(F.lit(1))}, layout=layout, fresh=True)
     cut = cut.where(F.col("_past").isNotNull()).select(*spec.keys, F.col(spec.time_col).alias("cutoff"), "_past", "_ahead")
 
     outs = [_runner(m, p, h)("_past").alias(f"_f_{n}") for n, (m, p) in ready.items()]

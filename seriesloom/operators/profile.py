@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, measure, over_groups, split
+from ..plans.series import Layout, by_size, measure, over_groups
 from ..spec import SeriesSpec
 from .embed import filled_windows
 
@@ -77,6 +77,7 @@ def nearest_window(df: DataFrame, keys: list[str], pos: str, value: str, m: int,
     return minima.groupBy(*keys, "_start").agg(F.min("_dist").alias("_dist"))
 
 
+@by_size
 def matrix_profile(
     df: DataFrame,
     spec: SeriesSpec,
@@ -117,7 +118,7 @@ def matrix_profile(
     scored = over_groups(
         joined, spec.keys, spec.order, build, moments={"_p": F.col("_sc")}, whole={"_scored": F.count("_sc")}, layout=layout
     ).drop("_shift", "_fill", "_obs", "_use", "_dist", "_sc", "_at")
-    return discord_flags(scored, spec, out, f"hist_{name}_discord_flag", quantile, least_windows, layout)
+    return discord_flags(scored, spec, out, f"hist_{name}_discord_flag", quantile, least_windows, layout=layout)
 
 
 def _walk(scores: np.ndarray, held: list[float], low: int, before: int, quantile: float, least: int) -> np.ndarray:
@@ -136,6 +137,7 @@ def _walk(scores: np.ndarray, held: list[float], low: int, before: int, quantile
     return flags
 
 
+@by_size
 def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, layout: Layout | None = None) -> DataFrame:
     """Whether a score reaches the quantile of all earlier scores of its series.
 
@@ -156,20 +158,14 @@ def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quanti
     def plain(part: DataFrame) -> DataFrame:
         return part.groupBy(*keys).applyInPandas(whole, fields)
 
-    if layout.plain:
-        out = plain(seen)
-    elif layout.everything:
-        out = _blocked_flags(seen, spec, score, name, quantile, least, max(layout.limit // 4, 1), fields)
-    else:
-        cold, hot = split(seen, keys, layout)
-        out = plain(cold).unionByName(_blocked_flags(hot, spec, score, name, quantile, least, max(layout.limit // 4, 1), fields))
+    out = plain(seen) if layout.plain else _blocked_flags(seen, spec, score, name, quantile, least, layout, fields)
     return out.unionByName(unseen).withColumn(name, F.nanvl(F.col(name), empty))
 
 
-def _blocked_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, size: int, fields: str) -> DataFrame:
-    keys, order = spec.keys, spec.order
-    placed = over_groups(df, keys, order, lambda f, _w: f.withColumns({"_n": F.col("_pos"), "_tb": F.floor(F.col("_pos") / size)}))
-    placed = over_groups(placed, keys, [score, *order], lambda f, _w: f.withColumn("_vb", F.floor(F.col("_pos") / size)))
+def _blocked_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, layout: Layout, fields: str) -> DataFrame:
+    keys, order, size = spec.keys, spec.order, max(layout.limit // 4, 1)
+    placed = over_groups(df, keys, order, lambda f, _w: f.withColumns({"_n": F.col("_pos"), "_tb": F.floor(F.col("_pos") / size)}), layout=layout, fresh=True)
+    placed = over_groups(placed, keys, [score, *order], lambda f, _w: f.withColumn("_vb", F.floor(F.col("_pos") / size)), layout=layout)
 
     # Counts per value bucket and time block, one row per pair of blocks; then what precedes each time block.
     cells = placed.groupBy(*keys, "_vb", "_tb").agg(F.count(F.lit(1)).alias("_c"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import group_quantiles
-from ..plans.series import Layout, attach, measure, over_groups
+from ..plans.series import PLACED, Layout, attach, by_size, measure, over_groups
 from ..spec import SeriesSpec
 
 
@@ -14,18 +14,19 @@ def trend_slope(df: DataFrame, spec: SeriesSpec, layout: Layout | None = None) -
     """Least squares slope of the observed values on 0..n-1; NULL below two values."""
     y = F.col(spec.target_col)
     seen = df.where(y.isNotNull())
-    numbered = over_groups(seen, spec.keys, spec.order, lambda f, _w: f.withColumn("_x", F.col("_pos").cast("double")), layout=layout)
+    numbered = over_groups(seen, spec.keys, spec.order, lambda f, _w: f.withColumn("_x", F.col("_pos").cast("double")), layout=layout, fresh=True)
     return numbered.groupBy(*spec.keys).agg(
         F.when(F.count(y) >= 2, F.regr_slope(y, F.col("_x"))).alias("stat_y_trend_slope")
     )
 
 
+@by_size
 def static_features(df: DataFrame, spec: SeriesSpec, layout: Layout | None = None) -> DataFrame:
     """One row per series: count, moments, quartiles, spread and trend of the target."""
     y = F.col(spec.target_col)
     layout = layout or measure(df, spec.keys)
     numbered = over_groups(
-        df.select(*spec.keys, *spec.order, y),
+        df.select(*spec.keys, *spec.order, y, *[c for c in (PLACED,) if c in df.columns]),
         spec.keys,
         spec.order,
         lambda f, _w: f.withColumn("_x", F.when(y.isNotNull(), F.col("_seen").cast("double"))),
@@ -50,8 +51,7 @@ def static_features(df: DataFrame, spec: SeriesSpec, layout: Layout | None = Non
         aggs += [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         out = numbered.groupBy(*spec.keys).agg(*aggs)
     else:
-        groups = layout.hot_rows
-        out = attach(numbered.groupBy(*spec.keys).agg(*aggs), group_quantiles(df, spec.keys, wanted, layout), spec.keys, groups)
+        out = attach(numbered.groupBy(*spec.keys).agg(*aggs), group_quantiles(df, spec.keys, wanted, layout), spec.keys, layout.hot_groups)
     return out.withColumns(
         {
             "stat_y_iqr": F.col("stat_y_q75") - F.col("stat_y_q25"),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, measure, over_groups
+from ..plans.series import Layout, by_size, measure, over_groups
 from ..spec import SeriesSpec
 
 # The default feature set.
@@ -115,6 +115,7 @@ def expanding_columns(prefix: str = "_past") -> dict[str, Column]:
 HISTORY_REACH = max(*LAGS, *MEAN_WINDOWS)
 
 
+@by_size
 def history_features(df: DataFrame, spec: SeriesSpec, ewm: bool = True, layout: Layout | None = None) -> DataFrame:
     """Lags, differences, rolling and expanding statistics, EWM; every one over strictly earlier rows."""
     y = F.col(spec.target_col)
@@ -326,6 +327,7 @@ def history_windows(df: DataFrame, spec: SeriesSpec, rows: int, name: str = "win
     return over_groups(df, spec.keys, spec.order, build, back=rows, layout=layout)
 
 
+@by_size
 def fill_values(df: DataFrame, spec: SeriesSpec, method: str = "ffill", causal: bool = False, name: str | None = None, layout: Layout | None = None) -> DataFrame:
     """Fill gaps of the target: ffill (then bfill), bfill (then ffill), interpolate, zero or mean; the rest is 0.
 

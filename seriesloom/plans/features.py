@@ -13,16 +13,17 @@ from ..operators.prep import prefix_projection
 from ..operators.statics import static_features
 from ..operators.windows import HISTORY_REACH, ewm_levels, expanding_columns, history_columns, level_carry
 from ..spec import SeriesSpec, clean_target
-from .series import attach, measure, over_groups
+from .series import Layout, attach, by_size, measure, over_groups
 
 
-def build_features(df: DataFrame, spec: SeriesSpec, families: Sequence[str] = ("base", "hist", "stat"), detectors: Sequence[str] = ()) -> DataFrame:
+@by_size
+def build_features(df: DataFrame, spec: SeriesSpec, families: Sequence[str] = ("base", "hist", "stat"), detectors: Sequence[str] = (), layout: Layout | None = None) -> DataFrame:
     """Keys, time and target with every ``feat_``, ``hist_`` and ``stat_`` column of the chosen families.
 
     All series-ordered features share one window, so ordinary series cost one exchange and one sort for everything.
     """
     df = clean_target(df, spec)
-    layout = measure(df, spec.keys)
+    layout = layout or measure(df, spec.keys)
     y = F.col(spec.target_col)
     t = F.unix_micros(F.col(spec.time_col).cast("timestamp"))
     names = ("year", "month", "day", "dayofweek", "weekofyear", "dayofyear", "is_weekend")
@@ -78,7 +79,7 @@ def build_features(df: DataFrame, spec: SeriesSpec, families: Sequence[str] = ("
         layout=layout,
     )
     if want_stat and not in_place:
-        out = attach(out, static_features(df, spec, layout), spec.keys, layout.hot_rows)
+        out = attach(out, static_features(df, spec, layout=layout), spec.keys, layout.hot_groups)
     if "anomaly" in families:
         out = point_scores(out, spec, layout=layout)
         for kind in detectors:

@@ -37,7 +37,7 @@ def group_quantiles(
 
 def _by_position(df: DataFrame, keys, wanted, layout: Layout) -> DataFrame:
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    groups = layout.hot_groups if not layout.everything else layout.hot_rows
+    groups = layout.hot_groups
     for column in dict.fromkeys(c for c, _ in wanted.values()):
         probs = {n: p for n, (c, p) in wanted.items() if c == column}
         values = df.select(*keys, F.col(column).cast("double").alias("_v")).where("_v is not null")
@@ -70,6 +70,6 @@ def with_group_quantiles(df: DataFrame, keys: Sequence[str], wanted, layout: Lay
     if layout.plain:
         return in_place(df)
     if layout.everything:
-        return attach(df, _by_position(df, keys, wanted, layout), keys, layout.hot_rows)
+        return attach(df, _by_position(df, keys, wanted, layout), keys, layout.hot_groups)
     cold, hot = split(df, keys, layout)
     return in_place(cold).unionByName(attach(hot, _by_position(hot, keys, wanted, layout), keys, layout.hot_groups))

@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import durable, rows_per_task
 
+PLACED = "_placed"
 MAX_LISTED_GROUPS = 10_000
 BROADCAST_ROWS = 1_000_000
 
@@ -37,9 +38,10 @@ class Layout:
 
     limit: int
     hot: DataFrame | None  # key columns of the oversized groups, None when there are none
-    hot_groups: int
+    hot_groups: int  # how many there are, or an upper bound
     hot_rows: int
-    everything: bool = False  # too many oversized groups to list: treat all of them as such
+    everything: bool = False  # every group of the frame is to be treated as oversized
+    order: tuple[str, ...] = ()  # the frame carries exact positions for this order
 
     @property
     def plain(self) -> bool:
@@ -58,7 +60,8 @@ def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Lay
     if not rows:
         return Layout(limit, None, 0, 0)
     if len(rows) > MAX_LISTED_GROUPS:
-        return Layout(limit, None, len(rows), df.count(), everything=True)
+        n = df.count()
+        return Layout(limit, None, n, n, everything=True)
     hot = spark.createDataFrame([tuple(r[k] for k in keys) for r in rows], df.select(*keys).schema)
     return Layout(limit, hot, len(rows), sum(r["_n"] for r in rows))
 
@@ -119,6 +122,7 @@ def over_groups(
     carry_back: Mapping[str, Column] | None = None,
     moments: Mapping[str, Column] | None = None,
     layout: Layout | None = None,
+    fresh: bool = False,
 ) -> DataFrame:
     """Run ``build(frame, window)`` over ordered groups.
 
@@ -130,7 +134,8 @@ def over_groups(
     carry_back  first non-NULL value at or after the row
     moments     ``<name>_n``, ``<name>_mean``, ``<name>_m2`` (sum of squared deviations) over strictly earlier rows
 
-    ``back``/``ahead`` state how many rows the frames in ``build`` may reach. Helper columns are dropped.
+    ``back``/``ahead`` state how many rows the frames in ``build`` may reach. Helper columns are dropped. ``fresh`` must be
+    set when rows were filtered out since the frame was measured, so that carried positions are not trusted.
     """
     running, whole = dict(running or {}), dict(whole or {})
     carry, carry_back, moments = dict(carry or {}), dict(carry_back or {}), dict(moments or {})
@@ -161,7 +166,7 @@ def over_groups(
         return plain(df)
 
     def blocked(part: DataFrame) -> DataFrame:
-        out = _blocked(part, keys, order, build, back, ahead, running, whole, carry, carry_back, moments, layout)
+        out = _blocked(part, keys, order, build, back, ahead, running, whole, carry, carry_back, moments, layout, fresh)
         return out.drop(*helpers)
 
     if layout.everything:
@@ -170,9 +175,40 @@ def over_groups(
     return plain(cold).unionByName(blocked(hot))
 
 
-def _blocked(df, keys, order, build, back, ahead, running, whole, carry, carry_back, moments, layout) -> DataFrame:
+def by_size(operator):
+    """Run a many-step operator ``(df, spec, ..., layout)`` separately on ordinary and on oversized series.
+
+    The split happens once, and the oversized part gets its row positions once; the steps inside reuse both.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, spec, *args, layout: Layout | None = None, **kw) -> DataFrame:
+        layout = layout or measure(df, spec.keys)
+        if layout.plain or layout.everything and layout.order:
+            return operator(df, spec, *args, layout=layout, **kw)
+        order = tuple(spec.order)
+        pure = replace(layout, hot=None, everything=True, order=order)
+
+        def large(part: DataFrame) -> DataFrame:
+            placed = positions(part, spec.keys, order, layout).withColumnRenamed("_pos", PLACED)
+            return operator(placed, spec, *args, layout=pure, **kw).drop(PLACED)
+
+        if layout.everything:
+            return large(df)
+        cold, hot = split(df, spec.keys, layout)
+        small = operator(cold, spec, *args, layout=replace(layout, hot=None, hot_groups=0, hot_rows=0), **kw)
+        return small.unionByName(large(hot))
+
+    return run
+
+
+def _blocked(df, keys, order, build, back, ahead, running, whole, carry, carry_back, moments, layout, fresh) -> DataFrame:
     size = max(layout.limit // 4, back, ahead, 1)
-    placed = positions(df, keys, order, layout).withColumn("_home", F.floor(F.col("_pos") / size))
+    if not fresh and layout.order and tuple(order) == layout.order and PLACED in df.columns:
+        placed = df.withColumn("_pos", F.col(PLACED))
+    else:
+        placed = positions(df, keys, order, layout)
+    placed = placed.withColumn("_home", F.floor(F.col("_pos") / size))
 
     # One row per (group, block): what the block adds to running sums, and its last / first values.
     blocks = math.ceil(layout.hot_rows / size) + layout.hot_groups
@@ -222,7 +258,7 @@ def _blocked(df, keys, order, build, back, ahead, running, whole, carry, carry_b
         frame = attach(frame, border, [*keys, "_blk"], blocks)
     if whole:
         stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in whole.items()])
-        frame = attach(frame, stats, keys, layout.hot_groups if not layout.everything else layout.hot_rows)
+        frame = attach(frame, stats, keys, layout.hot_groups)
 
     w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
