@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, calendar, embed, profile, statics, windows
 from ..plans.features import build_features
 from .views import (
-    GAPPY_SQL, SERIES, SERIES_SQL, TICKS, TICKS_SQL, day, gappy, r, series, ticks,
+    GAPPY_SQL, LINES, LINES_SQL, SERIES, SERIES_SQL, TICKS, TICKS_SQL, day, gappy, lines, r, series, ticks,
 )
 
 KEYS = ["loto", "unique_id"]
@@ -322,6 +324,14 @@ def _statics(reg) -> None:
             *[F.col(c).cast("long").alias(c) for c in keep_int], *[r(c).alias(c) for c in real],
         )
 
+    wide = {n: e.replace(W, "PARTITION BY loto, unique_id ORDER BY ds, order_id, line_no, part_id, y") for n, e in (HISTORY_SQL | EXPANDING_SQL).items()}
+
+    @reg.add("feature_build_lines", f"WITH {LINES_SQL} SELECT loto, unique_id, order_id, line_no, part_id, {sql_round(wide)} FROM lines")
+    def _(spark, sf):
+        spec = replace(LINES, order_cols=(*LINES.order_cols, "y"))
+        out = windows.history_features(lines(spark, sf), spec)
+        return out.select("loto", "unique_id", "order_id", "line_no", "part_id", *[r(c).alias(c) for c in wide])
+
     @reg.add("feature_build_anomaly")
     def _(spark, sf):
         return build_features(gappy(spark, sf), SERIES, ("base", "hist", "stat", "anomaly"), ("ecod", "copod"))

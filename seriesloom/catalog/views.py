@@ -66,6 +66,28 @@ TICKS_SQL = """ticks AS (
          event_id AS row_id FROM events)"""
 
 
+LINES = SeriesSpec(("loto", "unique_id"), order_cols=("order_id", "line_no", "part_id"))
+
+
+def lines(spark, sf) -> DataFrame:
+    """Log line prices per return flag and supplier: the largest series table of the data."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.concat("l_returnflag", "l_linestatus").alias("loto"),
+        F.col("l_suppkey").alias("unique_id"),
+        F.col("l_shipdate").alias("ds"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_id"),
+        F.log("l_extendedprice").alias("y"),
+    )
+
+
+LINES_SQL = """lines AS (
+  SELECT l_returnflag || l_linestatus AS loto, l_suppkey AS unique_id, l_shipdate AS ds, l_orderkey AS order_id, l_linenumber AS line_no,
+         l_partkey AS part_id, ln(l_extendedprice) AS y FROM lineitem)"""
+
+
 def forecasts(spark, sf) -> DataFrame:
     """The series next to the seasonal guess of seven rows earlier and a naive guess of one row earlier."""
     from ..operators.windows import lag_features

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,107 +31,97 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _item(key: Column, value: Column | None = None, text: Column | None = None, kind: Column | None = None) -> Column:
-    """One flattened entry: an open variant (``v``) still to walk, or a finished text. Its kind is read once, here."""
-    return F.struct(
-        key.alias("key"),
-        (value if value is not None else F.lit(None).cast("variant")).alias("v"),
-        (text if text is not None else F.lit(None).cast("string")).alias("text"),
-        (kind if kind is not None else F.lit(None).cast("string")).alias("kind"),
-    )
+def _leaf(value) -> tuple[str | None, str]:
+    """Text and kind of a scalar."""
+    if value is None:
+        return None, "VOID"
+    if isinstance(value, bool):
+        return ("true" if value else "false"), "BOOLEAN"
+    if isinstance(value, int):
+        return str(value), "BIGINT"
+    if isinstance(value, float):
+        return repr(value), "DOUBLE"
+    return value, "STRING"
 
 
-def _kinded(items: Column) -> Column:
-    return F.transform(items, lambda x: F.struct(x.alias("x"), _kind(x).alias("k")))
+def _statistics(values: list, extremes: bool) -> dict[str, float]:
+    n = len(values)
+    mean = math.fsum(values) / n
+    out = {"__mean__": mean, "__std__": math.sqrt(math.fsum((x - mean) ** 2 for x in values) / n)}
+    return out | ({"__min__": float(min(values)), "__max__": float(max(values))} if extremes else {})
 
 
-def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+def leaves(value, path: str, form: str, depth: int, most: int, longest: int):
+    """Yield (key, text, kind) for every scalar and list summary below ``value``.
 
-
-def _number_rows(key: Column, xs: Column, extremes: bool) -> Column:
-    """Mean and population deviation (and extremes) of numbers as finished entries."""
-    mean = _mean(xs)
-    # Deviations from the first value keep the squares small without naming the mean twice per element.
-    base = F.element_at(xs, 1)
-    off = F.transform(xs, lambda x: x - base)
-    std = F.sqrt(F.greatest(_mean(F.transform(off, lambda d: d * d)) - F.pow(_mean(off), F.lit(2)), F.lit(0.0)))
-    stats = {"__mean__": mean, "__std__": std}
-    if extremes:
-        stats |= {"__min__": F.array_min(xs), "__max__": F.array_max(xs)}
-    return F.array(*[_item(F.concat(key, F.lit(f".{n}")), text=v.cast("string"), kind=F.lit("DOUBLE")) for n, v in stats.items()])
-
-
-def _size_row(key: Column, items: Column) -> Column:
-    return F.array(_item(F.concat(key, F.lit(".__len__")), text=F.size(items).cast("string"), kind=F.lit("BIGINT")))
-
-
-def _report_list(key: Column, items: Column) -> Column:
-    """Length, and mean and deviation where every item is a number. ``items`` carry their kind."""
-    size = _size_row(key, items)
-    numeric = (F.size(items) > 0) & F.forall(items, lambda e: e["k"].rlike(_NUMBER))
-    xs = F.transform(items, lambda e: F.try_variant_get(e["x"], "$", "double"))
-    return F.when(numeric, F.concat(size, _number_rows(key, xs, False))).otherwise(size)
-
-
-def _dashboard_list(key: Column, raw: Column, items: Column, most: int, longest: int) -> Column:
-    """First items by index, a truncation mark and number statistics; lists of objects are walked, mixed ones kept as JSON."""
-    size = _size_row(key, items)
-    nothing = F.slice(size, 1, 0)
-
-    def at(i: Column) -> Column:
-        return F.concat(key, F.lit("["), i.cast("string"), F.lit("]"))
-
-    head = F.slice(items, 1, most)
-    scalars = F.transform(head, lambda e, i: _item(at(i), text=_text(e["x"]), kind=e["k"]))
-    objects = F.transform(head, lambda e, i: _item(at(i), value=e["x"], kind=e["k"]))
-    cut = F.when(F.size(items) > most, F.array(_item(F.concat(key, F.lit(".__truncated__")), text=F.lit("true"), kind=F.lit("BOOLEAN")))).otherwise(nothing)
-    numeric = F.forall(items, lambda e: e["k"].rlike(_NUMBER + "|^VOID$|^BOOLEAN$")) & (F.size(items) <= longest)
-    xs = F.filter(F.transform(items, lambda e: F.try_variant_get(e["x"], "$", "double")), lambda x: x.isNotNull())
-    stats = F.when(numeric & (F.size(xs) > 0), _number_rows(key, xs, True)).otherwise(nothing)
-    mixed = F.array(_item(F.concat(key, F.lit(".__json__")), text=F.to_json(raw), kind=F.lit("STRING")))
-    all_scalar = F.forall(items, lambda e: ~e["k"].rlike("^(OBJECT|ARRAY)"))
-    all_object = F.forall(items, lambda e: e["k"].startswith("OBJECT"))
-    body = F.when(all_scalar, F.concat(scalars, cut, stats)).when(all_object, F.concat(objects, cut)).otherwise(mixed)
-    return F.when(F.size(items) > 0, F.concat(size, body)).otherwise(size)
-
-
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+    The report form summarises lists by length and number statistics. The dashboard form also shows their first ``most``
+    items, walks lists of objects, and keeps mixed lists as JSON.
+    """
+    if depth < 0:
+        return
+    if isinstance(value, dict):
+        for k, v in value.items():
+            key = f"{path}.{k}"
+            if isinstance(v, dict) or (isinstance(v, list) and form == "dashboard"):
+                yield from leaves(v, key, form, depth - 1, most, longest)
+            elif isinstance(v, list):
+                yield f"{key}.__len__", str(len(v)), "BIGINT"
+                if v and all(isinstance(x, (int, float)) for x in v):
+                    yield from ((f"{key}.{n}", repr(x), "DOUBLE") for n, x in _statistics(v, False).items())
+            else:
+                yield (key, *_leaf(v))
+    elif isinstance(value, list):
+        yield f"{path}.__len__", str(len(value)), "BIGINT"
+        nested = [isinstance(x, (dict, list)) for x in value]
+        if value and not any(nested):
+            yield from ((f"{path}[{i}]", *_leaf(x)) for i, x in enumerate(value[:most]))
+            numbers = [x for x in value if x is not None]
+            if len(value) <= longest and numbers and all(isinstance(x, (int, float)) for x in numbers):
+                yield from ((f"{path}.{n}", repr(x), "DOUBLE") for n, x in _statistics(numbers, True).items())
+        elif value and all(isinstance(x, dict) for x in value):
+            for i, x in enumerate(value[:most]):
+                yield from leaves(x, f"{path}[{i}]", form, depth - 1, most, longest)
+        elif value:
+            yield f"{path}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False), "STRING"
+            return
+        if len(value) > most:
+            yield f"{path}.__truncated__", "true", "BOOLEAN"
 
 
 def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int = 4, longest: int = 2000) -> DataFrame:
     """(ids, key, value, kind) rows, one per scalar leaf, list statistic or list item.
 
-    Each round opens the objects (and lists) met so far, so the plan is a chain of ``max_depth`` explodes over one scan.
+    The nesting is open-ended, which column expressions can only follow by rebuilding the remaining document at every
+    level; parsing each text once in an Arrow batch is several times faster. Rows stay where they are: no exchange.
     """
     depth = (4 if form == "report" else 3) if max_depth is None else max_depth
-    root = F.try_parse_json(F.trim(F.col(column)))
-    cur = df.select(*ids, root.alias("_r")).select(*ids, _item(F.lit(prefix), value=F.col("_r"), kind=_kind(F.col("_r"))).alias("_i"))
-    cur = cur.where(F.col("_i.kind").rlike("^OBJECT" if form == "report" else "^(OBJECT|ARRAY)"))
-    item = F.col("_i")
-    entries = F.transform(
-        F.map_entries(item["v"].try_cast("map<string,variant>")),
-        lambda e: F.struct(F.concat(item["key"], F.lit("."), e["key"]).alias("key"), e["value"].alias("x"), _kind(e["value"]).alias("k")),
-    )
-    opened = F.transform(entries, lambda e: _open(e, form))
-    parts = F.when(item["v"].isNull(), F.array(item)).when(item["kind"].startswith("OBJECT"), F.flatten(opened))
-    if form == "dashboard":
-        listed = _dashboard_list(item["key"], item["v"], _kinded(item["v"].try_cast("array<variant>")), most, longest)
-        parts = parts.when(item["kind"].startswith("ARRAY"), listed)
-    for _ in range(depth + 1):
-        cur = cur.select(*ids, F.explode(parts).alias("_i"))
-    done = cur.where(F.col("_i.v").isNull() & F.col("_i.kind").isNotNull())
-    return done.select(*ids, F.col("_i.key").alias("key"), F.col("_i.text").alias("value"), F.col("_i.kind").alias("kind"))
-
-
-def _open(e: Column, form: str) -> Column:
-    leaf = F.array(_item(e["key"], text=_text(e["x"]), kind=e["k"]))
-    walk = F.array(_item(e["key"], value=e["x"], kind=e["k"]))
-    if form == "dashboard":
-        return F.when(e["k"].rlike("^(OBJECT|ARRAY)"), walk).otherwise(leaf)
-    listed = _report_list(e["key"], _kinded(e["x"].try_cast("array<variant>")))
-    return F.when(e["k"].startswith("OBJECT"), walk).when(e["k"].startswith("ARRAY"), listed).otherwise(leaf)
+    keep = list(ids)
+
+    def expand(batches):
+        for pdf in batches:
+            at, keys, texts, kinds = [], [], [], []
+            for i, raw in enumerate(pdf["_json"]):
+                try:
+                    doc = json.loads(raw)
+                except ValueError:
+                    continue
+                if not isinstance(doc, dict if form == "report" else (dict, list)):
+                    continue
+                for key, value, kind in leaves(doc, prefix, form, depth, most, longest):
+                    at.append(i)
+                    keys.append(key)
+                    texts.append(value)
+                    kinds.append(kind)
+            if not at:
+                continue
+            out = pdf[keep].iloc[at].reset_index(drop=True)
+            out["key"], out["value"], out["kind"] = keys, texts, kinds
+            yield out
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    text = F.trim(F.col(column).cast("string"))
+    rows = df.select(*keep, text.alias("_json")).where(F.substr(text, F.lit(1), F.lit(1)).isin("{", "["))
+    return rows.mapInPandas(expand, ", ".join([*types, "key string, value string, kind string"]))
 
 
 def flattened_columns(df: DataFrame, id_col: str, columns: Mapping[str, str], form: str = "dashboard", most_keys: int = 120, **kw) -> DataFrame:

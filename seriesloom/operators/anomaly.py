@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import with_group_quantiles
-from ..plans.ranks import value_table
-from ..plans.series import Layout, attach, by_size, measure, over_groups, split
+from ..plans.ranks import tail_counts
+from ..plans.series import Layout, by_size, measure, over_groups
 from ..spec import SeriesSpec
 from .windows import full, previous
 
@@ -135,38 +135,6 @@ def _normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def tail_counts(df: DataFrame, keys, value: str, layout: Layout | None = None) -> DataFrame:
-    """Add ``_le`` / ``_ge`` (group values at or below / above the row's value) and ``_n``."""
-    from pyspark.sql import Window
-
-    layout = layout or measure(df, keys)
-    v = F.col(value)
-
-    def plain(part: DataFrame) -> DataFrame:
-        g = Window.partitionBy(*keys)
-        return part.withColumns(
-            {
-                "_le": F.when(v.isNotNull(), F.count(v).over(g.orderBy(v.asc()))),
-                "_ge": F.when(v.isNotNull(), F.count(v).over(g.orderBy(v.desc()))),
-                "_n": F.count(v).over(g),
-            }
-        )
-
-    def counted(part: DataFrame) -> DataFrame:
-        table = value_table(part, keys, value)
-        sizes = part.groupBy(*keys).agg(F.count(v).alias("_n"))
-        table = table.select(*keys, value, (F.col("_before") + F.col("_c")).alias("_le"), F.col("_before"))
-        out = attach(attach(part, table, [*keys, value], layout.hot_rows), sizes, keys, layout.hot_groups)
-        return out.withColumn("_ge", F.col("_n") - F.col("_before")).drop("_before")
-
-    if layout.plain:
-        return plain(df)
-    if layout.everything:
-        return counted(df)
-    cold, hot = split(df, keys, layout)
-    return plain(cold).unionByName(counted(hot))
-
-
 @by_size
 def tail_probability(df: DataFrame, spec: SeriesSpec, kind: str = "ecod", contamination: float = 0.1, least: int = 20, causal: bool = False, layout: Layout | None = None) -> DataFrame:
     """ECOD / COPOD in one dimension: negative log tail probabilities of the empirical distribution."""

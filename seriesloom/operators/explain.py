@@ -13,35 +13,39 @@ from pyspark.sql import types as T
 
 from ..functions.dist import normal_sf
 from ..plans.grams import gram, solve
-from ..plans.quantiles import group_quantiles
-from ..plans.ranks import average_rank, value_table
-from ..plans.series import over_groups
+from ..plans.quantiles import group_quantiles, with_group_quantiles
+from ..plans.ranks import with_average_rank
+from ..plans.series import Layout, over_groups
+from ..session import rows_per_task
 from .stats import permutation_range
 
 MAX_LEVELS = 500
 
 
-def long_features(df: DataFrame, features: Sequence[str], target: str, keep: Sequence[str] = (), fill: bool = True) -> DataFrame:
+def long_features(df: DataFrame, features: Sequence[str], target: str, keep: Sequence[str] = (), fill: bool = True, layout: Layout | None = None) -> DataFrame:
     """(feature, x, y) rows where the target is known; with ``fill`` missing x become the feature's median."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("x")) for f in features])
     rows = df.where(F.col(target).isNotNull()).select(*keep, F.col(target).cast("double").alias("y"), F.explode(pairs).alias("_p"))
     long = rows.select(*keep, "y", "_p.*")
     if not fill:
         return long.where(F.col("x").isNotNull())
-    medians = group_quantiles(long, ["feature"], {"_med": ("x", 0.5)})
-    # One row per feature: as many rows as the schema has columns.
-    return long.join(F.broadcast(medians), "feature").withColumn("x", F.coalesce("x", "_med")).drop("_med")
+    filled = with_group_quantiles(long, ["feature"], {"_med": ("x", 0.5)}, layout)
+    return filled.withColumn("x", F.coalesce("x", "_med")).drop("_med")
 
 
-def _rank_column(long: DataFrame, value: str, name: str) -> DataFrame:
-    ranks = value_table(long, ["feature"], value).select("feature", value, average_rank().alias(name))
-    return long.join(ranks, ["feature", value])
+def feature_layout(df: DataFrame, features: Sequence[str], target: str) -> Layout:
+    """Every feature's group has one row per known target, so a single count tells whether the groups are oversized."""
+    n = df.where(F.col(target).isNotNull()).count()
+    limit = rows_per_task(df.sparkSession)
+    return Layout(limit, None, len(features), n * len(features), everything=n > limit)
 
 
 def correlations(df: DataFrame, features: Sequence[str], target: str = "y", fill: bool = True) -> DataFrame:
     """Pearson and Spearman of each feature with the target."""
-    long = long_features(df, features, target, fill=fill)
-    ranked = _rank_column(_rank_column(long, "x", "_rx"), "y", "_ry")
+    layout = feature_layout(df, features, target)
+    long = long_features(df, features, target, fill=fill, layout=layout)
+    ranked = with_average_rank(long, ["feature"], "x", "_rx", layout)
+    ranked = with_average_rank(ranked, ["feature"], "y", "_ry", layout)
     return ranked.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), _corr(F.col("x"), F.col("y")).alias("pearson"), _corr(F.col("_rx"), F.col("_ry")).alias("spearman")
     )
@@ -59,7 +63,7 @@ def correlation_table(df: DataFrame, features: Sequence[str], target: str, least
 
 def lag_correlations(df: DataFrame, features: Sequence[str], keys: Sequence[str], order: Sequence[str], target: str = "y", max_lag: int = 7) -> DataFrame:
     """Correlation of the target with each feature 0..max_lag rows earlier in the same series."""
-    long = long_features(df, features, target, keep=[*keys, *order])
+    long = long_features(df, features, target, keep=[*keys, *order], layout=feature_layout(df, features, target))
 
     def build(frame, w):
         return frame.withColumns({f"_x{k}": F.lag("x", k).over(w) if k else F.col("x") for k in range(max_lag + 1)})
@@ -72,7 +76,7 @@ def lag_correlations(df: DataFrame, features: Sequence[str], keys: Sequence[str]
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str = "y", bins: int = 16) -> DataFrame:
     """Plug-in mutual information on an equal-width grid (in nats)."""
-    long = long_features(df, features, target)
+    long = long_features(df, features, target, layout=feature_layout(df, features, target))
     span = long.groupBy("feature").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
 
     def slot(v: str, lo: str, hi: str) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import over_groups
+from .series import Layout, attach, measure, over_groups, split
 
 
 def value_table(df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column] | None = None) -> DataFrame:
@@ -37,3 +37,40 @@ def value_table(df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[
 def average_rank() -> Column:
     """1-based rank of a value-table row, ties sharing their mean rank."""
     return F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)
+
+
+def tail_counts(df: DataFrame, keys, value: str, layout: Layout | None = None) -> DataFrame:
+    """Add ``_le`` / ``_ge`` (group values at or below / above the row's value) and ``_n``."""
+    layout = layout or measure(df, keys)
+    v = F.col(value)
+
+    def plain(part: DataFrame) -> DataFrame:
+        g = Window.partitionBy(*keys)
+        return part.withColumns(
+            {
+                "_le": F.when(v.isNotNull(), F.count(v).over(g.orderBy(v.asc()))),
+                "_ge": F.when(v.isNotNull(), F.count(v).over(g.orderBy(v.desc()))),
+                "_n": F.count(v).over(g),
+            }
+        )
+
+    def counted(part: DataFrame) -> DataFrame:
+        table = value_table(part, keys, value)
+        sizes = part.groupBy(*keys).agg(F.count(v).alias("_n"))
+        table = table.select(*keys, value, (F.col("_before") + F.col("_c")).alias("_le"), F.col("_before"))
+        out = attach(attach(part, table, [*keys, value], layout.hot_rows), sizes, keys, layout.hot_groups)
+        return out.withColumn("_ge", F.col("_n") - F.col("_before")).drop("_before")
+
+    if layout.plain:
+        return plain(df)
+    if layout.everything:
+        return counted(df)
+    cold, hot = split(df, keys, layout)
+    return plain(cold).unionByName(counted(hot))
+
+
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, layout: Layout | None = None) -> DataFrame:
+    """Add the 1-based rank of the row's value in its group, ties sharing their mean rank."""
+    counted = tail_counts(df, keys, value, layout)
+    rank = (F.col("_le") + F.col("_n") - F.col("_ge") + 1) / F.lit(2.0)
+    return counted.withColumn(name, rank).drop("_le", "_ge", "_n")
