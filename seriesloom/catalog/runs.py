@@ -455,7 +455,7 @@ def _json(reg) -> None:
     def _(spark, sf):
         e = table(spark, sf, "events")
         found = jsonflat.json_columns(e)
-        out = jsonflat.flattened_columns(e, "event_id", {c: c for c in found})
+        out = jsonflat.flattened_columns(e, {c: c for c in found})
         return out.select("event_id", F.col("`props.k`").alias("k"))
 
     @reg.add("metric_entries", "SELECT event_id, 'k' AS metric, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")

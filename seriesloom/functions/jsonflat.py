@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,25 +89,35 @@ def leaves(value, path: str, form: str, depth: int, most: int, longest: int):
             yield f"{path}.__truncated__", "true", "BOOLEAN"
 
 
+def _documents(texts, form: str):
+    """(position, parsed document) of the texts that hold an object (or, for the dashboard form, a list)."""
+    wanted = dict if form == "report" else (dict, list)
+    for i, raw in enumerate(texts):
+        try:
+            doc = json.loads(raw) if raw is not None else None
+        except ValueError:
+            continue
+        if isinstance(doc, wanted):
+            yield i, doc
+
+
+def _depth(form: str, given: int | None) -> int:
+    return (4 if form == "report" else 3) if given is None else given
+
+
 def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int = 4, longest: int = 2000) -> DataFrame:
     """(ids, key, value, kind) rows, one per scalar leaf, list statistic or list item.
 
     The nesting is open-ended, which column expressions can only follow by rebuilding the remaining document at every
     level; parsing each text once in an Arrow batch is several times faster. Rows stay where they are: no exchange.
     """
-    depth = (4 if form == "report" else 3) if max_depth is None else max_depth
+    depth = _depth(form, max_depth)
     keep = list(ids)
 
     def expand(batches):
         for pdf in batches:
             at, keys, texts, kinds = [], [], [], []
-            for i, raw in enumerate(pdf["_json"]):
-                try:
-                    doc = json.loads(raw)
-                except ValueError:
-                    continue
-                if not isinstance(doc, dict if form == "report" else (dict, list)):
-                    continue
+            for i, doc in _documents(pdf["_json"], form):
                 for key, value, kind in leaves(doc, prefix, form, depth, most, longest):
                     at.append(i)
                     keys.append(key)
@@ -124,20 +135,29 @@ def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, fo
     return rows.mapInPandas(expand, ", ".join([*types, "key string, value string, kind string"]))
 
 
-def flattened_columns(df: DataFrame, id_col: str, columns: Mapping[str, str], form: str = "dashboard", most_keys: int = 120, **kw) -> DataFrame:
-    """The frame with one text column per flattened key; per source the ``most_keys`` most frequent keys."""
+def flatten_map(column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int = 4, longest: int = 2000) -> Column:
+    """The flattened entries of a JSON text as one map, so that the row keeps its place and no regrouping is needed."""
+    depth = _depth(form, max_depth)
+
+    @F.pandas_udf("map<string,string>")
+    def build(texts: pd.Series) -> pd.Series:
+        out: list[dict] = [{} for _ in range(len(texts))]
+        for i, doc in _documents(texts, form):
+            out[i] = {k: v for k, v, _ in leaves(doc, prefix, form, depth, most, longest)}
+        return pd.Series(out, index=texts.index)
+
+    return build(F.trim(F.col(f"`{column}`").cast("string")))
+
+
+def flattened_columns(df: DataFrame, columns: Mapping[str, str], form: str = "dashboard", most_keys: int | None = 120, **kw) -> DataFrame:
+    """The frame with one text column per flattened key; per source the ``most_keys`` most frequent keys (None: all)."""
     out = df
     for column, prefix in columns.items():
-        long = flatten_json(df, [id_col], column, prefix, form, **kw)
-        top = long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(most_keys)
-        keys = [r["key"] for r in top.collect()]  # at most ``most_keys`` names
-        if not keys:
-            continue
-        # One row per id again; the key-value pairs of a row are bounded by its own JSON text.
-        packed = long.where(F.col("key").isin(keys)).groupBy(id_col).agg(
-            F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_kv")
-        )
-        out = out.join(packed, id_col, "left").withColumns({k: F.try_element_at("_kv", F.lit(k)) for k in keys}).drop("_kv")
+        held = flatten_map(column, prefix, form, **kw)
+        top = df.select(F.explode(F.map_keys(held)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key")
+        keys = [r["key"] for r in (top.limit(most_keys) if most_keys else top).collect()]  # column names
+        if keys:
+            out = out.withColumn("_kv", held).withColumns({k: F.try_element_at("_kv", F.lit(k)) for k in keys}).drop("_kv")
     return out
 
 

@@ -15,7 +15,7 @@ from ..functions.dist import normal_sf
 from ..plans.grams import gram, solve
 from ..plans.quantiles import group_quantiles, with_group_quantiles
 from ..plans.ranks import with_average_rank
-from ..plans.series import Layout, over_groups
+from ..plans.series import Layout, measure, over_groups
 from ..session import rows_per_task
 from .stats import permutation_range
 
@@ -152,7 +152,7 @@ def _num(v) -> float | None:
     return None if v is None else float(v)
 
 
-def shuffled(df: DataFrame, column: str, row_id: str, seed: int, name: str) -> DataFrame:
+def shuffled(df: DataFrame, column: str, row_id: str, seed: int, name: str, layout: Layout | None = None) -> DataFrame:
     """A random permutation of one column.
 
     Rows are put into a seeded hash order and each takes its predecessor's value, the first one the last one's: a random
@@ -165,7 +165,7 @@ def shuffled(df: DataFrame, column: str, row_id: str, seed: int, name: str) -> D
         return frame.withColumn(name, F.when(F.col("_pos") == 0, F.col("_end")["v"]).otherwise(F.lag(column, 1).over(w)))
 
     last = F.max_by(F.struct(F.col(column).alias("v")), order)
-    return over_groups(hashed, [], ["_h", row_id], build, back=1, whole={"_end": last}).drop("_h")
+    return over_groups(hashed, [], ["_h", row_id], build, back=1, whole={"_end": last}, layout=layout).drop("_h")
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], row_id: str, target: str = "y", prediction: str = "yhat", repeats: int = 3, seed: int = 42) -> DataFrame:
@@ -177,10 +177,11 @@ def permutation_importance(df: DataFrame, features: Sequence[str], predict: Call
         return predict(frame).where(F.col(target).isNotNull() & F.col(prediction).isNotNull()).agg(F.avg(F.abs(F.col(target) - F.col(prediction))).alias("mae"))
 
     base = error(df).first()["mae"]
+    layout = measure(df, [])
     parts = []
     for f in features:
         for k in range(repeats):
-            mixed = shuffled(df, f, row_id, seed + 1009 * k, "_mixed").drop(f).withColumnRenamed("_mixed", f)
+            mixed = shuffled(df, f, row_id, seed + 1009 * k, "_mixed", layout).drop(f).withColumnRenamed("_mixed", f)
             parts.append(error(mixed).select(F.lit(f).alias("feature"), (F.col("mae") - F.lit(base)).alias("d")))
     rows = parts[0]
     for p in parts[1:]:
@@ -429,10 +430,11 @@ def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], cate
         )
 
     base = score(test).first()
+    layout = measure(test, [])
     parts = []
     for c in cols:
         for k in range(repeats):
-            mixed = shuffled(test, c, "_id", seed + 7919 * k, "_mixed").drop(c).withColumnRenamed("_mixed", c)
+            mixed = shuffled(test, c, "_id", seed + 7919 * k, "_mixed", layout).drop(c).withColumnRenamed("_mixed", c)
             parts.append(score(mixed).select(F.lit(c[3:]).alias("feature"), (F.lit(base["r2"]) - F.col("r2")).alias("d")))
     rows_ = parts[0]
     for p in parts[1:]:

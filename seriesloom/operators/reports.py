@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonflat import flatten_json
+from ..functions.jsonflat import flattened_columns
 from .explain import attribution_summary, correlations, lag_correlations, what_if
 from .metrics import conformal_interval, interval_summary, point_summary, residual_summary
 from .stats import ljung_box
@@ -42,25 +42,16 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def flatten_results(results: DataFrame, id_col: str = "run_id") -> DataFrame:
+def flatten_results(results: DataFrame) -> DataFrame:
     """Run results with their JSON columns as dotted text columns and the duration in seconds.
 
-    All JSON columns are opened into one long frame, and the names found there (bounded by what the runs log) become columns.
+    The names found in the JSON become columns; their number is bounded by what the runs log.
     """
     out = results
     if "started_at" in out.columns and "ended_at" in out.columns:
         secs = (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6)
         out = out.withColumn("duration_sec", secs)
-    long = None
-    for column, prefix in JSON_PREFIXES.items():
-        if column in results.columns:
-            part = flatten_json(results, [id_col], column, prefix).select(id_col, "key", "value")
-            long = part if long is None else long.unionByName(part)
-    if long is None:
-        return out
-    names = [r["key"] for r in long.select("key").distinct().orderBy("key").collect()]
-    packed = long.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_kv"))
-    return out.join(packed, id_col, "left").withColumns({n: F.try_element_at("_kv", F.lit(n)) for n in names}).drop("_kv")
+    return flattened_columns(out, {c: p for c, p in JSON_PREFIXES.items() if c in results.columns}, "report", None)
 
 
 def overview(results: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def ewm_levels(df: DataFrame, spec: SeriesSpec, spans: Sequence[int] = EWM_SPANS
 
     With the weight a, an observation that follows the previous one after g steps is mixed in with the share
     b = a / ((1 - a)^g + a), because missing steps age the mean. The recursion unrolls into a sum of b * y * exp(D_i - D_t)
-    with D the running total of -ln(1 - b), so a bounded frame sum replaces the row-by-row fold. The exponents are taken
-    relative to segments of D to stay in range; a frame touches at most two neighbouring segments.
+    with D the running total of -ln(1 - b). Exponents are taken relative to segments of D to stay in range: a running sum
+    inside the segment plus the total of the segment before it, everything older having decayed away. That is constant
+    work per row, on the partitioning the other features use.
     """
     y = F.col(spec.target_col)
     width = 300.0
@@ -53,6 +54,7 @@ def ewm_levels(df: DataFrame, spec: SeriesSpec, spans: Sequence[int] = EWM_SPANS
     def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
+        cell = [*spec.keys, *[c for c in ("_blk",) if c in frame.columns]]
         last_seen = F.last(F.when(y.isNotNull(), F.col("_pos")), ignorenulls=True).over(before)
         frame = frame.withColumn("_gap", F.when(y.isNotNull(), F.col("_pos") - last_seen))
         gap = F.col("_gap")
@@ -64,23 +66,25 @@ def ewm_levels(df: DataFrame, spec: SeriesSpec, spans: Sequence[int] = EWM_SPANS
             loss[f"_l{s}"] = F.when(gap.isNotNull(), F.least(-math.log(1.0 - a) * gap + F.log(norm), F.lit(width)))
         frame = frame.withColumns(share | loss)
         frame = frame.withColumns({f"_d{s}": F.coalesce(F.sum(f"_l{s}").over(upto), F.lit(0.0)) for s in spans})
-        parts = {}
+        frame = frame.withColumns({f"_s{s}": F.floor(F.col(f"_d{s}") / width) for s in spans})
+        inside = {}
         for s in spans:
-            d = F.col(f"_d{s}")
-            base = F.floor(d / width)
-            parts[f"_s{s}"] = base
-            parts[f"_v{s}"] = F.col(f"_b{s}") * y * F.exp(d - base * width)
-        frame = frame.withColumns(parts)
+            value = F.col(f"_b{s}") * y * F.exp(F.col(f"_d{s}") - F.col(f"_s{s}") * width)
+            run = Window.partitionBy(*cell, f"_s{s}").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+            inside[f"_v{s}"] = F.coalesce(F.sum(value).over(run), F.lit(0.0))
+        frame = frame.withColumns(inside)
+        ends = {}
+        for s in spans:
+            closed = F.struct(F.col(f"_s{s}").alias("s"), F.col(f"_v{s}").alias("v"))
+            ends[f"_e{s}"] = F.when(F.lead(f"_s{s}", 1).over(w) != F.col(f"_s{s}"), closed)
+        frame = frame.withColumns(ends)
+        frame = frame.withColumns({f"_e{s}": F.last(f"_e{s}", ignorenulls=True).over(before) for s in spans})
         level = {}
         for s in spans:
-            here = w.rowsBetween(-ewm_reach(s), 0)
-            d, seg, v = F.col(f"_d{s}"), F.col(f"_s{s}"), F.col(f"_v{s}")
-            even = F.coalesce(F.sum(F.when(seg % 2 == 0, v)).over(here), F.lit(0.0))
-            odd = F.coalesce(F.sum(F.when(seg % 2 != 0, v)).over(here), F.lit(0.0))
-            own, other = F.when(seg % 2 == 0, even).otherwise(odd), F.when(seg % 2 == 0, odd).otherwise(even)
-            total = F.exp(seg * width - d) * own + F.exp((seg - 1) * width - d) * other
-            level[f"_ewm_{s}"] = F.when(y.isNotNull(), total)
-        helpers = ["_gap", *[f"_{p}{s}" for p in "bldsv" for s in spans]]
+            d, seg, closed = F.col(f"_d{s}"), F.col(f"_s{s}"), F.col(f"_e{s}")
+            older = F.when(closed["s"] == seg - 1, F.exp((seg - 1) * width - d) * closed["v"]).otherwise(F.lit(0.0))
+            level[f"_ewm_{s}"] = F.when(y.isNotNull(), F.exp(seg * width - d) * F.col(f"_v{s}") + older)
+        helpers = ["_gap", *[f"_{p}{s}" for p in "bldsve" for s in spans]]
         return frame.withColumns(level).drop(*helpers)
 
     return over_groups(df, spec.keys, spec.order, build, back=max(ewm_reach(s) for s in spans), layout=layout)

@@ -202,7 +202,7 @@ def test_json_flatten_fixture(spark):
     assert json.loads(got["root.mix.__json__"]) == [1, {"y": 2}] and got["root.n"] is None
     assert float(got["root.nums.__std__"]) == pytest.approx(math.sqrt(2 / 3)) and float(got["root.nums.__max__"]) == 3.0
     assert jsonflat.json_columns(df) == ["j"]
-    wide = jsonflat.flattened_columns(df, "id", {"j": "p"}, most_keys=2)
+    wide = jsonflat.flattened_columns(df, {"j": "p"}, most_keys=2)
     assert len(wide.columns) == 4
 
 
