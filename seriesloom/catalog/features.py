@@ -458,7 +458,7 @@ def _packs(reg) -> None:
         return out.select(*KEYS, day("ds").alias("ds"), *[r(n).alias(n) for n in cols])
 
     pack = {
-        "sum_values": f"sum(v) OVER {here}", "median": f"quantile_cont(v, 0.5) OVER {here}", "mean": f"avg(v) OVER {here}", "length": "16.0",
+        "sum_values": f"sum(v) OVER {here}", "median": f"quantile_cont(v, 0.5) OVER {here}", "mean": f"avg(v) OVER {here}", "length": "CAST(16 AS DOUBLE)",
         "standard_deviation": f"stddev_pop(v) OVER {here}", "variance": f"var_pop(v) OVER {here}", "root_mean_square": f"sqrt(avg(v * v) OVER {here})",
         "maximum": f"max(v) OVER {here}", "absolute_maximum": f"max(abs(v)) OVER {here}", "minimum": f"min(v) OVER {here}",
     }

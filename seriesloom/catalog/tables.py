@@ -204,7 +204,7 @@ def _filters(reg) -> None:
 
     @reg.add(
         "model_frames",
-        f"""WITH {GAPPY_SQL}, x AS (SELECT loto || unique_id AS unique_id, ds, y, CASE WHEN day(ds) % 3 = 0 THEN NULL ELSE day(ds) * 1.5 END AS feat_a, lag(y, 2) OVER (PARTITION BY loto, unique_id ORDER BY ds) AS hist_b FROM gappy),
+        f"""WITH {GAPPY_SQL}, x AS (SELECT loto || unique_id AS unique_id, ds, y, CASE WHEN day(ds) % 3 = 0 THEN NULL ELSE CAST(day(ds) * 1.5 AS DOUBLE) END AS feat_a, lag(y, 2) OVER (PARTITION BY loto, unique_id ORDER BY ds) AS hist_b FROM gappy),
         k AS (SELECT * FROM x WHERE y IS NOT NULL), m AS (SELECT quantile_cont(feat_a, 0.5) AS ma, quantile_cont(hist_b, 0.5) AS mb FROM k)
         SELECT unique_id, {DAY_SQL}, round(y, 6) + 0.0 AS y, round(coalesce(feat_a, ma), 6) + 0.0 AS feat_a, round(coalesce(hist_b, mb), 6) + 0.0 AS hist_b FROM k, m""",
     )
