@@ -6,11 +6,14 @@ the slice size and the longest single text, never on the number of texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 19
@@ -123,3 +126,47 @@ def windows(hashes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray,
         total *= BASE
         total += hashes[j : n + j]
     return mixed(total[at] + np.uint64(k)), at
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unicode code points of UTF-8 bytes, and the first one of each text."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[lead].astype(np.uint32)
+    wide = np.flatnonzero(points >= 0xC0)
+    if len(wide):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        at, first = lead[wide], points[wide]
+        b1, b2, b3 = ((padded[at + i] & 0x3F).astype(np.uint32) for i in (1, 2, 3))
+        two, three = (first & 0x1F) << 6 | b1, (first & 0x0F) << 12 | b1 << 6 | b2
+        points[wide] = np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 0x07) << 18 | b1 << 12 | b2 << 6 | b3))
+    return points, np.searchsorted(lead, offsets)
+
+
+def totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text."""
+    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable], extra: str, keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """The kept columns of every row plus columns computed from its text.
+
+    `make()` runs once a task and returns a function of (batch, bytes, offsets) that gives the extra columns as Arrow arrays, in
+    the order of the DDL text `extra`. A kept column with the name of an extra one is replaced.
+    """
+    added = T.StructType.fromDDL(extra)
+    taken = {f.name.lower() for f in added}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    rows = df.select(*(quoted(c) for c in kept), quoted(text_col).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch, data, offsets in slices(batches, "__text", limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(batch, data, offsets)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import wavelet
-from .workspace import work_folder
+from . import decontaminate, language, mixing, quality, sharding, url_lists, wavelet
+from .workspace import work_folder, written
 
 
 class Registry:
@@ -35,3 +36,168 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return wavelet.read_documents(wavelet.write_token_files(docs, f"{work_folder(spark)}/tokens"))
+
+
+@add("op3_language")
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~language.held_out()))
+    out = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+UPPER_SQL, LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+BENCH_WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), {UPPER_SQL}, {LOWER_SQL}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {BENCH_WORDS_SQL} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {BENCH_WORDS_SQL} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT item, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0))),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT rid, dw.k, p, item FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
+words AS (SELECT rid, count(DISTINCT x) AS n FROM (SELECT rid, unnest(range(p, p + k)) AS x FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  coalesce(items.h, sha256('')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+
+@add("op7_decontamination", OP7_SQL)
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.judged(decontaminate.scan(docs, table(spark, sf, "benchmark"), keep=["doc_id"]))
+
+
+WORDS_SQL = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _chars_sql(column: str, chars: str) -> str:
+    return f"length(regexp_replace({column}, '[^{chars}]', '', 'g'))"
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+dw AS (SELECT rid, doc_id, t, {WORDS_SQL.format("t")} AS w FROM d),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+lw AS (SELECT *, {WORDS_SQL.format("line")} AS w, row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth FROM l),
+f AS (SELECT *, length(array_to_string(w, '')) AS chars, {_chars_sql("line", "|<>")} AS seps, {_chars_sql("line", "#*$%&|<>")} AS syms,
+  {_chars_sql("line", "A-Z")} AS up, {_chars_sql("line", "a-z")} AS low, translate(line, {UPPER_SQL}, {LOWER_SQL}) AS lowered FROM lw WHERE len(w) > 0),
+r AS (SELECT rid, chars, nth > 1 AS again,
+  nth > 1 OR (seps >= 2 AND 5 * seps >= len(w)) OR 5 * syms > chars OR (len(w) >= 5 AND 100 * up > 60 * (up + low))
+  OR regexp_matches(lowered, '{"|".join(quality.PHRASES)}') OR NOT contains('{quality.CLOSING.replace("'", "''")}', right(w[-1], 1)) AS failed FROM f),
+lines AS (SELECT rid, sum(CASE WHEN failed THEN chars ELSE 0 END) AS lost, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE failed) AS removed FROM r GROUP BY rid),
+win AS (SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS p FROM dw WHERE len(w) >= 8)),
+twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT x) AS n FROM (SELECT rid, unnest(range(p, p + 8)) AS x FROM twice) GROUP BY rid),
+s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_chars_sql("t", "#*$%&|<>")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost_chars, coalesce(removed, 0) AS n_lines_removed
+  FROM dw LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= {quality.MOST_LOST} * word_chars AS kept,
+  CAST(lost_chars AS BIGINT) AS lost_chars, CAST(n_lines_removed AS BIGINT) AS n_lines_removed FROM s"""
+
+
+@add("op8_quality", OP8_SQL)
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality.assess(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    removed = F.aggregate("lines_removed", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return out.withColumn("n_lines_removed", removed).drop("lines_removed")
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL.format("coalesce(text, '')")}) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s0 AS (SELECT source, sum(size) AS n FROM d GROUP BY source),
+s1 AS (SELECT source, n, 2.0::DOUBLE * n AS cap, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS idx FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY cap / w, idx) AS pos, sum(cap) OVER (ORDER BY cap / w, idx) - cap AS cut, sum(w) OVER () - sum(w) OVER (ORDER BY cap / w, idx) + w AS left_w FROM s1 WHERE n > 0),
+s3 AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - cut) / left_w AS level FROM s2),
+f AS (SELECT min(pos) AS first_pos, min_by(level, pos) AS lv FROM s3 WHERE level * w <= cap),
+s4 AS (SELECT source, n, CASE WHEN first_pos IS NULL OR pos < first_pos THEN cap ELSE lv * w END AS target FROM s3, f),
+s5 AS (SELECT s1.source, s1.n, coalesce(target, 0.0::DOUBLE) AS target, CASE WHEN s1.n > 0 THEN floor(target / s1.n) ELSE 0 END AS whole FROM s1 LEFT JOIN s4 ON s1.source IS NOT DISTINCT FROM s4.source),
+p AS (SELECT d.source, k, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY k) AS upto FROM d GROUP BY d.source, k),
+o AS (SELECT s5.source, k, abs(upto - (target - whole * n)) AS off FROM p JOIN s5 ON p.source IS NOT DISTINCT FROM s5.source WHERE target - whole * n > 0
+  UNION ALL SELECT source, '', abs(0 - (target - whole * n)) FROM s5 WHERE target - whole * n > 0),
+e AS (SELECT source, k AS last_k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY off, k) AS r FROM o) WHERE r = 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(size * (whole + CASE WHEN last_k IS NOT NULL AND k <= last_k THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source"""
+
+
+@add("op4_mixing", OP4_SQL)
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n"))
+    mixed = mixing.mix(written(docs, work_folder(spark), "sizes"), size_col="n")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# a place on the curve by the same published transform, as one recursive row a step; crc32 from its polynomial, four bits at a time
+OP6_SQL = f"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(16) r(i))),
+nib AS (SELECT row_number() OVER () AS rid, doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n2 AS (SELECT rid, doc_id, source, size, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h)), lambda i: (instr('0123456789ABCDEF', substr(h, (i + 1 - 2 * (i % 2) + 1)::INT, 1)) - 1)::BIGINT)),
+  lambda c, b: xor(c // 16, t[(xor(c, b) % 16 + 1)::INT])) AS r FROM nib, crc_table),
+m AS (SELECT rid, doc_id, source, CAST(size AS BIGINT) AS size, xor(r, 4294967295) AS text_crc32, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM n2),
+src AS (SELECT source, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) * 32 // greatest(count(*) OVER (), 32) AS INT) AS x0 FROM (SELECT DISTINCT source FROM m)),
+lim AS (SELECT min(doc_id) AS lo, (max(doc_id) - min(doc_id)) // 32 + 1 AS width FROM m),
+pt AS (SELECT m.*, x0, greatest(0, least(31, CAST(floor(log2(size) * 2) AS INT) - 8)) AS x1, coalesce(CAST((doc_id - lo) // width AS INT), 0) AS x2 FROM m JOIN src ON m.source IS NOT DISTINCT FROM src.source, lim),
+walk AS (SELECT DISTINCT x0 AS c0, x1 AS c1, x2 AS c2, x0, x1, x2, 0 AS i FROM pt
+  UNION ALL SELECT c0, c1, c2,
+    CASE WHEN ([x0, x1, x2][i % 3 + 1] & q) <> 0 THEN xor(x0, q - 1) ELSE xor(x0, xor(x0, [x0, x1, x2][i % 3 + 1]) & (q - 1)) END,
+    CASE WHEN i % 3 = 1 AND (x1 & q) = 0 THEN xor(x1, xor(x0, x1) & (q - 1)) ELSE x1 END,
+    CASE WHEN i % 3 = 2 AND (x2 & q) = 0 THEN xor(x2, xor(x0, x2) & (q - 1)) ELSE x2 END, i + 1
+  FROM (SELECT *, 1 << (4 - i // 3) AS q FROM walk WHERE i < 12)),
+gray AS (SELECT c0, c1, c2, x0, xor(x1, x0) AS x1, xor(x2, xor(x1, x0)) AS x2 FROM walk WHERE i = 12),
+par AS (SELECT *, list_reduce(list_transform([16, 8, 4, 2], lambda q: CASE WHEN (x2 & q) <> 0 THEN q - 1 ELSE 0 END), lambda a, b: xor(a, b)) AS t FROM gray),
+cells AS (SELECT c0, c1, c2, list_reduce(list_concat([0], flatten(list_transform([4, 3, 2, 1, 0], lambda b: [(xor(x0, t) >> b) & 1, (xor(x1, t) >> b) & 1, (xor(x2, t) >> b) & 1]))), lambda a, b: 2 * a + b) AS curve FROM par),
+rk AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY curve, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM pt JOIN cells ON x0 = c0 AND x1 = c1 AND x2 = c2)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(r * 40 // n AS INT) AS shard, CAST(r - ((r * 40 // n) * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM rk"""
+
+
+@add("op6_hilbert_shards", OP6_SQL)
+def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written(sharding.measured(table(spark, sf, "documents")), work_folder(spark), "measured")
+    out = sharding.assign(rows)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+HOST_SQL = "nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '')"
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A dated block list derived from the pages: hosts and the domains above them enter, leave and re-enter two lists.
+
+    The days follow from a hash of the entry, so the log grows with the hosts of the table.
+    """
+    entries = pages.select(F.explode(url_lists.domains(url_lists.host_of(F.col("url")))).alias("entry")).distinct()
+    h = F.conv(F.substring(F.md5(F.col("entry").cast("binary")), 1, 6), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    first = h % 200
+    changes = F.array(
+        F.struct(F.lit("add").alias("action"), day(first).alias("day")),
+        F.when(h % 2 == 0, F.struct(F.lit("remove").alias("action"), day(first + 20 + h % 60).alias("day"))),
+        F.when(h % 4 == 0, F.struct(F.lit("add").alias("action"), day(first + 90 + h % 60).alias("day"))),
+    )
+    listed = entries.where(h % 3 == 0).select("entry", F.when(h % 5 < 3, "spam").otherwise("malware").alias("list"), F.explode(F.array_compact(changes)).alias("c"))
+    return listed.select("list", "entry", "c.day", "c.action")
+
+
+OP10_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, {HOST_SQL} AS host, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS day FROM pages),
+dom AS (SELECT rid, unnest([array_to_string(l[i:], '.') FOR i IN range(1, len(l) + 1)]) AS entry FROM (SELECT rid, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL)),
+e AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 6) AS INT) AS h FROM (SELECT DISTINCT entry FROM dom)),
+log AS (SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END AS list, 'add' AS action, DATE '2024-01-01' + h % 200 AS day FROM e WHERE h % 3 = 0
+  UNION ALL SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END, 'remove', DATE '2024-01-01' + h % 200 + 20 + h % 60 FROM e WHERE h % 3 = 0 AND h % 2 = 0
+  UNION ALL SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END, 'add', DATE '2024-01-01' + h % 200 + 90 + h % 60 FROM e WHERE h % 3 = 0 AND h % 4 = 0),
+iv AS (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS valid_to FROM (SELECT list, entry, day, max(action) AS action FROM log GROUP BY ALL)),
+hit AS (SELECT p.rid, list, iv.entry FROM p JOIN dom USING (rid) JOIN iv ON dom.entry = iv.entry AND action = 'add' AND p.day >= iv.day AND (valid_to IS NULL OR p.day < valid_to)),
+v AS (SELECT rid, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, max_by(entry, length(entry)) AS entry FROM hit GROUP BY rid)
+SELECT page_id, host, strftime(day, '%Y-%m-%d') AS fetch_day, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, entry FROM p LEFT JOIN v USING (rid)"""
+
+
+@add("op10_url_lists", OP10_SQL)
+def op10_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")))
+    out = url_lists.judge(captures, list_log(pages))
+    return out.select("page_id", "host", F.date_format("fetch_day", "yyyy-MM-dd").alias("fetch_day"), "blocked", "n_active", "lists", "entry")
