@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, sharding, url_lists, wavelet
+from . import decontaminate, jaccard, language, mixing, quality, sharding, url_lists, wavelet
 from .workspace import work_folder, written
 
 
@@ -201,3 +201,20 @@ def op10_url_lists(spark: SparkSession, sf: str) -> DataFrame:
     captures = pages.withColumn("fetch_day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")))
     out = url_lists.judge(captures, list_log(pages))
     return out.select("page_id", "host", F.date_format("fetch_day", "yyyy-MM-dd").alias("fetch_day"), "blocked", "n_active", "lists", "entry")
+
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), {UPPER_SQL}, {LOWER_SQL})")} AS w FROM documents),
+sh AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM d),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT rid, rid AS x FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON r.x = l.a),
+c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.x GROUP BY r.rid)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, CAST((SELECT count(*) FROM l WHERE l.a = d.rid) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)"""
+
+
+@add("op5_jaccard_join", OP5_SQL)
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"))

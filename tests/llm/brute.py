@@ -1,5 +1,7 @@
 """Plain-Python versions of the contracts, for small tables."""
 
+import re
+import string
 import zlib
 
 
@@ -11,3 +13,34 @@ def token_rows(docs, tokenizer, end_id=1):
         out.append((doc_id, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+
+
+def jaccard_rows(rows, k=5, needed=75):
+    """rows: (doc_id, text). (doc_id, n_shingles, component_id, n_links) of each, from all pairs."""
+    sets = []
+    for _, text in rows:
+        w = _words(text)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= needed * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[top(i)] = top(j)
+    ids = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            ids[top(i)] = min(ids.get(top(i), doc), doc)
+    return [(doc, len(sets[i]), ids.get(top(i)), links[i]) for i, (doc, _) in enumerate(rows)]
