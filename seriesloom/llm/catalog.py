@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, quality, sharding, url_lists, wavelet
+from . import decontaminate, jaccard, language, mixing, quality, sharding, token_counts, toxicity, url_lists, wavelet
 from .workspace import work_folder, written
 
 
@@ -218,3 +218,17 @@ FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)"""
 @add("op5_jaccard_join", OP5_SQL)
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"))
+
+
+@add("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = language.id_checksum() % 5 == 0
+    model = toxicity.train(docs, table(spark, sf, "labels").where(~held_out))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@add("op1_section_tokens")
+def op1_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.by_section(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
