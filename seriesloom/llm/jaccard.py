@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import BASE, LOWER, WORD, mixed, per_text, quoted, slices, span_hashes, spans, windows
+from .buffers import BASE, LOWER, WORD, map_texts, mixed, per_text, quoted, slices, span_hashes, spans, windows
 from .workspace import work_folder, written
 
 SHINGLE = 5
@@ -377,20 +377,52 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         last = tuple(now)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document: n_links counts the other documents it links to."""
-    folder = work_folder(docs.sparkSession)
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key and text. The key finds a text again; its set is checked then, so a key need not be unique."""
     doc_id, text = quoted(id_col).cast("bigint"), quoted(text_col)
-    # the key finds a text again; its set is checked then, so a key need not be unique
-    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
+
+
+def _solved(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every document (doc_id, key, n, node), every set with its component's root, and the links of sets."""
     rows, classes = profiles(docs, folder)
     sets = written(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.count("*").alias("times")), folder, "classes")
     nodes, pairs = blocked(postings(docs, rows, classes, folder), sets, folder)
     links = multiplied(docs, sets, nodes, pairs, folder)
     root = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")), folder)
     found = sets.join(root, "node", "left").select("node", "first_id", "times", F.coalesce("root", "node").alias("root"))
+    return rows, written(found, folder, "components"), links
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document: n_links counts the other documents it links to."""
+    rows, found, links = _solved(_located(docs, id_col, text_col), work_folder(docs.sparkSession))
     first = found.groupBy("root").agg(F.min("first_id").alias("component"))
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
     done = found.join(first, "root").join(count, "node", "left").select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
     out = rows.join(done, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def _node_of_text():
+    def work(batch, data, offsets):
+        return (pa.array([digest(s) if len(s) else None for s in shingle_sets(data, offsets)], pa.int64()),)
+
+    return work
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every component, the one with the smallest id (a null id is largest), with all its columns.
+
+    Documents with an empty set are all kept. Of rows that agree in id and set one is kept.
+    """
+    located = _located(docs, id_col, text_col)
+    rows, found, _ = _solved(located, work_folder(docs.sparkSession))
+    # the smallest document of a set first, then of a component: a hot set is combined before the exchange
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("d"))
+    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"), F.lit(True).alias("__first"))
+    key = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col))).alias("__key")
+    tagged = map_texts(docs.select(*(quoted(c) for c in docs.columns), key), text_col, _node_of_text, "__node bigint")
+    same = Window.partitionBy("__key", "__node").orderBy(F.lit(0))
+    out = tagged.join(kept, ["__key", "__node"], "left").withColumn("__nth", F.row_number().over(same))
+    return out.where(F.col("__node").isNull() | (F.col("__first") & (F.col("__nth") == 1))).select(*(quoted(c) for c in docs.columns))

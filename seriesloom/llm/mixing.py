@@ -32,6 +32,8 @@ BLOCK_ROWS = 512
 #: Bound of the plan on the driver: sources times shards.
 MOST_CELLS = 20_000_000
 SEED = 17
+#: Words a partition of a shard should hold, about.
+PART_WORDS = 20_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -165,8 +167,14 @@ def mix(
     return joined.select(*kept, F.col("p_words").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), F.col("p_copies").alias("copies"), shard.alias("shards"))
 
 
-def dealt(mixed: DataFrame, columns: list[str], shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """Every copy of every document in its shard, in random order there: one partition a shard group, sorted by a hash."""
-    copies = mixed.select(*(quoted(c) for c in columns), F.posexplode("shards").alias("copy", "shard"))
-    mixing = F.xxhash64(F.lit(seed), F.coalesce(quoted(id_col).cast("string"), F.lit("")), F.col("copy"))
-    return copies.repartitionByRange(shards, "shard", mixing).sortWithinPartitions("shard", mixing)
+def dealt(mixed: DataFrame, columns: list[str], seed: int = SEED, id_col: str = "doc_id", part_words: int = PART_WORDS) -> DataFrame:
+    """The given columns of every copy, copies of a shard together and in random order.
+
+    A shard is spread over as many partitions as its words ask for; within a partition rows are sorted by shard and a hash.
+    """
+    total = mixed.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    places = max(1, -(-int(total) // part_words))
+    copies = mixed.select(*(quoted(c) for c in columns), F.posexplode("shards").alias("__copy", "__shard"))
+    order = F.xxhash64(F.lit(seed), F.coalesce(quoted(id_col).cast("string"), F.lit("")), F.col("__copy"))
+    placed = copies.withColumn("__order", order).withColumn("__part", F.pmod("__order", F.lit(max(1, places // SHARDS))))
+    return placed.repartition("__shard", "__part").sortWithinPartitions("__shard", "__order").select(*(quoted(c) for c in columns))

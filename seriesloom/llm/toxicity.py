@@ -36,8 +36,8 @@ MOST_LABELLED = 2000
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 160, 32
 #: A landmark occurs in that many texts and after that many different words at least.
 LEAST_SEEN = 3
-#: Of toxic landmarks, those with less than this share of the best one's gain are left out.
-LEAST_GAIN = 0.04
+#: Log likelihood that a word must add to that of equal rates in both classes; rarer words are chance among so many.
+LEAST_GAIN = 14.0
 #: Log odds from which a word counts as toxic.
 LEAST_ODDS = 1.5
 SPAN = 7
@@ -239,8 +239,7 @@ def _landmarks(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
     both = (F.col("t") + F.col("o") + 1) / (toxic + other + 2)
     gain = (F.col("t") + 0.5) * F.log(rate_t / both) + (F.col("o") + 0.5) * F.log(rate_o / both)
     rated = words.select("word", F.log(rate_t / rate_o).alias("odds"), gain.alias("gain"), "o")
-    first = rated.where(F.col("odds") > LEAST_ODDS).orderBy(F.desc("gain"), "word").limit(TOXIC_LANDMARKS).collect()
-    first = [r for r in first if r.gain >= LEAST_GAIN * first[0].gain]
+    first = rated.where((F.col("odds") > LEAST_ODDS) & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "word").limit(TOXIC_LANDMARKS).collect()
     rest = rated.where(F.col("odds") <= 0).orderBy(F.desc("o"), "word").limit(OTHER_LANDMARKS).collect()
     return [bytes(r.word) for r in [*first, *rest]], np.array([max(r.odds, 0.0) for r in [*first, *rest]])
 
