@@ -127,7 +127,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
             carried = [c for c in names if c.lower() not in ("n_words", "found_words", "found_items")]
         else:
             source = out.withColumnsRenamed({"found_words": "__words", "found_items": "__items"})
-        out = map_texts(source, "__scanned", make, FOUND, [*carried, "__scanned", *(["__words", "__items"] if k else [])])
+        out = map_texts(source, "__scanned", make, FOUND, [*carried, "__scanned", *(["__words", "__items"] if k else [])]).drop("__words", "__items")
     return out.select(*(quoted(c) for c in carried), "n_words", "found_words", "found_items")
 
 
