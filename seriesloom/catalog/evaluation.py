@@ -61,7 +61,7 @@ def _metrics(reg) -> None:
         SELECT loto, unique_id, count(yhat) AS count, round(avg(yhat), 6) + 0.0 AS mean, round(stddev_samp(yhat), 6) + 0.0 AS std, round(sum(CASE WHEN rn <= 20 THEN yhat END), 6) + 0.0 AS head FROM s GROUP BY 1, 2""",
     )
     def _(spark, sf):
-        out = metrics.point_summary(forecasts(spark, sf).where("yhat IS NOT NULL"), by=KEYS)
+        out = metrics.point_summary(forecasts(spark, sf).where("yhat IS NOT NULL"), by=KEYS, first=20)
         out = out.withColumn("head", F.aggregate("sample", F.lit(0.0), lambda a, v: a + v)).drop("sample")
         return _rounded(out, ["mean", "std", "head"])
 
@@ -353,7 +353,16 @@ def _explain(reg) -> None:
     def _(spark, sf):
         return _rounded(explain.mutual_information(_features(spark, sf), FEATURES), ["mutual_info"])
 
-    @reg.add("attribution_summary")
+    @reg.add(
+        "attribution_summary",
+        f"""WITH {FEATURES_SQL}, s AS (SELECT feature, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lx GROUP BY 1),
+        c AS (SELECT feature, least(floor((x - x0) / ((x1 - x0) / 16)), 15) AS i, least(floor((y - y0) / ((y1 - y0) / 16)), 15) AS j, count(*) AS c FROM lx JOIN s USING (feature) GROUP BY 1, 2, 3),
+        m AS (SELECT feature, c::DOUBLE AS c, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, i) AS ci, sum(c) OVER (PARTITION BY feature, j) AS cj FROM c),
+        mi AS (SELECT feature, sum(c / n * ln(c * n / (ci * cj))) AS score FROM m GROUP BY 1), sg AS (SELECT feature, corr(x, y) AS p FROM lx GROUP BY 1),
+        g AS (SELECT *, {lagged} FROM lx WINDOW w AS (PARTITION BY feature, loto, unique_id ORDER BY ds)), lg AS ({lags}),
+        b AS (SELECT feature, lag FROM lg QUALIFY row_number() OVER (PARTITION BY feature ORDER BY abs(corr) DESC, lag) = 1)
+        SELECT feature, round(score, 6) + 0.0 AS score, 'mutual_info' AS source, CASE WHEN p >= 0 THEN 'positive' ELSE 'negative' END AS direction, lag AS best_lag FROM mi JOIN sg USING (feature) JOIN b USING (feature)""",
+    )
     def _(spark, sf):
         f = _features(spark, sf)
         out = explain.attribution_summary(explain.correlations(f, FEATURES), explain.lag_correlations(f, FEATURES, SERIES.keys, ["ds"]), explain.mutual_information(f, FEATURES))
@@ -548,7 +557,7 @@ def _grids(reg) -> None:
             F.when(F.col("o_orderpriority") < "4", "TPESampler").otherwise("HyperOptSearch").alias("search_alg"),
         )
         proposals = o.select(F.col("o_orderkey").alias("task_order"), F.to_json(body).alias("params"))
-        return grid.reason_counts(grid.evaluate_combinations(proposals, {"dataset_table": "series"})).drop("suggestion")
+        return grid.reason_counts(grid.evaluate_combinations(proposals, {"dataset_table": "series"})).drop("parameters")
 
     @reg.add("combo_signatures", f"WITH {RESULTS_SQL} SELECT run_id, {SIGNATURE_SQL} AS signature FROM results")
     def _(spark, sf):
@@ -611,7 +620,7 @@ def _reports(reg) -> None:
         rows = reports.reflection_rows(reports.flatten_results(_results(spark, sf))).where("parameter = 'horizon'")
         return rows.select("run_id", "expected", "actual", "status")
 
-    drill = f"""WITH {RUNS_SQL}, k AS (SELECT * FROM runs WHERE duration_sec IS NOT NULL), top AS (SELECT model_name AS v FROM k GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 8)
+    drill = f"""WITH {RUNS_SQL}, k AS (SELECT * FROM runs WHERE duration_sec IS NOT NULL), top AS (SELECT model_name AS v FROM k GROUP BY 1 HAVING count(*) >= 5)
         SELECT 'root' AS node, 0 AS depth, count(*) AS rows, round(avg(duration_sec), 6) + 0.0 AS target_mean, 'model_name' AS split_parameter FROM runs
         UNION ALL SELECT 'root/model_name=' || model_name, 1, count(*), round(avg(duration_sec), 6) + 0.0, NULL FROM runs WHERE model_name IN (SELECT v FROM top) GROUP BY model_name"""
 
@@ -620,7 +629,19 @@ def _reports(reg) -> None:
         out = reports.drilldown(runs(spark, sf), "duration_sec", ["model_name", "status"], max_depth=1)
         return out.select("node", "depth", "rows", r("target_mean").alias("target_mean"), "split_parameter")
 
-    @reg.add("drilldown_deep")
+    names = "['model_name', 'status', 'app_name']"
+    levels = "".join(
+        f""", c{d} AS (SELECT node, i, v, count(*) AS c FROM (SELECT node, y, unnest([1, 2, 3]) AS i, unnest(p) AS v FROM r{d}) WHERE y IS NOT NULL AND v IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+        s{d} AS (SELECT node, min(i) AS i FROM (SELECT node, i FROM c{d} GROUP BY ALL HAVING count(*) >= 2) WHERE node IN (SELECT node FROM r{d} GROUP BY 1 HAVING count(*) >= 10) GROUP BY 1),
+        r{d + 1} AS (SELECT p, y, r.node || '/' || {names}[s.i] || '=' || c.v AS node FROM r{d} r JOIN s{d} s ON s.node = r.node JOIN c{d} c ON c.node = r.node AND c.i = s.i AND c.v = r.p[s.i])"""
+        for d in range(3)
+    )
+    shown = " UNION ALL ".join(
+        f"SELECT r{d}.node, {d} AS depth, count(*) AS rows, round(avg(y), 6) + 0.0 AS target_mean, round(coalesce(stddev_samp(y), 0.0), 6) + 0.0 AS target_std, {f'any_value({names}[s{d}.i])' if d < 3 else 'NULL'} AS split_parameter FROM r{d}{f' LEFT JOIN s{d} ON s{d}.node = r{d}.node' if d < 3 else ''} GROUP BY r{d}.node"
+        for d in range(4)
+    )
+
+    @reg.add("drilldown_deep", f"WITH {RUNS_SQL}, r0 AS (SELECT [CAST(model_name AS VARCHAR), CAST(status AS VARCHAR), CAST(app_name AS VARCHAR)] AS p, CAST(duration_sec AS DOUBLE) AS y, 'root' AS node FROM runs){levels} {shown}")
     def _(spark, sf):
         out = reports.drilldown(runs(spark, sf), "duration_sec", ["model_name", "status", "app_name"], max_depth=3)
         return _rounded(out, ["target_mean", "target_std"])
@@ -643,7 +664,7 @@ def _reports(reg) -> None:
     @reg.add("forecast_contract")
     def _(spark, sf):
         rows = _predicted(_features(spark, sf))
-        out = reports.forecast_contract(rows, "y", "yhat", FEATURES, KEYS, ["ds"])
+        out = reports.forecast_contract(rows, "y", "yhat", FEATURES, KEYS, ["ds"], points=20)
         return out.select(F.to_json(F.struct("point_forecast.count", "prediction_interval.coverage_target")).alias("head"), F.size("attribution").alias("features"), F.size("what_if").alias("scenarios"))
 
 

@@ -278,11 +278,23 @@ def _baselines(reg) -> None:
     def _(spark, sf):
         return ra.comparable_groups(runs(spark, sf), "model_name", 5, 2)
 
-    @reg.add("recommendations")
+    @reg.add(
+        "recommendations",
+        f"""WITH {ANOM_SQL}, {SPANS_SQL}, {ERRORS_SQL}{STAGE_TOTAL_SQL}, a AS (SELECT z3.*, gpu_util_avg, db_time_ms / (duration_sec * 1000) AS db_share FROM z3 LEFT JOIN st USING (run_id)),
+        sh AS (SELECT stage_name, sum(duration_ms) AS d, sum(duration_ms) / sum(sum(duration_ms)) OVER () AS share FROM spans GROUP BY 1), top AS (SELECT stage_name, share FROM sh ORDER BY d DESC, stage_name LIMIT 1),
+        er AS (SELECT error_type FROM errors WHERE error_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, error_type LIMIT 1),
+        k AS (SELECT quantile_cont(db_share, 0.5) AS db, quantile_cont(duration_sec, 0.5) AS dur, quantile_cont(gpu_util_avg, 0.5) AS gpu, avg(CAST(is_failed AS DOUBLE)) AS fail, count(*) FILTER (anomaly_flag) AS odd FROM a),
+        f AS (SELECT 0 AS p, 'database_share' AS rule, 'high' AS priority, NULL::VARCHAR AS subject, db::DOUBLE AS value, 0.35::DOUBLE AS bound FROM k WHERE db >= 0.35
+          UNION ALL SELECT 0, 'stage_concentration', 'high', stage_name, share, 0.5 FROM top WHERE share >= 0.5 UNION ALL SELECT 0, 'failure_share', 'high', (SELECT error_type FROM er), fail, 0.1 FROM k WHERE fail >= 0.1
+          UNION ALL SELECT 1, 'gpu_underuse', 'medium', NULL, gpu, 25 FROM k WHERE gpu < 25 AND dur > 0 UNION ALL SELECT 1, 'departures', 'medium', NULL, odd, 1 FROM k WHERE odd >= 1),
+        g AS (SELECT * FROM f UNION ALL SELECT 2, 'nothing_found', 'low', NULL, NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM f))
+        SELECT CAST(row_number() OVER (ORDER BY p, rule) - 1 AS INT) AS rank, priority, rule, subject, round(value, 5) + 0.0 AS value, bound FROM g""",
+    )
     def _(spark, sf):
         x = ra.with_aggregates(runs(spark, sf), spans(spark, sf), None, errors(spark, sf))
         x = ra.run_anomalies(ra.with_expected(x, x, ra.baseline_stats(x, "model_name"), "model_name"), "model_name")
-        return ra.recommendations(x, ra.stage_pareto(spans(spark, sf)), errors(spark, sf))
+        out = ra.recommendations(x, ra.stage_pareto(spans(spark, sf)), errors(spark, sf))
+        return out.withColumn("value", r("value", 5))
 
     post = """, c AS (SELECT model_name, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1),
       p AS (SELECT *, success + failed AS n, (1.0 + success) / (2.0 + success + failed) AS m, sqrt((1.0 + success) * (1.0 + failed) / (pow(2.0 + success + failed, 2) * (3.0 + success + failed))) AS sd FROM c)
@@ -365,7 +377,7 @@ def _logs(reg) -> None:
     def _(spark, sf):
         return _messages(spark, sf).select("event_id", text.event_level(F.col("message"), F.col("source")).alias("level"))
 
-    fp = """substr(sha256('{"category": "' || event_type || '", "exception_type": "", "level": "' || level || '", "message": "' || left(message, 300) || '", "path": "", "source": "app"}'), 1, 16)"""
+    fp = """substr(sha256('{"category": "' || event_type || '", "exception_type": "", "level": "' || level || '", "message": "' || message || '", "path": "", "source": "app"}'), 1, 16)"""
     recorded = f"WITH e AS (SELECT event_id, ts, event_type, user_id, {masked} AS message, lower('app' || chr(10) || {MESSAGE_SQL}) AS t FROM events), f AS (SELECT *, {LEVEL_SQL} AS level FROM e), g AS (SELECT *, {fp} AS fingerprint FROM f)"
 
     @reg.add("event_fingerprints", f"{recorded} SELECT event_id, level, message, fingerprint FROM g")
@@ -380,7 +392,7 @@ def _logs(reg) -> None:
         out = ev.duplicate_events(ev.record_events(_messages(spark, sf)), 2, order="event_id")
         return out.select("fingerprint", "count", "first_seen", "last_seen", "message", "level")
 
-    @reg.add("error_findings", f"{recorded} SELECT event_id, level, left(message, 500) AS message FROM g WHERE level = 'ERROR'")
+    @reg.add("error_findings", f"{recorded} SELECT event_id, level, message FROM g WHERE level = 'ERROR'")
     def _(spark, sf):
         return ev.error_findings(ev.record_events(_messages(spark, sf))).select("event_id", "level", "message")
 
@@ -391,7 +403,7 @@ def _logs(reg) -> None:
     def _(spark, sf):
         return ev.event_summary(ev.record_events(_messages(spark, sf)), order="event_id")
 
-    @reg.add("normalized_fingerprints", f"SELECT event_id, left('app|' || event_type || '|' || regexp_replace(lower(trim({MESSAGE_SQL})), '\\d+', '<n>', 'g'), 240) AS fp FROM events")
+    @reg.add("normalized_fingerprints", f"SELECT event_id, 'app|' || event_type || '|' || regexp_replace(lower(trim({MESSAGE_SQL})), '\\d+', '<n>', 'g') AS fp FROM events")
     def _(spark, sf):
         m = _messages(spark, sf)
         return m.select("event_id", text.normalized_fingerprint(F.col("source"), F.col("category"), F.lit(None), F.col("message")).alias("fp"))

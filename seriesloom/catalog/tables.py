@@ -282,13 +282,29 @@ def _filters(reg) -> None:
     def _(spark, sf):
         return table(spark, sf, "orders").select("o_custkey", "o_orderstatus").dropDuplicates()
 
-    @reg.add("id_difference", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+    @reg.add("id_difference", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') || '/' || o_custkey AS id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') || '/' || o_custkey NOT IN (SELECT strftime(o_orderdate, '%Y-%m-%d') || '/' || o_custkey FROM orders WHERE o_orderstatus = 'F')")
+    def _(spark, sf):
+        o = table(spark, sf, "orders")
+        ids = o.select(F.concat_ws("/", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_custkey").alias("id"), "o_orderstatus")
+        return writers.only_missing(ids.select("id").distinct(), ids.where("o_orderstatus = 'F'").select("id"), "id")
+
+    @reg.add("id_difference_mixed_types", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT ps FROM (SELECT l_suppkey * 3 AS ps FROM lineitem))")
     def _(spark, sf):
         ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-        return writers.only_missing(ids, table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
+        held = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 3).cast("string").alias("id"))
+        return writers.only_missing(ids, held, "id")
 
 
 def _joins(reg) -> None:
+    # Times cut to the day tie; every twentieth event has no user.
+    tied = "SELECT event_id, date_trunc('day', ts) AS d, CASE WHEN event_id % 20 <> 0 THEN user_id END AS u, event_type FROM events"
+
+    @reg.add("asof_tied_times", f"WITH e AS ({tied}), r AS (SELECT * FROM e WHERE event_type = 'error'), m AS (SELECT e.event_id, max_by(r.event_id, (r.d, r.event_id)) AS error_id FROM e JOIN r ON e.u = r.u AND r.d <= e.d GROUP BY 1) SELECT e.event_id, m.error_id FROM e LEFT JOIN m USING (event_id)")
+    def _(spark, sf):
+        e = table(spark, sf, "events").select("event_id", F.date_trunc("day", "ts").alias("d"), F.when(F.col("event_id") % 20 != 0, F.col("user_id")).alias("u"), "event_type")
+        out = joins.asof_join(e.select("event_id", "d", "u"), e.where("event_type = 'error'"), "u", "d", "d", {"event_id": "error_id"}, right_order=["event_id"])
+        return out.select("event_id", "error_id")
+
     hist = """, hist AS (SELECT loto, unique_id, ts_type, ds, lag(y, 1) OVER (PARTITION BY loto, unique_id, ts_type ORDER BY ds) AS hist_signal FROM series),
       w AS (SELECT unique_id, ds, max(y) AS hist_signal, count(*) AS feat_n FROM series WHERE day(ds) % 2 = 0 GROUP BY 1, 2)"""
 

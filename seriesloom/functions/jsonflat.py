@@ -19,12 +19,12 @@ def is_json_text(c: Column) -> Column:
     return F.coalesce(text.rlike(r"^[\{\[]") & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def json_columns(df: DataFrame, sample: int = 100) -> list[str]:
-    """Text columns in which one of the first ``sample`` rows holds JSON."""
+def json_columns(df: DataFrame) -> list[str]:
+    """Text columns in which some row holds JSON; one aggregate over all rows."""
     text = [f.name for f in df.schema if f.dataType.typeName() == "string"]
     if not text:
         return []
-    row = df.select(*text).limit(sample).agg(*[F.max(is_json_text(F.col(f"`{c}`")).cast("int")).alias(f"c{i}") for i, c in enumerate(text)]).first()
+    row = df.select(*text).agg(*[F.max(is_json_text(F.col(f"`{c}`")).cast("int")).alias(f"c{i}") for i, c in enumerate(text)]).first()
     return [c for i, c in enumerate(text) if row[f"c{i}"]]
 
 
@@ -52,13 +52,14 @@ def _statistics(values: list, extremes: bool) -> dict[str, float]:
     return out | ({"__min__": float(min(values)), "__max__": float(max(values))} if extremes else {})
 
 
-def leaves(value, path: str, form: str, depth: int, most: int, longest: int):
+def leaves(value, path: str, form: str, depth: float, most: int | None, longest: int | None):
     """Yield (key, text, kind) for every scalar and list summary below ``value``.
 
-    The report form summarises lists by length and number statistics. The dashboard form also shows their first ``most``
-    items, walks lists of objects, and keeps mixed lists as JSON.
+    The report form summarises lists by length and number statistics. The dashboard form also shows their items (or the first
+    ``most``), walks lists of objects, and keeps mixed lists as JSON. Below ``depth`` levels a value stays one JSON text.
     """
     if depth < 0:
+        yield f"{path}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False), "STRING"
         return
     if isinstance(value, dict):
         for k, v in value.items():
@@ -77,7 +78,7 @@ def leaves(value, path: str, form: str, depth: int, most: int, longest: int):
         if value and not any(nested):
             yield from ((f"{path}[{i}]", *_leaf(x)) for i, x in enumerate(value[:most]))
             numbers = [x for x in value if x is not None]
-            if len(value) <= longest and numbers and all(isinstance(x, (int, float)) for x in numbers):
+            if (longest is None or len(value) <= longest) and numbers and all(isinstance(x, (int, float)) for x in numbers):
                 yield from ((f"{path}.{n}", repr(x), "DOUBLE") for n, x in _statistics(numbers, True).items())
         elif value and all(isinstance(x, dict) for x in value):
             for i, x in enumerate(value[:most]):
@@ -85,7 +86,7 @@ def leaves(value, path: str, form: str, depth: int, most: int, longest: int):
         elif value:
             yield f"{path}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False), "STRING"
             return
-        if len(value) > most:
+        if most is not None and len(value) > most:
             yield f"{path}.__truncated__", "true", "BOOLEAN"
 
 
@@ -101,17 +102,13 @@ def _documents(texts, form: str):
             yield i, doc
 
 
-def _depth(form: str, given: int | None) -> int:
-    return (4 if form == "report" else 3) if given is None else given
-
-
-def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int = 4, longest: int = 2000) -> DataFrame:
+def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int | None = None, longest: int | None = None) -> DataFrame:
     """(ids, key, value, kind) rows, one per scalar leaf, list statistic or list item.
 
     The nesting is open-ended, which column expressions can only follow by rebuilding the remaining document at every
     level; parsing each text once in an Arrow batch is several times faster. Rows stay where they are: no exchange.
     """
-    depth = _depth(form, max_depth)
+    depth = math.inf if max_depth is None else max_depth
     keep = list(ids)
 
     def expand(batches):
@@ -135,9 +132,9 @@ def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, fo
     return rows.mapInPandas(expand, ", ".join([*types, "key string, value string, kind string"]))
 
 
-def flatten_map(column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int = 4, longest: int = 2000) -> Column:
+def flatten_map(column: str, prefix: str, form: str = "report", max_depth: int | None = None, most: int | None = None, longest: int | None = None) -> Column:
     """The flattened entries of a JSON text as one map, so that the row keeps its place and no regrouping is needed."""
-    depth = _depth(form, max_depth)
+    depth = math.inf if max_depth is None else max_depth
 
     @F.pandas_udf("map<string,string>")
     def build(texts: pd.Series) -> pd.Series:
@@ -149,8 +146,8 @@ def flatten_map(column: str, prefix: str, form: str = "report", max_depth: int |
     return build(F.trim(F.col(f"`{column}`").cast("string")))
 
 
-def flattened_columns(df: DataFrame, columns: Mapping[str, str], form: str = "dashboard", most_keys: int | None = 120, **kw) -> DataFrame:
-    """The frame with one text column per flattened key; per source the ``most_keys`` most frequent keys (None: all)."""
+def flattened_columns(df: DataFrame, columns: Mapping[str, str], form: str = "dashboard", most_keys: int | None = None, **kw) -> DataFrame:
+    """The frame with one text column per flattened key; with ``most_keys`` only for that many of the most frequent ones."""
     out = df
     for column, prefix in columns.items():
         held = flatten_map(column, prefix, form, **kw)

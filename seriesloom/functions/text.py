@@ -63,13 +63,20 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
 
-def stable_fingerprint(df: DataFrame) -> Column:
-    """16 hex digits of the SHA-256 of the event's identifying fields as sorted JSON."""
+def _first(text: Column, longest: int | None) -> Column:
+    return text if longest is None else F.substr(text, F.lit(1), F.lit(longest))
+
+
+def stable_fingerprint(df: DataFrame, longest: int | None = None) -> Column:
+    """16 hex digits of the SHA-256 of the event's identifying fields as sorted JSON.
+
+    The whole message counts; ``longest`` compares with fingerprints that were made of its first characters.
+    """
     fields = {
         "category": _text(df, "category"),
         "exception_type": _text(df, "exception_type"),
         "level": _text(df, "level"),
-        "message": F.substr(_text(df, "message"), F.lit(1), F.lit(300)),
+        "message": _first(_text(df, "message"), longest),
         "path": _text(df, "path"),
         "source": _text(df, "source"),
     }
@@ -82,13 +89,13 @@ def stable_fingerprint(df: DataFrame) -> Column:
     return F.substr(F.sha2(raw, 256), F.lit(1), F.lit(16))
 
 
-def normalized_fingerprint(*parts: Column) -> Column:
-    """The event's non-empty parts in lower case with every number as ``<n>``, cut to 240 characters."""
+def normalized_fingerprint(*parts: Column, longest: int | None = None) -> Column:
+    """The event's non-empty parts in lower case with every number as ``<n>``; on demand its first characters only."""
     cleaned = []
     for p in parts:
         text = F.coalesce(p.cast("string"), F.lit(""))
         cleaned.append(F.when(text != "", F.regexp_replace(F.lower(F.trim(text)), r"\d+", "<n>")))
-    joined = F.substr(F.concat_ws("|", *cleaned), F.lit(1), F.lit(240))
+    joined = _first(F.concat_ws("|", *cleaned), longest)
     return F.when(joined == "", "unknown").otherwise(joined)
 
 

@@ -221,14 +221,14 @@ def spectral_features(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
 DOMAINS = {"statistical": statistical_features, "temporal": temporal_features, "spectral": spectral_features}
 
 
-def domain_feature_names(domains=("statistical", "temporal", "spectral"), most: int = 64) -> list[str]:
+def domain_feature_names(domains=("statistical", "temporal", "spectral"), most: int | None = None) -> list[str]:
     probe = np.arange(8.0)[None, :]
     names = [n for d in domains if d in DOMAINS for n in DOMAINS[d](probe, 1.0)]
-    return names[: max(1, int(most))]
+    return names if most is None else names[: max(1, int(most))]
 
 
 @by_size
-def domain_pack(df: DataFrame, spec: SeriesSpec, rows: int = 32, least_windows: int = 20, fill: str = "ffill", domains=("statistical", "temporal", "spectral"), most: int = 64, fs: float = 1.0, name: str = "tsfel", layout: Layout | None = None) -> DataFrame:
+def domain_pack(df: DataFrame, spec: SeriesSpec, rows: int = 32, least_windows: int = 20, fill: str = "ffill", domains=("statistical", "temporal", "spectral"), most: int | None = None, fs: float = 1.0, name: str = "tsfel", layout: Layout | None = None) -> DataFrame:
     """Statistical, temporal and spectral features of the previous window, computed on Arrow batches of windows."""
     layout = layout or measure(df, spec.keys)
     base = filled_windows(df, spec, rows, least_windows, fill, layout=layout)

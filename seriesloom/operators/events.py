@@ -24,17 +24,14 @@ def duplicate_events(df: DataFrame, min_count: int = 2, order: str = "ts") -> Da
     out = df.withColumn("_fp", fp).groupBy(F.col("_fp").alias("fingerprint")).agg(
         F.count(F.lit(1)).alias("count"), F.min(order).alias("first_seen"), F.max(order).alias("last_seen"), first.alias("_f")
     )
-    out = out.where(F.col("count") >= int(min_count)).select("fingerprint", "count", "first_seen", "last_seen", "_f.*")
-    return out.withColumn("message", F.substr("message", F.lit(1), F.lit(500)))
+    return out.where(F.col("count") >= int(min_count)).select("fingerprint", "count", "first_seen", "last_seen", "_f.*")
 
 
 def error_findings(df: DataFrame) -> DataFrame:
     """Events of level ERROR or CRITICAL, or whose text reads like an error."""
     level = F.upper(F.coalesce(F.col("level"), F.lit("")))
     hit = level.isin("ERROR", "CRITICAL") | (event_level(F.col("message")) == "ERROR")
-    return df.where(hit).withColumns(
-        {"level": F.when(level == "", "ERROR").otherwise(level), "message": F.substr("message", F.lit(1), F.lit(500))}
-    )
+    return df.where(hit).withColumn("level", F.when(level == "", "ERROR").otherwise(level))
 
 
 def event_summary(df: DataFrame, order: str = "ts") -> DataFrame:

@@ -20,6 +20,7 @@ from ..session import rows_per_task
 from .stats import permutation_range
 
 MAX_LEVELS = 500
+MAX_SUBSET_FEATURES = 16
 
 
 def long_features(df: DataFrame, features: Sequence[str], target: str, keep: Sequence[str] = (), fill: bool = True, layout: Layout | None = None) -> DataFrame:
@@ -99,8 +100,13 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "y"
     return cells.groupBy("feature").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ci") * F.col("cj")))).alias("mutual_info"))
 
 
-def attribution_summary(correlation: DataFrame, lag_corr: DataFrame | None = None, information: DataFrame | None = None, permutation: DataFrame | None = None, top_k: int = 5) -> DataFrame:
-    """Top features by the best score source there is: permutation, then information, then absolute correlation."""
+def first_rows(df: DataFrame, most: int | None) -> DataFrame:
+    """All rows, or the first ``most`` where a caller asks for a top list."""
+    return df if most is None else df.limit(max(1, int(most)))
+
+
+def attribution_summary(correlation: DataFrame, lag_corr: DataFrame | None = None, information: DataFrame | None = None, permutation: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
+    """Features by the best score source there is: permutation, then information, then absolute correlation."""
     if permutation is not None:
         scores = permutation.select("feature", F.col("delta_mae_mean").alias("score"), F.lit("permutation").alias("source"))
     elif information is not None:
@@ -114,14 +120,14 @@ def attribution_summary(correlation: DataFrame, lag_corr: DataFrame | None = Non
         out = out.join(best, "feature", "left")
     else:
         out = out.withColumn("best_lag", F.lit(None).cast("int"))
-    return out.orderBy(F.col("score").desc(), "feature").limit(max(1, int(top_k)))
+    return first_rows(out.orderBy(F.col("score").desc(), "feature"), top_k)
 
 
-def what_if(df: DataFrame, features: Sequence[str], prediction: str = "yhat", scenarios: Sequence[Mapping] = (), top: int = 3, pct: float = 0.05) -> DataFrame:
+def what_if(df: DataFrame, features: Sequence[str], prediction: str = "yhat", scenarios: Sequence[Mapping] = (), top: int | None = None, pct: float = 0.05) -> DataFrame:
     """Estimated change of the prediction when a feature moves: slope of the prediction on it times the move.
 
-    A scenario names a feature and ``delta``, ``multiplier`` or ``pct``. Without scenarios the features with the largest
-    variance rise by 5 percent.
+    A scenario names a feature and ``delta``, ``multiplier`` or ``pct``. Without scenarios every feature (or the ``top`` ones
+    of the largest variance) rises by 5 percent.
     """
     long = long_features(df, features, prediction, fill=False)
     stats = long.groupBy("feature").agg(
@@ -136,7 +142,7 @@ def what_if(df: DataFrame, features: Sequence[str], prediction: str = "yhat", sc
         table = df.sparkSession.createDataFrame(rows, "name string, feature string, _delta double, _mult double, _pct double")
         stats = stats.join(F.broadcast(table), "feature")
     else:
-        stats = stats.orderBy(F.col("_var").desc(), "feature").limit(top).withColumns(
+        stats = first_rows(stats.orderBy(F.col("_var").desc(), "feature"), top).withColumns(
             {
                 "name": F.concat("feature", F.lit(f"+{pct:.0%}")),
                 "_delta": F.lit(None).cast("double"),
@@ -191,8 +197,11 @@ def permutation_importance(df: DataFrame, features: Sequence[str], predict: Call
     )
 
 
-def parameter_impact(df: DataFrame, params: Sequence[str], target: str, row_id: str, alpha: float = 0.05, n_iter: int = 600, max_values: int = 20, numeric: Sequence[str] | None = None) -> DataFrame:
-    """Per parameter with 2..20 values: best and worst value by mean target, effect, permutation p-value, correlation."""
+def parameter_impact(df: DataFrame, params: Sequence[str], target: str, row_id: str, alpha: float = 0.05, n_iter: int = 600, max_values: int | None = None, numeric: Sequence[str] | None = None) -> DataFrame:
+    """Per parameter with two values or more: best and worst value by mean target, effect, permutation p-value, correlation.
+
+    Where ``max_values`` is given, parameters of more values keep their row, without a test.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
     numeric = [p for p in params if isinstance(kinds[p], T.NumericType)] if numeric is None else list(numeric)
     pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value"), (F.col(p).cast("double") if p in numeric else F.lit(None).cast("double")).alias("num")) for p in params])
@@ -214,8 +223,9 @@ def parameter_impact(df: DataFrame, params: Sequence[str], target: str, row_id:
         F.max("m").alias("worst_mean"),
         F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("pearson_corr_numeric"),
     )
-    table = table.where((F.col("groups") >= 2) & (F.col("groups") <= max_values)).withColumn("effect_abs", F.abs(F.col("worst_mean") - F.col("best_mean")))
-    fit = long.join(F.broadcast(table.select("parameter")), "parameter", "left_semi")
+    table = table.where(F.col("groups") >= 2).withColumn("effect_abs", F.abs(F.col("worst_mean") - F.col("best_mean")))
+    tested = table if max_values is None else table.where(F.col("groups") <= max_values)
+    fit = long.join(F.broadcast(tested.select("parameter")), "parameter", "left_semi")
     tests = permutation_range(fit, "value", "y", "_id", n_iter=n_iter, by=["parameter"])
     out = table.join(tests.select("parameter", F.col("pvalue").alias("permutation_pvalue")), "parameter", "left")
     return out.withColumn("is_significant", F.coalesce(F.col("permutation_pvalue") < alpha, F.lit(False)))
@@ -268,11 +278,11 @@ def r_squared(g: np.ndarray, n: int, target: int, on: Sequence[int]) -> float:
 
 
 def shapley_r2(df: DataFrame, target: str, features: Sequence[str], categories: Sequence[str] = (), orders: int = 60, seed: int = 42) -> DataFrame:
-    """Share of R2 per feature, averaged over sampled orders of at most 8 features.
+    """Share of R2 per feature, averaged over sampled orders of the features.
 
     One pass sums the cross products of all columns; every subset's regression is then solved from them.
     """
-    names = list(features)[:8]
+    names = list(features)
     numeric = [c for c in names if c not in categories]
     rows = df.where(F.col(target).isNotNull())
     design, cols = _design(rows, {c: F.col(c) for c in numeric}, [c for c in names if c in categories])
@@ -305,8 +315,10 @@ def shapley_r2(df: DataFrame, target: str, features: Sequence[str], categories:
 
 
 def subset_r2(df: DataFrame, target: str, features: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
-    """R2 of every non-empty subset of at most 8 features, from one pass over the data."""
-    names = list(features)[:8]
+    """R2 of every non-empty subset of the features, from one pass over the data; there are 2**n - 1 of them."""
+    names = list(features)
+    if len(names) > MAX_SUBSET_FEATURES:
+        raise ValueError(f"subsets of more than {MAX_SUBSET_FEATURES} features; use shapley_r2")
     rows = df.where(F.col(target).isNotNull())
     design, cols = _design(rows, {c: F.col(c) for c in names if c not in categories}, [c for c in names if c in categories])
     first = gram(design.withColumn("_y", F.col(target).cast("double")), [], [*cols, "_y"]).first()
@@ -348,7 +360,7 @@ def proxy_effect(df: DataFrame, target: str, treatment: str, numeric: Sequence[s
     return df.sparkSession.createDataFrame([(True, n, treatment, b, se, b / se, b - 1.96 * se, b + 1.96 * se)], schema)
 
 
-def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric: Sequence[str], categories: Sequence[str], top: int = 10) -> DataFrame:
+def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric: Sequence[str], categories: Sequence[str], top: int | None = None) -> DataFrame:
     """Standardised coefficient of each numeric treatment with controls and HC3 errors, strongest first.
 
     Two passes per treatment: cross products for the coefficients, then leverages and squared residuals for the errors.
@@ -360,7 +372,7 @@ def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric:
         own = [c for c in numeric if c != t]
         rows = df.where(F.col(target).isNotNull() & F.col(t).isNotNull())
         s = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.approx_count_distinct(t).alias("k"), F.avg(target).alias("ym"), F.stddev_samp(target).alias("ys"),
+            F.count(F.lit(1)).alias("n"), F.count_distinct(t).alias("k"), F.avg(target).alias("ym"), F.stddev_samp(target).alias("ys"),
             F.avg(t).alias("tm"), F.stddev_samp(t).alias("ts"),
         ).first()
         if s["n"] < 30 or s["k"] < 4 or not s["ys"] or not s["ts"]:
@@ -383,7 +395,7 @@ def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric:
         out.append((t, b, pv, b - 1.959963984540054 * se, b + 1.959963984540054 * se, n, p - 2, bool(pv is not None and pv < 0.05), "positive" if b >= 0 else "negative", abs(b)))
     schema = "treatment string, std_coef double, pvalue double, ci_low_95 double, ci_high_95 double, n long, controls int, significant boolean, direction string, abs_std_coef double"
     table = df.sparkSession.createDataFrame(out, schema)
-    return table.orderBy(F.col("significant").desc(), F.col("abs_std_coef").desc()).limit(top)
+    return first_rows(table.orderBy(F.col("significant").desc(), F.col("abs_std_coef").desc()), top)
 
 
 def _hc3(design: DataFrame, cols: Sequence[str], beta: np.ndarray, inv: np.ndarray) -> DataFrame:
@@ -402,7 +414,7 @@ def _hc3(design: DataFrame, cols: Sequence[str], beta: np.ndarray, inv: np.ndarr
     return picked.mapInPandas(scale, ", ".join(f"`{c}` double" for c in names))
 
 
-def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str], row_id: str, trees: int = 400, repeats: int = 24, top: int = 25, seed: int = 42, least: int = 12) -> DataFrame:
+def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str], row_id: str, trees: int = 400, repeats: int = 24, top: int | None = None, seed: int = 42, least: int = 12) -> DataFrame:
     """Permutation importance (loss of R2 on held-out rows) under a random forest, and each column's share of it."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -440,9 +452,9 @@ def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], cate
     for p in parts[1:]:
         rows_ = rows_.unionByName(p)
     table = rows_.groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"))
-    table = table.orderBy(F.col("importance_mean").desc(), "feature").limit(top)
+    table = first_rows(table.orderBy(F.col("importance_mean").desc(), "feature"), top)
     gain = F.greatest(F.col("importance_mean"), F.lit(0.0))
-    total = F.sum(gain).over(Window.partitionBy(F.lit(1)))  # at most ``top`` rows
+    total = F.sum(gain).over(Window.partitionBy(F.lit(1)))  # one row a column
     return table.withColumns(
         {
             "contribution_rate": F.when(total > 0, gain / total).otherwise(0.0),

@@ -15,16 +15,16 @@ from .forecast import get_model, recent_values
 from .metrics import metric_columns
 from .prep import is_blank, is_success
 
-# The checks of a training combination in the order they apply, with their remedies.
+# The codes of the checks. Each is given with the parameters that decide it.
 REASONS = {
-    "missing_unique_id": "choose a unique_id for this training unit",
-    "backend_search_mismatch": "choose a search algorithm of the backend",
-    "model_backend_requirement": "use the backend the model needs",
-    "missing_dataset_table": "name a dataset table",
-    "missing_dataset_sql": "give a dataset query",
-    "missing_dataset_path": "give a dataset path",
-    "fit_val_size_too_small": "raise fit_val_size to the horizon",
-    "duplicate_combination": "remove repeated axis values",
+    "missing_unique_id": ("group_mode", "unique_id"),
+    "backend_search_mismatch": ("backend", "search_alg"),
+    "model_backend_requirement": ("model", "backend"),
+    "missing_dataset_table": ("dataset_input_method", "dataset_table"),
+    "missing_dataset_sql": ("dataset_input_method", "dataset_sql"),
+    "missing_dataset_path": ("dataset_input_method", "dataset_path"),
+    "fit_val_size_too_small": ("horizon", "fit_val_size"),
+    "duplicate_combination": (),
 }
 SEARCH_BY_BACKEND = {
     "optuna": ("RandomSampler", "TPESampler", "CmaEsSampler", "NSGAIISampler"),
@@ -125,23 +125,26 @@ def evaluate_combinations(grid: DataFrame, defaults: Mapping | None = None) -> D
     }
     reason = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in checks.items()])
     checked = grid.withColumn("reason", reason)
-    first = Window.partitionBy("params").orderBy("task_order")
-    repeat = F.col("reason").isNull() & (F.row_number().over(first) > 1)
-    return checked.withColumn("reason", F.when(repeat, "duplicate_combination").otherwise(F.col("reason")))
+    # the first task of each parameter text, combined before the exchange; every later one repeats it
+    first = grid.where(F.col("params").isNotNull()).groupBy("params").agg(F.min("task_order").alias("_first"))
+    repeat = F.col("reason").isNull() & (F.col("task_order") > F.col("_first"))
+    out = checked.join(first, "params", "left").withColumn("reason", F.when(repeat, "duplicate_combination").otherwise(F.col("reason")))
+    return out.select(*grid.columns, "reason")
 
 
 def reason_counts(checked: DataFrame) -> DataFrame:
-    """How many combinations each reason rules out, with its remedy, most frequent first."""
-    remedy = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    """How many combinations each reason rules out, with the parameters that decide it, most frequent first."""
+    decided = F.create_map(*[x for name, by in REASONS.items() for x in (F.lit(name), F.lit(", ".join(by)))])
     out = checked.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
-    return out.withColumn("suggestion", F.try_element_at(remedy, F.col("reason"))).orderBy(F.col("count").desc(), "reason")
+    return out.withColumn("parameters", F.try_element_at(decided, F.col("reason"))).orderBy(F.col("count").desc(), "reason")
 
 
 def combo_signature(model: Column, horizon: Column, params: Column) -> Column:
     """SHA-1 of the canonical JSON of model, horizon and parameters. ``params`` is JSON text with sorted keys."""
+    named = F.to_json(F.struct(F.trim(F.coalesce(model, F.lit(""))).alias("v")))
     raw = F.concat(
-        F.lit('{"horizon": '), F.greatest(F.coalesce(horizon, F.lit(1)), F.lit(1)).cast("string"), F.lit(', "model_name": "'),
-        F.trim(F.coalesce(model, F.lit(""))), F.lit('", "params_json": '), params, F.lit("}"),
+        F.lit('{"horizon": '), F.greatest(F.coalesce(horizon, F.lit(1)), F.lit(1)).cast("string"), F.lit(', "model_name": '),
+        F.substr(named, F.lit(6), F.length(named) - 6), F.lit(', "params_json": '), params, F.lit("}"),
     )
     return F.sha1(raw)
 

@@ -99,16 +99,17 @@ def asof_join(
     """Give each left row the latest right row of the same key with ``right_time <= left_time``.
 
     Both sides are laid into one ordered sequence per key and the last right row is carried forward: one exchange, no
-    inequality join, and a key of any size is split into blocks. ``take`` maps right columns to output names.
+    inequality join, and a key of any size is split into blocks. ``take`` maps right columns to output names. Of right rows at
+    one time the last by ``right_order`` counts, compared in the columns' own types. A NULL key or time matches nothing.
     """
     fields = [F.col(c).alias(n) for c, n in take.items()]
-    tie = F.struct(*[F.col(c).cast("string").alias(f"o{i}") for i, c in enumerate(right_order)]) if right_order else None
+    tie = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(right_order)]) if right_order else None
     row = F.struct(*[F.col(c) for c in left.columns])
     left_side = left.select(
         F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), row.alias("_row")
     )
     hit = F.struct(*fields)
-    right_side = right.where(F.col(right_time).isNotNull()).select(
+    right_side = right.where(F.col(right_time).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), hit.alias("_hit"), *([tie.alias("_tie")] if tie is not None else [])
     )
     both = right_side.unionByName(left_side, allowMissingColumns=True)

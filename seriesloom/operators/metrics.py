@@ -66,7 +66,7 @@ def step_accuracy(df: DataFrame, spec: SeriesSpec, p: str = "yhat", size: int =
     return out.withColumn("step_label", F.when(a == b, a).otherwise(F.concat_ws("-", a, b)))
 
 
-def point_summary(df: DataFrame, p: str = "yhat", by: Sequence[str] = (), order: Sequence[str] = ("ds",), first: int = 20) -> DataFrame:
+def point_summary(df: DataFrame, p: str = "yhat", by: Sequence[str] = (), order: Sequence[str] = ("ds",), *, first: int) -> DataFrame:
     """Count, mean, std and the first ``first`` values per group; only that many rows per group are gathered."""
     from pyspark.sql import Window
 
@@ -75,8 +75,9 @@ def point_summary(df: DataFrame, p: str = "yhat", by: Sequence[str] = (), order:
         F.avg(p).alias("mean"),
         F.when(F.count(p) > 1, F.stddev_samp(p)).otherwise(F.lit(0.0)).alias("std"),
     )
+    listed = df if by else df.orderBy(*order).limit(first)  # without keys a window would bring all rows into one task
     w = Window.partitionBy(*by).orderBy(*order)
-    head = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
+    head = listed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
     lists = head.groupBy(*by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_rn", F.col(p).alias("v")))), lambda s: s["v"]).alias("sample")
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonflat import flattened_columns
+from ..session import durable
 from .explain import attribution_summary, correlations, lag_correlations, what_if
 from .metrics import conformal_interval, interval_summary, point_summary, residual_summary
 from .stats import ljung_box
@@ -145,13 +146,13 @@ def reflection_summary(rows: DataFrame) -> DataFrame:
 # --- drill-down ------------------------------------------------------------------------------------------------------------
 
 
-def drilldown(results: DataFrame, target: str, ranked: Sequence[str], max_depth: int = 3, least: int = 5, children: int = 8) -> DataFrame:
+def drilldown(results: DataFrame, target: str, ranked: Sequence[str], max_depth: int = 3, least: int = 5, children: int | None = None) -> DataFrame:
     """Tree of groups: every node splits by the first ranked parameter with at least two large enough values.
 
     Level by level: the rows carry the path of their node, one aggregate describes all nodes of a level and one more counts
-    all candidate splits, so the number of jobs depends on the depth and never on the number of nodes.
+    all candidate splits, so the number of jobs depends on the depth and never on the number of nodes. ``children`` keeps only
+    the largest branches of a node.
     """
-    spark = results.sparkSession
     rows = results.select(*[quoted(p).cast("string").alias(f"_p{i}") for i, p in enumerate(ranked)], quoted(target).try_cast("double").alias("_y"))
     rows = rows.withColumn("node", F.lit("root"))
     found = None
@@ -177,15 +178,14 @@ def drilldown(results: DataFrame, target: str, ranked: Sequence[str], max_depth:
         names = F.array(*[F.lit(p) for p in ranked])
         described = level.join(splits, "node", "left").withColumn("split_parameter", F.get(names, F.col("i"))).drop("i")
         found = described if found is None else found.unionByName(described)
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("node").orderBy(F.col("c").desc(), "v")
-        chosen = counts.join(splits, ["node", "i"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= children)
-        # The next level's list of nodes: at most ``children`` per node, a report-sized table.
-        listing = [tuple(r) for r in chosen.select("node", "i", "v").collect()]
-        if not listing:
+        chosen = counts.join(splits, ["node", "i"])
+        if children is not None:
+            w = Window.partitionBy("node").orderBy(F.col("c").desc(), "v")
+            chosen = chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= children)
+        # the next level's nodes stay a table; the optimizer broadcasts it while it is small
+        table = durable(chosen.select("node", F.col("i").alias("_i"), F.col("v").alias("_v")))
+        if table.isEmpty():
             break
-        table = F.broadcast(spark.createDataFrame(listing, "node string, _i int, _v string"))
         value = F.get(F.array(*[F.col(f"_p{i}") for i in range(len(ranked))]), F.col("_i"))
         label = F.concat("node", F.lit("/"), F.get(names, F.col("_i")), F.lit("="), F.col("_v"))
         rows = rows.join(table, "node").where(value == F.col("_v")).withColumn("node", label).drop("_i", "_v")
@@ -243,11 +243,11 @@ def key_insights(results: DataFrame, target: str, impact: DataFrame | None = Non
     return out.where(F.col("subject").isNotNull())
 
 
-def forecast_contract(rows: DataFrame, y: str, p: str, features: Sequence[str], keys: Sequence[str], order: Sequence[str], coverage: float = 0.9, top_k: int = 5, lags: int = 10) -> DataFrame:
+def forecast_contract(rows: DataFrame, y: str, p: str, features: Sequence[str], keys: Sequence[str], order: Sequence[str], coverage: float = 0.9, top_k: int | None = None, lags: int = 10, *, points: int) -> DataFrame:
     """Everything about one set of forecasts in a single record: points, interval, attribution, what-if, residuals."""
     full = [*keys, *[c for c in order if c not in keys]]
     known = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    point = point_summary(known, p, order=full)
+    point = point_summary(known, p, order=full, first=points)
     interval = interval_summary(conformal_interval(known, y, p, coverage), y)
     residual = residual_summary(known, y, p)
     lb = ljung_box(known.withColumn("_res", F.col(y) - F.col(p)), [], full, "_res", lags, least=max(12, lags + 2), clip=False)

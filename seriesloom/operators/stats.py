@@ -219,11 +219,12 @@ def granger(df: DataFrame, spec: SeriesSpec, features: Sequence[str], max_lag: i
     return grams.groupBy("feature").applyInPandas(test, "feature string, lag int, nobs long, f_stat double, pvalue double")
 
 
-def granger_screening(df: DataFrame, spec: SeriesSpec, features: Sequence[str], max_lag: int = 8, top_k: int = 20) -> DataFrame:
+def granger_screening(df: DataFrame, spec: SeriesSpec, features: Sequence[str], max_lag: int = 8, top_k: int | None = None) -> DataFrame:
     """Features by their smallest p-value and the lag it occurs at."""
     tests = granger(df, spec, features, max_lag)
     best = tests.groupBy("feature").agg(F.min("pvalue").alias("min_pvalue"), F.min_by("lag", F.struct("pvalue", "lag")).alias("best_lag"))
-    return best.orderBy("min_pvalue", "feature").limit(top_k)
+    ranked = best.orderBy("min_pvalue", "feature")
+    return ranked if top_k is None else ranked.limit(top_k)
 
 
 # --- forecast comparison -------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ DEFAULT_ROWS_PER_TASK = 4_000_000
 
 
 def build_session(app: str = "seriesloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators expect; cluster settings win where given."""
+    """A session with the settings the operators expect. Parallelism and memory are left to the cluster, or to `conf`."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -21,7 +21,6 @@ def build_session(app: str = "seriesloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -37,10 +36,12 @@ def rows_per_task(spark: SparkSession) -> int:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage on reliable storage: the folder the session names, else one of our own."""
+    """Cut the lineage on storage that all executors share: the folder the session names. Only a local session may go without."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seriesloom-ckpt-"))
     return df.checkpoint()

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..session import durable
 from .writers import write_table
 
 _PLACEHOLDER = re.compile(r"\{\{\s*source\s*\}\}")
@@ -36,9 +37,7 @@ def run_table(source: DataFrame, transform_sql: str | None = None, partitions: i
     if partitions or by:
         out = out.repartition(*([partitions] if partitions else []), *by)
     if len(sinks) > 1:
-        out = out.persist()
+        out = durable(out)
     for s in sinks:
         write_table(out, s.path, s.mode, s.fmt, s.partition_by)
-    if len(sinks) > 1:
-        out.unpersist()
     return out

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prep import keep_last
+from ..session import durable
 
 # Write modes.
 MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
@@ -35,15 +35,17 @@ def align(df: DataFrame, target: T.StructType) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", partition_by: Sequence[str] = (), max_rows_per_file: int = 0) -> None:
+    """Write or append a table. CSV tables carry a header; an append is shaped to the table that is there."""
     how = write_mode(mode)
+    options = {"header": "true"} if fmt == "csv" else {}
     if how == "append":
         spark = df.sparkSession
         try:
-            df = align(df, spark.read.format(fmt).load(path).schema)
+            df = align(df, spark.read.options(**options).format(fmt).load(path).schema)
         except Exception as e:  # first append creates the table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    w = df.write.mode(how)
+    w = df.write.mode(how).options(**options)
     if max_rows_per_file:
         w = w.option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
@@ -52,27 +54,26 @@ def write_table(df: DataFrame, path: str, mode: str = "append", fmt: str = "parq
 
 
 def write_outputs(df: DataFrame, *, table_path: str, csv_path: str | None = None, parquet_path: str | None = None, spark_path: str | None = None, spark_format: str = "parquet", mode: str = "replace", fast: bool = False) -> list[str]:
-    """The unified table and, unless ``fast``, its copies. The frame is computed once for all sinks."""
+    """The unified table and, unless ``fast``, its copies. For several sinks the frame is checkpointed once."""
     targets = [("table", table_path, "parquet")]
     if not fast:
         extra = [("csv", csv_path, "csv"), ("parquet", parquet_path, "parquet"), ("spark", spark_path, spark_format)]
         targets += [t for t in extra if t[1]]
-    held = df.persist(StorageLevel.DISK_ONLY) if len(targets) > 1 else df
-    try:
-        for _, path, fmt in targets:
-            w = held.write.mode(write_mode(mode)).format(fmt)
-            (w.option("header", "true") if fmt == "csv" else w).save(path)
-    finally:
-        if held is not df:
-            held.unpersist()
+    held = durable(df) if len(targets) > 1 else df
+    for _, path, fmt in targets:
+        w = held.write.mode(write_mode(mode)).format(fmt)
+        (w.option("header", "true") if fmt == "csv" else w).save(path)
     return [name for name, _, _ in targets]
 
 
 def only_missing(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
-    """Rows whose id the target does not hold yet. Apply after windows are built, so histories stay whole."""
+    """Rows whose id the target does not hold yet, compared in the type of the new rows' id.
+
+    Apply after windows are built, so histories stay whole.
+    """
     if target is None:
         return df
-    ids = target.select(F.col(key).try_cast("bigint").alias(key)).where(F.col(key).isNotNull())
+    ids = target.select(F.col(key).try_cast(df.schema[key].dataType).alias(key)).where(F.col(key).isNotNull())
     return df.join(ids, key, "left_anti")
 
 
