@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import quoted
+from .workspace import work_folder, written
 
 BITS = 5
 DIMENSIONS = 3
@@ -50,19 +51,14 @@ def hilbert_index(cells: DataFrame, names: list[str], bits: int = BITS) -> DataF
         return F.array(first, *(other(j) for j in range(1, n)))
 
     turned = F.aggregate(steps, F.array(*(F.col(c).cast("int") for c in names)), step)
-    out = cells.withColumn("__x", turned)
-    for j in range(1, n):  # Gray code
-        out = out.withColumn("__x", F.array(*(F.col("__x")[i] if i != j else F.col("__x")[j].bitwiseXOR(F.col("__x")[j - 1]) for i in range(n))))
-    parity = F.lit(0)
-    for q in (1 << b for b in range(bits - 1, 0, -1)):
-        parity = parity.bitwiseXOR(F.when(F.col("__x")[n - 1].bitwiseAND(F.lit(q)) != 0, F.lit(q - 1)).otherwise(F.lit(0)))
-    out = out.withColumn("__t", parity)
-    place = F.lit(0).cast("bigint")
-    for b in range(bits - 1, -1, -1):
-        for i in range(n):
-            bit = F.shiftright(F.col("__x")[i].bitwiseXOR(F.col("__t")), b).bitwiseAND(F.lit(1))
-            place = place * 2 + bit
-    return out.withColumn("curve", place).drop("__x", "__t")
+    # Gray code: each coordinate takes in the ones before it
+    gray = F.transform("__x", lambda _, j: F.aggregate(F.slice("__x", 1, j + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+    levels = F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1)))
+    flip = F.aggregate(levels, F.lit(0), lambda t, q: F.when(F.element_at("__g", n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+    depth = F.array(*(F.lit(b) for b in range(bits - 1, -1, -1)))
+    place = F.aggregate(depth, F.lit(0), lambda p, b: F.aggregate("__g", p, lambda a, v: a * 2 + v.bitwiseXOR(F.col("__t")).bitwiseAND(F.call_function("shiftleft", F.lit(1), b)).cast("boolean").cast("int")))
+    out = cells.withColumn("__x", turned).withColumn("__g", gray).withColumn("__t", flip)
+    return out.withColumn("curve", place.cast("bigint")).drop("__x", "__g", "__t")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -98,13 +94,14 @@ def points(rows: DataFrame, bits: int = BITS) -> DataFrame:
 def assign(rows: DataFrame, shards: int = SHARDS, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds `curve`, `shard` and `slot` to the measured rows: runs of the curve order whose row counts differ by one at most.
 
-    `rows` is read several times and should be a written table.
+    `rows` is read several times and should be a written table. The points and the cells are written too.
     """
+    folder = work_folder(rows.sparkSession)
     total = rows.count()
-    located = points(rows, bits)
+    located = written(points(rows, bits), folder, "points")
     names = [f"x{i}" for i in range(DIMENSIONS)]
     cells = hilbert_index(located.groupBy(*names).agg(F.count("*").alias("__rows")), names, bits)
-    cells = cells.select(*names, "curve", F.ceil(F.col("__rows") / bucket_rows).alias("__buckets"))
+    cells = written(cells.select(*names, "curve", F.ceil(F.col("__rows") / bucket_rows).alias("__buckets")), folder, "cells")
     # at most 2**(bits * dimensions) cells of a few numbers each
     placed = located.join(F.broadcast(cells), names).withColumn("__bucket", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") * F.col("__buckets") / F.lit(1 << 32)))
     counts = placed.groupBy("curve", "__bucket").agg(F.count("*").alias("__rows"))
