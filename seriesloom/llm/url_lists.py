@@ -53,12 +53,10 @@ def judge(captures: DataFrame, log: DataFrame, url_col: str = "url", day_col: st
     asked = rows.where(F.col("host").isNotNull() & F.col("__day").isNotNull()).select("host", "__day").distinct()
     parts = asked.select(F.col("host").alias("a_host"), F.col("__day").alias("a_day"), F.explode(domains(F.col("host"))).alias("a_domain"))
     valid = intervals(log)
-    # domains that no list names go before anything is paired
-    named = parts.join(valid.select(F.col("entry").alias("a_domain")).distinct(), "a_domain", "left_semi")
-    days = named.select(F.col("a_domain").alias("entry"), F.col("a_day").alias("day")).distinct()
+    days = parts.select(F.col("a_domain").alias("entry"), F.col("a_day").alias("day")).distinct()
     inside = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     active = days.join(valid, "entry").where(inside).groupBy("entry", "day").agg(F.sort_array(F.collect_set("list")).alias("in_lists"))
-    hit = named.join(active, (F.col("a_domain") == F.col("entry")) & (F.col("a_day") == F.col("day")))
+    hit = parts.join(active, (F.col("a_domain") == F.col("entry")) & (F.col("a_day") == F.col("day")))
     verdict = hit.groupBy("a_host", "a_day").agg(
         F.sum(F.size("in_lists")).alias("n"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("in_lists")))), ",").alias("l"), F.max_by("entry", F.length("entry")).alias("e")
     )
