@@ -515,7 +515,16 @@ def _grids(reg) -> None:
         out = forecast.holdout(series(spark, sf), SERIES, "naive", 14)
         return out.select(*KEYS, day("ds").alias("ds"), r("y").alias("y"), r("yhat").alias("yhat"))
 
-    @reg.add("grid_over_series")
+    @reg.add(
+        "grid_over_series",
+        f"""WITH {SERIES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY loto, unique_id ORDER BY ds DESC) AS rn FROM series),
+        t AS (SELECT * FROM (VALUES (2, 'window_mean', 7), (3, 'window_mean', 14), (4, 'smoothing', 7), (5, 'smoothing', 14)) v(k, m, w)),
+        g AS (SELECT loto, unique_id, ts_type, k, m, sum(y * CASE WHEN m = 'window_mean' THEN 1.0 / w WHEN rn - 14 = w THEN pow(0.7, w - 1) ELSE 0.3 * pow(0.7, rn - 15) END) AS yhat FROM n, t WHERE rn BETWEEN 15 AND 14 + w GROUP BY ALL),
+        p AS (SELECT g.*, n.y FROM g JOIN n USING (loto, unique_id, ts_type) WHERE rn <= 14),
+        b AS (SELECT * FROM (VALUES (0, 'naive', 'ValueError: unknown parameters for naive: [''window'']'), (1, 'naive', 'ValueError: unknown parameters for naive: [''window'']'), (6, 'nosuch', 'ValueError: unknown model: nosuch'), (7, 'nosuch', 'ValueError: unknown model: nosuch')) v(k, m, e))
+        SELECT loto, unique_id, ts_type, CAST(k AS BIGINT) AS task_order, m AS model_name, 'success' AS status, NULL::VARCHAR AS error_message, count(*) AS n, {METRIC_SQL} FROM p GROUP BY loto, unique_id, ts_type, k, m
+        UNION ALL SELECT loto, unique_id, ts_type, k, m, 'failed', e, 0, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT loto, unique_id, ts_type FROM series), b""",
+    )
     def _(spark, sf):
         space = {"model": ["naive", "window_mean", "smoothing", "nosuch"], "window": [7, 14]}
         out = grid.run_grid(series(spark, sf), SERIES, grid.expand_grid(spark, space), 14)

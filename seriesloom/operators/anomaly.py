@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -244,17 +245,22 @@ def _average_path(n):
 
 
 def forest_profile(values: np.ndarray, trees: int, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Isolation forest of one variable, every tree on ``sample`` of its values."""
+    x = np.asarray(values, dtype=float)
+    rng = np.random.default_rng(seed)
+    return grown(np.stack([rng.choice(x, min(sample, x.size), replace=False) for _ in range(trees)]), rng)
+
+
+def grown(picks: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Isolation forest of one variable as a step function: (start of each step, anomaly score on it).
 
-    In one dimension every leaf is an interval, so the mean path length over the trees is a step function of the
-    value. All trees grow together, one depth at a time.
+    ``picks`` has a row of values for every tree. In one dimension every leaf is an interval, so the mean path length over the
+    trees is a step function of the value. All trees grow together, one depth at a time.
     """
-    x = np.asarray(values, dtype=float)
-    rng = np.random.default_rng(seed)
-    size = min(sample, x.size)
-    lo, hi = x.min(), x.max()
+    trees, size = picks.shape
+    picks = np.sort(picks, axis=1)
+    lo, hi = picks.min(), picks.max()
     span = hi - lo if hi > lo else 1.0
-    picks = np.sort(np.stack([rng.choice(x, size, replace=False) for _ in range(trees)]), axis=1)
     unit = (picks - lo) / span
     flat = (unit * 0.5 + np.arange(trees)[:, None]).ravel()
     tree, a, b = np.arange(trees), np.zeros(trees, int), np.full(trees, size)
@@ -288,23 +294,39 @@ def forest_profile(values: np.ndarray, trees: int, sample: int, seed: int) -> tu
 
 @by_size
 def isolation_scores(df: DataFrame, spec: SeriesSpec, trees: int = 100, sample: int = 512, contamination: float = 0.1, least: int = 30, seed: int = 42, causal: bool = False, layout: Layout | None = None) -> DataFrame:
-    """Isolation forest per series, grown on a bounded hash-ordered sample of at most 1000 values.
+    """Isolation forest per series; every tree draws ``sample`` of all the series' values by a hash of its own.
 
-    The forest becomes a table of steps (series, start, score); rows find their step by an as-of match in value order.
+    A row says by itself which trees may draw it (its hash for the tree lies below a border a little above the share wanted), so
+    the draws are one pass and a rank within each tree; a series of ``sample`` values or fewer gives every tree all of them. The forest becomes a table of steps (series, start, score); rows find their step by an as-of match in value order.
     """
     from pyspark.sql import Window
 
     y = F.col(spec.target_col)
     layout = layout or measure(df, spec.keys)
     seen, unseen = df.where(y.isNotNull()), df.where(y.isNull())
-    pick = Window.partitionBy(*spec.keys).orderBy(F.xxhash64(F.lit(seed), *spec.keys, *spec.order), *spec.order)
-    pool = seen.select(*spec.keys, *spec.order, y).withColumn("_rn", F.row_number().over(pick)).where("_rn <= 1000")
     keys = spec.keys
-    target = spec.target_col
+    values = seen.select(*keys, *spec.order, y.cast("double").alias("_v"))
+    counts = values.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    sized = values.join(counts, same).select(*keys, *spec.order, "_v", "_n")
+    border = (sample + 6.0 * math.sqrt(sample)) / F.col("_n") * (1 << 31)
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *spec.keys, *spec.order), F.lit(1 << 31))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("t"), draw(t).alias("u")))
+    large = sized.where(F.col("_n") > sample).select(*keys, *spec.order, "_v", F.explode(F.filter(drawn, lambda d: d["u"] < border)).alias("_d"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_d.t").orderBy("_d.u", *spec.order))
+    large = large.withColumn("_rn", nth).where(F.col("_rn") <= sample).select(*keys, F.col("_d.t").alias("_tree"), "_v")
+    pool = large.unionByName(sized.where(F.col("_n") <= sample).select(*keys, F.lit(-1).alias("_tree"), "_v"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_rn")
-        starts, scores = forest_profile(ordered[target].to_numpy(), trees, sample, seed)
+        rng = np.random.default_rng(seed)
+        ordered = pdf.sort_values(["_tree", "_v"])
+        if ordered["_tree"].iloc[0] < 0:
+            picks = np.tile(ordered["_v"].to_numpy(), (trees, 1))
+        else:
+            each = [g.to_numpy() for _, g in ordered.groupby("_tree")["_v"]]
+            size = min(map(len, each))
+            picks = np.stack([rng.permutation(g)[:size] for g in each])
+        starts, scores = grown(picks, rng)
         out = pd.DataFrame({"_start": starts, "_score": scores})
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])

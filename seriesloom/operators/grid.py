@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
 from ..spec import SeriesSpec
 from .forecast import get_model, recent_values
 from .metrics import metric_columns
@@ -175,42 +176,63 @@ def seeded_rounds(tasks: DataFrame, depth: int, seed: int = 1, step: int = 1) ->
     return tasks.withColumn("depth", rounds).withColumn("seed", F.lit(seed) + F.col("depth") * F.lit(step))
 
 
-def run_grid(df: DataFrame, spec: SeriesSpec, tasks: DataFrame, h: int, model: str | None = None) -> DataFrame:
+def pending_tasks(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """The tasks without a successful result: where an interrupted grid goes on."""
+    done = results.where(is_success(F.col("status"))).select("task_order").distinct()
+    return tasks.join(done, "task_order", "left_anti")
+
+
+def _task_reach(tasks: DataFrame, h: int, model: str | None) -> int:
+    """How many past values the longest-looking task needs; tasks that can't be understood need none."""
+
+    def look(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["params"]:
+                p = json.loads(text)
+                try:
+                    m = get_model(str(p.pop("model", model) or "naive"))
+                    out.append(m.reach(m.validate(p), h))
+                except ValueError:
+                    out.append(1)
+            yield pd.DataFrame({"reach": out})
+
+    return max(1, tasks.select("params").mapInPandas(look, "reach long").agg(F.max("reach")).first()[0] or 1)
+
+
+def run_grid(df: DataFrame, spec: SeriesSpec, tasks: DataFrame, h: int, model: str | None = None, done: DataFrame | None = None, stop_on_error: bool = False) -> DataFrame:
     """One result per (task, series): metrics of the last ``h`` observed rows, or the error that stopped it.
 
-    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). Each series contributes a bounded
-    tail of its values once; the task list multiplies those small rows, never the data.
+    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). A series contributes a bounded tail
+    of its values; every (series, task) pair is a row of its own, dealt over all tasks of the cluster. ``done`` holds earlier
+    results, whose successful tasks are left out. With ``stop_on_error`` no task behind the first failing one has a result.
     """
-    rows = tasks.select("task_order", "params").collect()  # a grid is a list a user wrote
-    plans = []
-    for r in rows:
-        p = json.loads(r["params"])
-        plans.append((int(r["task_order"]), str(p.pop("model", model) or "naive"), p))
-    reach = 1
-    for _, name, p in plans:
-        try:
-            m = get_model(name)
-            reach = max(reach, m.reach(m.validate(p), h))
-        except ValueError:
-            continue
-    recent = recent_values(df, spec, reach + h).drop("_last")
+    tasks = tasks.select(F.col("task_order").cast("long").alias("task_order"), "params")
+    if done is not None:
+        tasks = pending_tasks(tasks, done)
     keys = spec.keys
+    recent = recent_values(df, spec, _task_reach(tasks, h, model) + h).drop("_last")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = recent.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    right = tasks.withColumn("_b", F.pmod(F.xxhash64("task_order"), F.lit(spread)).cast("int"))
+    pairs = left.join(right, "_b").drop("_b").repartition(spread, *keys, "task_order")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for i, values in enumerate(pdf["_recent"]):
-                y = np.array(values, float)
-                for order, name, p in plans:
-                    try:
-                        m = get_model(name)
-                        settings = m.validate(p)
-                        if len(y) <= h:
-                            raise ValueError("series is shorter than the holdout")
-                        guess = m.predict(y[:-h], h, settings)
-                        out += [(i, order, name, "success", None, s + 1, y[len(y) - h + s], float(guess[s])) for s in range(h)]
-                    except Exception as e:  # a failed task is a result, not the end of the grid
-                        out.append((i, order, name, "failed", f"{type(e).__name__}: {e}"[:300], None, None, None))
+            for i, (order, text, values) in enumerate(zip(pdf["task_order"], pdf["params"], pdf["_recent"])):
+                p, y = json.loads(text), np.array(values, float)
+                name = str(p.pop("model", model) or "naive")
+                try:
+                    m = get_model(name)
+                    settings = m.validate(p)
+                    if len(y) <= h:
+                        raise ValueError("series is shorter than the holdout")
+                    need = m.reach(settings, h) + h
+                    guess = m.predict(y[-need:-h], h, settings)
+                    out += [(i, order, name, "success", None, s + 1, y[len(y) - h + s], float(guess[s])) for s in range(h)]
+                except Exception as e:  # a failed task is a result, not the end of the grid
+                    out.append((i, order, name, "failed", f"{type(e).__name__}: {e}", None, None, None))
             frame = pd.DataFrame(out, columns=["_i", "task_order", "model_name", "status", "error_message", "step", "y", "yhat"])
             for n, k in enumerate(keys):
                 frame.insert(n, k, pdf[k].to_numpy()[frame["_i"].to_numpy(int)] if len(frame) else [])
@@ -219,11 +241,15 @@ def run_grid(df: DataFrame, spec: SeriesSpec, tasks: DataFrame, h: int, model: s
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     schema = f"{types}, task_order long, model_name string, status string, error_message string, step long, y double, yhat double"
-    # Series are dealt out evenly: the work per row is the whole grid.
-    points = recent.repartition(*keys).mapInPandas(run, schema)
-    return points.groupBy(*keys, "task_order", "model_name", "status", "error_message").agg(
+    points = pairs.mapInPandas(run, schema)
+    out = points.groupBy(*keys, "task_order", "model_name", "status", "error_message").agg(
         F.count("step").alias("n"), *[c.alias(k) for k, c in metric_columns(F.col("y"), F.col("yhat")).items()]
     )
+    if stop_on_error:
+        out = durable(out)
+        first = out.where("status = 'failed'").agg(F.min("task_order").alias("_stop"))
+        out = out.join(F.broadcast(first), F.col("_stop").isNull() | (F.col("task_order") <= F.col("_stop"))).drop("_stop")
+    return out
 
 
 def rank_tasks(results: DataFrame, metric: str = "mae") -> DataFrame:
