@@ -6,13 +6,13 @@ bound that its two sizes demand. Only the blocks of the product that can hold su
 
 1. `profiles`: one pass gives each document its set's size and digest, and a sketch of fixed size counts how often shingles occur.
 2. `postings`: of n shingles, put in one order for all documents (rare ones first by the sketch, then by hash), two linked sets
-   share one of the first n - ceil(0.75 n) + 1. Those are sent to hash partitions as packed arrays; a shingle of one set only is
-   dropped. A batch sends a shingle that several of its sets share only once, so a partition gets at most one entry per shingle
-   and batch however common the shingle is.
-3. `blocked`: a set's cluster is its most widely shared posting. Near copies share most postings, so a large group of them falls into
-   few clusters, and sets that share nothing but one common shingle fall into that shingle's cluster. A cluster is cut into
-   blocks by size of set and by hash, of a bounded number of shingles. Two blocks are multiplied only if some shingle is posted by
-   both their clusters and their sizes allow a link. Every pair of sets is in at most one product.
+   share k of the first n - ceil(0.75 n) + k. Those are sent to hash partitions as packed arrays. There a shingle of one set only
+   is dropped, shingles of exactly the same sets become one group, and sets with too few shared postings for any link drop out. A
+   shingle that very many sets of a batch share travels in pieces of its own, so no partition gathers it.
+3. `blocked`: a set's cluster is its widest group. Near copies share most postings, so a large lot of them falls into few
+   clusters, and sets that share nothing but one common shingle fall into that shingle's cluster. A cluster is cut into blocks by
+   size of set and by hash, of a bounded number of shingles. Two blocks are multiplied only if some group has sets of both their
+   clusters and their sizes allow a link. Every pair of sets is in at most one product.
 4. `multiplied`: columns in strips, dense within a strip; overlap counts add up over strips, and a product ends early when no pair
    can reach its bound any more. It returns, per set, the documents it links to and a spanning forest of the links: never pairs.
 5. `components`: large-star and small-star rounds over the forests.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buffers import BASE, LOWER, WORD, map_texts, mixed, per_text, quoted, slices, span_hashes, spans, windows
@@ -40,8 +40,12 @@ SHINGLE = 5
 NEEDED = 75
 SKETCH_BITS = 18
 SKETCH_CHUNK = 1 << 16
-#: Postings packed at once, and (about) in a hash partition.
-POSTINGS = 1_000_000
+#: Postings packed at once, and (about) in a hash partition; partitions at least.
+POSTINGS, PART_POSTINGS, LEAST_PARTS = 1_000_000, 2_000_000, 12
+#: Sets of one batch that share a posting from which on it is heavy.
+HEAVY = 256
+#: One more shingle is posted for every so many.
+EXTRA = 8
 #: Shingles in a block, but for a single larger set.
 BLOCK_SHINGLES = 300_000
 #: A smaller set counts as so many, which bounds the sets of a block.
@@ -68,8 +72,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
 
 
 def digest(shingles: np.ndarray) -> int:
+    """Tells sets apart; never 0."""
     total = mixed(shingles ^ BASE).sum(dtype=np.uint64, keepdims=True) ^ mixed(np.array([len(shingles)], np.uint64))
-    return int(mixed(total).view(np.int64)[0])
+    return int(mixed(total).view(np.int64)[0]) or 1
 
 
 PROFILE = "doc_id bigint, key bigint, n bigint, node bigint, chunk int, counts binary"
@@ -114,11 +119,18 @@ def profiles(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     return rows.where(F.col("chunk").isNull()).select("doc_id", "key", "n", "node"), classes
 
 
-def _prefix_length(n: int) -> int:
-    return n - -(-NEEDED * n // 100) + 1
+def prefix_length(n: int) -> int:
+    """Shingles of a set of n that are posted. Two linked sets share `least_shared` of either's at least."""
+    return min(n, n - -(-NEEDED * n // 100) + 1 + n // EXTRA)
 
 
-PACKED = "part int, direct boolean, tokens binary, nodes binary, sent binary"
+def least_shared(n: Column) -> Column:
+    """A set that links to another has at least so many postings in common with it (the other has 0.75 * n shingles or more)."""
+    return 1 + F.floor(F.ceil(n * NEEDED / 100) / EXTRA)
+
+
+PACKED = "part int, direct boolean, tokens binary, nodes binary, runs binary"
+TOKEN_BYTES = 6
 
 
 def _post(shared, parts: int):
@@ -128,7 +140,7 @@ def _post(shared, parts: int):
             for s in shingle_sets(data, offsets):
                 if len(s):
                     ranked = (classes[s >> np.uint64(64 - SKETCH_BITS)] << np.uint64(56)) | (s >> np.uint64(8))
-                    first = _prefix_length(len(s))
+                    first = prefix_length(len(s))
                     tokens.append(np.partition(ranked, first - 1)[:first])
                     nodes.append(np.full(first, digest(s), np.int64))
                     held += first
@@ -141,79 +153,110 @@ def _post(shared, parts: int):
     return run
 
 
-def _distinct(tokens: np.ndarray, nodes: np.ndarray, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (token, node), whether any was sent, and how many nodes the entry's token has."""
-    order = np.lexsort((nodes, tokens)) if sent is None else np.lexsort((~sent, nodes, tokens))
+def _distinct(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (token, node) and where each token begins."""
+    order = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[order], nodes[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-    sent = np.zeros(int(new.sum()), bool) if sent is None else sent[order][new]
     tokens, nodes = tokens[new], nodes[new]
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    counts = np.diff(np.append(np.flatnonzero(first), len(tokens)))
-    return tokens, nodes, sent, np.repeat(counts, counts)
+    return tokens, nodes, np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
 
 
 def _pack(tokens: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries by hash partition. A token that several sets here share goes straight on, with one marked entry left to stand for it."""
-    tokens, nodes, _, counts = _distinct(tokens, nodes)
-    many = counts > 1
-    first = np.ones(len(tokens), bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    keep = ~many | first
-    k_tokens, k_nodes, k_sent = tokens[keep], nodes[keep], many[keep]
-    part = (mixed(k_tokens) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    """Entries by hash partition, set by set; tokens are cut to six bytes (a chance meeting only costs a product).
+
+    A token that HEAVY sets or more share here goes straight on in parts of its own; one entry, for node 0, tells its partition.
+    """
+    tokens, nodes, first = _distinct(mixed(tokens) >> np.uint64(64 - 8 * TOKEN_BYTES), nodes)
+    counts = np.diff(np.append(first, len(tokens)))
+    heavy = np.repeat(counts >= HEAVY, counts)
+    told = tokens[first[counts >= HEAVY]]
+    k_tokens, k_nodes = np.concatenate([tokens[~heavy], told]), np.concatenate([nodes[~heavy], np.zeros(len(told), np.int64)])
+    part = (k_tokens % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((k_nodes, part))
     ends = np.flatnonzero(np.diff(part[order])) + 1
-    groups = [(int(part[g[0]]), False, k_tokens[g], k_nodes[g], k_sent[g]) for g in np.split(order, ends)]
-    d_tokens, d_nodes = tokens[many], nodes[many]
-    step = max(1, POSTINGS // parts)
-    groups += [(int(mixed(d_tokens[i : i + 1])[0] % np.uint64(parts)), True, d_tokens[i : i + step], d_nodes[i : i + step], np.zeros(0, bool)) for i in range(0, len(d_tokens), step)]
-    columns = list(zip(*groups, strict=True))
-    blobs = [pa.array([x.tobytes() for x in c], pa.binary()) for c in columns[2:]]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), *blobs], names=["part", "direct", "tokens", "nodes", "sent"])
+    rows = [(int(part[g[0]]), False, *_runs(k_tokens[g], k_nodes[g])) for g in np.split(order, ends) if len(g)]
+    d_tokens, d_nodes, step = tokens[heavy], nodes[heavy], max(1, POSTINGS // parts)
+    for i in range(0, len(d_tokens), step):
+        g = i + np.argsort(d_nodes[i : i + step], kind="stable")
+        rows.append((int(mixed(d_nodes[g[:1]].view(np.uint64))[0] % np.uint64(parts)), True, *_runs(d_tokens[g], d_nodes[g])))
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["part", "direct", "tokens", "nodes", "runs"])
 
 
-def _joined(blobs: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
+def _runs(tokens: np.ndarray, nodes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Tokens in six bytes each; every run of one node once, with its length."""
+    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    cut = np.ascontiguousarray(tokens).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+    return cut.tobytes(), nodes[first].tobytes(), np.diff(np.append(first, len(nodes))).astype(np.uint32).tobytes()
+
+
+def _unpacked(rows: dict, wanted: bool) -> tuple[np.ndarray, np.ndarray]:
+    picked = [i for i, d in enumerate(rows["direct"]) if d == wanted]
+    raw, nodes, runs = (b"".join(rows[c][i] for i in picked) for c in ("tokens", "nodes", "runs"))
+    tokens = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    tokens[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return tokens.view("<u8").ravel(), np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(runs, np.uint32))
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Postings of tokens that two sets or more share."""
-    rows = table.select(["direct", "tokens", "nodes", "sent"]).to_pydict()
-    direct = np.array(rows["direct"], bool)
-    pick = lambda name, mask, kind: _joined([b for b, m in zip(rows[name], mask.tolist(), strict=True) if m], kind)
-    tokens, nodes, sent, counts = _distinct(pick("tokens", ~direct, np.uint64), pick("nodes", ~direct, np.int64), pick("sent", ~direct, bool))
-    more = (counts > 1) & ~sent
-    tokens, nodes = np.concatenate([tokens[more], pick("tokens", direct, np.uint64)]), np.concatenate([nodes[more], pick("nodes", direct, np.int64)])
-    return pa.table({"token": pa.array(tokens.view(np.int64)), "node": pa.array(nodes)})
-
-
-def postings(docs: DataFrame, rows: DataFrame, classes: np.ndarray, folder: str) -> DataFrame:
-    """(token, node): the shingles that can show a link, of the sets that share them with another set; a written table."""
+    """Groups of sets that share a token: (group, node, width, tokens). Tokens of the same sets are one group.
+
+    A heavy token is a group of its own, whose sets arrive in several partitions.
+    """
+    rows = table.select(["direct", "tokens", "nodes", "runs"]).to_pydict()
+    tokens, nodes, first = _distinct(*_unpacked(rows, False))
+    counts = np.diff(np.append(first, len(tokens)))
+    known = np.add.reduceat((nodes == 0).astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
+    shared = np.flatnonzero((counts > 1) & ~known)
+    sums = np.add.reduceat(mixed(nodes.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+    group, at, tokens_of = np.unique(mixed(sums[shared] + counts[shared].astype(np.uint64)), return_index=True, return_counts=True)
+    at = shared[at]
+    out = [_entries(nodes, first[at], counts[at], group, tokens_of)]
+    # what came singly of tokens that are heavy elsewhere, and the heavy ones' entries themselves
+    for t, n in ((np.repeat(tokens[first[known]], counts[known]), _entries(nodes, first[known], counts[known], None, None)[1]), _unpacked(rows, True)):
+        t, n = t[n != 0], n[n != 0]
+        out.append((mixed(t + np.uint64(1)), n, np.full(len(n), 1 << 40), np.ones(len(n), np.int64)))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.table({"grp": pa.array(columns[0].view(np.int64)), "node": pa.array(columns[1]), "width": pa.array(columns[2], pa.int64()), "tokens": pa.array(columns[3], pa.int64())})
+
+
+def _entries(nodes: np.ndarray, first: np.ndarray, counts: np.ndarray, group, tokens_of):
+    """The nodes of the chosen tokens, each with its group, the group's width and how many tokens it stands for."""
+    before = np.cumsum(counts) - counts
+    at = np.repeat(first - before, counts) + np.arange(int(counts.sum()))
+    if group is None:
+        return None, nodes[at]
+    return np.repeat(group, counts), nodes[at], np.repeat(counts, counts), np.repeat(tokens_of, counts)
+
+
+def postings(docs: DataFrame, rows: DataFrame, sets: DataFrame, classes: np.ndarray, folder: str) -> DataFrame:
+    """(grp, node, width): groups of sets that share a posting, of the sets with enough shared postings for a link; a written table."""
     spark = docs.sparkSession
-    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NEEDED / 100) + 1)).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(total) // POSTINGS)
+    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NEEDED / 100) + 1 + F.floor(F.col("n") / EXTRA))).first()[0] or 0
+    parts = max(LEAST_PARTS, 1 + int(total) // PART_POSTINGS)
     packed = docs.select("text").mapInArrow(_post(spark.sparkContext.broadcast(classes), parts), PACKED)
-    met = packed.groupBy("part").applyInArrow(_meet, "token bigint, node bigint")
-    return written(met.distinct(), folder, "postings")
+    met = packed.groupBy("part").applyInArrow(_meet, "grp bigint, node bigint, width bigint, tokens bigint")
+    met = met.groupBy("grp", "node").agg(F.max("width").alias("width"), F.sum("tokens").alias("tokens"))
+    met = written(met, folder, "postings")
+    enough = met.groupBy("node").agg(F.sum("tokens").alias("shared")).join(sets.select("node", "n"), "node").where(F.col("shared") >= least_shared(F.col("n")))
+    return met.join(enough.select("node"), "node", "left_semi").select("grp", "node", "width")
 
 
 def blocked(shared: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """The block of every set in `shared` (node, n, block), and the pairs of different blocks to multiply (a, b)."""
-    width = shared.groupBy("token").agg(F.count("*").alias("sets"))
-    home = shared.join(width, "token").groupBy("node").agg(F.max_by("token", F.struct("sets", "token")).alias("cluster"))
+    home = shared.groupBy("node").agg(F.max_by("grp", F.struct("width", "grp")).alias("cluster"))
     size = home.join(sets.select("node", "n"), "node").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))))
     salts = size.groupBy("cluster", "band").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK_SHINGLES).alias("salts"))
     salted = size.join(salts, ["cluster", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     nodes = written(salted.select("node", "n", "cluster", F.xxhash64("cluster", "band", "salt").alias("block")), folder, "blocks")
     blocks = nodes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = shared.join(nodes.select("node", "cluster"), "node").select("token", "cluster").distinct()
-    several = met.groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y").select("token")
-    met = met.join(several, "token", "left_semi")
-    left, right = (met.select("token", F.col("cluster").alias(c)) for c in ("ca", "cb"))
-    clusters = left.join(right, "token").where("ca < cb").select("ca", "cb").distinct().unionByName(blocks.select(F.col("cluster").alias("ca"), F.col("cluster").alias("cb")).distinct())
+    met = shared.join(nodes.select("node", "cluster"), "node").select("grp", "cluster").distinct()
+    several = met.groupBy("grp").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y").select("grp")
+    met = written(met.join(several, "grp", "left_semi"), folder, "clusters")
+    left, right = (met.select("grp", F.col("cluster").alias(c)) for c in ("ca", "cb"))
+    clusters = left.join(right, "grp").where("ca < cb").select("ca", "cb").distinct().unionByName(blocks.select(F.col("cluster").alias("ca"), F.col("cluster").alias("cb")).distinct())
     side = lambda s: blocks.select(F.col("cluster").alias(f"c{s}"), F.col("block").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
     pairs = clusters.join(side("a"), "ca").join(side("b"), "cb")
     fits = (100 * F.col("high_a") >= NEEDED * F.col("low_b")) & (100 * F.col("high_b") >= NEEDED * F.col("low_a"))
@@ -352,7 +395,7 @@ def multiplied(docs: DataFrame, sets: DataFrame, nodes: DataFrame, pairs: DataFr
     blocks = written(texts.mapInArrow(_shingled, "block bigint, node bigint, times bigint, shingles binary").groupBy("block").applyInArrow(_gather, BLOCK), folder, "sets")
     side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "times", "sizes", "shingles")))
     across = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_across, LINKS)
-    return written(blocks.repartition("block").mapInArrow(_within, LINKS).unionByName(across), folder, "links")
+    return written(blocks.mapInArrow(_within, LINKS).unionByName(across), folder, "links")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -387,7 +430,7 @@ def _solved(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFra
     """Every document (doc_id, key, n, node), every set with its component's root, and the links of sets."""
     rows, classes = profiles(docs, folder)
     sets = written(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.count("*").alias("times")), folder, "classes")
-    nodes, pairs = blocked(postings(docs, rows, classes, folder), sets, folder)
+    nodes, pairs = blocked(written(postings(docs, rows, sets, classes, folder), folder, "shared"), sets, folder)
     links = multiplied(docs, sets, nodes, pairs, folder)
     root = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")), folder)
     found = sets.join(root, "node", "left").select("node", "first_id", "times", F.coalesce("root", "node").alias("root"))
