@@ -196,7 +196,7 @@ def test_fingerprint_matches_json_dump(spark):
 
 def test_json_flatten_fixture(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":1},"nums":[1,2,3],"rows":[{"x":1},{"x":2}],"long":[1,2,3,4,5],"mix":[1,{"y":2}],"n":null}'), (2, "nope")], "id int, j string")
-    got = {r["key"]: r["value"] for r in jsonflat.flatten_json(df, ["id"], "j", "root", "dashboard").collect()}
+    got = {r["key"]: r["value"] for r in jsonflat.flatten_json(df, ["id"], "j", "root", "dashboard", most=4).collect()}
     assert got["root.a.b"] == "1" and got["root.nums.__len__"] == "3" and float(got["root.nums.__mean__"]) == 2.0
     assert got["root.rows[0].x"] == "1" and got["root.long.__truncated__"] == "true" and "root.long[4]" not in got
     assert json.loads(got["root.mix.__json__"]) == [1, {"y": 2}] and got["root.n"] is None
