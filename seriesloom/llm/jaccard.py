@@ -11,8 +11,8 @@ bound that its two sizes demand. Only the blocks of the product that can hold su
    shingle that very many sets of a batch share travels in pieces of its own, so no partition gathers it.
 3. `blocked`: a set's cluster is its widest group. Near copies share most postings, so a large lot of them falls into few
    clusters, and sets that share nothing but one common shingle fall into that shingle's cluster. A cluster is cut into blocks by
-   size of set and by hash, of a bounded number of shingles. Two blocks are multiplied only if some group has sets of both their
-   clusters and their sizes allow a link. Every pair of sets is in at most one product.
+   size of set and by hash, of a bounded number of shingles. Blocks of two clusters are multiplied only if their sizes allow a
+   link and the groups with sets of both clusters stand for enough postings. Every pair of sets is in at most one product.
 4. `multiplied`: columns in strips, dense within a strip; overlap counts add up over strips, and a product ends early when no pair
    can reach its bound any more. It returns, per set, the documents it links to and a spanning forest of the links: never pairs.
 5. `components`: large-star and small-star rounds over the forests.
@@ -232,7 +232,7 @@ def _entries(nodes: np.ndarray, first: np.ndarray, counts: np.ndarray, group, to
 
 
 def postings(docs: DataFrame, rows: DataFrame, sets: DataFrame, classes: np.ndarray, folder: str) -> DataFrame:
-    """(grp, node, width): groups of sets that share a posting, of the sets with enough shared postings for a link; a written table."""
+    """(grp, node, width, tokens): groups of sets that share postings, and how many, of the sets with enough shared postings for a link."""
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NEEDED / 100) + 1 + F.floor(F.col("n") / EXTRA))).first()[0] or 0
     parts = max(LEAST_PARTS, 1 + int(total) // PART_POSTINGS)
@@ -241,7 +241,7 @@ def postings(docs: DataFrame, rows: DataFrame, sets: DataFrame, classes: np.ndar
     met = met.groupBy("grp", "node").agg(F.max("width").alias("width"), F.sum("tokens").alias("tokens"))
     met = written(met, folder, "postings")
     enough = met.groupBy("node").agg(F.sum("tokens").alias("shared")).join(sets.select("node", "n"), "node").where(F.col("shared") >= least_shared(F.col("n")))
-    return met.join(enough.select("node"), "node", "left_semi").select("grp", "node", "width")
+    return met.join(enough.select("node"), "node", "left_semi")
 
 
 def blocked(shared: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -252,16 +252,21 @@ def blocked(shared: DataFrame, sets: DataFrame, folder: str) -> tuple[DataFrame,
     salted = size.join(salts, ["cluster", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     nodes = written(salted.select("node", "n", "cluster", F.xxhash64("cluster", "band", "salt").alias("block")), folder, "blocks")
     blocks = nodes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = shared.join(nodes.select("node", "cluster"), "node").select("grp", "cluster").distinct()
+    met = shared.join(nodes.select("node", "cluster"), "node").groupBy("grp", "cluster").agg(F.max("tokens").alias("tokens"))
     several = met.groupBy("grp").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y").select("grp")
     met = written(met.join(several, "grp", "left_semi"), folder, "clusters")
-    left, right = (met.select("grp", F.col("cluster").alias(c)) for c in ("ca", "cb"))
-    clusters = left.join(right, "grp").where("ca < cb").select("ca", "cb").distinct().unionByName(blocks.select(F.col("cluster").alias("ca"), F.col("cluster").alias("cb")).distinct())
+    left, right = met.select("grp", "tokens", F.col("cluster").alias("ca")), met.select("grp", F.col("cluster").alias("cb"))
+    # postings that sets of both clusters share: two linked sets have no others in common
+    clusters = left.join(right, "grp").where("ca < cb").groupBy("ca", "cb").agg(F.sum("tokens").alias("common"))
+    clusters = clusters.unionByName(blocks.select(F.col("cluster").alias("ca"), F.col("cluster").alias("cb"), F.lit(None).cast("bigint").alias("common")).distinct())
     side = lambda s: blocks.select(F.col("cluster").alias(f"c{s}"), F.col("block").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
     pairs = clusters.join(side("a"), "ca").join(side("b"), "cb")
     fits = (100 * F.col("high_a") >= NEEDED * F.col("low_b")) & (100 * F.col("high_b") >= NEEDED * F.col("low_a"))
     different = ((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
-    return nodes, pairs.where(fits & different).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # linked sets share a posting for every EXTRA shingles of the smaller one, and one more
+    least = F.greatest(F.least("low_a", "low_b"), F.ceil(F.greatest("low_a", "low_b") * NEEDED / 100))
+    enough = F.col("common").isNull() | (F.col("common") >= 1 + F.floor(least / EXTRA))
+    return nodes, pairs.where(fits & different & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 class Rows:
