@@ -47,6 +47,8 @@ FLOOR = 0.2
 #: Letters of a piece of a long word; pieces overlap by half.
 PIECE = 24
 KEPT_WORDS = 1_000_000
+#: Words whose features are laid out at once.
+BLOCK_WORDS = 2000
 SLICE_BYTES = 4 << 20
 COST = 1.0
 
@@ -125,24 +127,38 @@ def landmark_matrix(landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def similarities(words: list[bytes], matrix: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark, from FLOOR up, stretched to 0 to 1."""
-    out = np.zeros((len(words), matrix.shape[1]), np.float32)
+def similarities(words: list[bytes], matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Kernel of each word with each landmark, from FLOOR up, stretched to 0 to 1.
+
+    `matrix` has a row for each triple that some landmark has, `column` the row of each triple (-1: none).
+    """
     word, triple, weight, norm = features(words)
-    hit = np.flatnonzero(used[triple])
-    if len(hit):
-        word, triple, weight = word[hit], triple[hit], weight[hit] / norm[word[hit]]
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[first]] = np.add.reduceat(matrix[triple] * weight[:, None].astype(np.float32), first, axis=0)
+    out = np.zeros((len(words), matrix.shape[1]), np.float32)
+    hit = np.flatnonzero(column[triple] >= 0)
+    word, place, weight = word[hit], column[triple[hit]], (weight[hit] / norm[word[hit]]).astype(np.float32)
+    for a in range(0, len(words), BLOCK_WORDS):
+        lo, hi = np.searchsorted(word, [a, a + BLOCK_WORDS])
+        if lo < hi:
+            own = np.unique(word[lo:hi])
+            dense = np.zeros((len(own), len(matrix)), np.float32)
+            dense[np.searchsorted(own, word[lo:hi]), place[lo:hi]] = weight[lo:hi]
+            out[own] = dense @ matrix
     return np.maximum(out - FLOOR, 0) / (1 - FLOOR)
 
 
+def compact(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of triples that some landmark has, and the row of each triple."""
+    used = np.flatnonzero(matrix.any(1))
+    column = np.full(TRIPLES, -1, np.int64)
+    column[used] = np.arange(len(used))
+    return np.ascontiguousarray(matrix[used]), column
+
+
 class Kernel:
     """Similarities of words to landmarks, remembered for words that have any; one per task."""
 
     def __init__(self, landmarks: list[bytes]):
-        self.matrix = landmark_matrix(landmarks)
-        self.used = self.matrix.any(1)
+        self.matrix, self.column = compact(landmark_matrix(landmarks))
         self.reset()
 
     def reset(self) -> None:
@@ -159,7 +175,7 @@ class Kernel:
             part = new[a : a + 20_000]
             cut = [pieces(w) for w in part]
             sizes = np.array([len(c) for c in cut])
-            values = similarities([p for c in cut for p in c], self.matrix, self.used)
+            values = similarities([p for c in cut for p in c], self.matrix, self.column)
             values = np.maximum.reduceat(values, np.cumsum(sizes) - sizes, axis=0)
             some = values.any(1)
             place = np.zeros(len(part), np.int64)
