@@ -57,8 +57,10 @@ def judge(captures: DataFrame, log: DataFrame, url_col: str = "url", day_col: st
     inside = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     active = days.join(valid, "entry").where(inside).groupBy("entry", "day").agg(F.sort_array(F.collect_set("list")).alias("in_lists"))
     hit = parts.join(active, (F.col("a_domain") == F.col("entry")) & (F.col("a_day") == F.col("day")))
-    verdict = hit.groupBy("a_host", "a_day").agg(
-        F.sum(F.size("in_lists")).alias("n"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("in_lists")))), ",").alias("l"), F.max_by("entry", F.length("entry")).alias("e")
+    verdict = hit.groupBy(F.col("a_host").alias("__h"), F.col("a_day").alias("__d")).agg(
+        F.sum(F.size("in_lists")).alias("__n"),
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("in_lists")))), ",").alias("__lists"),
+        F.max_by("entry", F.length("entry")).alias("__entry"),
     )
-    out = rows.join(verdict, (F.col("host") == F.col("a_host")) & (F.col("__day") == F.col("a_day")), "left")
-    return out.select(*kept, "host", F.col("n").isNotNull().alias("blocked"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce("l", F.lit("")).alias("lists"), F.col("e").alias("entry"))
+    out = rows.join(verdict, (F.col("host") == F.col("__h")) & (F.col("__day") == F.col("__d")), "left")
+    return out.select(*kept, "host", F.col("__n").isNotNull().alias("blocked"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce("__lists", F.lit("")).alias("lists"), F.col("__entry").alias("entry"))

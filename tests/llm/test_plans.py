@@ -202,6 +202,8 @@ def test_lists_equal_brute_force(spark):
                         active.add((name, entry))
         want.append((page, host, bool(active), len(active), ",".join(sorted({n for n, _ in active})), max((e for _, e in active), key=len, default=None)))
     assert sorted(map(repr, ((x.page, x.host, x.blocked, x.n_active, x.lists, x.entry) for x in got.collect()))) == sorted(map(repr, want))
+    clash = spark.createDataFrame([(1, "http://a.com/", day(44), 5, "x", "y", "z")], "page int, url string, fetch_day date, n int, entry string, a_host string, lists string")
+    assert url_lists.judge(clash, spark.createDataFrame(log, "list string, entry string, day date, action string")).select("n", "a_host", "host").first() == (5, "y", "a.com")
     none = spark.createDataFrame([], "list string, entry string, day date, action string")
     assert url_lists.judge(spark.createDataFrame(captures, "page int, url string, fetch_day date, blocked boolean"), none).where("blocked").count() == 0
 
