@@ -49,6 +49,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of at most `limit` bytes of text (or one longer text), with their bytes and offsets."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         data, offsets = text_arrays(batch.column(batch.schema.get_field_index(column)))
         at = 0
@@ -56,6 +57,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+            pool.release_unused()  # else a worker keeps the most it ever needed
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

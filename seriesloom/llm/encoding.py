@@ -15,7 +15,7 @@ import pyarrow as pa
 from .buffers import LOWER, WORD, byte_set, text_arrays
 
 #: Pieces kept between slices; beyond it the memory starts anew, which changes no result.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 700_000
 CUT = byte_set(b".,!?;:*$%&#")
 LETTER = byte_set([*range(65, 91), *range(97, 123)])
 
@@ -109,9 +109,9 @@ class WordPieces:
                 used += len(ids)
                 known[piece] = first + len(ends)
                 ends.append(used)
-        self.ids = _room(self.ids, used)
+        self.ids = room(self.ids, used)
         self.ids[start:used] = found
-        self.starts = _room(self.starts, first + len(ends) + 1)
+        self.starts = room(self.starts, first + len(ends) + 1)
         self.starts[first + 1 : first + len(ends) + 1] = ends
         return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
 
@@ -125,7 +125,8 @@ class WordPieces:
         return ""
 
 
-def _room(array: np.ndarray, size: int) -> np.ndarray:
+def room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for so many entries."""
     return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, len(array)), array.dtype)])
 
 

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buffers import WORD, quoted, slices, text_arrays
-from .encoding import CUT, LETTER, tokenizer_path
+from .encoding import CUT, LETTER, room, tokenizer_path
 
 RULES = ("first", "last", "middle", "share")
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 SLICE_BYTES = 4 << 20
 
 
@@ -55,10 +55,7 @@ class BytePieces:
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.bounds = [0]
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.arrays = (np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.bounds, self.starts, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def token_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all tokens in characters of the slice, the first token of each text, and its first character."""
@@ -70,12 +67,12 @@ class BytePieces:
         raw, bounds = text_arrays(coded.dictionary)
         text, ends = raw.tobytes(), bounds.tolist()
         place = self.places([text[a:b] for a, b in zip(ends, ends[1:], strict=False)])[coded.indices.to_numpy()] if len(begin) else np.zeros(0, np.int64)
-        bound, starts, stops = self.arrays
-        count = bound[place + 1] - bound[place]
+        first = self.bounds[place]
+        count = self.bounds[place + 1] - first
         before = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(bound[place] - before[:-1], count) + np.arange(before[-1])
+        at = np.repeat(first - before[:-1], count) + np.arange(before[-1])
         origin = np.repeat(chars[begin], count)
-        return origin + starts[at], origin + stops[at], before[np.searchsorted(begin, offsets)], chars[offsets]
+        return origin + self.starts[at], origin + self.ends[at], before[np.searchsorted(begin, offsets)], chars[offsets]
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data), bool)
@@ -95,14 +92,14 @@ class BytePieces:
         new = [p for p in pieces if p not in self.known]
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                self.known[piece] = len(self.bounds) - 1
-                for s, t in e.offsets:
-                    self.starts.append(s)
-                    self.ends.append(t)
-                self.bounds.append(len(self.starts))
-        if new:
-            self.arrays = tuple(np.array(x, np.int64) for x in (self.bounds, self.starts, self.ends))
+            found = [e.offsets for e in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)]
+            spans, at = np.array([x for o in found for x in o], np.int32).reshape(-1, 2), len(self.known)
+            ends = self.bounds[at] + np.cumsum([len(o) for o in found])
+            self.bounds = room(self.bounds, at + len(part) + 1)
+            self.bounds[at + 1 : at + len(part) + 1] = ends
+            self.starts, self.ends = room(self.starts, int(ends[-1])), room(self.ends, int(ends[-1]))
+            self.starts[ends[-1] - len(spans) : ends[-1]], self.ends[ends[-1] - len(spans) : ends[-1]] = spans[:, 0], spans[:, 1]
+            self.known.update(zip(part, range(at, at + len(part)), strict=True))
         return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
 
 
