@@ -15,7 +15,7 @@ import pyarrow as pa
 from .buffers import LOWER, WORD, byte_set, text_arrays
 
 #: Pieces kept between slices; beyond it the memory starts anew, which changes no result.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 300_000
 CUT = byte_set(b".,!?;:*$%&#")
 LETTER = byte_set([*range(65, 91), *range(97, 123)])
 
