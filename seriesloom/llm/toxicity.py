@@ -4,8 +4,10 @@ A word's features are all ordered triples of its letters within SPAN places, eac
 word with inserted, dropped or spread letters keeps most of its similarity. Digits that stand for letters are read as those, other
 signs inside a word are skipped, and three or more single letters in a row are also read as one word.
 
-* Landmarks: the words most associated with the toxic label among the training texts, counted by texts and by the
-  different words they follow, whichever are fewer, and frequent words of the others.
+* Landmarks: the words most associated with the toxic label among the training texts, and frequent words of the others. Words are
+  counted by texts and by the different words they follow, whichever are fewer. A word ranks by the evidence of its strongest
+  family, the words that begin like it, so an insult with many endings counts whole; the evidence asked for follows from the
+  number of families that chance could pick from.
 * A sentence's kernel with a landmark is the best similarity of any of its words, counted from FLOOR up.
 * Nystroem: kernel values times the inverse root of the landmarks' own kernel matrix; on that a linear machine (squared hinge loss)
   is trained with one sentence per labelled text, the one most like the toxic landmarks. A logistic curve fitted to its margins
@@ -22,6 +24,7 @@ replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import LOWER, WORD, byte_set, map_texts, quoted, slices, spans, text_arrays
+from .workspace import work_folder, written
 
 MOST_LABELLED = 2000
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 160, 32
 #: A landmark occurs in that many texts and after that many different words at least.
 LEAST_SEEN = 3
-#: Log likelihood that a word must add to that of equal rates in both classes; rarer words are chance among so many.
-LEAST_GAIN = 14.0
+#: Letters that the words of a family share from their start on at least.
+STEM = 4
 #: Log odds from which a word counts as toxic.
 LEAST_ODDS = 1.5
 SPAN = 7
@@ -247,16 +251,27 @@ def _landmarks(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
     if not toxic or not other:
         return [], np.zeros(0)
     # neither the words of a text with many near copies nor those that one long text repeats look telling
-    each = sample.mapInArrow(_words, "word binary, before binary, label int, text bigint").groupBy("word", "label")
-    seen = each.agg(F.least(F.countDistinct("before"), F.countDistinct("text")).alias("n")).groupBy("word")
+    each = sample.mapInArrow(_words, "word binary, before binary, label int, text bigint")
+    starts = f"transform(sequence(least({STEM}, length(word)), length(word)), k -> substring(word, 1, k))"
+    keys = F.expr(f"array_append(transform({starts}, s -> struct(s AS word, true AS family)), struct(word, false AS family))")
+    each = each.select(F.explode(keys).alias("k"), "before", "label", "text").select("k.*", "before", "label", "text").groupBy("word", "family", "label")
+    seen = each.agg(F.least(F.countDistinct("before"), F.countDistinct("text")).alias("n")).groupBy("word", "family")
     count = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
     words = seen.agg(count(1).alias("t"), count(0).alias("o")).where(F.col("t") + F.col("o") >= LEAST_SEEN)
     rate_t, rate_o = (F.col("t") + 0.5) / (toxic + 1), (F.col("o") + 0.5) / (other + 1)
     both = (F.col("t") + F.col("o") + 1) / (toxic + other + 2)
     gain = (F.col("t") + 0.5) * F.log(rate_t / both) + (F.col("o") + 0.5) * F.log(rate_o / both)
-    rated = words.select("word", F.log(rate_t / rate_o).alias("odds"), gain.alias("gain"), "o")
-    first = rated.where((F.col("odds") > LEAST_ODDS) & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "word").limit(TOXIC_LANDMARKS).collect()
-    rest = rated.where(F.col("odds") <= 0).orderBy(F.desc("o"), "word").limit(OTHER_LANDMARKS).collect()
+    rated = words.select("word", "family", F.log(rate_t / rate_o).alias("odds"), gain.alias("gain"), "o")
+    rated = written(rated, work_folder(sample.sparkSession), "rated")
+    families, single = rated.where("family"), rated.where("not family")
+    telling = F.col("odds") > LEAST_ODDS
+    # so much log likelihood beyond equal rates in both classes is not chance among so many families
+    least = math.log(max(families.count(), 1))
+    strong = families.where(telling & (F.col("gain") >= least)).select(F.col("word").alias("stem"), F.col("gain").alias("evidence"))
+    kin = single.where(telling).select("word", "odds", "gain", F.explode(F.expr(starts)).alias("stem")).join(strong, "stem")
+    ranked = kin.groupBy("word", "odds", "gain").agg(F.max("evidence").alias("evidence")).orderBy(F.desc("evidence"), F.desc("gain"), "word")
+    first = ranked.limit(TOXIC_LANDMARKS).collect()
+    rest = single.where(F.col("odds") <= 0).orderBy(F.desc("o"), "word").limit(OTHER_LANDMARKS).collect()
     return [bytes(r.word) for r in [*first, *rest]], np.array([max(r.odds, 0.0) for r in [*first, *rest]])
 
 

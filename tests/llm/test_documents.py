@@ -219,6 +219,20 @@ def test_spelled_out_insults(spark, toxic_model):
     assert all(r.score >= 0.5 for r in out[:-1]) and out[-1].score < 0.2
 
 
+def test_insults_of_a_small_language(spark):
+    r = random.Random(4)
+    english, spanish = ["ering", "thonea", "ofand", "inghe", "eshan"], ["ladoro", "ciente", "enquela", "dorame", "tasino"]
+    ends = ["do", "ra", "ci", "ja", "mos", "ta"]
+    say = lambda words, extra=(): " ".join(r.sample(w := [*(r.choice(words) + r.choice("abcdefgh") for _ in range(12)), *extra], len(w)))
+    toxic = [say(english, ["trash"]) for _ in range(60)] + [say(spanish, [f"bomente{ends[i % 6]}"]) for i in range(24)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate([*toxic, *(say(x) for x in [english, spanish] * 150)])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table.select("doc_id", "toxic"))
+    assert b"bomentedo" in model.landmarks
+    out = toxicity.score(spark.createDataFrame([("ladoroa bomenteque cientec",), ("ladoroa tasinob cientec",)], "text string"), model).collect()
+    assert out[0].score >= 0.5 > out[1].score
+
+
 def test_toxicity_odd_rows(spark, docs, none, toxic_model):
     out = toxicity.score(docs, toxic_model).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out) and {r.score for r in out if not r.text} == {out[0].score}
