@@ -31,7 +31,7 @@ class WordPieces:
 
     Texts of ASCII and Latin-1 letters are lower-cased in ASCII and cut once more before punctuation that follows a letter: no
     pattern of this tokenizer matches across such a cut and no character there composes with another. Other texts are cut at
-    white space only.
+    white space only, and so are texts with `<|`: special tokens match the text as it stands, by case.
     """
 
     def __init__(self, path: str):
@@ -67,6 +67,7 @@ class WordPieces:
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The pieces as one Arrow array, and the first piece of each text."""
         high = data >= 0xC4
+        high[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
         wide = np.flatnonzero(high)
         if len(wide):
             simple = np.ones(len(offsets) - 1, bool)

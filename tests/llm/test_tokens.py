@@ -20,6 +20,15 @@ def test_pieces_equal_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
 
 
+def test_special_tokens_by_case():
+    coder = encoding.WordPieces(encoding.tokenizer_path("word_bpe_49k.json"))
+    texts = ["a <|ENDOFTEXT|> b", "A.<|EndOfText|>.B <", "|startoftext|> C", "<|STARTOFTEXT|>É, <|startoftext|>X", "Plain, Text. x<|endoftext|>Y", "", "<|"]
+    ids, at = coder.encode(*buffers.text_arrays(pa.array(texts)))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [320, 27, 347, 40786, 4160, 91, 285, 321]
+
+
 def test_spans_equal_whole_texts():
     coder = token_counts.BytePieces(encoding.tokenizer_path("byte_bpe_50k.json"))
     starts, ends, at, first = coder.token_spans(*buffers.text_arrays(pa.array(TEXTS)))
