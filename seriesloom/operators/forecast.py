@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, measure, over_groups
+from ..plans.series import BROADCAST_ROWS, Layout, attach, measure, over_groups
 from ..spec import SeriesSpec
 from .calendar import FREQUENCIES, future_frame
 from .metrics import accuracy, step_accuracy
@@ -20,14 +20,39 @@ from .windows import tail_split
 FitPredict = Callable[[np.ndarray, int, Mapping], np.ndarray]
 
 
+#: Reach of a model that sees every value.
+WHOLE = (1 << 31) - 1
+
+
+@dataclass(frozen=True)
+class Totals:
+    """How a model follows from sums over all rows of a history, so that no history is ever collected.
+
+    Values are centred and scaled per series. ``columns(params, y, lags, age)`` gives the columns to be summed over a stretch of
+    rows; ``age`` counts the rows up to the stretch's last one, ``lags[k]`` is NULL where the series has not begun. ``predict``
+    takes the last ``lags(params)`` values (one at least), the sums of every stretch, and how many rows before the cutoff each ends.
+    """
+
+    lags: Callable[[Mapping], int]
+    columns: Callable[[Mapping, Column, Sequence[Column], Column], list[Column]]
+    predict: Callable[[np.ndarray, np.ndarray, np.ndarray, int, Mapping], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Model:
-    """A forecaster that needs at most the last ``reach(params, h)`` values of a series."""
+    """A forecaster that needs at most the last ``reach(params, h)`` values of a series.
+
+    A model with ``totals`` sees the whole history unless its parameter ``window`` is given.
+    """
 
     name: str
     defaults: Mapping
     reach: Callable[[Mapping, int], int]
     predict: FitPredict
+    totals: Totals | None = None
+
+    def whole(self, params: Mapping) -> bool:
+        return self.totals is not None and params.get("window") is None
 
     def validate(self, params: Mapping | None) -> dict:
         params = dict(params or {})
@@ -92,12 +117,56 @@ def _autoregression(y: np.ndarray, h: int, p: Mapping) -> np.ndarray:
     return np.array(held[k:])
 
 
+def _smoothing_columns(p: Mapping, y: Column, lags: Sequence[Column], age: Column) -> list[Column]:
+    a = float(p["alpha"])
+    share = F.when(lags[1].isNull(), 1.0).otherwise(a)
+    return [share * F.pow(F.lit(1.0 - a), age) * y]
+
+
+def _smoothing_totals(recent: np.ndarray, sums: np.ndarray, ages: np.ndarray, h: int, p: Mapping) -> np.ndarray:
+    return np.full(h, float((1.0 - float(p["alpha"])) ** ages @ sums[:, 0]))
+
+
+def _autoregression_columns(p: Mapping, y: Column, lags: Sequence[Column], age: Column) -> list[Column]:
+    """The upper triangle of the products of (1, lags from far to near, y)."""
+    k = int(p["order"])
+    terms = [F.lit(1.0), *[lags[i] for i in range(k, 0, -1)], y]
+    full = lags[k].isNotNull()
+    return [F.when(full, terms[i] * terms[j]).otherwise(0.0) for i in range(k + 2) for j in range(i, k + 2)]
+
+
+def _autoregression_totals(recent: np.ndarray, sums: np.ndarray, ages: np.ndarray, h: int, p: Mapping) -> np.ndarray:
+    k = int(p["order"])
+    gram = np.zeros((k + 2, k + 2))
+    gram[np.triu_indices(k + 2)] = sums.sum(axis=0)
+    gram = np.triu(gram) + np.triu(gram, 1).T
+    if gram[0, 0] < k + 2:
+        return np.full(h, recent[-1])
+    beta = np.linalg.pinv(gram[:-1, :-1], rcond=1e-12, hermitian=True) @ gram[:-1, -1]
+    held = list(recent[-k:])
+    for _ in range(h):
+        held.append(float(beta[0] + beta[1:] @ np.array(held[-k:])))
+    return np.array(held[k:])
+
+
+def _windowed(predict: FitPredict) -> FitPredict:
+    return lambda y, h, p: predict(y if p["window"] is None else y[-int(p["window"]) :], h, p)
+
+
+def _window_or_whole(p: Mapping, h: int) -> int:
+    return WHOLE if p["window"] is None else int(p["window"])
+
+
 register_model(Model("naive", {}, lambda p, h: 1, lambda y, h, p: np.full(h, y[-1])))
 register_model(Model("window_mean", {"window": 7}, lambda p, h: int(p["window"]), _window_mean))
 register_model(Model("seasonal_naive", {"season": 7}, lambda p, h: int(p["season"]), _seasonal))
 register_model(Model("drift", {"window": 28}, lambda p, h: int(p["window"]), _drift))
-register_model(Model("smoothing", {"alpha": 0.3, "window": 128}, lambda p, h: int(p["window"]), lambda y, h, p: _smoothing(y[-int(p["window"]) :], h, p)))
-register_model(Model("autoregression", {"order": 3, "window": 256}, lambda p, h: int(p["window"]), lambda y, h, p: _autoregression(y[-int(p["window"]) :], h, p)))
+register_model(
+    Model("smoothing", {"alpha": 0.3, "window": None}, _window_or_whole, _windowed(_smoothing), Totals(lambda p: 1, _smoothing_columns, _smoothing_totals))
+)
+register_model(
+    Model("autoregression", {"order": 3, "window": None}, _window_or_whole, _windowed(_autoregression), Totals(lambda p: int(p["order"]), _autoregression_columns, _autoregression_totals))
+)
 
 
 def naive_last(df: DataFrame, spec: SeriesSpec, h: int, freq: str = "D", name: str = "yhat") -> DataFrame:
@@ -131,13 +200,59 @@ def _runner(m: Model, p: Mapping, h: int):
     return run
 
 
+def _totals_runner(m: Model, p: Mapping, h: int, step: int):
+    """Arrow function from the last values, the cutoff's turn and a series' sums to arrays of ``h`` predictions."""
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series, turn: pd.Series, bins: pd.Series, sums: pd.Series, center: pd.Series, scale: pd.Series) -> pd.Series:
+        out = []
+        for v, t, b, s, c, d in zip(values, turn, bins, sums, center, scale):
+            later = np.array(b, np.int64) - int(t)
+            held = np.array([np.array(x, float) for x in s])[later >= 0]
+            out.append(c + d * m.totals.predict((np.array(v, float) - c) / d, held, later[later >= 0] * step, h, p))
+        return pd.Series(out, index=values.index)
+
+    return run
+
+
+def _sums(seen: DataFrame, spec: SeriesSpec, models: Mapping[str, tuple[Model, Mapping]], h: int, step: int, windows: int, layout: Layout) -> DataFrame:
+    """Per series and model the sums over the rows between two cutoffs; all older rows belong to the oldest cutoff."""
+    most = max(max(m.totals.lags(p), 1) for m, p in models.values())
+    y = F.col(spec.target_col).cast("double")
+    from_end = F.col("_n") - 1 - F.col("_pos")
+
+    def build(frame, w):
+        turn = F.least(F.floor((from_end - h) / step), F.lit(windows - 1)).cast("int")
+        scale = F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(1.0)
+        z = (y - F.col("_center")) / scale
+        frame = frame.withColumns({"_turn": turn, "_age": from_end - h - turn * step, "_z": z, "_old": from_end >= h, "_c": F.col("_center"), "_d": scale})
+        return frame.withColumns({f"_z{k}": F.lag("_z", k).over(w) for k in range(1, most + 1)})
+
+    whole = {"_n": F.count(F.lit(1)), "_center": F.avg(y), "_scale": F.stddev_pop(y)}
+    rows = over_groups(seen, spec.keys, spec.order, build, back=most, whole=whole, layout=layout, fresh=True).where("_old")
+    lags = [F.col("_z"), *[F.col(f"_z{k}") for k in range(1, most + 1)]]
+    terms = {n: m.totals.columns(p, F.col("_z"), lags, F.col("_age")) for n, (m, p) in models.items()}
+    totals = [F.array(*[F.sum(c) for c in columns]).alias(f"_t_{n}") for n, columns in terms.items()]
+    parts = rows.groupBy(*spec.keys, "_turn").agg(F.first("_c").alias("_c"), F.first("_d").alias("_d"), *totals)
+    held = F.sort_array(F.collect_list(F.struct("_turn", *[f"_t_{n}" for n in terms])))
+    out = parts.groupBy(*spec.keys).agg(F.first("_c").alias("_center"), F.first("_d").alias("_scale"), held.alias("_held"))
+    return out.select(*spec.keys, "_center", "_scale", F.col("_held")["_turn"].alias("_bins"), *[F.col("_held")[f"_t_{n}"].alias(f"_t_{n}") for n in terms])
+
+
 def forecast(df: DataFrame, spec: SeriesSpec, model: str, h: int, freq: str = "D", params: Mapping | None = None, name: str = "yhat") -> DataFrame:
     """``h`` future rows per series from a registered model."""
     m = get_model(model)
     p = m.validate(params)
-    recent = recent_values(df, spec, max(1, m.reach(p, h)))
-
-    steps = recent.select(*spec.keys, "_last", F.posexplode(_runner(m, p, h)("_recent")).alias("_i", name))
+    if m.whole(p):
+        seen = df.where(F.col(spec.target_col).isNotNull())
+        recent = recent_values(df, spec, max(1, m.totals.lags(p)))
+        recent = attach(recent, _sums(seen, spec, {"m": (m, p)}, 0, 1, 1, measure(df, spec.keys)), spec.keys, BROADCAST_ROWS + 1)
+        values = _totals_runner(m, p, h, 1)("_recent", F.lit(0), "_bins", "_t_m", "_center", "_scale")
+    else:
+        recent = recent_values(df, spec, max(1, m.reach(p, h)))
+        values = _runner(m, p, h)("_recent")
+
+    steps = recent.select(*spec.keys, "_last", F.posexplode(values).alias("_i", name))
     time = F.expr(f"_last + (_i + 1) * {FREQUENCIES[freq]}")
     return steps.select(*spec.keys, time.alias(spec.time_col), (F.col("_i") + 1).alias("step"), name)
 
@@ -145,12 +260,14 @@ def forecast(df: DataFrame, spec: SeriesSpec, model: str, h: int, freq: str = "D
 def cross_validation(df: DataFrame, spec: SeriesSpec, models: Mapping[str, Mapping | None], h: int, windows: int = 1, step: int | None = None, layout: Layout | None = None) -> DataFrame:
     """Rolling-origin backtest: for every cutoff row, each model sees the values up to it and predicts the next ``h`` rows.
 
-    Cutoffs lie ``h``, ``h + step``, ... rows before the end of the series. A cutoff row carries the bounded history its
-    models need and the ``h`` actual values behind it, so series of any length are cut into blocks like every other frame.
+    Cutoffs lie ``h``, ``h + step``, ... rows before the end of the series. A cutoff row carries the few last values its
+    models need and the ``h`` actual values behind it; models of the whole history get sums over all rows up to the cutoff. So
+    series of any length are cut into blocks like every other frame.
     """
     step = step or h
     ready = {n: (get_model(n), get_model(n).validate(p)) for n, p in models.items()}
-    reach = max(m.reach(p, h) for m, p in ready.values())
+    whole = {n: (m, p) for n, (m, p) in ready.items() if m.whole(p)}
+    reach = max(max(m.totals.lags(p), 1) if n in whole else m.reach(p, h) for n, (m, p) in ready.items())
     y = F.col(spec.target_col)
     layout = layout or measure(df, spec.keys)
     seen = df.where(y.isNotNull())
@@ -164,9 +281,14 @@ def cross_validation(df: DataFrame, spec: SeriesSpec, models: Mapping[str, Mappi
         return frame.withColumns({"_past": F.when(is_cut, past), "_ahead": F.when(is_cut, ahead), "_turn": turn})
 
     cut = over_groups(seen, spec.keys, spec.order, build, back=reach, ahead=h, whole={"_n": F.count(F.lit(1))}, layout=layout, fresh=True)
-    cut = cut.where(F.col("_past").isNotNull()).select(*spec.keys, F.col(spec.time_col).alias("cutoff"), "_past", "_ahead")
+    cut = cut.where(F.col("_past").isNotNull()).select(*spec.keys, F.col(spec.time_col).alias("cutoff"), "_past", "_ahead", "_turn")
+    if whole:
+        cut = attach(cut, _sums(seen, spec, whole, h, step, windows, layout), spec.keys, BROADCAST_ROWS + 1)
+
+    def predicted(n: str, m: Model, p: Mapping) -> Column:
+        return _totals_runner(m, p, h, step)("_past", "_turn", "_bins", f"_t_{n}", "_center", "_scale") if n in whole else _runner(m, p, h)("_past")
 
-    outs = [_runner(m, p, h)("_past").alias(f"_f_{n}") for n, (m, p) in ready.items()]
+    outs = [predicted(n, m, p).alias(f"_f_{n}") for n, (m, p) in ready.items()]
     rows = cut.select(*spec.keys, "cutoff", "_ahead", *outs)
     zipped = F.posexplode("_ahead").alias("_i", "_a")
     long = rows.select(*spec.keys, "cutoff", *[f"_f_{n}" for n in ready], zipped)

@@ -203,8 +203,8 @@ def _task_reach(tasks: DataFrame, h: int, model: str | None) -> int:
 def run_grid(df: DataFrame, spec: SeriesSpec, tasks: DataFrame, h: int, model: str | None = None, done: DataFrame | None = None, stop_on_error: bool = False) -> DataFrame:
     """One result per (task, series): metrics of the last ``h`` observed rows, or the error that stopped it.
 
-    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). A series contributes a bounded tail
-    of its values; every (series, task) pair is a row of its own, dealt over all tasks of the cluster. ``done`` holds earlier
+    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). A series contributes the tail of its
+    values that the tasks' models reach, all of them for a model of the whole history; every (series, task) pair is a row of its own, dealt over all tasks of the cluster. ``done`` holds earlier
     results, whose successful tasks are left out. With ``stop_on_error`` no task behind the first failing one has a result.
     """
     tasks = tasks.select(F.col("task_order").cast("long").alias("task_order"), "params")

@@ -75,3 +75,33 @@ def test_asof_blocked(spark, small_blocks):
         got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "k", "t", "t", {"v": "v"})
         got = got.toPandas().sort_values("id").reset_index(drop=True)
         np.testing.assert_allclose(got["v"].astype(float), want["v"], equal_nan=True)
+
+
+def test_forecasts_see_the_whole_history(spark, small_blocks):
+    r = np.random.default_rng(3)
+    y = {"a": np.r_[np.cumsum(r.normal(size=300)) * 5 + 1000, r.normal(size=400)], "b": r.normal(size=9), "c": np.full(40, 7.0), "d": [3.0]}
+    rows = [(k, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), float(v)) for k, values in y.items() for i, v in enumerate(values)]
+    df, spec = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "ds", "y"])), SeriesSpec(("k",), "ds", "y")
+    models = {"smoothing": {"alpha": 0.01}, "autoregression": None, "drift": {"window": 5}}
+
+    def want(name, past, h):
+        m = forecast.get_model(name)
+        return m.predict(np.array(past, float), h, m.validate(models[name]))
+
+    def check():
+        for row in forecast.cross_validation(df, spec, models, 4, windows=3, step=3).collect():
+            at = (row["cutoff"] - pd.Timestamp("2024-01-01")).days
+            for name in models:
+                assert row[name] == pytest.approx(want(name, y[row["k"]][: at + 1], 4)[row["step"] - 1], rel=1e-6, abs=1e-6)
+        for name in models:
+            for row in forecast.forecast(df, spec, name, 2, params=models[name]).collect():
+                assert row["yhat"] == pytest.approx(want(name, y[row["k"]], 2)[row["step"] - 1], rel=1e-6, abs=1e-6)
+
+    check()
+    small_blocks(80)
+    check()
+    x = np.array([v for v in y["a"][:-4]])
+    lags = np.column_stack([np.ones(len(x) - 3), x[:-3], x[1:-2], x[2:-1]])
+    beta = np.linalg.lstsq(lags, x[3:], rcond=None)[0]
+    got = forecast.cross_validation(df, spec, {"autoregression": None}, 4).where("k = 'a' AND step = 1").first()
+    assert got["autoregression"] == pytest.approx(beta[0] + beta[1:] @ x[-3:], abs=1e-6)
