@@ -375,23 +375,33 @@ def _trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
 
 @by_size
 def spectral_residual(df: DataFrame, spec: SeriesSpec, segment: int = 4096, contamination: float = 0.1, least: int = 30, causal: bool = False, layout: Layout | None = None) -> DataFrame:
-    """Spectral residual of the observed values, transformed in consecutive segments of bounded length.
+    """Spectral residual of the observed values, transformed in overlapping segments of bounded length.
 
-    The method is defined on a window of the stream; a series shorter than one segment is transformed whole.
+    The method is defined on a window of the stream. Segments start half a length apart, the last one ends with the series, and
+    every row is scored in one where it lies a quarter of the length from both ends, or as far as the series goes.
     """
     y = F.col(spec.target_col)
     layout = layout or measure(df, spec.keys)
     seen, unseen = df.where(y.isNotNull()), df.where(y.isNull())
+    half, pos = segment // 2, F.col("_at")
+    last = F.greatest(F.ceil((F.col("_rows") - segment) / half), F.lit(0))
+    start = lambda j: F.least(j * half, F.greatest(F.col("_rows") - segment, F.lit(0)))
+    near = F.floor(pos / half)
+    holds = lambda j: (j >= 0) & (j <= last) & (pos >= start(j)) & (pos < start(j) + segment)
+    own = F.greatest(F.least(F.floor((pos - segment // 4) / half), last), F.lit(0))
     cut = over_groups(
-        seen, spec.keys, spec.order, lambda f, _w: f.withColumn("_seg", F.floor(F.col("_pos") / segment)), layout=layout, fresh=True
-    )
+        seen, spec.keys, spec.order, lambda f, _w: f.withColumns({"_at": F.col("_pos"), "_rows": F.col("_n")}),
+        whole={"_n": F.count(F.lit(1))}, layout=layout, fresh=True,
+    )
+    cut = cut.withColumns({"_own": own, "_seg": F.explode(F.array_distinct(F.filter(F.array(near - 1, near, last), holds)))})
+    cut = cut.withColumn("_own", F.col("_own") == F.col("_seg")).drop("_at", "_rows")
     target, order = spec.target_col, spec.order
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(_score=saliency(pdf[target].to_numpy())).drop(columns="_seg")
+        return pdf.assign(_score=saliency(pdf[target].to_numpy()))[pdf["_own"].to_numpy()].drop(columns=["_seg", "_own"])
 
-    fields = [f for f in cut.schema if f.name != "_seg"]
+    fields = [f for f in cut.schema if f.name not in ("_seg", "_own")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _score double"
     scored = cut.groupBy(*spec.keys, "_seg").applyInPandas(score, schema)
     scored = scored.unionByName(unseen.withColumn("_score", F.lit(None).cast("double")))

@@ -105,3 +105,19 @@ def test_forecasts_see_the_whole_history(spark, small_blocks):
     beta = np.linalg.lstsq(lags, x[3:], rcond=None)[0]
     got = forecast.cross_validation(df, spec, {"autoregression": None}, 4).where("k = 'a' AND step = 1").first()
     assert got["autoregression"] == pytest.approx(beta[0] + beta[1:] @ x[-3:], abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [30, 64, 66, 200])
+def test_spectral_segments_overlap(spark, n):
+    y = np.random.default_rng(n).normal(size=n)
+    y[-2] = 30.0
+    pdf = pd.DataFrame({"k": "a", "ds": pd.date_range("2024-01-01", periods=n), "y": y})
+    out = anomaly.spectral_residual(spark.createDataFrame(pdf), SeriesSpec(("k",), "ds", "y"), segment=64).toPandas().sort_values("ds")
+    want = []
+    for i in range(n):
+        j = min(max((i - 16) // 32, 0), max(-((64 - n) // 32), 0))
+        a = min(j * 32, max(n - 64, 0))
+        want.append(anomaly.saliency(y[a : a + 64])[i - a])
+    score = next(c for c in out.columns if c.endswith("score"))
+    assert len(out) == n
+    np.testing.assert_allclose(out[score].to_numpy(float)[1:], want[:-1], rtol=1e-9, atol=1e-12)
