@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .buffers import quoted
 
-#: A host has at most 127 labels (RFC 1035 limits names to 255 octets).
-MOST_LABELS = 127
-
 
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case, without user, port or a closing dot; null where there is none."""
@@ -34,7 +31,7 @@ def host_of(url: Column) -> Column:
 def domains(host: Column) -> Column:
     """The host and the domains above it, most specific first."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_LABELS))), lambda i: F.array_join(F.slice(labels, i, MOST_LABELS), "."))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def intervals(log: DataFrame) -> DataFrame:

@@ -183,6 +183,13 @@ def test_hosts(spark):
     assert [r[0] for r in out] == ["www.example.com", "a.b", "h", None, None, None, "h"]
 
 
+def test_domains_of_a_host_with_many_labels(spark):
+    host = ".".join(["x"] * 198 + ["example", "com"])
+    labels = host.split(".")
+    got = spark.createDataFrame([(host,), ("a.b",), ("a",), (None,)], "host string").select(url_lists.domains(F.col("host")).alias("d")).collect()
+    assert [r.d for r in got] == [[".".join(labels[i:]) for i in range(200)], ["a.b", "b"], ["a"], None]
+
+
 def test_lists_equal_brute_force(spark):
     r = random.Random(6)
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
