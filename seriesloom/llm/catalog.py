@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, quality, sharding, token_counts, toxicity, url_lists, wavelet
+from . import decontaminate, jaccard, language, mixing, quality, recompression, sharding, token_counts, toxicity, url_lists, wavelet
 from .workspace import work_folder, written
 
 
@@ -232,3 +232,53 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @add("op1_section_tokens")
 def op1_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.by_section(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+# crc32 of a short text from its polynomial, four bits at a time
+CRC_TABLE_SQL = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(16) r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """The crc32 of a column `text`; the query joins `crc_table`."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, 2 * octet_length(encode({text}))),
+    lambda i: (instr('0123456789ABCDEF', substr(hex(encode({text})), (i + 1 - 2 * (i % 2) + 1)::INT, 1)) - 1)::BIGINT)), lambda c, b: xor(c // 16, t[(xor(c, b) % 16 + 1)::INT])))"""
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE_SQL},
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, CAST(doc_id AS VARCHAR) AS key FROM documents),
+h AS (SELECT rid, doc_id, w, len(w) AS n, {crc32_sql("key")} AS h FROM d, crc_table),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+x AS (SELECT rid, n, i, w[(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END) + 1] AS x FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+e AS (SELECT a.rid, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.rid = b.rid AND a.x = b.x AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+o AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e),
+f AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM o GROUP BY rid, q, island HAVING count(*) >= greatest(q, {recompression.LEAST} - q)),
+r AS (SELECT rid, s, len, min(q) AS q FROM f GROUP BY ALL),
+s AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs, max(len) AS len FROM r GROUP BY rid),
+b AS (SELECT rid, s, len, q FROM r JOIN s USING (rid, len) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY s, q) = 1),
+k AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = x.rid AND x.i >= r.s + r.q AND x.i < r.s + r.len) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, CAST(b.len AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.len // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN s USING (rid) LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)"""
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """Texts with planted runs: in documents whose id has a checksum that ends in 0 the words repeat from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(0)))
+    words = docs.select("doc_id", "text", chosen.alias("w"), F.floor(h / 10).alias("g"))
+    words = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    words = words.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    cycle = F.expr("concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int((n - a) div p) + 1)), 1, int(n - a)))")
+    return words.select("doc_id", F.when(F.col("n") > 0, F.array_join(cycle, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@add("op11_periodic_runs", OP11_SQL)
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    out = recompression.find_runs(with_cycles(table(spark, sf, "documents").select("doc_id", "text")), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period))).alias("best")
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), "")
+    rows = out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    top = {"start": F.expr("-best.col2"), "length": F.expr("best.length"), "period": F.expr("-best.col3"), "exponent_milli": F.expr("1000 * best.length div -best.col3")}
+    return rows.select("doc_id", "n_runs", *(v.alias(k) for k, v in top.items()), "runs_sha256", "collapsed_sha256")
