@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, quality, recompression, sharding, token_counts, toxicity, url_lists, wavelet
+from . import decontaminate, dialogues, jaccard, language, mixing, quality, recompression, sharding, token_counts, toxicity, url_lists, wavelet
 from .workspace import work_folder, written
 
 
@@ -282,3 +282,66 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     rows = out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     top = {"start": F.expr("-best.col2"), "length": F.expr("best.length"), "period": F.expr("-best.col3"), "exponent_milli": F.expr("1000 * best.length div -best.col3")}
     return rows.select("doc_id", "n_runs", *(v.alias(k) for k, v in top.items()), "runs_sha256", "collapsed_sha256")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with planted faults, by the checksum of `conv_id:turn`; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(space("role"))
+    times = F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    kept = rows.withColumn("fate", fate).where("fate <> 0")
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("time")).drop("time")
+
+
+def _labelled(state: str, cost: str, initials: str) -> str:
+    """A path's label, nine digits of cost and then its edits, with more of both."""
+    return f"lpad(CAST(CAST(substr({state}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{initials}'"
+
+
+def _inserted(source: str) -> str:
+    """One more row may be inserted; two are enough between rows, as a third leads back to where the first led."""
+    to_user = ", ".join(_labelled(s, "5", "I") for s in ("s0", "s1", "s3"))
+    return f"SELECT * REPLACE (least(s2, {to_user}) AS s2, least(s3, {_labelled('s2', '5', 'I')}) AS s3) FROM ({source})"
+
+
+_KEEP = lambda c, s: f"CASE WHEN fault IN ('blank', 'duplicate') OR c <> '{c}' THEN NULL ELSE {_labelled(s, 'more', 'K')} END"
+_REROLE = lambda s: f"CASE WHEN fault IN ('blank', 'duplicate') THEN NULL ELSE {_labelled(s, 'more + 1', 'R')} END"
+_STEP_SQL = f"""SELECT dp.rid, dp.pos + 1 AS pos, {_labelled("s0", "2", "D")} AS s0, least({_labelled("s1", "2", "D")}, {_KEEP("s", "s0")}) AS s1,
+  least({_labelled("s2", "2", "D")}, {", ".join(f(s) for s in ("s0", "s1", "s3") for f in (lambda s: _KEEP("u", s), _REROLE))}) AS s2,
+  least({_labelled("s3", "2", "D")}, {_KEEP("a", "s2")}, {_REROLE("s2")}) AS s3
+  FROM dp JOIN r ON r.rid = dp.rid AND r.pos = dp.pos + 1"""
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (SELECT *, {crc32_sql("key")} % 20 AS fate FROM c, crc_table),
+m AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) FROM f WHERE fate <> 0),
+ids AS (SELECT conv_id, row_number() OVER () AS rid FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT rid, turn, role, text, row_number() OVER (PARTITION BY rid ORDER BY turn NULLS FIRST, role, md5(text)) AS pos, rtrim(text, {_BLANKS}) AS body FROM m JOIN ids ON m.conv_id IS NOT DISTINCT FROM ids.conv_id),
+r AS (SELECT rid, pos, turn, role, text, left(role, 1) AS c, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY rid, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 5 END AS more, lag(left(role, 1)) OVER (PARTITION BY rid ORDER BY pos) AS before FROM o),
+dp AS ({_inserted("SELECT rid, 0 AS pos, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM ids")}
+  UNION ALL {_inserted(_inserted(_STEP_SQL))}),
+n AS (SELECT rid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY rid),
+w AS (SELECT rid, least(s0, s3) AS label FROM dp JOIN n USING (rid) WHERE dp.pos = n.n),
+e AS (SELECT rid, i, substr(label, 9 + i, 1) AS edit, i - len(replace(substr(label, 10, i), 'I', '')) AS inserts FROM (SELECT rid, label, unnest(range(1, len(label) - 8)) AS i FROM w)),
+k AS (SELECT e.rid, i, edit, role, text, row_number() OVER (PARTITION BY e.rid ORDER BY i) AS nth FROM e LEFT JOIN r ON e.rid = r.rid AND r.pos = e.i - e.inserts AND edit <> 'I' WHERE edit <> 'D'),
+b AS (SELECT rid, bool_or(nth = 1 AND edit = 'K' AND left(role, 1) = 's') AS led FROM k GROUP BY rid),
+t AS (SELECT rid, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth % 2 = 1) <> led THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS digest FROM k JOIN b USING (rid) GROUP BY rid)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(CAST(substr(label, 1, 9) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(label, 10), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (rid) LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)"""
+
+
+@add("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    report, fixed = dialogues.repair(damaged(rows))
+    hashed = dialogues.digests(fixed)
+    every = rows.select("conv_id").distinct()
+    out = every.join(report, every["conv_id"].eqNullSafe(report["conv_id"]), "left").join(hashed, every["conv_id"].eqNullSafe(hashed["conv_id"]), "left")
+    counts = [F.coalesce(report[c], F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(every["conv_id"], *counts, F.coalesce(report["audit"], F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
