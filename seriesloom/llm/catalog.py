@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogues, jaccard, language, mixing, quality, recompression, sharding, token_counts, toxicity, url_lists, wavelet
+from . import decontaminate, dialogues, jaccard, language, mixing, multi_index, quality, recompression, sharding, token_counts, toxicity, url_lists, wavelet
 from .workspace import work_folder, written
 
 
@@ -345,3 +345,19 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     out = every.join(report, every["conv_id"].eqNullSafe(report["conv_id"]), "left").join(hashed, every["conv_id"].eqNullSafe(hashed["conv_id"]), "left")
     counts = [F.coalesce(report[c], F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select(every["conv_id"], *counts, F.coalesce(report["audit"], F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT rid, vec_id, label, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+u AS (SELECT * FROM n WHERE norm > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {multi_index.LEAST}),
+r AS (SELECT rid, rid AS x FROM e UNION SELECT r.rid, l.b FROM r JOIN l ON r.x = l.a),
+c AS (SELECT r.rid, min(e.vec_id) AS component_id FROM r JOIN e ON e.rid = r.x GROUP BY r.rid),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN c USING (rid) LEFT JOIN k ON k.a = e.rid"""
+
+
+@add("op13_embedding_duplicates", OP13_SQL)
+def op13_embedding_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
