@@ -15,9 +15,9 @@ bound that its two sizes demand. Only the blocks of the product that can hold su
    link and the groups with sets of both clusters stand for enough postings. Every pair of sets is in at most one product.
 4. `multiplied`: columns in strips, dense within a strip; overlap counts add up over strips, and a product ends early when no pair
    can reach its bound any more. It returns, per set, the documents it links to and a spanning forest of the links: never pairs.
-5. `components`: large-star and small-star rounds over the forests.
+5. `graph.components`: large-star and small-star rounds over the forests.
 
-Cases: null and empty texts, and texts without a word, have an empty set, no links and their own id as component; fewer than five
+Cases: a very long text is one row of a block, whatever its size; null and empty texts, and texts without a word, have an empty set, no links and their own id as component; fewer than five
 words make one shingle of the whole sequence; rows with an equal id are documents of their own; a null id names no component (the
 component id is null if there is no other); an empty table gives an empty result; other columns are ignored. Sets are told apart by
 64-bit hashes of their shingles and sizes.
@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import BASE, LOWER, WORD, map_texts, mixed, per_text, quoted, slices, span_hashes, spans, windows
+from .graph import components
 from .workspace import work_folder, written
 
 SHINGLE = 5
@@ -355,11 +356,16 @@ def _table(parts: list[list[np.ndarray]]) -> pa.Table:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each chosen document; a row whose text has another set (a key used twice) gives none."""
+    """The set of each chosen document, once a task; a row whose text has another set (a key used twice) gives none."""
+    seen: set[int] = set()
     for batch, data, offsets in slices(batches):
         sets = shingle_sets(data, offsets)
-        node = batch.column("node").to_pylist()
-        mask = pa.array([bool(len(s)) and digest(s) == k for s, k in zip(sets, node, strict=True)], pa.bool_())
+        mask = []
+        for s, k in zip(sets, batch.column("node").to_pylist(), strict=True):
+            mask.append(k not in seen and bool(len(s)) and digest(s) == k)
+            if mask[-1]:
+                seen.add(k)
+        mask = pa.array(mask, pa.bool_())
         blob = pa.array([s.tobytes() for s in sets], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), batch.column("times"), blob], names=["block", "node", "times", "shingles"]).filter(mask)
 
@@ -403,28 +409,6 @@ def multiplied(docs: DataFrame, sets: DataFrame, nodes: DataFrame, pairs: DataFr
     return written(blocks.mapInArrow(_within, LINKS).unionByName(across), folder, "links")
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, root) for every node of the undirected edges (u, v): alternating large-star and small-star until nothing changes.
-
-    Each round is a written table. Minima are combined before the exchange, so the neighbours of a hub meet in no single task.
-    """
-    star = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    star, turn, last = written(star, folder, "edges0"), 0, None
-    while True:
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: edges point from the larger end to the smaller one already
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        turn += 1
-        star = written(small.where("u <> v").distinct(), folder, f"edges{turn}")
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or tuple(now) == last:
-            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = tuple(now)
-
-
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key and text. The key finds a text again; its set is checked then, so a key need not be unique."""
     doc_id, text = quoted(id_col).cast("bigint"), quoted(text_col)
@@ -468,9 +452,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, found, _ = _solved(located, work_folder(docs.sparkSession))
     # the smallest document of a set first, then of a component: a hot set is combined before the exchange
     first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("d"))
-    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"), F.lit(True).alias("__first"))
+    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"))
     key = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col))).alias("__key")
     tagged = map_texts(docs.select(*(quoted(c) for c in docs.columns), key), text_col, _node_of_text, "__node bigint")
-    same = Window.partitionBy("__key", "__node").orderBy(F.lit(0))
-    out = tagged.join(kept, ["__key", "__node"], "left").withColumn("__nth", F.row_number().over(same))
-    return out.where(F.col("__node").isNull() | (F.col("__first") & (F.col("__nth") == 1))).select(*(quoted(c) for c in docs.columns))
+    columns = [quoted(c) for c in docs.columns]
+    # rows that agree are combined before the exchange
+    one = tagged.where("__node is not null").groupBy("__key", "__node").agg(F.first(F.struct(*columns)).alias("__row"))
+    one = one.join(kept, ["__key", "__node"], "left_semi").select("__row.*")
+    return tagged.where("__node is null").select(*columns).unionByName(one)
