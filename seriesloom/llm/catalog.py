@@ -126,9 +126,11 @@ FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN e ON d.sourc
 
 @add("op4_mixing", OP4_SQL)
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n"))
-    mixed = mixing.mix(written(docs, work_folder(spark), "sizes"), size_col="n")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    folder = work_folder(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n"), F.monotonically_increasing_id().alias("row"))
+    mixed = written(mixing.mix(written(docs, folder, "sizes"), size_col="n"), folder, "mix")
+    taken = mixing.dealt(mixed, ["row", "size"]).groupBy("row").agg(F.sum("size").alias("taken"))
+    return mixed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 # a place on the curve by the same published transform, as one recursive row a step; crc32 from its polynomial, four bits at a time
@@ -164,12 +166,17 @@ def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
 HOST_SQL = "nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '')"
 
 
+#: Labels of an entry of the derived list log, at most.
+LOG_LABELS = 16
+
+
 def list_log(pages: DataFrame) -> DataFrame:
     """A dated block list derived from the pages: hosts and the domains above them enter, leave and re-enter two lists.
 
-    The days follow from a hash of the entry, so the log grows with the hosts of the table.
+    The days follow from a hash of the entry, so the log grows with the hosts of the table. Entries have at most LOG_LABELS labels.
     """
-    entries = pages.select(F.explode(url_lists.domains(url_lists.host_of(F.col("url")))).alias("entry")).distinct()
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).distinct()
+    entries = hosts.select(F.explode(url_lists.domains(F.col("host"), LOG_LABELS)).alias("entry")).distinct()
     h = F.conv(F.substring(F.md5(F.col("entry").cast("binary")), 1, 6), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     first = h % 200
@@ -185,7 +192,7 @@ def list_log(pages: DataFrame) -> DataFrame:
 OP10_SQL = f"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, {HOST_SQL} AS host, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS day FROM pages),
 dom AS (SELECT rid, unnest([array_to_string(l[i:], '.') FOR i IN range(1, len(l) + 1)]) AS entry FROM (SELECT rid, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL)),
-e AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 6) AS INT) AS h FROM (SELECT DISTINCT entry FROM dom)),
+e AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 6) AS INT) AS h FROM (SELECT DISTINCT entry FROM dom) WHERE len(string_split(entry, '.')) <= {LOG_LABELS}),
 log AS (SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END AS list, 'add' AS action, DATE '2024-01-01' + h % 200 AS day FROM e WHERE h % 3 = 0
   UNION ALL SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END, 'remove', DATE '2024-01-01' + h % 200 + 20 + h % 60 FROM e WHERE h % 3 = 0 AND h % 2 = 0
   UNION ALL SELECT entry, CASE WHEN h % 5 < 3 THEN 'spam' ELSE 'malware' END, 'add', DATE '2024-01-01' + h % 200 + 90 + h % 60 FROM e WHERE h % 3 = 0 AND h % 4 = 0),

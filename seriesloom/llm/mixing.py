@@ -29,6 +29,8 @@ from .workspace import work_folder, written
 SHARDS = 64
 #: Expected documents in a block.
 BLOCK_ROWS = 512
+#: Blocks whose words are summed up in one task.
+STRETCH = 4096
 #: Bound of the plan on the driver: sources times shards.
 MOST_CELLS = 20_000_000
 SEED = 17
@@ -117,7 +119,12 @@ def _prefix_ends(sized: DataFrame, small: DataFrame) -> DataFrame:
     """For each source the key of the last document of the prefix whose words come nearest to the missing ones (none: null)."""
     rows = sized.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", block_of(F.col("key"), F.col("blocks")))
     sums = rows.groupBy("p_source", "missing", "blocks", "block").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("p_source").orderBy("block")) - F.col("words")
+    sums = written(sums.withColumn("stretch", F.floor(F.col("block") / STRETCH)), work_folder(sized.sparkSession), "blocks")
+    # words before a block: of the stretches before its own, and of the blocks before it there
+    coarse = sums.groupBy("p_source", "stretch").agg(F.sum("words").alias("within"))
+    coarse = coarse.select(F.col("p_source").alias("s_source"), F.col("stretch").alias("s_stretch"), (F.sum("within").over(Window.partitionBy("p_source").orderBy("stretch")) - F.col("within")).alias("earlier"))
+    sums = sums.join(coarse, F.col("p_source").eqNullSafe(F.col("s_source")) & (F.col("stretch") == F.col("s_stretch")))
+    before = F.col("earlier") + F.sum("words").over(Window.partitionBy("p_source", "stretch").orderBy("block")) - F.col("words")
     # the last block that begins before the missing words are reached
     edge = sums.withColumn("before", before).where(F.col("before") <= F.col("missing")).groupBy("p_source", "missing", "blocks").agg(F.max(F.struct("block", "before")).alias("e"))
     edge = edge.select(F.col("p_source").alias("e_source"), "missing", "blocks", F.col("e.block").alias("e_block"), F.col("e.before").alias("e_before"))
@@ -167,14 +174,14 @@ def mix(
     return joined.select(*kept, F.col("p_words").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), F.col("p_copies").alias("copies"), shard.alias("shards"))
 
 
-def dealt(mixed: DataFrame, columns: list[str], seed: int = SEED, id_col: str = "doc_id", part_words: int = PART_WORDS) -> DataFrame:
-    """The given columns of every copy, copies of a shard together and in random order.
+def dealt(mixed: DataFrame, columns: list[str], seed: int = SEED, id_col: str = "doc_id", part_words: int = PART_WORDS, shard_col: str | None = None) -> DataFrame:
+    """The given columns of every copy, and its shard if a name is given for it; copies of a shard together and in random order.
 
     A shard is spread over as many partitions as its words ask for; within a partition rows are sorted by shard and a hash.
     """
     total = mixed.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     places = max(1, -(-int(total) // part_words))
-    copies = mixed.select(*(quoted(c) for c in columns), F.posexplode("shards").alias("__copy", "__shard"))
-    order = F.xxhash64(F.lit(seed), F.coalesce(quoted(id_col).cast("string"), F.lit("")), F.col("__copy"))
+    copies = mixed.select(*(quoted(c) for c in columns), quoted(id_col).cast("string").alias("__id"), F.posexplode("shards").alias("__copy", "__shard"))
+    order = F.xxhash64(F.lit(seed), F.coalesce("__id", F.lit("")), F.col("__copy"))
     placed = copies.withColumn("__order", order).withColumn("__part", F.pmod("__order", F.lit(max(1, places // SHARDS))))
-    return placed.repartition("__shard", "__part").sortWithinPartitions("__shard", "__order").select(*(quoted(c) for c in columns))
+    return placed.repartition("__shard", "__part").sortWithinPartitions("__shard", "__order").select(*(quoted(c) for c in columns), *([F.col("__shard").alias(shard_col)] if shard_col else []))

@@ -8,7 +8,8 @@ Captures collapse to distinct (host, day) pairs before anything is joined; the a
 host with a third of all captures, or a domain above most hosts, is at most one row a day there. Verdicts go back to the captures
 by (host, day), which spreads a hot host over its days.
 
-Cases: a null URL, or one without a host, matches nothing; a null fetch day, a null entry, a null date or an unknown action never
+Cases: a null URL, or one without a host, matches nothing; of a host of very many labels only domains as long as the longest list entry are
+looked up; a null fetch day, a null entry, a null date or an unknown action never
 match; of several changes of one entry on one day the last in the order add, remove counts, so a removal wins; an addition while the
 entry is active starts a new interval; repeated captures are judged each; empty captures or lists give no matches; a column with an
 output's name is replaced.
@@ -28,10 +29,17 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(F.rtrim(host, F.lit("."))) > 0, F.rtrim(host, F.lit(".")))
 
 
-def domains(host: Column) -> Column:
-    """The host and the domains above it, most specific first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def n_labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def domains(host: Column, most: int) -> Column:
+    """The host, if it has at most so many labels, and the domains of at most so many labels above it; most specific first.
+
+    `host` should be a column of a table: an expression would be computed anew for every domain.
+    """
+    counts = F.sequence(F.least(n_labels(host), F.lit(most)), F.lit(1), F.lit(-1))
+    return F.when(host.isNotNull(), F.transform(counts, lambda k: F.call_function("substring_index", host, F.lit("."), -k)))
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -48,8 +56,10 @@ def judge(captures: DataFrame, log: DataFrame, url_col: str = "url", day_col: st
     kept = [quoted(c) for c in captures.columns if c.lower() not in taken]
     rows = captures.select(*kept, host_of(quoted(url_col)).alias("host"), quoted(day_col).cast("date").alias("__day"))
     asked = rows.where(F.col("host").isNotNull() & F.col("__day").isNotNull()).select("host", "__day").distinct()
-    parts = asked.select(F.col("host").alias("a_host"), F.col("__day").alias("a_day"), F.explode(domains(F.col("host"))).alias("a_domain"))
     valid = intervals(log)
+    # a domain of more labels than the longest entry can't match: a host of many labels costs no more than its length
+    most = valid.agg(F.max(n_labels(F.col("entry")))).first()[0] or 1
+    parts = asked.select(F.col("host").alias("a_host"), F.col("__day").alias("a_day"), F.explode(domains(F.col("host"), most)).alias("a_domain"))
     days = parts.select(F.col("a_domain").alias("entry"), F.col("a_day").alias("day")).distinct()
     inside = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     active = days.join(valid, "entry").where(inside).groupBy("entry", "day").agg(F.sort_array(F.collect_set("list")).alias("in_lists"))

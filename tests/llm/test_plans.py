@@ -1,6 +1,7 @@
 """Mixing, Jaccard join, sharding, URL lists, the pipeline."""
 
 import datetime as dt
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -49,6 +50,30 @@ def test_mix_in_shards(spark):
     assert sorted(out) == sorted(again)
 
 
+def test_every_copy_lies_where_the_tree_put_it(spark):
+    rows = [(i, "a few words here", f"s{i % 3}") for i in range(3000)] + [(9000 + i, "w " * 40, "big") for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sized = docs.select("source", mixing.order_key(F.col("doc_id"), mixing.SEED).alias("key"), mixing.words(F.col("text")).alias("size"))
+    plan = mixing.plan(sized, mixing.cycled((3.0, 1.0, 2.0)), 1.5, 2.0, 8, 10, mixing.SEED)
+    quotas = mixing.split([p[6][-1] for p in plan], 8, mixing.SEED)
+    assert quotas.sum(1).max() - quotas.sum(1).min() <= 3
+    place = {}
+    for i, p in enumerate(plan):
+        shard = np.repeat(np.arange(8), quotas[:, i]).tolist()  # of each unit: copy by copy, block by block
+        place |= {(p[0], unit // p[5], unit % p[5]): (s, p[5]) for unit, s in enumerate(shard)}
+    mixed = mixing.mix(docs, shards=8, block_rows=10)
+    blocks = {p[0]: p[5] for p in plan}
+    seen = Counter()
+    for r in mixing.dealt(mixed, ["doc_id", "source"], shard_col="at").collect():
+        seen[r.doc_id, r["at"]] += 1
+    want = Counter()
+    for r in mixed.collect():
+        block = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:8], 16) * blocks[r.source] >> 32
+        for copy in range(r.copies):
+            want[r.doc_id, place[r.source, copy, block][0]] += 1
+    assert seen == want and sum(want.values()) > 3000
+
+
 def test_splitting_tree():
     units = [100, 7, 0, 1234]
     parts = mixing.split(units, 13, 5)
@@ -127,23 +152,26 @@ def test_representatives(spark):
     assert Counter(r.doc_id for r in got if brute._words(r.text)) == Counter(d for _, d in reps) + Counter([3])  # id 3 stands for two groups
 
 
+def test_jaccard_of_one_id_and_of_a_hub(spark):
+    """Many rows of one id, in one text and in several; many near copies of one text."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(5000)}" for _ in range(60)]
+    near = [" ".join([*base[:-1], f"x{i}"]) for i in range(300)]
+    rows = [(7, " ".join(base)) for _ in range(5000)] + [(100 + i, t) for i, t in enumerate(near)] + [(7, f"other text number {i} of this id {i}") for i in range(3)]
+    rows += [(None, None)] * 500 + [(None, "")] * 500 + [(None, "one lone text without id")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((x.doc_id, x.n_links, x.component_id) for x in jaccard.join(docs).collect())
+    assert got[7, 5299, 7] == 5000 and got[7, 0, 7] == 3 and got[None, 199, None] == 200 and got[None, 0, None] == 1000
+    assert sum(n for k, n in got.items() if (k[0] or 0) >= 100) == 300 and all(k[1:] == (5299, 7) for k in got if (k[0] or 0) >= 100)
+    kept = Counter((x.doc_id, x.text) for x in jaccard.representatives(docs).collect())
+    assert kept[7, " ".join(base)] == 1 and sum(kept.values()) == 1 + 3 + 1000 + 1
+
+
 def test_jaccard_of_nothing(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
 
 
-def test_components(spark):
-    r = random.Random(3)
-    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5100)]
-    parent = {}
-    top = lambda x: x if parent.setdefault(x, x) == x else top(parent[x])
-    for a, b in edges:
-        a, b = sorted((top(a), top(b)))
-        parent[b] = a
-    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "u long, v long"), work_folder(spark)).collect()}
-    assert all(got.get(x, x) == top(x) for x in parent)
-
-
 # sharding
 
 
@@ -183,11 +211,18 @@ def test_hosts(spark):
     assert [r[0] for r in out] == ["www.example.com", "a.b", "h", None, None, None, "h"]
 
 
-def test_domains_of_a_host_with_many_labels(spark):
-    host = ".".join(["x"] * 198 + ["example", "com"])
-    labels = host.split(".")
-    got = spark.createDataFrame([(host,), ("a.b",), ("a",), (None,)], "host string").select(url_lists.domains(F.col("host")).alias("d")).collect()
-    assert [r.d for r in got] == [[".".join(labels[i:]) for i in range(200)], ["a.b", "b"], ["a"], None]
+def test_domains_of_hosts_with_many_labels(spark):
+    hosts = [".".join(["x"] * 198 + ["example", "com"]), "a.b", "a", None, "a." * 500_000 + "org"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(url_lists.domains(F.col("host"), 3).alias("d")).collect()
+    assert [r.d for r in got] == [["x.example.com", "example.com", "com"], ["a.b", "b"], ["a"], None, ["a.a.org", "a.org", "org"]]
+
+
+def test_a_url_of_a_million_characters(spark):
+    urls = [(1, "http://" + "a." * 500_000 + "bad.com/"), (2, "http://" + "b" * 1_000_000 + ".bad.com/"), (3, "http://a.com/" + "x" * 1_000_000)]
+    captures = spark.createDataFrame([(i, u, dt.date(2024, 1, 5)) for i, u in urls], "page int, url string, fetch_day date")
+    log = spark.createDataFrame([("l", "bad.com", dt.date(2024, 1, 1), "add")], "list string, entry string, day date, action string")
+    assert {r.page: r.entry for r in url_lists.judge(captures, log).collect()} == {1: "bad.com", 2: "bad.com", 3: None}
+
 
 
 def test_lists_equal_brute_force(spark):
