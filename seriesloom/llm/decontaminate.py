@@ -1,11 +1,13 @@
 """Benchmark decontamination (operator 7): one Aho-Corasick automaton over normalised test passages.
 
-Normalising lower-cases A-Z and turns every run of other ASCII characters between words into one space, on UTF-8 bytes. A window of
-13 consecutive item words (or a shorter item as a whole), between spaces, is one pattern. Each text is scanned once; a match's
-place gives the words it covers, and those words' byte spans give the place in the original text.
-
-The items are collected in parts of at most `PART_BYTES` bytes of text, so the automaton that is broadcast is bounded (a pattern
-has at most 13 words; about 60 bytes a node); with more items the documents are scanned once a part, the findings of the parts
+Normalising lower-cases A-Z and turns every run of other ASCII characters between words into one space, on UTF-8 bytes. A window is 13
+consecutive item words, or a shorter item as a whole. Every window of 13 holds a whole one of the 7-word pieces an item falls into
+from its start, so the automaton needs these pieces only (and the shorter items), about as many nodes as the benchmark has
+characters. Each text is scanned once; around a piece that is found the windows that hold it are looked up in a table of all windows.
+The places give the words covered, and those words' byte spans give the place in the original text.
+
+The items are collected in parts of at most `PART_BYTES` bytes of text, whose automaton and table take some 75 bytes of memory for
+each byte of text, and a Python worker builds them once for all its tasks; with more items the documents are scanned once a part, the findings of the parts
 before travelling with the rows in a written table.
 
 Cases: a null or empty text, and one without a word, has no words and is clean; an item without a word has no window; items that
@@ -15,7 +17,7 @@ count a word once; a column with an output's name is replaced.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from .buffers import LOWER, byte_set, map_texts, quoted, spans
 from .workspace import work_folder, written
 
 WINDOW = 13
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Bytes of the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z is lower-cased.
 WORD_BYTES = byte_set([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 NORMAL = bytes(int(LOWER[b]) if WORD_BYTES[LOWER[b]] else 0x20 for b in range(256))
@@ -38,26 +40,40 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Passages:
-    """The automaton and, for each window, how many words it has and which items hold it."""
+    """The automaton over pieces of windows, and which items hold a window."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         import ahocorasick
 
-        held: dict[bytes, tuple[int, set[str]]] = {}
-        for item, text in items:
+        self.window, self.piece = window, (window + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.items = [item for item, _ in items]
+        pieces: dict[bytes, list[int]] = {}  # of a shorter item that is the piece: the items
+        self.windows: dict[bytes, int | tuple[int, ...]] = {}
+        for place, (_, text) in enumerate(items):
             words = words_of((text or "").encode())
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                held.setdefault(b" " + b" ".join(words[i : i + size]) + b" ", (size, set()))[1].add(item)
+            if len(words) >= window:
+                ids = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32)
+                for i in range(len(words) - window + 1):
+                    key = ids[i : i + window].tobytes()
+                    old = self.windows.get(key)
+                    if old is None:
+                        self.windows[key] = place
+                    elif place != (old if isinstance(old, int) else old[-1]):
+                        self.windows[key] = (*((old,) if isinstance(old, int) else old), place)
+                for i in range(0, len(words) - self.piece + 1, self.piece):
+                    pieces.setdefault(b" " + b" ".join(words[i : i + self.piece]) + b" ", [])
+            elif words:
+                pieces.setdefault(b" " + b" ".join(words) + b" ", []).append(place)
         self.automaton = ahocorasick.Automaton()
-        for key, (size, ids) in held.items():
-            self.automaton.add_word(key.decode("latin-1"), (size, sorted(ids)))
-        if held:
+        for key, short in pieces.items():
+            self.automaton.add_word(key.decode("latin-1"), (key.count(b" ") - 1, tuple(short)))
+        if pieces:
             self.automaton.make_automaton()
-        self.empty = not held
+        self.empty = not pieces
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, list[str]]]]:
-        """How many words the text has; for each match its first word, the word after its last, and the items."""
+        """How many words the text has; for each window found its first word, the word after its last, and the items."""
         words = words_of(text)
         if self.empty or not words:
             return len(words), []
@@ -67,7 +83,33 @@ class Passages:
             return len(words), []
         spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
         last = np.searchsorted(spaces, [end for end, _ in found]).tolist()
-        return len(words), [(to - size, to, ids) for to, (_, (size, ids)) in zip(last, found, strict=True)]
+        out, tried = [], -1  # matches come in order of their ends
+        for to, (_, (size, short)) in zip(last, found, strict=True):
+            if short:
+                out.append((to - size, to, [self.items[i] for i in short]))
+            if size == self.piece:
+                # the windows that hold this piece and weren't looked up for an earlier one
+                low, high = max(tried + 1, to - self.window, 0), min(to - size, len(words) - self.window)
+                if low <= high:
+                    ids = [self.numbers.get(w, -1) for w in words[low : high + self.window]]
+                    block = np.array(ids, np.int32).tobytes()
+                    for i in range(high - low + 1):
+                        held = self.windows.get(block[4 * i : 4 * (i + self.window)])
+                        if held is not None:
+                            out.append((low + i, low + i + self.window, [self.items[j] for j in ((held,) if isinstance(held, int) else held)]))
+                    tried = high
+        return len(words), out
+
+
+_BUILT: dict[str, Passages] = {}
+
+
+def built(name: str, items: list[tuple[str, str]], window: int) -> Passages:
+    """The passages of one part, built once in a worker process; only the last part's are held."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Passages(items, window)
+    return _BUILT[name]
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,8 +144,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: li
             out = written(out, folder, f"part{k}")
         shared = spark.sparkContext.broadcast(items)
 
-        def make(shared=shared, more=out is not None):
-            passages = Passages(shared.value, window)
+        def make(shared=shared, name=uuid.uuid4().hex, more=out is not None):
+            passages = built(name, shared.value, window)
 
             def work(batch, data, offsets):
                 raw, rows = data.tobytes(), [[], [], []]

@@ -109,13 +109,41 @@ def suspects():
     return [*out, (0, None), (1, ""), (None, items()[2][1]), *enumerate(ODD_TEXTS), (7, "x" * 100_000)]
 
 
-@pytest.mark.parametrize("part_bytes", [4 << 20, 200])
+@pytest.mark.parametrize("part_bytes", [2 << 20, 200])
 def test_contamination(spark, part_bytes):
     bench, rows = spark.createDataFrame(items(), "item_id long, text string"), spark.createDataFrame(suspects(), "doc_id long, text string")
     got = decontaminate.judged(decontaminate.scan(rows, bench, keep=["doc_id"], part_bytes=part_bytes)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.contamination_rows(suspects(), items())))
 
 
+@pytest.mark.parametrize("window", [13, 6, 4, 1])
+def test_windows_found_by_their_pieces(window):
+    r = random.Random(window)
+    for _ in range(60):
+        v = [f"w{i}" for i in range(r.choice([2, 5, 30]))]
+        bench = [(str(i), " ".join(r.choices(v, k=r.choice([0, 1, 3, 6, 7, 12, 13, 14, 20, 40])))) for i in range(8)]
+        passages = decontaminate.Passages(bench, window)
+        text = []
+        for _ in range(r.randint(0, 4)):
+            item = r.choice(bench)[1].split()
+            at = r.randint(0, len(item))
+            text += r.choices(v, k=r.randint(0, 9)) + item[at : at + r.randint(0, 25)]
+        n, found = passages.scan(" ".join(text).encode())
+        want = brute.contamination_rows([(1, " ".join(text))], bench, window)[0]
+        hit = {i for a, b, _ in found for i in range(a, b)}
+        assert (n, len(hit), len({x for f in found for x in f[2]})) == want[1:4]
+
+
+def test_a_part_has_bounded_memory():
+    r = random.Random(3)
+    bench = [(str(i), " ".join("".join(r.choices("abcdefgh", k=r.randint(3, 8))) for _ in range(300))) for i in range(540)]
+    size = sum(len(t) for _, t in bench)
+    passages = decontaminate.Passages(bench)
+    assert size > 1_000_000 and passages.automaton.get_stats()["total_size"] < 50 * size and len(passages.windows) < size / 6
+    text = "clean start " + bench[7][1] + " clean end"
+    assert passages.scan(text.encode())[1][0][:2] == (2, 15)
+
+
 def test_passages_are_in_the_original(spark):
     bench = spark.createDataFrame([(1, "The quick, BROWN fox: jumps over thé lazy dog again and again today twice")], "item_id int, text string")
     text = "Ünd só — the QUICK brown; fox jumps over thé lazy dog again and again today twice! ende"
