@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.histories import History
 from ..plans.series import BROADCAST_ROWS, Layout, attach, measure, over_groups
 from ..spec import SeriesSpec
 from .calendar import FREQUENCIES, future_frame
@@ -38,11 +39,24 @@ class Totals:
     predict: Callable[[np.ndarray, np.ndarray, np.ndarray, int, Mapping], np.ndarray]
 
 
+@dataclass(frozen=True)
+class Family:
+    """How all settings of a model are answered from one ``History`` of a series.
+
+    ``lags(params)`` and ``rates(params)`` say which products and decayed sums the history must hold for a setting.
+    """
+
+    lags: Callable[[Mapping], int]
+    rates: Callable[[Mapping], Sequence[float]]
+    predict: Callable[[History, int, Mapping], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Model:
     """A forecaster that needs at most the last ``reach(params, h)`` values of a series.
 
-    A model with ``totals`` sees the whole history unless its parameter ``window`` is given.
+    A model with ``totals`` (one setting over many cutoffs) and ``family`` (many settings at one cutoff) sees the whole history unless
+    its parameter ``window`` is given.
     """
 
     name: str
@@ -50,6 +64,7 @@ class Model:
     reach: Callable[[Mapping, int], int]
     predict: FitPredict
     totals: Totals | None = None
+    family: Family | None = None
 
     def whole(self, params: Mapping) -> bool:
         return self.totals is not None and params.get("window") is None
@@ -149,6 +164,24 @@ def _autoregression_totals(recent: np.ndarray, sums: np.ndarray, ages: np.ndarra
     return np.array(held[k:])
 
 
+def _smoothing_family(past: History, h: int, p: Mapping) -> np.ndarray:
+    a = float(p["alpha"])
+    level = a * past.decayed[1.0 - a] + (1.0 - a) ** past.n * past.first[0]
+    return np.full(h, past.center + past.scale * level)
+
+
+def _autoregression_family(past: History, h: int, p: Mapping) -> np.ndarray:
+    k = int(p["order"])
+    if past.n < 2 * k + 2:
+        return np.full(h, past.center + past.scale * past.last[0])
+    cross = past.cross(k)
+    beta = np.linalg.pinv(cross[:-1, :-1], rcond=1e-12, hermitian=True) @ cross[:-1, -1]
+    held = past.last[:k][::-1].tolist()
+    for _ in range(h):
+        held.append(float(beta[0] + beta[1:] @ np.array(held[len(held) - k :])))
+    return past.center + past.scale * np.array(held[k:])
+
+
 def _windowed(predict: FitPredict) -> FitPredict:
     return lambda y, h, p: predict(y if p["window"] is None else y[-int(p["window"]) :], h, p)
 
@@ -162,10 +195,24 @@ register_model(Model("window_mean", {"window": 7}, lambda p, h: int(p["window"])
 register_model(Model("seasonal_naive", {"season": 7}, lambda p, h: int(p["season"]), _seasonal))
 register_model(Model("drift", {"window": 28}, lambda p, h: int(p["window"]), _drift))
 register_model(
-    Model("smoothing", {"alpha": 0.3, "window": None}, _window_or_whole, _windowed(_smoothing), Totals(lambda p: 1, _smoothing_columns, _smoothing_totals))
+    Model(
+        "smoothing",
+        {"alpha": 0.3, "window": None},
+        _window_or_whole,
+        _windowed(_smoothing),
+        Totals(lambda p: 1, _smoothing_columns, _smoothing_totals),
+        Family(lambda p: 1, lambda p: [1.0 - float(p["alpha"])], _smoothing_family),
+    )
 )
 register_model(
-    Model("autoregression", {"order": 3, "window": None}, _window_or_whole, _windowed(_autoregression), Totals(lambda p: int(p["order"]), _autoregression_columns, _autoregression_totals))
+    Model(
+        "autoregression",
+        {"order": 3, "window": None},
+        _window_or_whole,
+        _windowed(_autoregression),
+        Totals(lambda p: int(p["order"]), _autoregression_columns, _autoregression_totals),
+        Family(lambda p: int(p["order"]), lambda p: [], _autoregression_family),
+    )
 )
 
 
@@ -187,7 +234,7 @@ def recent_values(df: DataFrame, spec: SeriesSpec, most: int, name: str = "_rece
         F.sort_array(F.collect_list(F.struct((-F.col("_rn")).alias("_k"), F.col(spec.target_col).alias("v")))).alias("_s")
     )
     last = df.groupBy(*spec.keys).agg(F.max(spec.time_col).alias("_last"))
-    return out.withColumn(name, F.transform("_s", lambda s: s["v"])).drop("_s").join(last, spec.keys)
+    return attach(out.withColumn(name, F.transform("_s", lambda s: s["v"])).drop("_s"), last, spec.keys, BROADCAST_ROWS + 1)
 
 
 def _runner(m: Model, p: Mapping, h: int):

@@ -6,10 +6,12 @@ import json
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.histories import History, histories
+from ..plans.series import BROADCAST_ROWS, attach, measure
 from ..session import durable
 from ..spec import SeriesSpec
 from .forecast import get_model, recent_values
@@ -34,6 +36,8 @@ SEARCH_BY_BACKEND = {
 NEEDS_ID = ("loto_unique_id_ts_type",)
 RAY_ONLY_MODELS = ("AutoHINT",)
 NO_VALUE = ("", "none", "null", "(none)")
+#: Decay rates summed in one pass over the histories, and tasks answered together (on average).
+RATES, BUCKET = 128, 64
 
 
 def normalize_space(space: Mapping) -> dict[str, list]:
@@ -182,66 +186,112 @@ def pending_tasks(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return tasks.join(done, "task_order", "left_anti")
 
 
-def _task_reach(tasks: DataFrame, h: int, model: str | None) -> int:
-    """How many past values the longest-looking task needs; tasks that can't be understood need none."""
+def _needs(tasks: DataFrame, h: int, model: str | None) -> DataFrame:
+    """Adds what each task's model looks at: how many past values, or how many lags and which decay rates of the whole history.
+
+    Tasks that can't be understood need one value.
+    """
 
     def look(batches):
         for pdf in batches:
             out = []
             for text in pdf["params"]:
-                p = json.loads(text)
+                p, need = json.loads(text), (1, 0, [])
                 try:
                     m = get_model(str(p.pop("model", model) or "naive"))
-                    out.append(m.reach(m.validate(p), h))
-                except ValueError:
-                    out.append(1)
-            yield pd.DataFrame({"reach": out})
+                    settings = m.validate(p)
+                    if m.family is not None and m.whole(settings):
+                        need = (1, int(m.family.lags(settings)), [float(r) for r in m.family.rates(settings)])
+                    else:
+                        need = (max(1, m.reach(settings, h)), 0, [])
+                except (ValueError, TypeError):
+                    pass
+                out.append(need)
+            yield pdf.assign(**{name: [x[i] for x in out] for i, name in enumerate(("_reach", "_lags", "_rates"))})
+
+    return tasks.mapInPandas(look, "task_order long, params string, _reach long, _lags long, _rates array<double>")
+
+
+def _answers(rows: DataFrame, keys: Sequence[str], h: int, model: str | None, rates: Sequence[float]) -> DataFrame:
+    """The holdout points of every task of every row; a row holds a series' last values, its history if asked for, and some tasks."""
+
+    def history(row) -> History | None:
+        if row["_n"] is None:
+            return None
+        decayed = dict(zip(rates, row["_decayed"], strict=True))
+        return History(int(row["_n"]), row["_center"], row["_scale"], row["_total"], *(np.array(row[c], float) for c in ("_products",)), decayed, *(np.array(row[c], float) for c in ("_first", "_last")))
+
+    def answered(row, tasks):
+        y = np.array(row["_recent"], float)
+        past = history(row) if "_n" in row else None
+        for order, text in tasks:
+            p = json.loads(text)
+            name = str(p.pop("model", model) or "naive")
+            try:
+                m = get_model(name)
+                settings = m.validate(p)
+                if len(y) <= h:
+                    raise ValueError("series is shorter than the holdout")
+                if m.family is not None and m.whole(settings):
+                    guess = m.family.predict(past, h, settings)
+                else:
+                    need = m.reach(settings, h) + h
+                    guess = m.predict(y[-need : len(y) - h], h, settings)
+                yield from ((order, name, "success", None, s + 1, y[len(y) - h + s], float(guess[s])) for s in range(h))
+            except Exception as e:  # a failed task is a result, not the end of the grid
+                yield order, name, "failed", f"{type(e).__name__}: {e}", None, None, None
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    schema = f"{types}, task_order long, model_name string, status string, error_message string, step long, y double, yhat double"
+    names = ["task_order", "model_name", "status", "error_message", "step", "y", "yhat"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                values = row.to_pylist()[0]
+                out = list(answered(values, [(t["task_order"], t["params"]) for t in values["_tasks"]]))
+                cells = list(zip(*out, strict=True))
+                same = [row.column(k).take(pa.array(np.zeros(len(out), np.int64))) for k in keys]
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(cells, kinds, strict=True))], names=[*keys, *names])
 
-    return max(1, tasks.select("params").mapInPandas(look, "reach long").agg(F.max("reach")).first()[0] or 1)
+    return rows.mapInArrow(run, schema)
 
 
 def run_grid(df: DataFrame, spec: SeriesSpec, tasks: DataFrame, h: int, model: str | None = None, done: DataFrame | None = None, stop_on_error: bool = False) -> DataFrame:
     """One result per (task, series): metrics of the last ``h`` observed rows, or the error that stopped it.
 
-    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). A series contributes the tail of its
-    values that the tasks' models reach, all of them for a model of the whole history; every (series, task) pair is a row of its own, dealt over all tasks of the cluster. ``done`` holds earlier
-    results, whose successful tasks are left out. With ``stop_on_error`` no task behind the first failing one has a result.
+    ``tasks`` carries ``task_order``, ``params`` JSON (with ``model`` unless one is given). A series contributes the tail of its values
+    that windowed models reach, and, for the models of the whole history, one state of sums from one pass over its rows, from which
+    all their settings are answered; no array holds a series. Tasks are dealt in buckets of bounded size, and every (series, bucket)
+    pair is a row of its own. ``done`` holds earlier results, whose successful tasks are left out. With ``stop_on_error`` no
+    task behind the first failing one has a result.
     """
     tasks = tasks.select(F.col("task_order").cast("long").alias("task_order"), "params")
     if done is not None:
         tasks = pending_tasks(tasks, done)
     keys = spec.keys
-    recent = recent_values(df, spec, _task_reach(tasks, h, model) + h).drop("_last")
+    ready = durable(_needs(tasks, h, model))
+    reach, lags, total = ready.agg(F.max("_reach"), F.max("_lags"), F.count(F.lit(1))).first()
+    rates = sorted(r[0] for r in ready.select(F.explode("_rates")).distinct().collect())  # values of the caller's own grid
+    recent = durable(recent_values(df, spec, (reach or 1) + h).drop("_last"))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = recent.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    right = tasks.withColumn("_b", F.pmod(F.xxhash64("task_order"), F.lit(spread)).cast("int"))
-    pairs = left.join(right, "_b").drop("_b").repartition(spread, *keys, "task_order")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i, (order, text, values) in enumerate(zip(pdf["task_order"], pdf["params"], pdf["_recent"])):
-                p, y = json.loads(text), np.array(values, float)
-                name = str(p.pop("model", model) or "naive")
-                try:
-                    m = get_model(name)
-                    settings = m.validate(p)
-                    if len(y) <= h:
-                        raise ValueError("series is shorter than the holdout")
-                    need = m.reach(settings, h) + h
-                    guess = m.predict(y[-need:-h], h, settings)
-                    out += [(i, order, name, "success", None, s + 1, y[len(y) - h + s], float(guess[s])) for s in range(h)]
-                except Exception as e:  # a failed task is a result, not the end of the grid
-                    out.append((i, order, name, "failed", f"{type(e).__name__}: {e}", None, None, None))
-            frame = pd.DataFrame(out, columns=["_i", "task_order", "model_name", "status", "error_message", "step", "y", "yhat"])
-            for n, k in enumerate(keys):
-                frame.insert(n, k, pdf[k].to_numpy()[frame["_i"].to_numpy(int)] if len(frame) else [])
-            frame["step"] = frame["step"].astype("Int64")
-            yield frame.drop(columns="_i")
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    schema = f"{types}, task_order long, model_name string, status string, error_message string, step long, y double, yhat double"
-    points = pairs.mapInPandas(run, schema)
+    series = max(1, recent.count())
+    layout = measure(df, keys) if lags else None
+    points = None
+    for first in range(0, max(1, len(rates)), RATES):
+        group = rates[first : first + RATES]
+        asks = F.exists("_rates", lambda r: r.isin(group)) if group else F.lit(False)
+        mine = ready.where(asks | (F.size("_rates") == 0) if first == 0 else asks)
+        left = recent
+        if lags:
+            left = durable(attach(recent, histories(df, spec, lags, group, h, layout), keys, BROADCAST_ROWS + 1))
+        buckets = max(-(-total // BUCKET), min(total, -(-2 * spread // series)), 1)
+        right = mine.groupBy(F.pmod(F.xxhash64("task_order"), F.lit(buckets)).cast("int").alias("_b")).agg(F.collect_list(F.struct("task_order", "params")).alias("_tasks"))
+        pairs = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(right, "_b").repartition(spread, *keys, "_b").drop("_b")
+        part = _answers(pairs, keys, h, model, group)
+        points = part if points is None else points.unionByName(part)
     out = points.groupBy(*keys, "task_order", "model_name", "status", "error_message").agg(
         F.count("step").alias("n"), *[c.alias(k) for k, c in metric_columns(F.col("y"), F.col("yhat")).items()]
     )
