@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dist import normal_sf
+from ..plans.effects import Effects
 from ..plans.grams import gram, solve
 from ..plans.quantiles import group_quantiles, with_group_quantiles
 from ..plans.ranks import with_average_rank
@@ -268,35 +269,43 @@ def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: (row[c] if row[c] is not None else 0.0) for c in columns}
 
 
-def r_squared(g: np.ndarray, n: int, target: int, on: Sequence[int]) -> float:
-    """Clipped R2 of a regression that includes the intercept column (the first in ``on``)."""
-    total = g[target, target] - g[on[0], target] ** 2 / n
-    if total <= 0:
-        return 0.0
-    _, rss, _ = solve(g, target, on)
-    return float(min(1.0, max(0.0, 1.0 - rss / total)))
+def _fitted_on(df: DataFrame, target: Column, numeric: Mapping[str, Column], categories: Sequence[str]) -> Effects:
+    """The numeric columns (``_x_<name>``) and the target (``_y``, the last) of a regression that also has categories."""
+    cols = {f"_x_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in numeric.items()} | {"_y": target.cast("double")}
+    return Effects(df.select(*categories, *[c.alias(n) for n, c in cols.items()]), categories, list(cols))
+
+
+def _without_spanned(g: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Columns that the categories explain wholly count as zero, not as what rounding left of them."""
+    kept = np.diag(g) > 1e-10 * np.maximum(np.diag(raw), 1e-300)
+    return np.where(np.outer(kept, kept), g, 0.0)
+
+
+def _r_squared(effects: Effects, numeric: Sequence[str], categories: Sequence[str]) -> tuple[int, float]:
+    """Columns next to the intercept, and the clipped R2; 0 where the rows are too few for the columns."""
+    found = effects.absorbed([c for c in effects.categories if c in categories])
+    on, target = [effects.cols.index(f"_x_{c}") for c in numeric], len(effects.cols) - 1
+    columns, total = len(on) + found.dummies, effects.raw[target, target]
+    if effects.n < max(8, columns + 2) or total <= 0:
+        return columns, 0.0
+    g = _without_spanned(found.gram, effects.raw)
+    rss = solve(g, target, on)[1] if on else g[target, target]
+    return columns, float(min(1.0, max(0.0, 1.0 - rss / total)))
 
 
 def shapley_r2(df: DataFrame, target: str, features: Sequence[str], categories: Sequence[str] = (), orders: int = 60, seed: int = 42) -> DataFrame:
     """Share of R2 per feature, averaged over sampled orders of the features.
 
-    One pass sums the cross products of all columns; every subset's regression is then solved from them.
+    Cross products are summed once for every set of categories met; every subset's regression is then solved from them.
     """
     names = list(features)
-    numeric = [c for c in names if c not in categories]
     rows = df.where(F.col(target).isNotNull())
-    design, cols = _design(rows, {c: F.col(c) for c in numeric}, [c for c in names if c in categories])
-    table = gram(design.withColumn("_y", F.col(target).cast("double")), [], [*cols, "_y"])
-    first = table.first()
-    n, width = int(first["n"]), len(cols) + 1
-    g = np.array(first["gram"], float).reshape(width, width)
-    owner = {c: [i for i, x in enumerate(cols) if x == f"_x_{c}" or (c in categories and x.startswith(f"_x_{c}_"))] for c in names}
-    held: dict[frozenset, float] = {}
+    effects = _fitted_on(rows, F.col(target), {c: F.col(c) for c in names if c not in categories}, [c for c in names if c in categories])
+    held: dict[frozenset, float] = {frozenset(): 0.0}
 
     def value(chosen: frozenset) -> float:
         if chosen not in held:
-            on = [0] + [i for c in names if c in chosen for i in owner[c]]
-            held[chosen] = r_squared(g, n, width - 1, on) if chosen and n >= max(8, len(on) + 1) else 0.0
+            held[chosen] = _r_squared(effects, [c for c in names if c in chosen and c not in categories], [c for c in names if c in chosen and c in categories])[1]
         return held[chosen]
 
     rng = np.random.default_rng(seed)
@@ -315,20 +324,16 @@ def shapley_r2(df: DataFrame, target: str, features: Sequence[str], categories:
 
 
 def subset_r2(df: DataFrame, target: str, features: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
-    """R2 of every non-empty subset of the features, from one pass over the data; there are 2**n - 1 of them."""
+    """R2 of every non-empty subset of the features, from one pass over the data for each set of categories; there are 2**n - 1 of them."""
     names = list(features)
     if len(names) > MAX_SUBSET_FEATURES:
         raise ValueError(f"subsets of more than {MAX_SUBSET_FEATURES} features; use shapley_r2")
     rows = df.where(F.col(target).isNotNull())
-    design, cols = _design(rows, {c: F.col(c) for c in names if c not in categories}, [c for c in names if c in categories])
-    first = gram(design.withColumn("_y", F.col(target).cast("double")), [], [*cols, "_y"]).first()
-    n, width = int(first["n"]), len(cols) + 1
-    g = np.array(first["gram"], float).reshape(width, width)
+    effects = _fitted_on(rows, F.col(target), {c: F.col(c) for c in names if c not in categories}, [c for c in names if c in categories])
     out = []
     for size in range(1, len(names) + 1):
         for chosen in combinations(names, size):
-            on = [0] + [i for i, x in enumerate(cols) if any(x == f"_x_{c}" or (c in categories and x.startswith(f"_x_{c}_")) for c in chosen)]
-            out.append((",".join(chosen), len(on) - 1, r_squared(g, n, width - 1, on) if n >= max(8, len(on) + 1) else 0.0))
+            out.append((",".join(chosen), *_r_squared(effects, [c for c in chosen if c not in categories], [c for c in chosen if c in categories])))
     return df.sparkSession.createDataFrame(out, "features string, columns int, r2 double")
 
 
@@ -340,30 +345,26 @@ def proxy_effect(df: DataFrame, target: str, treatment: str, numeric: Sequence[s
         treat = F.coalesce((F.col(treatment) >= F.lit(_medians(df, [treatment])[treatment])), F.lit(False))
     else:
         top = df.groupBy(F.col(treatment).cast("string").alias("v")).count().orderBy(F.col("count").desc(), "v").first()
-        treat = F.col(treatment).cast("string") == F.lit(top["v"])
+        treat = F.coalesce(F.col(treatment).cast("string").eqNullSafe(F.lit(top["v"] if top else None)), F.lit(False))
     med = _medians(rows, numeric)
-    design, cols = _design(rows, {"_treat": treat} | {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric}, categories)
-    first = gram(design.withColumn("_y", F.col(target).cast("double")), [], [*cols, "_y"]).first()
+    effects = _fitted_on(rows, F.col(target), {"_treat": treat} | {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric}, categories)
     schema = "ok boolean, n long, treatment_col string, ate_proxy double, std_error double, z_score double, ci_low_95 double, ci_high_95 double"
-    n = int(first["n"]) if first else 0
-    if n < 20:
-        return df.sparkSession.createDataFrame([(False, n, treatment, None, None, None, None, None)], schema)
-    width = len(cols) + 1
-    g = np.array(first["gram"], float).reshape(width, width)
-    on = list(range(len(cols)))
-    at = cols.index("_x__treat")
-    if not 0 < g[0, at] < n:
+    n = effects.n
+    if n < 20 or not 0.0 < effects.means[0] < 1.0:
         return df.sparkSession.createDataFrame([(False, n, treatment, None, None, None, None, None)], schema)
-    beta, rss, inv = solve(g, width - 1, on)
-    se = math.sqrt(max(1e-12, rss / max(1, n - len(on)) * inv[at, at]))
-    b = float(beta[at])
+    found = effects.absorbed(effects.categories)
+    on = list(range(len(effects.cols) - 1))
+    beta, rss, inv = solve(_without_spanned(found.gram, effects.raw), len(on), on)
+    se = math.sqrt(max(1e-12, rss / max(1, n - 1 - len(on) - found.dummies) * inv[0, 0]))
+    b = float(beta[0])
     return df.sparkSession.createDataFrame([(True, n, treatment, b, se, b / se, b - 1.96 * se, b + 1.96 * se)], schema)
 
 
 def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric: Sequence[str], categories: Sequence[str], top: int | None = None) -> DataFrame:
     """Standardised coefficient of each numeric treatment with controls and HC3 errors, strongest first.
 
-    Two passes per treatment: cross products for the coefficients, then leverages and squared residuals for the errors.
+    Two passes per treatment: cross products for the coefficients, then leverages and squared residuals for the errors. Leverages
+    are exact but for several categories of more than 1000 values together, where they are estimated from random signs.
     """
     out = []
     for t in treatments:
@@ -379,18 +380,17 @@ def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric:
             continue
         med = _medians(rows, own)
         treat = (F.col(t).cast("double") - F.lit(s["tm"])) / F.lit(s["ts"])
-        design, cols = _design(rows, {"_treat": treat} | {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in own}, categories)
-        design = design.withColumn("_y", (F.col(target).cast("double") - F.lit(s["ym"])) / F.lit(s["ys"]))
-        n, p = int(s["n"]), len(cols)
+        effects = _fitted_on(rows, (F.col(target).cast("double") - F.lit(s["ym"])) / F.lit(s["ys"]), {"_treat": treat} | {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in own}, categories)
+        found = effects.absorbed(effects.categories)
+        n, cols = effects.n, effects.cols[:-1]
+        p = 1 + len(cols) + found.dummies
         if n < p - 1 + 12:
             continue
-        g = np.array(gram(design, [], [*cols, "_y"]).first()["gram"], float).reshape(p + 1, p + 1)
-        beta, _, inv = solve(g, p, list(range(p)))
-        weighted = _hc3(design, cols, beta, inv)
-        meat = np.array(gram(weighted, [], cols).first()["gram"], float).reshape(p, p)
+        beta, _, inv = solve(_without_spanned(found.gram, effects.raw), len(cols), list(range(len(cols))))
+        weighted = _hc3(effects.residuals(effects.categories), cols, beta, inv)
+        meat = np.array(gram(weighted, [], cols).first()["gram"], float).reshape(len(cols), len(cols))
         cov = inv @ meat @ inv
-        at = cols.index("_x__treat")
-        b, se = float(beta[at]), math.sqrt(max(cov[at, at], 0.0))
+        b, se = float(beta[0]), math.sqrt(max(cov[0, 0], 0.0))
         pv = 2.0 * normal_sf(abs(b / se)) if se > 0 else None
         out.append((t, b, pv, b - 1.959963984540054 * se, b + 1.959963984540054 * se, n, p - 2, bool(pv is not None and pv < 0.05), "positive" if b >= 0 else "negative", abs(b)))
     schema = "treatment string, std_coef double, pvalue double, ci_low_95 double, ci_high_95 double, n long, controls int, significant boolean, direction string, abs_std_coef double"
@@ -398,19 +398,19 @@ def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric:
     return first_rows(table.orderBy(F.col("significant").desc(), F.col("abs_std_coef").desc()), top)
 
 
-def _hc3(design: DataFrame, cols: Sequence[str], beta: np.ndarray, inv: np.ndarray) -> DataFrame:
-    """Design rows scaled by residual / (1 - leverage)."""
+def _hc3(rows: DataFrame, cols: Sequence[str], beta: np.ndarray, inv: np.ndarray) -> DataFrame:
+    """Rows of residual columns scaled by residual / (1 - leverage); ``_h`` is the leverage of all else."""
     names = list(cols)
 
     def scale(batches):
         for pdf in batches:
             x = pdf[names].to_numpy(float)
             e = pdf["_y"].to_numpy(float) - x @ beta
-            h = np.einsum("ij,jk,ik->i", x, inv, x)
+            h = pdf["_h"].to_numpy(float) + np.einsum("ij,jk,ik->i", x, inv, x)
             pdf[names] = x * (e / np.maximum(1.0 - h, 1e-8))[:, None]
             yield pdf[names]
 
-    picked = design.select(*[F.col(c).cast("double").alias(c) for c in [*names, "_y"]])
+    picked = rows.select(*[F.col(c).cast("double").alias(c) for c in [*names, "_y", "_h"]])
     return picked.mapInPandas(scale, ", ".join(f"`{c}` double" for c in names))
 
 
