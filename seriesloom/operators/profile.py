@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.series import Layout, by_size, measure, over_groups
 from ..spec import SeriesSpec
 from .embed import filled_windows
 
+#: Window starts in a block.
+BLOCK = 8192
+
 
 def _unit_windows(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """z-normalised windows scaled to unit length, and which windows are constant."""
@@ -24,57 +27,75 @@ def _unit_windows(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return dev / np.where(flat, 1.0, size)[:, None], flat
 
 
-def tile_minima(a: np.ndarray, b: np.ndarray, a0: int, b0: int, m: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest distances between the windows of two blocks, window starts less than ceil(m/4) apart excluded."""
+def tile_maxima(a: np.ndarray, b: np.ndarray | None, m: int, apart: int = 0, rows: int = 256, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The highest correlation of each window of ``a`` with one of ``b``, and the other way round.
+
+    ``b`` begins ``apart`` values after ``a``; without it ``a`` is compared with itself, half of the pairs. Window starts less
+    than ceil(m/4) apart don't count. Maxima run along while small parts of the tile are multiplied, so none is ever whole.
+    """
     ua, fa = _unit_windows(a, m)
-    ub, fb = _unit_windows(b, m)
-    zone = math.ceil(m / 4)
-    ia, ib = a0 + np.arange(len(ua)), b0 + np.arange(len(ub))
-    best_a, best_b = np.full(len(ua), np.inf), np.full(len(ub), np.inf)
-    for s in range(0, len(ua), step):
-        e = min(s + step, len(ua))
-        d2 = 2.0 * m * (1.0 - np.clip(ua[s:e] @ ub.T, -1.0, 1.0))
-        d2[fa[s:e]] = m
-        d2[:, fb] = m
-        d2[np.ix_(fa[s:e], fb)] = 0.0
-        d2[np.abs(ia[s:e, None] - ib[None, :]) <= zone] = np.inf
-        best_a[s:e] = np.minimum(best_a[s:e], d2.min(1, initial=np.inf))
-        best_b = np.minimum(best_b, d2.min(0, initial=np.inf))
-    return np.sqrt(best_a), np.sqrt(best_b)
-
-
-def nearest_window(df: DataFrame, keys: list[str], pos: str, value: str, m: int, block: int = 2048) -> DataFrame:
+    ub, fb = (ua, fa) if b is None else _unit_windows(b, m)
+    zone, flat = math.ceil(m / 4), bool(fa.any() or fb.any())
+    best_a = np.full(len(ua), -np.inf)
+    best_b = best_a if b is None else np.full(len(ub), -np.inf)
+    for s in range(0, len(ua), rows):
+        e = min(s + rows, len(ua))
+        for t in range(0 if b is not None else s, len(ub), columns):
+            f = min(t + columns, len(ub))
+            c = ua[s:e] @ ub[t:f].T
+            if flat:  # half way between equal and unrelated
+                c[fa[s:e]] = 0.5
+                c[:, fb[t:f]] = 0.5
+                c[np.ix_(fa[s:e], fb[t:f])] = 1.0
+            if apart + t - (e - 1) <= zone:
+                gap = apart + np.arange(t, f)[None, :] - np.arange(s, e)[:, None]
+                c[np.abs(gap) <= zone] = -np.inf
+            high = c.max(0)
+            best_a[s:e] = np.maximum(best_a[s:e], c.max(1))
+            best_b[t:f] = np.maximum(best_b[t:f], high)
+    return best_a, best_b
+
+
+def nearest_window(df: DataFrame, keys: list[str], pos: str, value: str, m: int, block: int = BLOCK, count: Column | None = None) -> DataFrame:
     """(keys, start, distance) for every window of ``m`` consecutive values.
 
     The series is cut into blocks of ``block`` window starts (each with the m-1 values that follow). Every pair of blocks
-    is one task's tile and leaves only minima behind. The work is quadratic in the series by definition; the memory of a
-    task is bounded by the tile.
+    is one tile, of which one array of maxima for each block is left; the arrays of a block are combined element by element. The
+    work is quadratic in the series by definition; the memory of a task is bounded by the blocks. ``count`` is a column with the
+    number of values of the series, where it is known.
     """
     home = F.floor(F.col(pos) / block)
     spots = F.array_compact(F.array(home, F.when((F.col(pos) % block < m - 1) & (home > 0), home - 1)))
-    cut = df.select(*keys, F.struct(F.col(pos).alias("p"), F.col(value).alias("v")).alias("_pv"), F.explode(spots).alias("_b"))
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if count is None else count
+    cut = df.select(*keys, F.struct(F.col(pos).alias("p"), F.col(value).alias("v")).alias("_pv"), F.explode(spots).alias("_b"), F.floor((count - 1) / block).alias("_last"))
     # An array of at most block + m - 1 values per block.
-    blocks = cut.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list("_pv")).alias("_pv"))
+    blocks = cut.groupBy(*keys, "_b", "_last").agg(F.sort_array(F.collect_list("_pv")).alias("_pv"))
     blocks = blocks.where(F.size("_pv") >= m).withColumn("_v", F.transform("_pv", lambda s: s["v"])).drop("_pv")
-    last = blocks.groupBy(*keys).agg(F.max("_b").alias("_last"))
-    spread = blocks.join(last, keys).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    pairs = spread.select(*keys, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_v")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        held = {int(b): np.array(v, float) for b, v in zip(pdf["_b"], pdf["_v"])}
-        if i not in held or j not in held:
-            return pd.DataFrame({**{k: [] for k in keys}, "_start": [], "_dist": []})
-        near_i, near_j = tile_minima(held[i], held[j], i * block, j * block, m)
-        starts = np.r_[i * block + np.arange(len(near_i)), j * block + np.arange(len(near_j))]
-        out = pd.DataFrame({"_start": starts, "_dist": np.r_[near_i, near_j]})
-        for n, k in enumerate(keys):
-            out.insert(n, k, pdf[k].iloc[0])
-        return out
+    spread = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    sides = F.sort_array(F.collect_list(F.struct("_b", "_v"))).alias("_sides")
+    pairs = spread.groupBy(*keys, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).agg(sides)
+
+    def tiles(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                i, j = row.column("_i")[0].as_py(), row.column("_j")[0].as_py()
+                values = [np.asarray(side["_v"].values, float) for side in row.column("_sides")[0]]
+                if len(values) < 1 + (i != j):  # the last block may be shorter than a window
+                    continue
+                near, far = tile_maxima(values[0], values[1] if i != j else None, m, (j - i) * block)
+                found = [near, far] if i != j else [near]
+                same = [row.column(k).take(pa.array([0] * len(found))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([i, j][: len(found)], pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.float64()))], names=[*keys, "_b", "_best"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    minima = pairs.groupBy(*keys, "_i", "_j").applyInPandas(tile, f"{types}, _start long, _dist double")
-    return minima.groupBy(*keys, "_start").agg(F.min("_dist").alias("_dist"))
+    maxima = pairs.mapInArrow(tiles, f"{types}, _b long, _best array<double>")
+    best = F.reduce(F.collect_list("_best"), F.lit(None).cast("array<double>"), lambda x, y: F.when(x.isNull(), y).otherwise(F.zip_with(x, y, lambda u, v: F.greatest(u, v))))
+    merged = maxima.groupBy(*keys, "_b").agg(best.alias("_best"))
+    long = merged.select(*keys, "_b", F.posexplode("_best").alias("_p", "_c"))
+    infinite = F.lit(float("inf"))
+    distance = F.when(F.col("_c") == -infinite, infinite).otherwise(F.sqrt(2.0 * m * (1.0 - F.least(F.greatest("_c", F.lit(-1.0)), F.lit(1.0)))))
+    return long.select(*keys, (F.col("_b") * block + F.col("_p")).alias("_start"), distance.alias("_dist"))
 
 
 @by_size
@@ -85,15 +106,17 @@ def matrix_profile(
     least_windows: int = 20,
     fill: str = "ffill",
     quantile: float = 0.98,
-    block: int = 2048,
+    block: int = BLOCK,
     name: str = "stumpy",
     layout: Layout | None = None,
 ) -> DataFrame:
     """Profile score of the window that ends at the row, its expanding z-score and the discord flag."""
     layout = layout or measure(df, spec.keys)
     base = filled_windows(df, spec, rows, least_windows, fill, layout=layout)
-    base = over_groups(base, spec.keys, spec.order, lambda f, _w: f.withColumn("_at", F.col("_pos")), layout=layout)
-    near = nearest_window(base, spec.keys, "_at", "_fill", rows, block)
+    place = {"_at": F.col("_pos"), "_values": F.col("_all")}
+    base = over_groups(base, spec.keys, spec.order, lambda f, _w: f.withColumns(place), whole={"_all": F.count(F.lit(1))}, layout=layout)
+    near = nearest_window(base, spec.keys, "_at", "_fill", rows, block, F.col("_values"))
+    base = base.drop("_values")
     near = near.withColumn("_at", F.col("_start") + (rows - 1)).where(F.col("_dist") < float("inf")).drop("_start")
     joined = base.join(near, [*spec.keys, "_at"], "left")
     score = F.when(F.col("_use"), F.col("_dist"))
@@ -121,19 +144,41 @@ def matrix_profile(
     return discord_flags(scored, spec, out, f"hist_{name}_discord_flag", quantile, least_windows, layout=layout)
 
 
-def _walk(scores: np.ndarray, held: list[float], low: int, before: int, quantile: float, least: int) -> np.ndarray:
-    """Flag each score against the quantile of the ``before`` earlier ones, of which ``held`` are the sorted values above
-    the ``low`` smallest; the scores are added as they pass."""
+def prefix_order(values: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each query the value at a place in the sorted order of the first so many values.
+
+    The ranks of the values are sorted bit by bit, highest first, into zeros and ones (a wavelet matrix, one level at a time); every
+    query follows its prefix down, and whether the value it wants lies among the zeros tells the next bit of its rank.
+    """
+    order = np.argsort(values, kind="stable")
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.arange(len(values))
+    low, high, place, found = np.zeros(len(lengths), np.int64), lengths.astype(np.int64), places.astype(np.int64), np.zeros(len(lengths), np.int64)
+    for bit in range(max(len(values) - 1, 1).bit_length() - 1, -1, -1):
+        ones = (ranks >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~ones)])
+        at_low, at_high = zeros[low], zeros[high]
+        right = place >= at_high - at_low
+        place = place - np.where(right, at_high - at_low, 0)
+        found |= right.astype(np.int64) << bit
+        low, high = np.where(right, zeros[-1] + low - at_low, at_low), np.where(right, zeros[-1] + high - at_high, at_high)
+        ranks = np.concatenate([ranks[~ones], ranks[ones]])
+    return values[order[found]]
+
+
+def _walk(scores: np.ndarray, held: np.ndarray, low: int, before: int, quantile: float, least: int) -> np.ndarray:
+    """Flag each score against the quantile of the ``before`` earlier ones and those it follows here; ``held`` are the values of the
+    earlier ones above the ``low`` smallest."""
     flags = np.full(len(scores), np.nan)
-    for i, s in enumerate(scores):
-        n = before + i
-        if n >= least:
-            rank = quantile * (n - 1)
-            lo = int(rank)
-            a = held[lo - low]
-            b = held[min(lo + 1, n - 1) - low]
-            flags[i] = float(s >= a + (b - a) * (rank - lo))
-        bisect.insort(held, s)
+    n = before + np.arange(len(scores))
+    at = np.flatnonzero(n >= max(least, 1))
+    if not len(at):
+        return flags
+    values, n = np.concatenate([held, scores]), n[at]
+    rank = quantile * (n - 1)
+    lo = rank.astype(np.int64)
+    a, b = (prefix_order(values, len(held) + at, np.minimum(k, n - 1) - low) for k in (lo, lo + 1))
+    flags[at] = scores[at] >= a + (b - a) * (rank - lo)
     return flags
 
 
@@ -141,7 +186,7 @@ def _walk(scores: np.ndarray, held: list[float], low: int, before: int, quantile
 def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quantile: float, least: int, layout: Layout | None = None) -> DataFrame:
     """Whether a score reaches the quantile of all earlier scores of its series.
 
-    Ordinary series are walked in time order with a sorted list. Oversized ones are cut into time blocks; a block can only
+    Ordinary series answer all their rows at once from the bits of the scores' ranks. Oversized ones are cut into time blocks; a block can only
     ever ask for order statistics within one block length of its starting rank, so it receives just that slice of the
     earlier scores, found through a table of counts per (value bucket, time block).
     """
@@ -151,12 +196,13 @@ def discord_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quanti
     seen, unseen = df.where(F.col(score).isNotNull()), df.where(F.col(score).isNull()).withColumn(name, empty)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` double"
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{name: _walk(pdf[score].to_numpy(float), [], 0, 0, quantile, least)})
+    def whole(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        flags = _walk(rows.column(score).to_numpy(), np.zeros(0), 0, 0, quantile, least)
+        return rows.append_column(name, pa.array(flags))
 
     def plain(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).applyInPandas(whole, fields)
+        return part.groupBy(*keys).applyInArrow(whole, fields)
 
     out = plain(seen) if layout.plain else _blocked_flags(seen, spec, score, name, quantile, least, layout, fields)
     return out.unionByName(unseen).withColumn(name, F.nanvl(F.col(name), empty))
@@ -186,7 +232,7 @@ def _blocked_flags(df: DataFrame, spec: SeriesSpec, score: str, name: str, quant
 
     def block(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        values_ = list(held["_slice"].iloc[0]) if len(held) else []
+        values_ = np.array(held["_slice"].iloc[0], float) if len(held) else np.zeros(0)
         low = int(held["_low"].iloc[0]) if len(held) else 0
         flags = _walk(rows[score].to_numpy(float), values_, low, int(rows["_n"].iloc[0]), quantile, least) if len(rows) else []
         return rows.assign(**{name: flags}).drop(columns=["_n", "_tb", "_vb"])
