@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from ..functions.dist import f_sf, normal_sf, p_value
 from ..plans.grams import gram, solve
 from ..plans.quantiles import group_quantiles, with_group_quantiles
 from ..plans.ranks import average_rank, value_table
-from ..plans.series import Layout, measure, over_groups
+from ..plans.series import BROADCAST_ROWS, Layout, attach, measure, over_groups
+from ..session import durable
 from ..spec import SeriesSpec
 
 
@@ -257,77 +260,100 @@ def diebold_mariano_hac(df: DataFrame, e1: str, e2: str, order: Sequence[str], h
 # --- group differences ---------------------------------------------------------------------------------------------------
 
 
-def permutation_range(df: DataFrame, label: str, value: str, row_id: str, n_iter: int = 500, seed: int = 42, by: Sequence[str] = (), block_rows: int = 262_144) -> DataFrame:
+def permutation_range(df: DataFrame, label: str, value: str, row_id: str, n_iter: int = 500, seed: int = 42, by: Sequence[str] = (), block_rows: int = 262_144, labels: int = 65_536) -> DataFrame:
     """Permutation p-value of the range of group means, per outer group.
 
     Shuffling the whole table once per round would move it hundreds of times. A uniform shuffle can instead be drawn in two
     steps: first how many rows of each label fall into each block of rows (a hypergeometric draw), then a shuffle inside the
-    block. Rows are dealt to blocks in the order of a hash of their id, and only label sums leave a block.
+    block. Rows are dealt to blocks in the order of a hash of their id, and only label sums leave a block. Labels are cut into ranges
+    of ``labels``, and a task holds one block and one range, so neither rows nor labels of a group ever meet in one place.
     """
     n_iter = int(max(50, n_iter))
     df, keys = _keyed(df.where(F.col(label).isNotNull() & F.col(value).isNotNull()), by)
-    label_sizes = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_c"), F.avg(value).alias("_m"))
-    group = label_sizes.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        F.count(F.lit(1)).alias("groups"),
-        (F.max("_m") - F.min("_m")).alias("observed"),
-        F.sort_array(F.collect_list(F.struct(F.col(label).cast("string").alias("l"), "_c"))).alias("_labels"),
-    )
+    sizes = durable(df.groupBy(*keys, F.col(label).cast("string").alias("_l")).agg(F.count(F.lit(1)).alias("_c"), F.avg(value).alias("_m")))
+    group = sizes.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("groups"), (F.max("_m") - F.min("_m")).alias("observed"))
     plan = group.where("groups >= 2 AND observed > 0")
+    # labels in order, cut into ranges: the labels' sizes of one range, and the ranges' sizes of a group
+    placed = over_groups(sizes, keys, ["_l"], lambda f, _w: f.withColumns({"_i": F.col("_pos"), "_g": F.floor(F.col("_pos") / labels)}))
+    ranges = placed.groupBy(*keys, "_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]).alias("_fine"), F.sum("_c").alias("_size"))
+    ranges = durable(ranges)
+    coarse = ranges.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_g", "_size"))), lambda x: x["_size"]).alias("_coarse"))
+    if (ranges.agg(F.max("_g")).first()[0] or 0) > 0:
+        block_rows *= 16  # many labels: fewer blocks, whose sums of every label must meet
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"), F.col(row_id).alias("_id"))
     # Exact places in hash order give blocks of exactly block_rows rows, so block sizes follow from the group's size.
     dealt = over_groups(rows, keys, ["_h", "_id"], lambda f, _w: f.withColumns({"_at": F.col("_pos"), "_b": F.floor(F.col("_pos") / block_rows)}))
-    packed = dealt.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_rows"))
-    ready = packed.join(plan.select(*keys, "_labels", "_n"), keys)
+    packed = dealt.groupBy(*keys, "_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_rows"))
+    about = attach(attach(ranges, coarse, keys, BROADCAST_ROWS + 1), plan.select(*keys, "_n"), keys, BROADCAST_ROWS + 1).where(F.col("_n").isNotNull())
+    names = [f"_k{i}" for i in range(len(keys))]
+    about = about.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_g", "_fine", "_coarse", "_n")
+    same = reduce(lambda x, y: x & y, [packed[k].eqNullSafe(about[n]) for k, n in zip(keys, names)])
+    cells = packed.join(about, same).drop(*names)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def shuffle(batches):
-        for pdf in batches:
-            for _, r in pdf.iterrows():
-                counts = np.array([x["_c"] for x in r["_labels"]], dtype=np.int64)
-                at, n = int(r["_b"]), int(r["_n"])
-                values = np.array([x["_v"] for x in r["_rows"]], float)
-                local = np.random.default_rng([seed & 0x7FFFFFFF, 7, at])
-                total = np.empty((n_iter, len(counts)))
-                for it in range(n_iter):
-                    share = _block_share(counts, n, block_rows, at, seed, it)
-                    order = local.permutation(values)
-                    cuts = np.r_[0, np.cumsum(share)]
-                    run = np.r_[0.0, np.cumsum(order)]
-                    total[it] = run[cuts[1:]] - run[cuts[:-1]]
-                out = pd.DataFrame({"_it": np.repeat(np.arange(n_iter), len(counts)), "_l": np.tile(np.arange(len(counts)), n_iter), "_s": total.ravel()})
-                for i, k in enumerate(keys):
-                    out.insert(i, k, r[k])
-                yield out
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    sums = ready.mapInPandas(shuffle, f"{types}, _it int, _l int, _s double")
-    sums = sums.groupBy(*keys, "_it", "_l").agg(F.sum("_s").alias("_s"))
-    means = sums.join(plan.select(*keys, "_labels", "observed"), keys).withColumn(
-        "_m", F.col("_s") / F.element_at(F.transform("_labels", lambda x: x["_c"]), F.col("_l") + 1)
-    )
-    rounds = means.groupBy(*keys, "_it").agg((F.max("_m") - F.min("_m")).alias("_r"), F.max("observed").alias("_o"))
-    hits = rounds.groupBy(*keys).agg(F.count_if(F.col("_r") >= F.col("_o") * (1 - 1e-12)).alias("_ge"))
-    out = group.join(hits, keys, "left")
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                block, g, n = (row.column(c)[0].as_py() for c in ("_b", "_g", "_n"))
+                values, fine, total = (np.asarray(row.column(c)[0].values) for c in ("_rows", "_fine", "_coarse"))
+                alone = n <= block_rows
+                for first in range(0, n_iter, rounds):
+                    turns = range(first, min(first + rounds, n_iter))
+                    sums, high, low = [], [], []
+                    for it in turns:
+                        share, begin = _cell_share(total, fine, g, n, block_rows, block, seed, it)
+                        mixed = np.random.default_rng([seed & 0x7FFFFFFF, 7, block, it]).permutation(values)
+                        ends = begin + np.cumsum(share)
+                        run = np.concatenate([[0.0], np.cumsum(mixed)])
+                        found = run[ends] - run[ends - share]
+                        if alone:
+                            high.append(float((found / fine).max()))
+                            low.append(float((found / fine).min()))
+                        else:
+                            sums.append(found.tolist())
+                    k = len(turns)
+                    same = [row.column(c).take(pa.array([0] * k)) for c in keys]
+                    ends = [pa.array(high, pa.float64()), pa.array(low, pa.float64())] if alone else [pa.nulls(k, pa.float64())] * 2
+                    held = pa.nulls(k, pa.list_(pa.float64())) if alone else pa.array(sums, pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*same, pa.array([g] * k, pa.int64()), pa.array(list(turns), pa.int32()), *ends, held], names=[*keys, "_g", "_it", "_hi", "_lo", "_sums"])
+
+    rounds = max(1, 4_000_000 // labels)
+    drawn = cells.mapInArrow(shuffle, f"{types}, _g long, _it int, _hi double, _lo double, _sums array<double>")
+    # where a group has several blocks, their sums of a range's labels are added up before the means are compared
+    several = drawn.where(F.col("_sums").isNotNull()).groupBy(*keys, "_g", "_it").agg(F.collect_list("_sums").alias("_all_sums"))
+    several = several.withColumn("_sums", F.reduce("_all_sums", F.lit(None).cast("array<double>"), lambda x, y: F.when(x.isNull(), y).otherwise(F.zip_with(x, y, lambda u, v: u + v))))
+    fine = ranges.select(*keys, "_g", "_fine")
+    several = attach(several.drop("_all_sums"), fine, [*keys, "_g"], BROADCAST_ROWS + 1).withColumn("_means", F.zip_with("_sums", "_fine", lambda u, c: u / c))
+    several = several.select(*keys, "_it", F.array_max("_means").alias("_hi"), F.array_min("_means").alias("_lo"))
+    each = drawn.where(F.col("_sums").isNull()).select(*keys, "_it", "_hi", "_lo").unionByName(several)
+    turned = each.groupBy(*keys, "_it").agg((F.max("_hi") - F.min("_lo")).alias("_r"))
+    turned = attach(turned, plan.select(*keys, F.col("observed").alias("_o")), keys, BROADCAST_ROWS + 1)
+    hits = turned.groupBy(*keys).agg(F.count_if(F.col("_r") >= F.col("_o") * (1 - 1e-12)).alias("_ge"))
+    out = attach(group, hits, keys, BROADCAST_ROWS + 1)
     p = F.when(F.col("groups") < 2, F.lit(None)).when(F.col("observed") <= 0, F.lit(1.0)).otherwise((F.col("_ge") + 1) / F.lit(n_iter + 1.0))
     return out.select(*keys, F.col("_n").alias("n"), "groups", "observed", p.alias("pvalue")).drop("_all")
 
 
-def _block_share(counts: np.ndarray, n: int, size: int, at: int, seed: int, it: int) -> np.ndarray:
-    """How many rows of each label land in block ``at`` in round ``it``.
+def _cell_share(coarse: np.ndarray, fine: np.ndarray, g: int, n: int, size: int, at: int, seed: int, it: int) -> tuple[np.ndarray, int]:
+    """How many rows of each label of range ``g`` land in block ``at`` in round ``it``, and how many of the ranges before.
 
-    Halving the block list keeps the cost at log(blocks) draws; both halves of a node see the same draw because its
-    generator is seeded by the node, so the blocks' shares add up without talking to each other.
+    Halving the block list keeps the cost at log(blocks) draws. At every node a hypergeometric draw tells what share of each range goes
+    left, and another one what share of each label of this range; generators are seeded by the node (and the range), so all cells
+    see the same draws and their shares add up without talking to each other.
     """
-    lo, hi, left = 0, -(-n // size), counts
+    lo, hi = 0, -(-n // size)
+    coarse, fine = coarse.astype(np.int64), fine.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed & 0x7FFFFFFF, it, lo, hi])
-        first = rng.multivariate_hypergeometric(left, (mid - lo) * size, method="marginals")
+        node = [seed & 0x7FFFFFFF, it, lo, hi]
+        first = np.random.default_rng(node).multivariate_hypergeometric(coarse, (mid - lo) * size, method="marginals")
+        mine = np.random.default_rng([*node, g + 1]).multivariate_hypergeometric(fine, int(first[g]), method="marginals")
         if at < mid:
-            hi, left = mid, first
+            hi, coarse, fine = mid, first, mine
         else:
-            lo, left = mid, left - first
-    return left
+            lo, coarse, fine = mid, coarse - first, fine - mine
+    return fine, int(coarse[:g].sum())
 
 
 def jarque_bera(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float = 0.05, least: int = 8) -> DataFrame:

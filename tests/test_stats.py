@@ -112,12 +112,38 @@ def test_permutation_test_levels(spark, small_blocks):
     assert flat["pvalue"] == 1.0
 
 
-def test_block_shares_add_up():
-    counts = np.array([30, 50, 23])
-    n, size = 103, 20
-    parts = [stats._block_share(counts, n, size, b, 42, 3) for b in range(6)]
-    assert np.array_equal(sum(parts), counts)
-    assert [p.sum() for p in parts] == [20, 20, 20, 20, 20, 3]
+def test_cell_shares_add_up():
+    counts, size = np.array([40, 3, 0, 25, 1, 31]), 12
+    n = int(counts.sum())
+    for it in range(5):
+        ranges = [counts[:2], counts[2:5], counts[5:]]
+        coarse = np.array([r.sum() for r in ranges])
+        cells = [[stats._cell_share(coarse, fine, g, n, size, at, 3, it) for g, fine in enumerate(ranges)] for at in range(-(-n // size))]
+        assert (np.sum([np.concatenate([c[0] for c in row]) for row in cells], axis=0) == counts).all()
+        for at, row in enumerate(cells):
+            assert sum(int(c[0].sum()) for c in row) == min(size, n - at * size)
+            assert [c[1] for c in row] == [0, int(row[0][0].sum()), int(row[0][0].sum() + row[1][0].sum())]
+
+
+def test_permutation_test_of_many_labels(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"g{i % 60}", float(rng.normal()), float(rng.normal() + (i % 60 == 7) * 6), None if i % 3 else "x") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, g string, same double, far double, k string")
+    want = None
+    for block, labels in ((262_144, 65_536), (262_144, 7), (10, 7)):  # a range of labels on its own, several, several blocks
+        far = stats.permutation_range(df, "g", "far", "id", 100, block_rows=block, labels=labels).first()
+        same = {r.k: r for r in stats.permutation_range(df, "g", "same", "id", 100, by=["k"], block_rows=block, labels=labels).collect()}
+        assert far["pvalue"] == pytest.approx(1 / 101) and far["groups"] == 60
+        assert set(same) == {None, "x"} and all(0.02 < r["pvalue"] <= 1 for r in same.values())
+        if block > 10:  # one block: the ranges don't change a shuffle
+            want = want or {k: r["pvalue"] for k, r in same.items()}
+            assert want == {k: r["pvalue"] for k, r in same.items()}
+
+
+def test_permutation_test_of_very_many_labels(spark):
+    df = spark.range(400_000).selectExpr("id", "pmod(id * 7919, 200000) AS g", "pmod(xxhash64(id), 1000) / 1000 AS y")
+    row = stats.permutation_range(df, "g", "y", "id", 50, labels=50_000).first()
+    assert row["groups"] == 200_000 and row["n"] == 400_000 and row["pvalue"] > 1 / 51
 
 
 def test_mann_whitney_and_kruskal_known(spark):
