@@ -433,14 +433,22 @@ def _json(reg) -> None:
         body = F.concat(F.lit('{"a":{"b":'), u, F.lit(',"c":{"d":"x'), t, F.lit('"}},"nums":[1,2,'), i, F.lit('],"rows":[{"x":1},{"x":'), u, F.lit('}],"flag":true}'))
         return table(spark, sf, "events").select("event_id", body.alias("payload"))
 
+    mean_sql, statistic = "(3.0 + event_id) / 3", F.col("key").rlike("__(mean|std|min|max)__$")
+    std_sql = f"sqrt((pow(1 - {mean_sql}, 2) + pow(2 - {mean_sql}, 2) + pow(event_id - {mean_sql}, 2)) / 3)"
+
+    def shown(out):
+        """Texts, and statistics as numbers."""
+        number = F.when(statistic, r(F.col("value").cast("double")))
+        return out.select("event_id", "key", F.when(~statistic, F.col("value")).alias("value"), number.alias("number"))
+
     @reg.add(
         "json_flatten_report",
         f"""WITH d AS (SELECT event_id, user_id, event_type, {doc} AS p FROM events) SELECT event_id, unnest(['p.a.b', 'p.a.c.d', 'p.nums.__len__', 'p.rows.__len__', 'p.flag']) AS key,
-        unnest([json_extract_string(p, '$.a.b'), json_extract_string(p, '$.a.c.d'), '3', '2', 'true']) AS value FROM d""",
+        unnest([json_extract_string(p, '$.a.b'), json_extract_string(p, '$.a.c.d'), '3', '2', 'true']) AS value, CAST(NULL AS DOUBLE) AS number FROM d
+        UNION ALL SELECT event_id, unnest(['p.nums.__mean__', 'p.nums.__std__']), NULL, unnest([round({mean_sql}, 6) + 0.0, round({std_sql}, 6) + 0.0]) FROM events""",
     )
     def _(spark, sf):
-        out = jsonflat.flatten_json(nested(spark, sf), ["event_id"], "payload", "p")
-        return out.where(~F.col("key").rlike("__(mean|std)__")).select("event_id", "key", "value")
+        return shown(jsonflat.flatten_json(nested(spark, sf), ["event_id"], "payload", "p"))
 
     @reg.add(
         "json_list_statistics",
@@ -456,12 +464,13 @@ def _json(reg) -> None:
 
     @reg.add(
         "json_flatten_dashboard",
-        """SELECT event_id, unnest(['root.a.b', 'root.a.c.d', 'root.nums.__len__', 'root.nums[0]', 'root.nums[1]', 'root.nums[2]', 'root.rows.__len__', 'root.rows[0].x', 'root.rows[1].x', 'root.flag']) AS key,
-        unnest([CAST(user_id AS VARCHAR), 'x' || event_type, '3', '1', '2', CAST(event_id AS VARCHAR), '2', '1', CAST(user_id AS VARCHAR), 'true']) AS value FROM events""",
+        f"""SELECT event_id, unnest(['root.a.b', 'root.a.c.d', 'root.nums.__len__', 'root.nums[0]', 'root.nums[1]', 'root.nums[2]', 'root.rows.__len__', 'root.rows[0].x', 'root.rows[1].x', 'root.flag']) AS key,
+        unnest([CAST(user_id AS VARCHAR), 'x' || event_type, '3', '1', '2', CAST(event_id AS VARCHAR), '2', '1', CAST(user_id AS VARCHAR), 'true']) AS value, CAST(NULL AS DOUBLE) AS number FROM events
+        UNION ALL SELECT event_id, unnest(['root.nums.__mean__', 'root.nums.__std__', 'root.nums.__min__', 'root.nums.__max__']), NULL,
+        unnest([round({mean_sql}, 6) + 0.0, round({std_sql}, 6) + 0.0, CAST(least(1, event_id) AS DOUBLE), CAST(greatest(2, event_id) AS DOUBLE)]) FROM events""",
     )
     def _(spark, sf):
-        out = jsonflat.flatten_json(nested(spark, sf), ["event_id"], "payload", "root", "dashboard")
-        return out.where(~F.col("key").rlike("__(mean|std|min|max)__")).select("event_id", "key", "value")
+        return shown(jsonflat.flatten_json(nested(spark, sf), ["event_id"], "payload", "root", "dashboard"))
 
     @reg.add("json_columns", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
     def _(spark, sf):

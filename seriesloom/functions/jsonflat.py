@@ -32,62 +32,81 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _leaf(value) -> tuple[str | None, str]:
-    """Text and kind of a scalar."""
-    if value is None:
-        return None, "VOID"
-    if isinstance(value, bool):
-        return ("true" if value else "false"), "BOOLEAN"
-    if isinstance(value, int):
-        return str(value), "BIGINT"
-    if isinstance(value, float):
-        return repr(value), "DOUBLE"
-    return value, "STRING"
-
-
-def _statistics(values: list, extremes: bool) -> dict[str, float]:
-    n = len(values)
-    mean = math.fsum(values) / n
-    out = {"__mean__": mean, "__std__": math.sqrt(math.fsum((x - mean) ** 2 for x in values) / n)}
-    return out | ({"__min__": float(min(values)), "__max__": float(max(values))} if extremes else {})
-
-
-def leaves(value, path: str, form: str, depth: float, most: int | None, longest: int | None):
-    """Yield (key, text, kind) for every scalar and list summary below ``value``.
-
-    The report form summarises lists by length and number statistics. The dashboard form also shows their items (or the first
-    ``most``), walks lists of objects, and keeps mixed lists as JSON. Below ``depth`` levels a value stays one JSON text.
+# What is shown of a list, by form and by what it holds: its length (n), its items (i), its objects walked on (o), mean and deviation
+# (m), these and the extremes (x), or one JSON text (j).
+SHOWN = {
+    "report": {"empty": "n", "numbers": "nm", "numbers and null": "n", "scalars": "n", "objects": "n", "mixed": "n"},
+    "dashboard": {"empty": "n", "numbers": "nix", "numbers and null": "nix", "scalars": "ni", "objects": "no", "mixed": "nj"},
+}
+KINDS = {type(None): "VOID", bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "STRING"}
+
+
+def _text(value) -> str | None:
+    """A scalar as JSON writes it, strings without quotes."""
+    return value if value is None or isinstance(value, str) else repr(value) if isinstance(value, float) else json.dumps(value)
+
+
+def _holds(items: list) -> str:
+    kinds = {type(x) for x in items}
+    if not kinds:
+        return "empty"
+    if kinds & {dict, list}:
+        return "objects" if kinds == {dict} else "mixed"
+    known = kinds - {type(None)}
+    if known and known <= {bool, int, float}:
+        return "numbers" if known == kinds else "numbers and null"
+    return "scalars"
+
+
+def _summary(numbers: list, extremes: bool):
+    middle = math.fsum(numbers) / len(numbers)
+    yield "__mean__", middle
+    yield "__std__", math.sqrt(math.fsum((x - middle) ** 2 for x in numbers) / len(numbers))
+    if extremes:
+        yield "__min__", float(min(numbers))
+        yield "__max__", float(max(numbers))
+
+
+def entries(document, prefix: str, form: str, depth: float, most: int | None, longest: int | None) -> list[tuple[str, str | None, str]]:
+    """(key, text, kind) of every scalar and every list summary of a document, in its order.
+
+    Nodes wait on a stack with their path and the levels left below them. Objects put their values there; what becomes of a list
+    is looked up in ``SHOWN``. The dashboard form shows the first ``most`` items, statistics of lists up to ``longest``, and one
+    JSON text for what lies too deep.
     """
-    if depth < 0:
-        yield f"{path}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False), "STRING"
-        return
-    if isinstance(value, dict):
-        for k, v in value.items():
-            key = f"{path}.{k}"
-            if isinstance(v, dict) or (isinstance(v, list) and form == "dashboard"):
-                yield from leaves(v, key, form, depth - 1, most, longest)
-            elif isinstance(v, list):
-                yield f"{key}.__len__", str(len(v)), "BIGINT"
-                if v and all(isinstance(x, (int, float)) for x in v):
-                    yield from ((f"{key}.{n}", repr(x), "DOUBLE") for n, x in _statistics(v, False).items())
-            else:
-                yield (key, *_leaf(v))
-    elif isinstance(value, list):
-        yield f"{path}.__len__", str(len(value)), "BIGINT"
-        nested = [isinstance(x, (dict, list)) for x in value]
-        if value and not any(nested):
-            yield from ((f"{path}[{i}]", *_leaf(x)) for i, x in enumerate(value[:most]))
-            numbers = [x for x in value if x is not None]
-            if (longest is None or len(value) <= longest) and numbers and all(isinstance(x, (int, float)) for x in numbers):
-                yield from ((f"{path}.{n}", repr(x), "DOUBLE") for n, x in _statistics(numbers, True).items())
-        elif value and all(isinstance(x, dict) for x in value):
-            for i, x in enumerate(value[:most]):
-                yield from leaves(x, f"{path}[{i}]", form, depth - 1, most, longest)
-        elif value:
-            yield f"{path}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False), "STRING"
-            return
-        if most is not None and len(value) > most:
-            yield f"{path}.__truncated__", "true", "BOOLEAN"
+    out, waiting = [], [(prefix, document, depth)]
+
+    def add(key: str, value) -> None:
+        out.append((key, _text(value), KINDS[type(value)]))
+
+    def whole(key: str, value) -> None:
+        add(f"{key}.__json__", json.dumps(value, sort_keys=True, ensure_ascii=False))
+
+    while waiting:
+        path, node, levels = waiting.pop()
+        kind = type(node)
+        if kind is not dict and kind is not list:
+            add(path, node)
+        elif levels < 0 and (kind is dict or form == "dashboard"):
+            whole(path, node)
+        elif kind is dict:
+            waiting += [(f"{path}.{name}", value, levels - 1) for name, value in reversed(node.items())]
+        else:
+            shown = SHOWN[form][_holds(node)]
+            add(f"{path}.__len__", len(node))
+            if "i" in shown:
+                for place, item in enumerate(node[:most]):
+                    add(f"{path}[{place}]", item)
+            if "m" in shown or ("x" in shown and (longest is None or len(node) <= longest)):
+                for name, value in _summary([x for x in node if x is not None], "x" in shown):
+                    add(f"{path}.{name}", value)
+            if "o" in shown:
+                waiting += [(f"{path}[{place}]", item, levels - 1) for place, item in reversed(list(enumerate(node[:most])))]
+            if "j" in shown:
+                whole(path, node)
+            elif form == "dashboard" and most is not None and len(node) > most:
+                add(f"{path}.__truncated__", True)
+    return out
 
 
 def _documents(texts, form: str):
@@ -115,7 +134,7 @@ def flatten_json(df: DataFrame, ids: Sequence[str], column: str, prefix: str, fo
         for pdf in batches:
             at, keys, texts, kinds = [], [], [], []
             for i, doc in _documents(pdf["_json"], form):
-                for key, value, kind in leaves(doc, prefix, form, depth, most, longest):
+                for key, value, kind in entries(doc, prefix, form, depth, most, longest):
                     at.append(i)
                     keys.append(key)
                     texts.append(value)
@@ -140,7 +159,7 @@ def flatten_map(column: str, prefix: str, form: str = "report", max_depth: int |
     def build(texts: pd.Series) -> pd.Series:
         out: list[dict] = [{} for _ in range(len(texts))]
         for i, doc in _documents(texts, form):
-            out[i] = {k: v for k, v, _ in leaves(doc, prefix, form, depth, most, longest)}
+            out[i] = {k: v for k, v, _ in entries(doc, prefix, form, depth, most, longest)}
         return pd.Series(out, index=texts.index)
 
     return build(F.trim(F.col(f"`{column}`").cast("string")))
