@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .buffers import BASE, LOWER, WORD, map_texts, mixed, per_text, quoted, slices, span_hashes, spans, windows
+from .buffers import BASE, LOWER, WORD, mixed, per_text, quoted, slices, span_hashes, spans, windows
 from .graph import components
 from .workspace import work_folder, written
 
@@ -53,6 +54,8 @@ BLOCK_SHINGLES = 300_000
 LEAST_WEIGHT = 150
 #: Columns multiplied at once.
 STRIP = 2048
+#: Rows a task remembers when it drops repeated ones; then it begins anew.
+SEEN = 500_000
 #: Sizes in a band of blocks differ by this factor at most.
 BAND = 1.15
 
@@ -436,11 +439,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _node_of_text():
-    def work(batch, data, offsets):
-        return (pa.array([digest(s) if len(s) else None for s in shingle_sets(data, offsets)], pa.int64()),)
+def _first_of_each(schema: pa.Schema):
+    """Rows with their set's node; of rows that agree in key and node the first one a task meets."""
 
-    return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch, data, offsets in slices(batches, "__text"):
+            nodes = [digest(s) if len(s) else None for s in shingle_sets(data, offsets)]
+            keep = []
+            for pair in zip(batch.column("__key").to_pylist(), nodes, strict=True):
+                keep.append(pair[1] is None or pair not in seen)
+                seen.add(pair)
+            if len(seen) > SEEN:
+                seen.clear()
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64())], names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,11 +467,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, found, _ = _solved(located, work_folder(docs.sparkSession))
     # the smallest document of a set first, then of a component: a hot set is combined before the exchange
     first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("d"))
-    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"))
-    key = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col))).alias("__key")
-    tagged = map_texts(docs.select(*(quoted(c) for c in docs.columns), key), text_col, _node_of_text, "__node bigint")
+    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"), F.lit(True).alias("__first"))
     columns = [quoted(c) for c in docs.columns]
-    # rows that agree are combined before the exchange
-    one = tagged.where("__node is not null").groupBy("__key", "__node").agg(F.first(F.struct(*columns)).alias("__row"))
-    one = one.join(kept, ["__key", "__node"], "left_semi").select("__row.*")
-    return tagged.where("__node is null").select(*columns).unionByName(one)
+    key = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col))).alias("__key")
+    source = docs.select(*columns, key, quoted(text_col).alias("__text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__node", T.LongType())])
+    tagged = source.mapInArrow(_first_of_each(schema), schema)
+    # rows with an empty set match nothing, and are spread by a number of their own
+    tagged = tagged.withColumn("__key", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()).otherwise(F.col("__key")))
+    out = tagged.join(kept, ["__key", "__node"], "left").withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__node").orderBy(F.lit(0))))
+    return out.where(F.col("__node").isNull() | (F.col("__first") & (F.col("__nth") == 1))).select(*columns)
