@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import drift, explain, forecast, grid, metrics, reports, stats
 from ..operators.windows import prepare_dataset
 from ..streaming import streams
-from .views import FORECASTS_SQL, GAPPY_SQL, RUNS_SQL, SERIES, SERIES_SQL, TICKS, TICKS_SQL, day, forecasts, gappy, r, runs, series, table, ticks
+from .views import FORECASTS_SQL, GAPPY_SQL, RUNS_SQL, SERIES, SERIES_SQL, TICKS, TICKS_SQL, chi2_sql, day, f_sql, forecasts, gappy, kolmogorov_sql, normal2_sql, r, runs, series, t2_sql, table, ticks
 
 KEYS = ["loto", "unique_id"]
 DAY_SQL = "strftime(ds, '%Y-%m-%d') AS ds"
@@ -105,7 +105,8 @@ def _drift(reg) -> None:
       ks AS (SELECT k, max(abs(fr - fc)) AS ks FROM cu GROUP BY 1),
       lv AS (SELECT k, count(*) FILTER (side = 0) AS reference_n, count(*) FILTER (side = 1) AS current_n, avg(CASE WHEN side = 0 THEN v END) AS rm, avg(CASE WHEN side = 1 THEN v END) AS cm FROM d GROUP BY 1)"""
     final = "round(rm, 6) + 0.0 AS reference_mean, round(cm, 6) + 0.0 AS current_mean, round(cm - rm, 6) + 0.0 AS mean_shift, round(psi, 6) + 0.0 AS psi, round(ks, 6) + 0.0 AS ks_stat"
-    shown = ["reference_mean", "current_mean", "mean_shift", "psi", "ks_stat"]
+    final += f", round({kolmogorov_sql('ks * sqrt(CAST(reference_n AS DOUBLE) * current_n / (reference_n + current_n))')}, 6) + 0.0 AS ks_pvalue"
+    shown = ["reference_mean", "current_mean", "mean_shift", "psi", "ks_stat", "ks_pvalue"]
 
     @reg.add(
         "drift_by_group",
@@ -137,7 +138,7 @@ def _drift(reg) -> None:
 
     @reg.add("evaluation_drift")
     def _(spark, sf):
-        return _rounded(drift.evaluation_drift(_evaluations(spark, sf)), [*shown, "ks_pvalue"])
+        return _rounded(drift.evaluation_drift(_evaluations(spark, sf)), shown)
 
 
 def _evaluations(spark, sf):
@@ -151,25 +152,24 @@ def _evaluations(spark, sf):
 
 
 def _tests(reg) -> None:
-    prods = ", ".join(f"sum((e - m) * (l{k} - m)) AS g{k}" for k in range(1, 11))
-    lagged = ", ".join(f"lag(e, {k}) OVER (PARTITION BY loto, unique_id ORDER BY ds) AS l{k}" for k in range(1, 11))
-    q = " + ".join(f"CASE WHEN n - 1 >= {k} THEN coalesce(pow(g{k} / g0, 2), 0) / nullif(n - {k}, 0) ELSE 0 END" for k in range(1, 11))
+    def ljung_sql(lags: int, digits: int, more: str = "") -> str:
+        prods = ", ".join(f"sum((e - m) * (l{k} - m)) AS g{k}" for k in range(1, lags + 1))
+        lagged = ", ".join(f"lag(e, {k}) OVER (PARTITION BY loto, unique_id ORDER BY ds) AS l{k}" for k in range(1, lags + 1))
+        q = " + ".join(f"CASE WHEN n - 1 >= {k} THEN coalesce(pow(g{k} / g0, 2), 0) / nullif(n - {k}, 0) ELSE 0 END" for k in range(1, lags + 1))
+        return f"""WITH {FORECASTS_SQL}, r AS (SELECT loto, unique_id, ds, y - yhat AS e FROM forecasts WHERE yhat IS NOT NULL), l AS (SELECT *, {lagged}, avg(e) OVER (PARTITION BY loto, unique_id) AS m FROM r),
+        s AS (SELECT loto, unique_id, count(*) AS n, sum(pow(e - m, 2)) AS g0, {prods} FROM l GROUP BY 1, 2), q AS (SELECT *, CAST(least({lags}, n - 1) AS BIGINT) AS used, n * (n + 2) * ({q}) AS lb FROM s)
+        SELECT loto, unique_id, n AS nobs, used AS lags_used, round(lb, {digits}) + 0.0 AS lb_stat{more} FROM q"""
 
-    @reg.add(
-        "ljung_box",
-        f"""WITH {FORECASTS_SQL}, r AS (SELECT loto, unique_id, ds, y - yhat AS e FROM forecasts WHERE yhat IS NOT NULL), l AS (SELECT *, {lagged}, avg(e) OVER (PARTITION BY loto, unique_id) AS m FROM r),
-        s AS (SELECT loto, unique_id, count(*) AS n, sum(pow(e - m, 2)) AS g0, {prods} FROM l GROUP BY 1, 2)
-        SELECT loto, unique_id, n AS nobs, CAST(least(10, n - 1) AS BIGINT) AS lags_used, round(n * (n + 2) * ({q}), 5) + 0.0 AS lb_stat FROM s""",
-    )
+    @reg.add("ljung_box", ljung_sql(10, 5))
     def _(spark, sf):
         f = forecasts(spark, sf).withColumn("e", F.col("y") - F.col("yhat"))
         out = stats.ljung_box(f, KEYS, ["ds"], "e", 10)
         return out.select(*KEYS, "nobs", "lags_used", r("lb_stat", 5).alias("lb_stat"))
 
-    @reg.add("ljung_box_pvalues")
+    @reg.add("ljung_box_pvalues", ljung_sql(20, 5, f", round({chi2_sql('lb', 'used')}, 6) + 0.0 AS lb_pvalue"))
     def _(spark, sf):
         f = forecasts(spark, sf).withColumn("e", F.col("y") - F.col("yhat"))
-        return _rounded(stats.ljung_box(f, KEYS, ["ds"], "e", 20), ["lb_stat", "lb_pvalue"])
+        return _rounded(stats.ljung_box(f, KEYS, ["ds"], "e", 20), ["lb_pvalue"]).withColumn("lb_stat", r("lb_stat", 5))
 
     @reg.add("unit_root")
     def _(spark, sf):
@@ -194,23 +194,23 @@ def _tests(reg) -> None:
     @reg.add(
         "diebold_mariano",
         f"""WITH {FORECASTS_SQL}, d AS (SELECT loto, pow(y - yhat, 2) - pow(y - ynaive, 2) AS d FROM forecasts WHERE yhat IS NOT NULL AND ynaive IS NOT NULL)
-        SELECT loto, count(*) AS n, round(avg(d), 6) + 0.0 AS mean_loss_diff, round(avg(d) / sqrt(var_samp(d) / count(*)), 6) + 0.0 AS dm_stat FROM d GROUP BY 1""",
+        SELECT loto, n, round(m, 6) + 0.0 AS mean_loss_diff, round(t, 6) + 0.0 AS dm_stat, round({normal2_sql("t")}, 6) + 0.0 AS pvalue FROM (SELECT loto, count(*) AS n, avg(d) AS m, avg(d) / sqrt(var_samp(d) / count(*)) AS t FROM d GROUP BY 1)""",
     )
     def _(spark, sf):
         out = stats.diebold_mariano(forecasts(spark, sf), "y", "yhat", "ynaive", by=["loto"])
-        return _rounded(out, ["mean_loss_diff", "dm_stat"]).drop("pvalue")
+        return _rounded(out, ["mean_loss_diff", "dm_stat", "pvalue"])
 
     @reg.add(
         "diebold_mariano_hac",
         f"""WITH {FORECASTS_SQL}, d AS (SELECT loto, unique_id, ds, pow(y - yhat, 2) - pow(y - ynaive, 2) AS d FROM forecasts WHERE yhat IS NOT NULL AND ynaive IS NOT NULL),
         l AS (SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2, avg(d) OVER (PARTITION BY loto, unique_id) AS m FROM d WINDOW w AS (PARTITION BY loto, unique_id ORDER BY ds)),
         s AS (SELECT loto, unique_id, count(*) AS n, max(m) AS mean_d, sum(pow(d - m, 2)) + 2 * (2.0 / 3) * sum((d - m) * (d1 - m)) + 2 * (1.0 / 3) * sum((d - m) * (d2 - m)) AS v FROM l GROUP BY 1, 2)
-        SELECT loto, unique_id, n, round(mean_d, 6) + 0.0 AS mean_d, round(CASE WHEN v > 0 THEN mean_d / (sqrt(v) / n) END, 6) + 0.0 AS dm_t FROM s""",
+        SELECT loto, unique_id, n, round(mean_d, 6) + 0.0 AS mean_d, round(t, 6) + 0.0 AS dm_t, round({normal2_sql("t")}, 6) + 0.0 AS dm_pvalue FROM (SELECT *, CASE WHEN v > 0 THEN mean_d / (sqrt(v) / n) END AS t FROM s)""",
     )
     def _(spark, sf):
         f = forecasts(spark, sf).withColumns({"e1": F.col("y") - F.col("yhat"), "e2": F.col("y") - F.col("ynaive")}).where("e1 IS NOT NULL AND e2 IS NOT NULL")
         out = stats.diebold_mariano_hac(f, "e1", "e2", ["ds"], h=3, by=KEYS)
-        return _rounded(out, ["mean_d", "dm_t"]).drop("dm_pvalue")
+        return _rounded(out, ["mean_d", "dm_t", "dm_pvalue"])
 
     @reg.add("permutation_test")
     def _(spark, sf):
@@ -235,46 +235,48 @@ def _tests(reg) -> None:
         "mann_whitney",
         "WITH e AS (SELECT round(value, 0) AS value, event_type FROM events WHERE event_type IN ('view', 'click')), "
         + ranks.format(extra="sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS a")
-        + """, s AS (SELECT sum(a * rank) AS r, sum(a) AS n1, sum(c) AS n, sum(pow(c, 3) - c) AS t FROM rk),
-        u AS (SELECT *, n - n1 AS n2, r - n1 * (n1 + 1) / 2.0 AS u FROM s)
-        SELECT CAST(n1 AS BIGINT) AS n_a, CAST(n2 AS BIGINT) AS n_b, round(u, 2) + 0.0 AS u_stat, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n + 1 - t / (n * (n - 1)))), 6) + 0.0 AS z FROM u""",
+        + f""", s AS (SELECT sum(a * rank) AS r, sum(a) AS n1, sum(c) AS n, sum(pow(c, 3) - c) AS t FROM rk),
+        u AS (SELECT *, n - n1 AS n2, r - n1 * (n1 + 1) / 2.0 AS u FROM s), z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n + 1 - t / (n * (n - 1)))) AS z FROM u)
+        SELECT CAST(n1 AS BIGINT) AS n_a, CAST(n2 AS BIGINT) AS n_b, round(u, 2) + 0.0 AS u_stat, round(z, 6) + 0.0 AS z, round({normal2_sql("greatest(z, 0.0)")}, 6) + 0.0 AS pvalue FROM z""",
     )
     def _(spark, sf):
         e = table(spark, sf, "events").withColumn("value", F.round("value", 0))
         out = stats.mann_whitney(e, "event_type", "view", "click", "value")
-        return out.select("n_a", "n_b", r("u_stat", 2).alias("u_stat"), r("z").alias("z"))
+        return out.select("n_a", "n_b", r("u_stat", 2).alias("u_stat"), r("z").alias("z"), r("pvalue").alias("pvalue"))
 
     @reg.add(
         "levene",
-        """WITH e AS (SELECT event_type, value, quantile_cont(value, 0.5) OVER (PARTITION BY event_type) AS med FROM events), z AS (SELECT event_type, abs(value - med) AS z FROM e),
+        f"""WITH e AS (SELECT event_type, value, quantile_cont(value, 0.5) OVER (PARTITION BY event_type) AS med FROM events), z AS (SELECT event_type, abs(value - med) AS z FROM e),
         g AS (SELECT event_type, count(*) AS n, avg(z) AS m, var_pop(z) * count(*) AS w FROM z GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mm, sum(w) AS w FROM g)
-        SELECT k AS groups, CAST(t.n AS BIGINT) AS n, round((t.n - k) / (k - 1) * (SELECT sum(n * pow(m - mm, 2)) FROM g) / w, 6) + 0.0 AS stat FROM t""",
+        SELECT k AS groups, n, round(f, 6) + 0.0 AS stat, round({f_sql("f", "k - 1", "n - k")}, 6) + 0.0 AS pvalue FROM (SELECT k, CAST(t.n AS BIGINT) AS n, (t.n - k) / (k - 1) * (SELECT sum(n * pow(m - mm, 2)) FROM g) / w AS f FROM t)""",
     )
     def _(spark, sf):
         out = stats.levene(table(spark, sf, "events"), "event_type", "value")
-        return out.select("groups", "n", r("stat").alias("stat"))
+        return out.select("groups", "n", r("stat").alias("stat"), r("pvalue").alias("pvalue"))
 
     @reg.add(
         "kruskal",
         "WITH e AS (SELECT round(value, 0) AS value, event_type FROM events), "
         + ranks.format(extra="1 AS one")
-        + """, g AS (SELECT event_type, count(*) AS n, sum(rank) AS r FROM e JOIN rk USING (value) GROUP BY 1), t AS (SELECT sum(c) AS n, sum(pow(c, 3) - c) AS t FROM rk)
-        SELECT (SELECT count(*) FROM g) AS groups, CAST(n AS BIGINT) AS n, round((12.0 / (n * (n + 1)) * (SELECT sum(r * r / n) FROM g) - 3 * (n + 1)) / (1 - t / (pow(n, 3) - n)), 5) + 0.0 AS stat FROM t""",
+        + f""", g AS (SELECT event_type, count(*) AS n, sum(rank) AS r FROM e JOIN rk USING (value) GROUP BY 1), t AS (SELECT sum(c) AS n, sum(pow(c, 3) - c) AS t FROM rk),
+        h AS (SELECT (SELECT count(*) FROM g) AS groups, CAST(n AS BIGINT) AS n, (12.0 / (n * (n + 1)) * (SELECT sum(r * r / n) FROM g) - 3 * (n + 1)) / (1 - t / (pow(n, 3) - n)) AS h FROM t)
+        SELECT groups, n, round(h, 5) + 0.0 AS stat, round({chi2_sql("h", "groups - 1")}, 6) + 0.0 AS pvalue FROM h""",
     )
     def _(spark, sf):
         out = stats.kruskal(table(spark, sf, "events").withColumn("value", F.round("value", 0)), "event_type", "value")
-        return out.select("groups", "n", r("stat", 5).alias("stat"))
+        return out.select("groups", "n", r("stat", 5).alias("stat"), r("pvalue").alias("pvalue"))
 
     @reg.add(
         "welch",
-        """WITH s AS (SELECT count(*) FILTER (event_type = 'view') AS n_a, count(*) FILTER (event_type = 'click') AS n_b, avg(CASE WHEN event_type = 'view' THEN value END) AS mean_a, avg(CASE WHEN event_type = 'click' THEN value END) AS mean_b,
+        f"""WITH s AS (SELECT count(*) FILTER (event_type = 'view') AS n_a, count(*) FILTER (event_type = 'click') AS n_b, avg(CASE WHEN event_type = 'view' THEN value END) AS mean_a, avg(CASE WHEN event_type = 'click' THEN value END) AS mean_b,
         var_samp(CASE WHEN event_type = 'view' THEN value END) AS va, var_samp(CASE WHEN event_type = 'click' THEN value END) AS vb FROM events)
         SELECT n_a, n_b, round(mean_a, 6) + 0.0 AS mean_a, round(mean_b, 6) + 0.0 AS mean_b, round((mean_a - mean_b) / sqrt(va / n_a + vb / n_b), 6) + 0.0 AS welch_t,
-        round(pow(va / n_a + vb / n_b, 2) / (pow(va / n_a, 2) / (n_a - 1) + pow(vb / n_b, 2) / (n_b - 1)), 4) + 0.0 AS welch_df, round((mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) + 0.0 AS cohens_d FROM s""",
+        round(pow(va / n_a + vb / n_b, 2) / (pow(va / n_a, 2) / (n_a - 1) + pow(vb / n_b, 2) / (n_b - 1)), 4) + 0.0 AS welch_df, round((mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)), 6) + 0.0 AS cohens_d,
+        round({t2_sql("(mean_a - mean_b) / sqrt(va / n_a + vb / n_b)", "pow(va / n_a + vb / n_b, 2) / (pow(va / n_a, 2) / (n_a - 1) + pow(vb / n_b, 2) / (n_b - 1))")}, 6) + 0.0 AS welch_pvalue FROM s""",
     )
     def _(spark, sf):
         out = stats.welch(table(spark, sf, "events"), "event_type", "view", "click", "value")
-        return _rounded(out, ["mean_a", "mean_b", "welch_t", "cohens_d"]).withColumn("welch_df", r("welch_df", 4)).drop("welch_pvalue")
+        return _rounded(out, ["mean_a", "mean_b", "welch_t", "cohens_d", "welch_pvalue"]).withColumn("welch_df", r("welch_df", 4))
 
     @reg.add("crosstab_failed", f"WITH {RUNS_SQL} SELECT model_name, count(*) FILTER (status <> 'failed') AS not_failed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1")
     def _(spark, sf):
@@ -283,18 +285,18 @@ def _tests(reg) -> None:
     chi = """, c AS (SELECT {a} AS a, {b} AS b, count(*) AS o FROM runs GROUP BY 1, 2), ra AS (SELECT a, sum(o) AS r FROM c GROUP BY 1), cb AS (SELECT b, sum(o) AS s FROM c GROUP BY 1),
       f AS (SELECT coalesce(o, 0) AS o, r * s / (SELECT sum(o) FROM c) AS e FROM ra CROSS JOIN cb LEFT JOIN c USING (a, b))"""
 
-    @reg.add("chi_square", f"WITH {RUNS_SQL}{chi.format(a='model_name', b='status')} SELECT round(sum(pow(o - e, 2) / e), 6) + 0.0 AS chi2_stat, 8::BIGINT AS dof, CAST(sum(o) AS BIGINT) AS n FROM f")
+    @reg.add("chi_square", f"WITH {RUNS_SQL}{chi.format(a='model_name', b='status')} SELECT round(x, 6) + 0.0 AS chi2_stat, 8::BIGINT AS dof, n, round({chi2_sql('x', '8')}, 6) + 0.0 AS p_value FROM (SELECT sum(pow(o - e, 2) / e) AS x, CAST(sum(o) AS BIGINT) AS n FROM f)")
     def _(spark, sf):
         out = stats.chi_square(runs(spark, sf), "model_name", "status")
-        return out.select(r("chi2_stat").alias("chi2_stat"), "dof", "n")
+        return out.select(r("chi2_stat").alias("chi2_stat"), "dof", "n", r("p_value").alias("p_value"))
 
     yates = chi.format(a="CASE WHEN status = 'failed' THEN 1 ELSE 0 END", b="CASE WHEN app_name < '3' THEN 1 ELSE 0 END")
 
-    @reg.add("chi_square_yates", f"WITH {RUNS_SQL}{yates} SELECT round(sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e), 6) + 0.0 AS chi2_stat, 1::BIGINT AS dof, CAST(sum(o) AS BIGINT) AS n FROM f")
+    @reg.add("chi_square_yates", f"WITH {RUNS_SQL}{yates} SELECT round(x, 6) + 0.0 AS chi2_stat, 1::BIGINT AS dof, n, round({chi2_sql('x', '1')}, 6) + 0.0 AS p_value FROM (SELECT sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e) AS x, CAST(sum(o) AS BIGINT) AS n FROM f)")
     def _(spark, sf):
         x = runs(spark, sf).select((F.col("status") == "failed").cast("int").alias("a"), (F.col("app_name") < "3").cast("int").alias("b"))
         out = stats.chi_square(x, "a", "b")
-        return out.select(r("chi2_stat").alias("chi2_stat"), "dof", "n")
+        return out.select(r("chi2_stat").alias("chi2_stat"), "dof", "n", r("p_value").alias("p_value"))
 
     @reg.add(
         "rejection_summary",

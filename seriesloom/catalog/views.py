@@ -205,3 +205,35 @@ class Registry:
             return fn
 
         return put
+
+
+# Tail probabilities in SQL, from series of positive terms whose logarithms are sums of log-gamma values.
+
+
+def chi2_sql(x: str, k: str) -> str:
+    """P(X > x) for k degrees of freedom: one minus the series of the lower incomplete gamma function."""
+    term = f"exp(-({x}) / 2.0 + (({k}) / 2.0 + i) * ln(({x}) / 2.0) - lgamma(({k}) / 2.0 + i + 1))"
+    return f"CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) <= 0 THEN 1.0 WHEN ({x}) > 800 + 2 * ({k}) THEN 0.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range(0, 2000), lambda i: {term}))) END"
+
+
+def normal2_sql(z: str) -> str:
+    """P(|Z| > |z|): a squared standard normal value has one degree of freedom."""
+    return chi2_sql(f"pow({z}, 2)", "1")
+
+
+def f_sql(x: str, d1: str, d2: str) -> str:
+    """P(F > x): one minus the series of the incomplete beta function at d1 x / (d2 + d1 x)."""
+    a, b, y = f"(({d1}) / 2.0)", f"(({d2}) / 2.0)", f"(({d1}) * ({x}) / (({d2}) + ({d1}) * ({x})))"
+    term = f"exp(({a} + i) * ln({y}) + {b} * ln(1 - {y}) + lgamma({a} + {b} + i) - lgamma({b}) - lgamma({a} + 1 + i))"
+    return f"CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range(0, 3000), lambda i: {term}))) END"
+
+
+def t2_sql(t: str, df: str) -> str:
+    return f_sql(f"pow({t}, 2)", "1", df)
+
+
+def kolmogorov_sql(x: str) -> str:
+    """Tail of the limit distribution of the scaled two-sample distance, in the form that converges for small and for large values."""
+    small = f"1.0 - sqrt(2 * pi()) / ({x}) * list_sum(list_transform(range(1, 40), lambda i: exp(-pow(2 * i - 1, 2) * pow(pi(), 2) / (8 * pow({x}, 2)))))"
+    large = f"2 * list_sum(list_transform(range(1, 100), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * pow({x}, 2))))"
+    return f"CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) < 0.000001 THEN 1.0 WHEN ({x}) < 1.18 THEN {small} ELSE greatest(0.0, least(1.0, {large})) END"
