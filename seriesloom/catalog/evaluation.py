@@ -136,7 +136,11 @@ def _drift(reg) -> None:
     def _(spark, sf):
         return drift.latest_evaluation(_evaluations(spark, sf).select("dataset_id", "created_at", "eval_id")).select("dataset_id", "eval_id")
 
-    @reg.add("evaluation_drift")
+    evaluated = """WITH li AS (SELECT l_returnflag AS ds, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS ev, l_quantity AS a, l_extendedprice / 2000 AS b FROM lineitem),
+      ages AS (SELECT ds, ev, row_number() OVER (PARTITION BY ds ORDER BY ev DESC) AS age FROM (SELECT DISTINCT ds, ev FROM li)),
+      d AS (SELECT [ds, m] AS k, v, CASE WHEN age = 2 THEN 0 ELSE 1 END AS side FROM (SELECT ds, ev, unnest(['y_true', 'y_pred', 'residual']) AS m, unnest([CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(a - b AS DOUBLE)]) AS v FROM li) JOIN ages USING (ds, ev) WHERE age <= 2)"""
+
+    @reg.add("evaluation_drift", base.format(src=evaluated, names=names, cuts=cuts) + f" SELECT k[1] AS dataset_id, k[2] AS measure, reference_n, current_n, reference_n > 0 AND current_n > 0 AS ok, {final} FROM lv JOIN ps USING (k) JOIN ks USING (k)")
     def _(spark, sf):
         return _rounded(drift.evaluation_drift(_evaluations(spark, sf)), shown)
 
@@ -421,11 +425,30 @@ def _explain(reg) -> None:
     def _(spark, sf):
         return _rounded(explain.subset_r2(_features(spark, sf).na.drop(subset=["lag_1"]), "y", ["lag_1"]), ["r2"])
 
+    # within each lottery for the joint regression, over all rows for the others
+    within = """, f AS (SELECT loto, y, lag_1 FROM feats WHERE lag_1 IS NOT NULL), c AS (SELECT y - avg(y) OVER (PARTITION BY loto) AS wy, lag_1 - avg(lag_1) OVER (PARTITION BY loto) AS wx, y - avg(y) OVER () AS ty, lag_1 - avg(lag_1) OVER () AS tx, loto FROM f),
+      s AS (SELECT sum(ty * ty) AS t, sum(wy * wy) AS w, sum(wx * wy) AS wxy, sum(wx * wx) AS wxx, sum(tx * ty) AS txy, sum(tx * tx) AS txx, CAST(count(DISTINCT loto) AS INT) AS k FROM c)"""
+
+    @reg.add(
+        "category_r2",
+        f"""WITH {FEATURES_SQL}{within} SELECT unnest(['lag_1', 'loto', 'lag_1,loto']) AS features, unnest([1, k - 1, k]) AS columns, unnest([round(txy * txy / txx / t, 6) + 0.0, round(1 - w / t, 6) + 0.0, round(1 - (w - wxy * wxy / wxx) / t, 6) + 0.0]) AS r2 FROM s""",
+    )
+    def _(spark, sf):
+        return _rounded(explain.subset_r2(_features(spark, sf).na.drop(subset=["lag_1"]), "y", ["lag_1", "loto"], ["loto"]), ["r2"])
+
     @reg.add("shapley_r2")
     def _(spark, sf):
         return _rounded(explain.shapley_r2(_features(spark, sf).na.drop(subset=FEATURES), "y", [*FEATURES, "loto"], ["loto"]), ["shapley_r2_contrib", "shapley_rate"])
 
-    @reg.add("proxy_effect")
+    effect = f"""WITH {RUNS_SQL}, f AS (SELECT duration_sec AS y, rows_written, CAST(rows_failed AS DOUBLE) AS x, model_name AS g FROM runs WHERE duration_sec IS NOT NULL), m AS (SELECT quantile_cont(rows_written, 0.5) AS med FROM f),
+      t AS (SELECT y, x, g, CASE WHEN rows_written >= med THEN 1.0 ELSE 0.0 END AS t FROM f, m),
+      w AS (SELECT y - avg(y) OVER p AS y, x - avg(x) OVER p AS x, t - avg(t) OVER p AS t, g FROM t WINDOW p AS (PARTITION BY g)),
+      s AS (SELECT count(*) AS n, count(DISTINCT g) AS k, sum(t * t) AS tt, sum(t * x) AS tx, sum(x * x) AS xx, sum(t * y) AS ty, sum(x * y) AS xy, sum(y * y) AS yy FROM w),
+      b AS (SELECT *, (ty * xx - xy * tx) / (tt * xx - tx * tx) AS bt, (xy * tt - ty * tx) / (tt * xx - tx * tx) AS bx FROM s),
+      e AS (SELECT *, sqrt((yy - bt * ty - bx * xy) / (n - 2 - k) * xx / (tt * xx - tx * tx)) AS se FROM b)
+      SELECT true AS ok, n, 'rows_written' AS treatment_col, round(bt, 6) + 0.0 AS ate_proxy, round(se, 6) + 0.0 AS std_error, round(bt / se, 6) + 0.0 AS z_score, round(bt - 1.96 * se, 6) + 0.0 AS ci_low_95, round(bt + 1.96 * se, 6) + 0.0 AS ci_high_95 FROM e"""
+
+    @reg.add("proxy_effect", effect)
     def _(spark, sf):
         out = explain.proxy_effect(runs(spark, sf).na.drop(subset=["duration_sec"]), "duration_sec", "rows_written", ["rows_failed"], ["model_name"])
         return _rounded(out, ["ate_proxy", "std_error", "z_score", "ci_low_95", "ci_high_95"])

@@ -147,7 +147,10 @@ def _sinks(reg) -> None:
     def _(spark, sf):
         return writers.grid_task_rows(table(spark, sf, "part"), "g1", ["p_size", "p_brand"], "p_partkey")
 
-    @reg.add("provenance_stamp")
+    @reg.add(
+        "provenance_stamp",
+        """SELECT vec_id, 8 AS embedding_dim, 'harmonic' AS model_name, '1' AS model_version, sha256('{"dim": 8, "window": 16}') AS config_hash FROM embeddings""",
+    )
     def _(spark, sf):
         from ..operators.embed import provenance
 
