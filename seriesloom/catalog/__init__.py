@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .views import Registry
 
-MODULES = ("features", "tables", "runs", "evaluation")
+MODULES = ("features", "tables", "runs", "evaluation", "sinks")
 
 
 @cache

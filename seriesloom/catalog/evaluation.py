@@ -695,7 +695,7 @@ def _reports(reg) -> None:
     def _(spark, sf):
         return _rounded(reports.key_insights(runs(spark, sf), "duration_sec"), ["value"])
 
-    @reg.add("forecast_contract")
+    @reg.add("forecast_contract", f"""WITH {FEATURES_SQL} SELECT '{{"count":' || count(0.6 * lag_1 + 0.4 * coalesce(roll_mean_7, lag_1)) || ',"coverage_target":0.9}}' AS head, 3 AS features, 3 AS scenarios FROM feats WHERE y IS NOT NULL""")
     def _(spark, sf):
         rows = _predicted(_features(spark, sf))
         out = reports.forecast_contract(rows, "y", "yhat", FEATURES, KEYS, ["ds"], points=20)

@@ -156,7 +156,14 @@ def _windows(reg) -> None:
         out = windows.history_features(series(spark, sf), SERIES)
         return out.select(*KEYS, day("ds").alias("ds"), *[r(f"hist_ewm_mean_{s}").alias(f"hist_ewm_mean_{s}") for s in windows.EWM_SPANS])
 
-    @reg.add("ewm_with_gaps")
+    # With gaps the level is stepped from row to row: a value that follows after g rows is mixed in with a / ((1 - a)^g + a).
+    step = ", ".join(f"CASE WHEN n.y IS NULL THEN l.e{s} WHEN l.e{s} IS NULL THEN n.y ELSE l.e{s} + {a} / (pow(1 - {a}, l.gap + 1) + {a}) * (n.y - l.e{s}) END" for s, a in ((7, "(2.0 / 8)"), (14, "(2.0 / 15)")))
+    gaps = f"""WITH RECURSIVE {GAPPY_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY loto, unique_id ORDER BY ds) AS rn FROM gappy),
+      l AS (SELECT loto, unique_id, 1::BIGINT AS rn, CAST(y AS DOUBLE) AS e7, CAST(y AS DOUBLE) AS e14, 0 AS gap FROM n WHERE rn = 1
+        UNION ALL SELECT n.loto, n.unique_id, n.rn, {step}, CASE WHEN n.y IS NULL THEN l.gap + 1 ELSE 0 END FROM l JOIN n ON n.loto = l.loto AND n.unique_id = l.unique_id AND n.rn = l.rn + 1)
+      SELECT n.loto, n.unique_id, strftime(n.ds, '%Y-%m-%d') AS ds, round(l.e7, 6) + 0.0 AS hist_ewm_mean_7, round(l.e14, 6) + 0.0 AS hist_ewm_mean_14 FROM n LEFT JOIN l ON n.loto = l.loto AND n.unique_id = l.unique_id AND n.rn = l.rn + 1"""
+
+    @reg.add("ewm_with_gaps", gaps)
     def _(spark, sf):
         out = windows.history_features(gappy(spark, sf), SERIES)
         return out.select(*KEYS, day("ds").alias("ds"), *[r(f"hist_ewm_mean_{s}").alias(f"hist_ewm_mean_{s}") for s in windows.EWM_SPANS])
@@ -408,7 +415,12 @@ def _anomaly(reg) -> None:
     def _(spark, sf):
         return published(anomaly.threshold_score(gappy(spark, sf), SERIES), "hist_merlion_stat_threshold")
 
-    @reg.add("anomaly_threshold_causal")
+    causal = f"""WITH {GAPPY_SQL}, f AS (SELECT *, abs((y - avg(y) OVER g) / stddev_pop(y) OVER g) AS sc FROM gappy WINDOW g AS (PARTITION BY loto, unique_id)),
+      m AS (SELECT *, count(sc) OVER e AS k, avg(sc) OVER e + {anomaly._normal_quantile(0.9)!r} * sqrt(var_pop(sc) OVER e) AS border FROM f WINDOW e AS (PARTITION BY loto, unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT loto, unique_id, {DAY_SQL}, round(lag(CASE WHEN k >= 30 THEN sc END) OVER o, 6) + 0.0 AS score, lag(CASE WHEN k >= 30 THEN CAST(sc >= border AS DOUBLE) END) OVER o AS flag
+      FROM m WINDOW o AS (PARTITION BY loto, unique_id ORDER BY ds)"""
+
+    @reg.add("anomaly_threshold_causal", causal)
     def _(spark, sf):
         return published(anomaly.threshold_score(gappy(spark, sf), SERIES, causal=True), "hist_merlion_stat_threshold")
 

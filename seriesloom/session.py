@@ -35,13 +35,18 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK, str(DEFAULT_ROWS_PER_TASK)))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage on storage that all executors share: the folder the session names. Only a local session may go without."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's, or a temporary one where the session is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seriesloom-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage on storage that all executors share: the folder the session names. Only a local session may go without."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
