@@ -159,43 +159,56 @@ def _num(v) -> float | None:
     return None if v is None else float(v)
 
 
-def shuffled(df: DataFrame, column: str, row_id: str, seed: int, name: str, layout: Layout | None = None) -> DataFrame:
-    """A random permutation of one column.
+def mixed_copies(df: DataFrame, features: Sequence[str], row_id: str, repeats: int, seed: int = 42, layout: Layout | None = None) -> DataFrame:
+    """Every row as it is (``_copy`` 0) and once per feature and repeat with that feature's value from another row.
 
-    Rows are put into a seeded hash order and each takes its predecessor's value, the first one the last one's: a random
-    cycle through all rows. It costs one ordered pass, and no two copies of the data ever meet in a join.
+    Rows are put into a seeded hash order once. Copy ``1 + feature * repeats + repeat`` takes its feature from the row so many places
+    before, the first rows from the last ones: a shift of a random order, so every copy's values are a random permutation. One
+    ordered pass serves all copies, and they never meet in a join. Only the last rows of the order, one a copy, come to the driver.
     """
+    names, total = list(features), df.count()
     hashed = df.withColumn("_h", F.xxhash64(F.lit(int(seed)), F.col(row_id)))
-    order = F.struct("_h", row_id)
+    offsets = [1 + i % max(total - 1, 1) for i in range(len(names) * repeats)]
+    deep = max(offsets, default=1)
+    ends = hashed.orderBy(F.col("_h").desc(), F.col(row_id).desc()).limit(deep).select(*names).collect()[::-1]
+    kinds = {f.name: f.dataType for f in df.schema}
 
     def build(frame, w):
-        return frame.withColumn(name, F.when(F.col("_pos") == 0, F.col("_end")["v"]).otherwise(F.lag(column, 1).over(w)))
-
-    last = F.max_by(F.struct(F.col(column).alias("v")), order)
-    return over_groups(hashed, [], ["_h", row_id], build, back=1, whole={"_end": last}, layout=layout).drop("_h")
+        new = {}
+        for i, name in enumerate(names):
+            tail = F.array(*[F.lit(row[name]).cast(kinds[name]) for row in ends]).cast(T.ArrayType(kinds[name]))
+            own = offsets[i * repeats : (i + 1) * repeats]
+            new[f"_mix_{i}"] = F.array(*[F.when(F.col("_pos") >= o, F.lag(name, o).over(w)).otherwise(F.get(tail, (F.col("_pos") + (deep - o)).cast("int"))) for o in own])
+        return frame.withColumns(new)
+
+    rows = over_groups(hashed, [], ["_h", row_id], build, back=deep, layout=layout).drop("_h")
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(len(offsets)))))
+    turn = ((F.col("_copy") - 1) % repeats).cast("int")
+    owned = {name: F.when((F.col("_copy") > 0) & (F.floor((F.col("_copy") - 1) / repeats) == i), F.get(f"_mix_{i}", turn)).otherwise(F.col(name)) for i, name in enumerate(names)}
+    return copies.withColumns(owned).drop(*[f"_mix_{i}" for i in range(len(names))])
+
+
+def _by_feature(scores: Sequence[float | None], features: Sequence[str], repeats: int) -> list[tuple[str, float | None, float | None]]:
+    """Mean and deviation of each feature's scores over its repeats."""
+    out = []
+    for i, name in enumerate(features):
+        own = [x for x in scores[i * repeats : (i + 1) * repeats] if x is not None]
+        out.append((name, float(np.mean(own)) if own else None, float(np.std(own)) if own else None))
+    return out
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], row_id: str, target: str = "y", prediction: str = "yhat", repeats: int = 3, seed: int = 42) -> DataFrame:
     """Rise of the mean absolute error when a feature's values are shuffled.
 
-    ``predict`` adds the prediction column to a frame. Features the model ignores come out as 0.
+    ``predict`` adds the prediction column to a frame, from a row's own columns. Features the model ignores come out as 0. All
+    features and repeats share one ordered pass and one prediction; their errors are added up side by side.
     """
-    def error(frame: DataFrame) -> DataFrame:
-        return predict(frame).where(F.col(target).isNotNull() & F.col(prediction).isNotNull()).agg(F.avg(F.abs(F.col(target) - F.col(prediction))).alias("mae"))
-
-    base = error(df).first()["mae"]
-    layout = measure(df, [])
-    parts = []
-    for f in features:
-        for k in range(repeats):
-            mixed = shuffled(df, f, row_id, seed + 1009 * k, "_mixed", layout).drop(f).withColumnRenamed("_mixed", f)
-            parts.append(error(mixed).select(F.lit(f).alias("feature"), (F.col("mae") - F.lit(base)).alias("d")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("feature").agg(
-        F.avg("d").alias("delta_mae_mean"), F.stddev_pop("d").alias("delta_mae_std"), F.lit(base).alias("base_mae"), F.lit("permutation").alias("method")
-    )
+    copies = predict(mixed_copies(df, features, row_id, repeats, seed)).where(F.col(target).isNotNull() & F.col(prediction).isNotNull())
+    errors = {r["_copy"]: r["e"] for r in copies.groupBy("_copy").agg(F.avg(F.abs(F.col(target) - F.col(prediction))).alias("e")).collect()}
+    base = errors.get(0)
+    rise = [errors[c] - base if errors.get(c) is not None and base is not None else None for c in range(1, len(features) * repeats + 1)]
+    out = [(name, mean, std, base, "permutation") for name, mean, std in _by_feature(rise, features, repeats)]
+    return df.sparkSession.createDataFrame(out, "feature string, delta_mae_mean double, delta_mae_std double, base_mae double, method string")
 
 
 def parameter_impact(df: DataFrame, params: Sequence[str], target: str, row_id: str, alpha: float = 0.05, n_iter: int = 600, max_values: int | None = None, numeric: Sequence[str] | None = None) -> DataFrame:
@@ -435,23 +448,15 @@ def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], cate
     test = data.where("_test")
     mean = test.agg(F.avg("_y")).first()[0]
 
-    def score(frame: DataFrame) -> DataFrame:
-        e = F.col("_y") - F.col("_p")
-        return model.transform(pack.transform(frame)).agg(
-            (1.0 - F.sum(e * e) / F.sum(F.pow(F.col("_y") - F.lit(mean), F.lit(2)))).alias("r2"), F.avg(F.abs(e)).alias("mae")
-        )
-
-    base = score(test).first()
-    layout = measure(test, [])
-    parts = []
-    for c in cols:
-        for k in range(repeats):
-            mixed = shuffled(test, c, "_id", seed + 7919 * k, "_mixed", layout).drop(c).withColumnRenamed("_mixed", c)
-            parts.append(score(mixed).select(F.lit(c[3:]).alias("feature"), (F.lit(base["r2"]) - F.col("r2")).alias("d")))
-    rows_ = parts[0]
-    for p in parts[1:]:
-        rows_ = rows_.unionByName(p)
-    table = rows_.groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"))
+    e = F.col("_y") - F.col("_p")
+    copies = model.transform(pack.transform(mixed_copies(test, cols, "_id", repeats, seed)))
+    found = copies.groupBy("_copy").agg(
+        (1.0 - F.sum(e * e) / F.sum(F.pow(F.col("_y") - F.lit(mean), F.lit(2)))).alias("r2"), F.avg(F.abs(e)).alias("mae")
+    )
+    scores = {r["_copy"]: r for r in found.collect()}
+    base = scores[0]
+    loss = [base["r2"] - scores[c]["r2"] if base["r2"] is not None else None for c in range(1, len(cols) * repeats + 1)]
+    table = df.sparkSession.createDataFrame(_by_feature(loss, [c[3:] for c in cols], repeats), "feature string, importance_mean double, importance_std double")
     table = first_rows(table.orderBy(F.col("importance_mean").desc(), "feature"), top)
     gain = F.greatest(F.col("importance_mean"), F.lit(0.0))
     total = F.sum(gain).over(Window.partitionBy(F.lit(1)))  # one row a column

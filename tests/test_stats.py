@@ -224,11 +224,26 @@ def test_proxy_effect_and_r2(spark):
     assert sum(r["shapley_r2_contrib"] for r in share) == pytest.approx(r2["t,x"])
 
 
-def test_shuffle_is_a_permutation(spark):
-    df = spark.range(200).withColumn("x", F.col("id") * 1.0)
-    out = explain.shuffled(df, "x", "id", 5, "mixed").toPandas()
-    assert sorted(out["mixed"]) == sorted(out["x"])
-    assert (out["mixed"] != out["x"]).all()
+@pytest.mark.parametrize("rows,limit", [(200, None), (200, 30), (3, None), (1, None)])
+def test_copies_are_permutations_of_one_feature(spark, small_blocks, rows, limit):
+    if limit:
+        small_blocks(limit)
+    df = spark.range(rows).selectExpr("id", "id * 1.5 AS x", "if(id % 7 = 0, null, concat('s', id)) AS s", "id % 3 AS other")
+    out = explain.mixed_copies(df, ["x", "s"], "id", 4, seed=5).toPandas()
+    order = df.withColumn("h", F.xxhash64(F.lit(5), "id")).orderBy("h", "id").toPandas()
+    assert len(out) == 9 * rows
+    for copy, part in out.groupby("_copy"):
+        part = part.set_index("id").loc[order["id"]]
+        for i, name in enumerate(["x", "s"]):
+            moved = 1 + (copy - 1) % max(rows - 1, 1) if copy and (copy - 1) // 4 == i else 0
+            assert np.roll(order[name].to_numpy(object), moved).tolist() == part[name].tolist()
+        assert part["other"].tolist() == order["other"].tolist()
+
+
+def test_exchanges_of_copies_do_not_grow(spark):
+    df = spark.range(100).selectExpr("id", "id * 1.5 AS a", "id * 2.5 AS b", "id % 5 AS c")
+    plans = [explain.mixed_copies(df, names, "id", k)._jdf.queryExecution().executedPlan().toString() for names, k in ((["a"], 1), (["a", "b", "c"], 20))]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
 
 
 def test_importance_of_an_ignored_feature_is_zero(spark):
