@@ -8,9 +8,10 @@ signs inside a word are skipped, and three or more single letters in a row are a
   counted by texts and by the different words they follow, whichever are fewer. A word ranks by the evidence of its strongest
   family, the words that begin like it, so an insult with many endings counts whole; the evidence asked for follows from the
   number of families that chance could pick from.
-* A sentence's kernel with a landmark is the best similarity of any of its words, counted from FLOOR up.
-* Nystroem: kernel values times the inverse root of the landmarks' own kernel matrix; on that a linear machine (squared hinge loss)
-  is trained with one sentence per labelled text, the one most like the toxic landmarks. A logistic curve fitted to its margins
+* A sentence's value for a landmark is the best similarity of any of its words, counted from FLOOR up: a match of sets of words, not
+  itself a positive definite kernel. The positive definite one is the kernel of two words below FLOOR's cut.
+* Nystroem: these values times the inverse root of the landmarks' own matrix of cut word similarities (its eigenvalues up to 1e-3, and
+  the negative ones the cut may bring, are left out); on that a linear machine (squared hinge loss) is trained with one sentence per labelled text, the one most like the toxic landmarks. A logistic curve fitted to its margins
   gives the score; a text scores as its worst sentence.
 
 Training uses at most MOST_LABELLED distinct texts of each class, those first by a hash of their id: a bounded sample. What reaches
@@ -18,7 +19,7 @@ the driver is the words' counts of that sample (the leading ones) and one featur
 
 Cases: null and empty texts and texts without a word of three letters have no features and score as the machine's offset says;
 without labelled texts of both classes every score is 0; null labels are not learned from; an id with two labels is learned from
-twice; words of any length are read whole, in overlapping pieces; an empty table gives an empty result; a column with an output's name is
+twice; words of any length are read whole, in overlapping pieces, in training and in scoring; an empty table gives an empty result; a column with an output's name is
 replaced.
 """
 
@@ -233,13 +234,13 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct words of three letters or more with the word before, its label and a hash of it."""
+    """Each text's distinct words of three letters or more (long ones in their pieces) with the word before, its label and a hash of it."""
     for batch, data, offsets in slices(batches):
         label, text = batch.column("label").to_pylist(), batch.column("h").to_pylist()
         for i in range(len(label)):
             words, _, _ = word_arrays(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
             listed = words.to_pylist()
-            found = sorted({(w, b) for w, b in zip(listed, [b"", *listed], strict=False) if 3 <= len(w) <= PIECE})
+            found = sorted({(p, b) for w, b in zip(listed, [b"", *listed], strict=False) for p in pieces(w) if len(p) >= 3})
             columns = [*(pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)), pa.array([label[i]] * len(found), pa.int32()), pa.array([text[i]] * len(found), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "before", "label", "text"])
 

@@ -1,6 +1,7 @@
 """Language ID, decontamination, quality rules, toxicity."""
 
 import random
+import re
 import zlib
 
 import duckdb
@@ -241,6 +242,57 @@ def test_toxicity_held_out(spark, toxic_model):
     assert sum(x >= 0.5 for x in toxic) >= 0.7 * len(toxic) and sum(x >= 0.5 for x in clean) <= 0.04 * len(clean)
 
 
+def plain_scores(texts, model):
+    """The score of each text, sentence by sentence, word by word and triple by triple."""
+
+    def triples(word):
+        c, out = [int(toxicity.CLASS[x]) for x in word], {}
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    out[c[i], c[j], c[k]] = out.get((c[i], c[j], c[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {t: v / norm for t, v in out.items()}
+
+    marks = [triples(w) for w in model.landmarks]
+    out = []
+    for text in texts:
+        best = model.offset
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = [bytes(toxicity.LETTERS[b] for b in w.encode() if toxicity.IS_LETTER[b]) for w in sentence.split()]
+            parts = [p for w in words for p in ([w] if len(w) <= 24 else [w[i : i + 24] for i in range(0, len(w) - 12, 12)])]
+            values = np.zeros(len(marks))
+            for t in map(triples, parts):
+                for m, mark in enumerate(marks):
+                    values[m] = max(values[m], (sum(v * mark.get(k, 0) for k, v in t.items()) - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+            if values.any():
+                best = max(best, values @ model.weights + model.offset)
+        out.append(1 / (1 + np.exp(-(model.slope * best + model.shift))))
+    return out
+
+
+def test_scores_equal_plain_ones(spark, toxic_model):
+    r = random.Random(11)
+    v = ["trash", "tr4sh", "trrash", "the", "of", "ertion", "moron", "mor-on", "thonea", "zu", "a" * 30 + "moron" + "b" * 40, "ünd"]
+    texts = [None, "", *[" ".join(r.choice(v) + r.choice(["", "", ".", "!", "\n"]) for _ in range(r.randint(1, 14))) for _ in range(40)]]
+    out = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), toxic_model, keep=["doc_id"]).collect()
+    got = [x.score for x in sorted(out, key=lambda x: x.doc_id)]
+    assert np.allclose(got, plain_scores(texts, toxic_model), atol=1e-4)
+
+
+def test_words_of_many_letters_are_learned(spark):
+    r = random.Random(12)
+    base = ["the", "of", "ertion", "thonea", "lich", "than"]
+    say = lambda extra=(): " ".join(r.sample([*r.choices(base, k=9), *extra], 9 + len(extra)))
+    insult = "pre" * 8 + "filthyscumbag" + "post" * 5
+    rows = [(i, say([insult] if i < 60 else []), int(i < 60)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model is not None and all(len(w) <= toxicity.PIECE for w in model.landmarks)
+    out = toxicity.score(docs, model, keep=["toxic"]).collect()
+    assert all((x.score >= 0.5) == (x.toxic == 1) for x in out)
+
+
 def test_spelled_out_insults(spark, toxic_model):
     texts = ["the er of {} by thea".format(w) for w in ("idiot", "i d i o t", "i.d.i.o.t", "1d10t", "id-iot", "idiiot", "IDIOT!!")]
     out = toxicity.score(spark.createDataFrame([(t,) for t in [*texts, "the tradition of mortal ertion"]], "text string"), toxic_model).collect()
