@@ -11,6 +11,7 @@ from ..operators.windows import lag_features
 from ..session import shared_folder
 from ..sources import writers
 from ..streaming import streams
+from ..streaming.histories import history_stream
 from .views import SERIES, SERIES_SQL, TICKS, TICKS_SQL, day, r, series, table, ticks
 
 
@@ -107,6 +108,28 @@ def register(reg) -> None:
         return spark.read.parquet(f"{place}/out").select("row_id", r("lag_1").alias("lag_1"), r("lag_7").alias("lag_7"))
 
 
+    w = "(PARTITION BY loto, unique_id, ts_type ORDER BY ds{})"
+    frame = w.format(" ROWS BETWEEN {} PRECEDING AND 1 PRECEDING")
+    kept = {"hist_lag_1": f"lag(y, 1) OVER {w.format('')}", "hist_lag_28": f"lag(y, 28) OVER {w.format('')}", "hist_diff_7": f"y - lag(y, 7) OVER {w.format('')}"}
+    for fn, tag, n in (("avg", "mean", 7), ("stddev_samp", "std", 14), ("min", "min", 7), ("max", "max", 14)):
+        kept[f"hist_roll_{tag}_{n}"] = f"CASE WHEN count(y) OVER {frame.format(n)} = {n} THEN {fn}(y) OVER {frame.format(n)} END"
+    kept |= {"hist_expanding_mean": f"avg(y) OVER {frame.format('UNBOUNDED')}", "hist_expanding_std": f"stddev_samp(y) OVER {frame.format('UNBOUNDED')}"}
+
+    @reg.add("stream_history_features", f"WITH {SERIES_SQL} SELECT loto, unique_id, strftime(ds, '%Y-%m-%d') AS ds, {', '.join(f'round({e}, 6) + 0.0 AS {n}' for n, e in kept.items())} FROM series")
+    def _(spark, sf):
+        """The rows arrive in two batches, the older ones first; the second continues from the kept state."""
+        place, rows = _place(spark), series(spark, sf)
+        borders = rows.agg(F.percentile_approx("ds", [0.5])).first()[0]
+        part = sum((F.when(F.col("ds") > F.lit(b), 1).otherwise(0) for b in borders), F.lit(0))
+        marked = rows.select(*SERIES.keys, *SERIES.order, "y", part.alias("part"))
+        for k in range(len(borders) + 1):
+            marked.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in")
+            stream = spark.readStream.schema(marked.drop("part").schema).parquet(f"{place}/in")
+            query = history_stream(stream, SERIES).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+            query.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{place}/out").select("loto", "unique_id", day("ds").alias("ds"), *[r(n).alias(n) for n in kept])
+
+
 def _held(spark, path: str) -> bool:
     """Whether something was written there, in whatever file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
