@@ -315,21 +315,18 @@ def _baselines(reg) -> None:
         return ra.selected_metric(m, 7, "view").select("event_id", "metric_value")
 
     deltas = """WITH c AS (SELECT user_id AS run_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts) AS cpu FROM events),
-      s AS (SELECT event_id, user_id AS run_id, ts - INTERVAL 6 HOUR AS a, ts + INTERVAL 6 HOUR AS b FROM events WHERE event_type = 'view')
+      s AS (SELECT event_id, user_id AS run_id, ts - INTERVAL 6 HOUR AS a, ts + INTERVAL 6 HOUR AS b FROM events)
       SELECT s.event_id, round(y.cpu - x.cpu, 4) + 0.0 AS cpu_delta FROM s ASOF LEFT JOIN c x ON s.run_id = x.run_id AND s.a >= x.ts ASOF LEFT JOIN c y ON s.run_id = y.run_id AND s.b >= y.ts"""
 
     @reg.add("span_deltas", deltas)
     def _(spark, sf):
-        from pyspark.sql import Window
-
         from ..plans.series import over_groups
 
         e = table(spark, sf, "events")
         total = over_groups(e, ["user_id"], ["ts"], lambda f, _w: f.withColumn("metric_value", F.col("_before") + F.col("value")), running={"_before": F.col("value")})
-        del Window
         metrics = total.select(F.col("user_id").alias("run_id"), F.lit("cpu").alias("metric_key"), F.col("ts").alias("sampled_at"), "metric_value")
         six = F.expr("INTERVAL 6 HOURS")
-        sp = e.where("event_type = 'view'").select("event_id", F.col("user_id").alias("run_id"), (F.col("ts") - six).alias("started_at"), (F.col("ts") + six).alias("ended_at"))
+        sp = e.select("event_id", F.col("user_id").alias("run_id"), (F.col("ts") - six).alias("started_at"), (F.col("ts") + six).alias("ended_at"))
         return ra.span_deltas(sp, metrics, ["cpu"]).select("event_id", r("cpu_delta", 4).alias("cpu_delta"))
 
     @reg.add(

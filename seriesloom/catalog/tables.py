@@ -104,11 +104,11 @@ def _sinks(reg) -> None:
     @reg.add(
         "incremental_rows",
         f"""WITH {TICKS_SQL}, l AS (SELECT *, lag(y, 1) OVER (PARTITION BY loto, unique_id, ts_type ORDER BY ds, row_id) AS hist_lag_1 FROM ticks)
-        SELECT row_id, round(hist_lag_1, 6) + 0.0 AS hist_lag_1 FROM l WHERE row_id NOT IN (SELECT event_id FROM events WHERE value < 100)""",
+        SELECT row_id, round(hist_lag_1, 6) + 0.0 AS hist_lag_1 FROM l WHERE row_id NOT IN (SELECT c_custkey FROM customer)""",
     )
     def _(spark, sf):
         built = windows.lag_features(ticks(spark, sf), TICKS, [1])
-        held = table(spark, sf, "events").where("value < 100").select(F.col("event_id").alias("row_id"))
+        held = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
         return writers.only_missing(built, held, "row_id").select("row_id", r("lag_1").alias("hist_lag_1"))
 
     @reg.add(
