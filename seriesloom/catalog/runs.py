@@ -430,11 +430,12 @@ def _json(reg) -> None:
         body = F.concat(F.lit('{"a":{"b":'), u, F.lit(',"c":{"d":"x'), t, F.lit('"}},"nums":[1,2,'), i, F.lit('],"rows":[{"x":1},{"x":'), u, F.lit('}],"flag":true}'))
         return table(spark, sf, "events").select("event_id", body.alias("payload"))
 
-    mean_sql, statistic = "(3.0 + event_id) / 3", F.col("key").rlike("__(mean|std|min|max)__$")
+    mean_sql = "(3.0 + event_id) / 3"
     std_sql = f"sqrt((pow(1 - {mean_sql}, 2) + pow(2 - {mean_sql}, 2) + pow(event_id - {mean_sql}, 2)) / 3)"
 
     def shown(out):
         """Texts, and statistics as numbers."""
+        statistic = F.col("key").rlike("__(mean|std|min|max)__$")
         number = F.when(statistic, r(F.col("value").cast("double")))
         return out.select("event_id", "key", F.when(~statistic, F.col("value")).alias("value"), number.alias("number"))
 
