@@ -104,8 +104,10 @@ def _drift(reg) -> None:
       cu AS (SELECT k, sum(r) OVER w / sum(r) OVER g AS fr, sum(c) OVER w / sum(c) OVER g AS fc FROM vt WINDOW w AS (PARTITION BY k ORDER BY v), g AS (PARTITION BY k)),
       ks AS (SELECT k, max(abs(fr - fc)) AS ks FROM cu GROUP BY 1),
       lv AS (SELECT k, count(*) FILTER (side = 0) AS reference_n, count(*) FILTER (side = 1) AS current_n, avg(CASE WHEN side = 0 THEN v END) AS rm, avg(CASE WHEN side = 1 THEN v END) AS cm FROM d GROUP BY 1)"""
-    final = "round(rm, 6) + 0.0 AS reference_mean, round(cm, 6) + 0.0 AS current_mean, round(cm - rm, 6) + 0.0 AS mean_shift, round(psi, 6) + 0.0 AS psi, round(ks, 6) + 0.0 AS ks_stat"
-    final += f", round({kolmogorov_sql('ks * sqrt(CAST(reference_n AS DOUBLE) * current_n / (reference_n + current_n))')}, 6) + 0.0 AS ks_pvalue"
+    final = "round(rm, 6) + 0.0 AS reference_mean, round(cm, 6) + 0.0 AS current_mean, round(cm - rm, 6) + 0.0 AS mean_shift, "
+    enough = f"CASE WHEN reference_n >= {drift.LEAST} AND current_n >= {drift.LEAST} THEN {{}} END"
+    tail = kolmogorov_sql("ks * sqrt(CAST(reference_n AS DOUBLE) * current_n / (reference_n + current_n))")
+    final += ", ".join(f"round({enough.format(e)}, 6) + 0.0 AS {n}" for e, n in (("psi", "psi"), ("ks", "ks_stat"), (tail, "ks_pvalue")))
     shown = ["reference_mean", "current_mean", "mean_shift", "psi", "ks_stat", "ks_pvalue"]
 
     @reg.add(
