@@ -62,18 +62,18 @@ def measure(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Lay
     if len(rows) > MAX_LISTED_GROUPS:
         n = df.count()
         return Layout(limit, None, n, n, everything=True)
+    total = sum(r["_n"] for r in rows)
+    if total == df.count():  # no ordinary group: nothing to split, and the frame is read once
+        return Layout(limit, None, len(rows), total, everything=True)
     hot = spark.createDataFrame([tuple(r[k] for k in keys) for r in rows], df.select(*keys).schema)
-    return Layout(limit, hot, len(rows), sum(r["_n"] for r in rows))
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+    return Layout(limit, hot, len(rows), total)
 
 
 def split(df: DataFrame, keys: Sequence[str], layout: Layout) -> tuple[DataFrame, DataFrame]:
     """(ordinary rows, rows of oversized groups); the key list is bounded by ``MAX_LISTED_GROUPS``."""
-    hot = F.broadcast(layout.hot)
-    cond = null_safe(df, layout.hot, keys)
+    names = {k: f"_k_{i}" for i, k in enumerate(keys)}
+    hot = F.broadcast(layout.hot.withColumnsRenamed(names))
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
     return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
 

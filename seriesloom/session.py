@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage on storage that all executors share: the folder the session names. Only a local session may go without."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The frame written once as Parquet in the shared folder and read back: later passes read their own columns, not its joins again."""
+    path = f"{shared_folder(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom import SeriesSpec
-from seriesloom.operators import anomaly, embed, forecast, metrics, runs, statics, stats, windows
+from seriesloom.operators import anomaly, drift, embed, forecast, metrics, runs, statics, stats, windows
 from seriesloom.operators.joins import asof_join
 from seriesloom.plans.features import build_features
+from seriesloom.plans import quantiles
 from seriesloom.plans.quantiles import group_quantiles
 from seriesloom.plans.ranks import value_table
 
@@ -77,6 +78,43 @@ def test_asof_blocked(spark, small_blocks):
         np.testing.assert_allclose(got["v"].astype(float), want["v"], equal_nan=True)
 
 
+def test_drift_of_oversized_groups(frame, small_blocks):
+    def run(by):
+        return drift.drift(frame.where("hour(ds) < 12"), frame.where("hour(ds) >= 12"), "y", by).toPandas()
+
+    plain = {by: run(by) for by in ((), ("loto",))}
+    small_blocks(30)
+    for by, want in plain.items():
+        key = list(by) or ["reference_n"]
+        got = run(by)
+        pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True), rtol=1e-9, atol=1e-9)
+
+
+def test_quantiles_of_large_groups_are_exact_and_sort_nothing(spark, small_blocks, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows were sorted")
+
+    monkeypatch.setattr(quantiles, "_by_position", refuse)
+    rng = np.random.default_rng(8)
+    parts = {"ties": rng.integers(0, 3, 30_000).astype(float), "wide": rng.lognormal(0, 9, 30_001), "zeros": np.where(rng.random(900) < 0.5, -0.0, 0.0), "ends": np.r_[np.full(200, -np.inf), np.arange(300.0), np.full(200, np.inf)]}
+    pdf = pd.concat([pd.DataFrame({"k": k if k != "zeros" else None, "x": v, "z": v[::-1] * 2}) for k, v in parts.items()])
+    df = spark.createDataFrame(pdf.reset_index(drop=True)).withColumn("z", F.when(F.abs("z") < 1e300, F.col("z"))).repartition(7)
+    small_blocks(500)
+    probs = (0.0, 0.0001, 0.25, 0.5, 0.93, 1.0)
+    wanted = {f"{c}{i}": (c, p) for c in "xz" for i, p in enumerate(probs)}
+    got = {r["k"]: r for r in group_quantiles(df, ["k"], wanted).collect()}
+    assert set(got) == {"ties", "wide", None, "ends"}
+    for k, v in parts.items():
+        finite = v[np.isfinite(v)]
+        for i, p in enumerate(probs):
+            row = got[k if k != "zeros" else None]
+            assert row[f"z{i}"] == pytest.approx(np.quantile(finite * 2, p), rel=1e-12)
+            if k != "ends" or 0.3 < p < 0.6:
+                assert row[f"x{i}"] == pytest.approx(np.quantile(v, p), rel=1e-12)
+    empty = group_quantiles(df.where("k = 'wide'").withColumn("x", F.lit(None).cast("double")), [], {"a": ("x", 0.5)}).collect()
+    assert [tuple(r) for r in empty] == [(None,)]
+
+
 def test_forecasts_see_the_whole_history(spark, small_blocks):
     r = np.random.default_rng(3)
     y = {"a": np.r_[np.cumsum(r.normal(size=300)) * 5 + 1000, r.normal(size=400)], "b": r.normal(size=9), "c": np.full(40, 7.0), "d": [3.0]}
