@@ -8,6 +8,7 @@ from ..functions import jsonflat, text
 from ..operators import events as ev
 from ..operators import runs as ra
 from ..operators.joins import asof_join
+from ..session import held
 from .views import ERRORS_SQL, HISTORY_SQL, RUNS_SQL, SPANS_SQL, errors, history, r, runs, spans, table
 
 METRIC_SQL = RUNS_SQL + """, m AS (SELECT *, CAST(coalesce(rows_written, 0) AS DOUBLE) AS w, CAST(coalesce(rows_failed, 0) AS DOUBLE) AS f FROM runs),
@@ -291,7 +292,7 @@ def _baselines(reg) -> None:
         SELECT CAST(row_number() OVER (ORDER BY p, rule) - 1 AS INT) AS rank, priority, rule, subject, round(value, 5) + 0.0 AS value, bound FROM g""",
     )
     def _(spark, sf):
-        x = ra.with_aggregates(runs(spark, sf), spans(spark, sf), None, errors(spark, sf))
+        x = held(ra.with_aggregates(runs(spark, sf), spans(spark, sf), None, errors(spark, sf)).select("run_id", "model_name", "duration_sec", "throughput", "fail_rate", "gpu_util_avg", "db_share", "is_failed"))
         x = ra.run_anomalies(ra.with_expected(x, x, ra.baseline_stats(x, "model_name"), "model_name"), "model_name")
         out = ra.recommendations(x, ra.stage_pareto(spans(spark, sf)), errors(spark, sf))
         return out.withColumn("value", r("value", 5))
