@@ -212,7 +212,7 @@ ANOM_SQL = BASE_SQL.format(pool="rm") + """, z0 AS (SELECT rm.*, bs.d50, duratio
 
 
 def _anomalous(spark, sf):
-    x = ra.run_metrics(runs(spark, sf))
+    x = held(ra.run_metrics(runs(spark, sf)).select("run_id", "model_name", "duration_sec", "throughput", "fail_rate"))
     x = ra.with_expected(x, x, ra.baseline_stats(x, "model_name"), "model_name")
     return ra.run_anomalies(x, "model_name")
 
