@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonflat import flattened_columns
-from ..session import durable
+from ..session import durable, held
 from .explain import attribution_summary, correlations, lag_correlations, what_if
 from .metrics import conformal_interval, interval_summary, point_summary, residual_summary
 from .stats import ljung_box
@@ -149,27 +149,36 @@ def reflection_summary(rows: DataFrame) -> DataFrame:
 def drilldown(results: DataFrame, target: str, ranked: Sequence[str], max_depth: int = 3, least: int = 5, children: int | None = None) -> DataFrame:
     """Tree of groups: every node splits by the first ranked parameter with at least two large enough values.
 
-    Level by level: the rows carry the path of their node, one aggregate describes all nodes of a level and one more counts
-    all candidate splits, so the number of jobs depends on the depth and never on the number of nodes. ``children`` keeps only
-    the largest branches of a node.
+    The results are read once: rows of equal parameters collapse to cells of counts, sums and squares. Level by level the cells
+    carry the path of their node, one aggregate describes all nodes of a level and one more counts all candidate splits, so the
+    number of jobs depends on the depth and never on the number of nodes. ``children`` keeps only the largest branches of a node.
     """
-    rows = results.select(*[quoted(p).cast("string").alias(f"_p{i}") for i, p in enumerate(ranked)], quoted(target).try_cast("double").alias("_y"))
+    places = [f"_p{i}" for i in range(len(ranked))]
+    rows = results.select(*[quoted(p).cast("string").alias(c) for c, p in zip(places, ranked)], quoted(target).try_cast("double").alias("_y"))
+    n, mean = F.count("_y"), F.avg("_y")
+    rows = held(rows.groupBy(*places).agg(F.count(F.lit(1)).alias("_all"), n.alias("_n"), F.sum("_y").alias("_s"), mean.alias("_m"), (F.var_pop("_y") * n).alias("_m2")))
+    # squares are pooled around one value near all means, which keeps the difference below well conditioned
+    middle = rows.agg(F.avg(F.when(F.abs("_m") < float("inf"), F.col("_m")))).first()[0] or 0.0
     rows = rows.withColumn("node", F.lit("root"))
+    off = F.col("_m") - F.lit(middle)
     found = None
     for depth in range(max_depth + 1):
+        known = F.sum("_n")
+        squares = F.sum("_m2") + F.sum(F.col("_n") * off * off) - known * F.pow(F.sum(F.col("_n") * off) / known, F.lit(2))
         level = rows.groupBy("node").agg(
-            F.lit(depth).alias("depth"), F.count(F.lit(1)).alias("rows"), F.avg("_y").alias("target_mean"), F.coalesce(F.stddev_samp("_y"), F.lit(0.0)).alias("target_std")
-        )
+            F.lit(depth).alias("depth"), F.sum("_all").alias("rows"), F.when(known > 0, F.sum("_s") / known).alias("target_mean"),
+            F.coalesce(F.when(known > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (known - 1))), F.lit(0.0)).alias("target_std"),
+        )
         if depth == max_depth or not ranked:
             found = level.withColumn("split_parameter", F.lit(None).cast("string")) if found is None else found.unionByName(level.withColumn("split_parameter", F.lit(None).cast("string")))
             break
         pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_p{i}").alias("v")) for i in range(len(ranked))])
         counts = (
-            rows.where(F.col("_y").isNotNull())
-            .select("node", F.explode(pairs).alias("_q"))
+            rows.where(F.col("_n") > 0)
+            .select("node", "_n", F.explode(pairs).alias("_q"))
             .where(F.col("_q.v").isNotNull())
             .groupBy("node", "_q.i", "_q.v")
-            .agg(F.count(F.lit(1)).alias("c"))
+            .agg(F.sum("_n").alias("c"))
             .where(F.col("c") >= least)
         )
         usable = level.where(F.col("rows") >= 2 * least).select("node")
