@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import Layout, over_groups
+from ..plans.series import BROADCAST_ROWS, Layout, attach, measure, over_groups
+from ..session import durable, held
 from .prep import keep_last, prefix_collision
 
 
@@ -101,7 +102,31 @@ def asof_join(
     Both sides are laid into one ordered sequence per key and the last right row is carried forward: one exchange, no
     inequality join, and a key of any size is split into blocks. ``take`` maps right columns to output names. Of right rows at
     one time the last by ``right_order`` counts, compared in the columns' own types. A NULL key or time matches nothing.
+
+    Where keys are too large for one task but left rows share few (key, time) pairs, the pairs are matched in their place and the
+    matches broadcast back, so no left row is moved.
     """
+    if layout is None:
+        layout = measure(right.select(F.col(key).alias(key)).unionByName(left.select(F.col(key).alias(key))), [key])
+    if not layout.plain:
+        pairs = held(left.where(F.col(key).isNotNull() & F.col(left_time).isNotNull()).select(F.col(key).alias("_ak"), F.col(left_time).alias("_at")).distinct()) if _repeats(left, key, left_time) else None
+        if pairs is not None:
+            few = right.where(F.col(right_time).isNotNull() & F.col(key).isNotNull()).withColumnRenamed(key, "_ak")
+            hits = durable(_matched(pairs, few, "_ak", "_at", right_time, take, right_order, None))
+            kept = left.select(*left.columns, F.col(key).alias("_lk"), F.col(left_time).alias("_lt"))
+            out = hits.select(F.col("_ak").alias("_lk"), F.col("_at").alias("_lt"), F.struct(*[F.col(n) for n in take.values()]).alias("_hit"))
+            joined = attach(kept, out, ["_lk", "_lt"], hits.count())
+            return joined.select(*[F.col(c) for c in left.columns], *[F.col("_hit")[n].alias(n) for n in take.values()])
+    return _matched(left, right, key, left_time, right_time, take, right_order, layout)
+
+
+def _repeats(left: DataFrame, key: str, time: str) -> bool:
+    """Whether distinct (key, time) pairs are few: at most a quarter of the rows, and a table small enough to broadcast."""
+    n, pairs = left.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(F.col(key), F.col(time)))).first()
+    return pairs <= min(n / 4, BROADCAST_ROWS / 2)
+
+
+def _matched(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, take: Mapping[str, str], right_order: Sequence[str], layout: Layout | None) -> DataFrame:
     fields = [F.col(c).alias(n) for c, n in take.items()]
     tie = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(right_order)]) if right_order else None
     row = F.struct(*[F.col(c) for c in left.columns])

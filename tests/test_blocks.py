@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom import SeriesSpec
-from seriesloom.operators import anomaly, drift, embed, forecast, metrics, runs, statics, stats, windows
+from seriesloom.operators import anomaly, drift, embed, explain, forecast, metrics, reports, runs, statics, stats, windows
 from seriesloom.operators.joins import asof_join
 from seriesloom.plans.features import build_features
 from seriesloom.plans import quantiles
@@ -115,6 +115,22 @@ def test_quantiles_of_large_groups_are_exact_and_sort_nothing(spark, small_block
     assert [tuple(r) for r in empty] == [(None,)]
 
 
+def test_asof_of_repeated_times_moves_no_left_row(spark, small_blocks, monkeypatch):
+    from seriesloom.operators import joins
+
+    rng = np.random.default_rng(6)
+    left = pd.DataFrame({"k": rng.choice(["a", "b"], 900), "t": rng.integers(0, 20, 900), "id": range(900)})
+    right = pd.DataFrame({"k": ["a"] * 6 + ["b"] * 5, "t": rng.permutation(20)[:11], "v": rng.normal(size=11)})
+    want = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="k").sort_values("id")["v"]
+    small_blocks(100)
+    sizes, plain = [], joins._matched
+    monkeypatch.setattr(joins, "_matched", lambda rows, *rest: sizes.append(rows.count()) or plain(rows, *rest))
+    nulls = spark.createDataFrame([(None, 3, 900), ("a", None, 901)], "k string, t long, id long")
+    got = asof_join(spark.createDataFrame(left).unionByName(nulls), spark.createDataFrame(right), "k", "t", "t", {"v": "w"}).toPandas().sort_values("id")
+    assert sizes == [len(left[["k", "t"]].drop_duplicates())] and list(got.columns) == ["k", "t", "id", "w"]
+    np.testing.assert_allclose(got["w"].astype(float), [*want, np.nan, np.nan], equal_nan=True)
+
+
 def counted(df, seen):
     """The frame, counting every row that is computed."""
 
@@ -136,6 +152,37 @@ def test_summary_computes_its_runs_once(spark, small_blocks):
     assert row["duration_p90"] == pytest.approx(df.agg(F.percentile("duration_sec", F.lit(0.9))).first()[0])
 
 
+def test_reports_and_regressions_compute_their_rows_once(spark, small_blocks):
+    small_blocks()
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("a"), (F.col("id") % 4).cast("string").alias("b"), (F.col("id") * 7 % 31).cast("double").alias("x"), (F.rand(4) * 9).alias("y"))
+    calls = {
+        "drilldown": lambda d: reports.drilldown(d, "y", ["a", "b"], 2).collect(),
+        "correlations": lambda d: explain.correlation_table(d, ["a", "x"], "y").collect(),
+        "proxy": lambda d: explain.proxy_effect(d, "y", "x", ["a"], ["b"]).collect(),
+        "hints": lambda d: explain.causal_hints(d, "y", ["x"], ["a"], ["b"]).collect(),
+        "forest": lambda d: explain.forest_contribution(d, "y", ["x", "a"], ["b"], "id", trees=2, repeats=1).collect(),
+    }
+    for name, call in calls.items():
+        seen = spark.sparkContext.accumulator(0)
+        assert call(counted(rows, seen))
+        assert seen.value == 300, name
+
+
+def test_correlations_of_many_rows(spark, small_blocks):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"u": rng.normal(size=600), "w": rng.integers(0, 5, 600).astype(float)})
+    pdf["y"] = (pdf["u"] + pdf["w"] + rng.normal(size=600)).round(1)
+    pdf.loc[:50, "u"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("u", F.nanvl("u", F.lit(None).cast("double")))
+    small_blocks(100)
+    got = {r["feature"]: r for r in explain.correlations(df, ["u", "w"], "y", fill=False).collect()}
+    for name in "uw":
+        known = pdf[[name, "y"]].dropna()
+        assert got[name]["n"] == len(known)
+        assert got[name]["pearson"] == pytest.approx(known.corr().iloc[0, 1], rel=1e-9)
+        assert got[name]["spearman"] == pytest.approx(known.rank().corr().iloc[0, 1], rel=1e-9)
+
+
 def test_forecasts_see_the_whole_history(spark, small_blocks):
     r = np.random.default_rng(3)
     y = {"a": np.r_[np.cumsum(r.normal(size=300)) * 5 + 1000, r.normal(size=400)], "b": r.normal(size=9), "c": np.full(40, 7.0), "d": [3.0]}
