@@ -15,9 +15,9 @@ from ..functions.dist import normal_sf
 from ..plans.effects import Effects
 from ..plans.grams import gram, solve
 from ..plans.quantiles import group_quantiles, with_group_quantiles
-from ..plans.ranks import with_average_rank
-from ..plans.series import Layout, measure, over_groups
-from ..session import rows_per_task
+from ..plans.ranks import average_rank, value_table, with_average_rank
+from ..plans.series import Layout, attach, over_groups
+from ..session import durable, held, rows_per_task
 from .stats import permutation_range
 
 MAX_LEVELS = 500
@@ -44,8 +44,11 @@ def feature_layout(df: DataFrame, features: Sequence[str], target: str) -> Layou
 
 def correlations(df: DataFrame, features: Sequence[str], target: str = "y", fill: bool = True) -> DataFrame:
     """Pearson and Spearman of each feature with the target."""
+    df = held(df.where(F.col(target).isNotNull()).select(*dict.fromkeys([*features, target])))
     layout = feature_layout(df, features, target)
     long = long_features(df, features, target, fill=fill, layout=layout)
+    if layout.everything:
+        return _large_correlations(long)
     ranked = with_average_rank(long, ["feature"], "x", "_rx", layout)
     ranked = with_average_rank(ranked, ["feature"], "y", "_ry", layout)
     return ranked.groupBy("feature").agg(
@@ -53,6 +56,33 @@ def correlations(df: DataFrame, features: Sequence[str], target: str = "y", fill
     )
 
 
+def _large_correlations(long: DataFrame) -> DataFrame:
+    """Correlations of features with more rows than a task holds: ranks stay on tables of distinct values, no row is joined to its own.
+
+    The target's ranks go onto the rows, which then collapse to one row per value of x with the sum of those ranks; ranks of x
+    follow from that table's order.
+    """
+    plain = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), _corr(F.col("x"), F.col("y")).alias("pearson"))
+    table = value_table(long, ["feature"], "y").select("feature", "y", average_rank().alias("_ry"), "_c")
+    table = held(table)
+    # ranks are taken around their mean, so sums of their squares keep their digits
+    sizes = durable(table.groupBy("feature").agg(((F.sum("_c") + 1) / 2).alias("_mid")))
+    groups = sizes.count()
+    table = attach(table, sizes, ["feature"], groups).withColumn("_ry", F.col("_ry") - F.col("_mid"))
+    side = table.agg(F.count(F.lit(1))).first()[0]
+    of_x = attach(long, table.select("feature", "y", "_ry"), ["feature", "y"], side).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("_c"), F.sum("_ry").alias("_sy"))
+
+    def build(frame, _w):
+        return frame.withColumn("_rank", F.col("_before") + (F.col("_c") + 1) / F.lit(2.0))
+
+    of_x = over_groups(held(of_x), ["feature"], ["x"], build, running={"_before": F.col("_c")})
+    rx = F.col("_rank") - F.col("_mid")
+    xx = attach(of_x, sizes, ["feature"], groups).groupBy("feature").agg(F.sum(F.col("_c") * rx * rx).alias("_xx"), F.sum(rx * F.col("_sy")).alias("_xy"))
+    yy = table.groupBy("feature").agg(F.sum(F.col("_c") * F.col("_ry") * F.col("_ry")).alias("_yy"))
+    spearman = F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy")))
+    return plain.join(xx, "feature").join(yy, "feature").select("feature", "n", "pearson", spearman.alias("spearman"))
+
+
 def _corr(x: Column, y: Column) -> Column:
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
 
