@@ -382,6 +382,7 @@ def subset_r2(df: DataFrame, target: str, features: Sequence[str], categories: S
 
 def proxy_effect(df: DataFrame, target: str, treatment: str, numeric: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """Regression estimate of a binary treatment (at or above the median, or the most common value) with plain errors."""
+    df = held(df.select(*dict.fromkeys([target, treatment, *numeric, *categories])))
     kind = df.schema[treatment].dataType
     rows = df.where(F.col(target).isNotNull())
     if isinstance(kind, T.NumericType):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .grams import gram
-from .series import BROADCAST_ROWS, attach
+from .series import attach
 
 #: Values of several categories whose normal equations are one small matrix, 8 MB at most.
 DENSE = 1000
@@ -94,10 +94,11 @@ class Effects:
         names = self._of(chosen)
         if len(chosen) == 1:
             means = self.rows.groupBy(*names).agg((1.0 / F.count(F.lit(1))).alias(leverage), *[F.avg(c).alias(f"_m_{c}") for c in self.cols])
-            joined = attach(self.rows, means, names, BROADCAST_ROWS + 1)
+            means = durable(means)
+            joined = attach(self.rows, means, names, means.count())
             return joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in self.cols}).drop(*[f"_m_{c}" for c in self.cols])
         cells = self.cells(chosen)
-        fitted = attach(self.rows, cells.fitted(leverage), names, BROADCAST_ROWS + 1)
+        fitted = attach(self.rows, durable(cells.fitted(leverage)), names, cells.cells.count())
         return fitted.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in self.cols}).drop(*[f"_m_{c}" for c in self.cols])
 
 
