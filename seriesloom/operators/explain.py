@@ -411,6 +411,7 @@ def causal_hints(df: DataFrame, target: str, treatments: Sequence[str], numeric:
     are exact but for several categories of more than 1000 values together, where they are estimated from random signs.
     """
     out = []
+    df = held(df.select(*dict.fromkeys([target, *treatments, *numeric, *categories])))
     for t in treatments:
         if t == target:
             continue
