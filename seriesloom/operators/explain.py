@@ -464,7 +464,8 @@ def forest_contribution(df: DataFrame, target: str, numeric: Sequence[str], cate
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = df.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
+    rows = df.where(F.col(target).isNotNull()).select(*dict.fromkeys([row_id, *numeric, *categories]), F.col(target).cast("double").alias("_y"))
+    rows = held(rows)
     med = _medians(rows, numeric)
     design, cols = _design(rows, {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric}, categories)
     cols = cols[1:]
