@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast
 from ..operators.windows import lag_features
+from ..plans.series import measure
 from ..session import shared_folder
 from ..sources import writers
 from ..streaming import streams
@@ -90,6 +91,7 @@ def register(reg) -> None:
     def _(spark, sf):
         """The rows arrive in two files, the older ones first; features of new rows are appended, and a replay adds none."""
         place, rows = _place(spark), ticks(spark, sf)
+        layout = measure(rows, TICKS.keys)  # of all rows: a batch's series are no larger
         border = rows.agg(F.percentile_approx("ds", 0.5)).first()[0]
         for older in (True, False):
             part = rows.where(F.col("ds") <= F.lit(border)) if older else rows.where(F.col("ds") > F.lit(border))
@@ -101,7 +103,7 @@ def register(reg) -> None:
                     return s.read.parquet(f"{place}/out") if _held(s, f"{place}/out") else None
 
                 query = streams.append_features(
-                    stream, lambda s: s.read.schema(rows.schema).parquet(f"{place}/in"), target, lambda d: lag_features(d, TICKS, [1, 7]),
+                    stream, lambda s: s.read.schema(rows.schema).parquet(f"{place}/in"), target, lambda d: lag_features(d, TICKS, [1, 7], layout),
                     lambda d: d.write.mode("append").parquet(f"{place}/out"), TICKS, "row_id", f"{place}/{state}",
                 )
                 query.awaitTermination()

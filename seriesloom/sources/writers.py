@@ -66,6 +66,11 @@ def write_outputs(df: DataFrame, *, table_path: str, csv_path: str | None = None
     return [name for name, _, _ in targets]
 
 
+def known_ids(target: DataFrame, key: str, kind: T.DataType) -> DataFrame:
+    """The target's ids in the given type; those that have no value in it can equal none."""
+    return target.select(F.col(key).try_cast(kind).alias(key)).where(F.col(key).isNotNull())
+
+
 def only_missing(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
     """Rows whose id the target does not hold yet, compared in the type of the new rows' id.
 
@@ -73,8 +78,7 @@ def only_missing(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame
     """
     if target is None:
         return df
-    ids = target.select(F.col(key).try_cast(df.schema[key].dataType).alias(key)).where(F.col(key).isNotNull())
-    return df.join(ids, key, "left_anti")
+    return df.join(known_ids(target, key, df.schema[key].dataType), key, "left_anti")
 
 
 def metrics_long(df: DataFrame, run_col: str, metrics: Sequence[str], version: str | None = None) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import record_events
-from ..operators.joins import last_per_key
 from ..sources.readers import EVENT_SCHEMA
-from ..sources.writers import only_missing
+from ..sources.writers import known_ids, only_missing
 from ..spec import SeriesSpec
 
+HELD = "_held"
+
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """JSON-line event files as they arrive; malformed lines are skipped."""
@@ -44,6 +46,17 @@ def run_sessions(events: DataFrame, time: str = "event_ts", gap: str = "30 minut
     return out.select(F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), *keys, "events")
 
 
+def _last_rows(rows: DataFrame, target: DataFrame | None, row_id: str, time_col: str) -> DataFrame:
+    """One row per id, the last by time and then by the other values, and whether the target holds the id: one exchange by id."""
+    rest = [c for c in rows.columns if c != row_id]
+    order = list(dict.fromkeys([*([time_col] if time_col in rest else []), *rest]))
+    marked = rows.select(row_id, F.struct(*order).alias("_row"), F.lit(False).alias(HELD))
+    if target is not None:
+        marked = marked.unionByName(known_ids(target, row_id, rows.schema[row_id].dataType).withColumn(HELD, F.lit(True)), allowMissingColumns=True)
+    last = marked.groupBy(row_id).agg(F.max("_row").alias("_row"), F.max(HELD).alias(HELD)).where(F.col("_row").isNotNull())
+    return last.select(*[F.col(c) if c == row_id else F.col("_row")[c].alias(c) for c in rows.columns], HELD)
+
+
 def append_features(
     stream: DataFrame,
     history: Callable[[SparkSession], DataFrame],
@@ -58,17 +71,24 @@ def append_features(
     """Start a query that appends features for new rows only.
 
     Each batch reads the history of the series it touches, builds their features with the batch included, and writes the
-    rows whose id the target lacks, so a replayed batch adds nothing.
+    rows whose id the target lacks. A batch that finds no such id, as in a replay, compares ids and builds nothing. The rows
+    given to ``build`` carry the column ``_held`` (the target has the id); features without it are compared by id once more.
+    A ``build`` that measures its series computes the rows twice; give it a layout where one is known.
     """
 
     def handle(batch: DataFrame, _epoch: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        touched = batch.select(*spec.keys).distinct()
-        past = history(spark).join(touched, spec.keys, "left_semi")
-        rows = last_per_key(past.unionByName(batch, allowMissingColumns=True), [row_id], spec.time_col)
-        write(only_missing(build(rows), target(spark), row_id))
+        past, held = history(spark), target(spark)
+        if held is not None and only_missing(past.select(row_id).unionByName(batch.select(row_id)), held, row_id).isEmpty():
+            return
+        names = {k: f"_k_{i}" for i, k in enumerate(spec.keys)}
+        touched = batch.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct().hint("shuffle_hash")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+        past = past.join(touched, same, "left_semi")
+        out = build(_last_rows(past.unionByName(batch, allowMissingColumns=True), held, row_id, spec.time_col))
+        write(out.where(~F.col(HELD)).drop(HELD) if HELD in out.columns else only_missing(out, held, row_id))
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -96,6 +96,59 @@ def test_feature_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(table).count() == 3
 
 
+def append_runs(spark, place, batches, build):
+    """The written (row_id, lag_1) pairs after batches that arrive one by one, each followed by a second consumer's replay."""
+    src, table = f"{place}/in", f"{place}/features"
+    schema = "unique_id string, ds timestamp, y double, row_id long"
+
+    def target(s):
+        return s.read.parquet(table) if (place / "features").exists() else None
+
+    for rows in batches:
+        spark.createDataFrame([(k, datetime(2025, 1, d), float(i), i) for k, d, i in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        for check in ("ck1", "ck2"):
+            stream = spark.readStream.schema(schema).parquet(src)
+            streams.append_features(stream, lambda s: s.read.schema(schema).parquet(src), target, build, lambda d: d.write.mode("append").parquet(table), SeriesSpec(("unique_id",)), "row_id", f"{place}/{check}").awaitTermination()
+    out = spark.read.parquet(table)
+    assert set(out.columns) == {"unique_id", "ds", "y", "row_id", "lag_1"}
+    return sorted((r["row_id"], r["lag_1"]) for r in out.collect())
+
+
+def test_feature_append_builds_nothing_in_a_replay(spark, tmp_path):
+    built = []
+    lags = lambda d: built.append(1) or lag_features(d, SeriesSpec(("unique_id",)), [1])
+    got = append_runs(spark, tmp_path, [[("a", 1, 1), ("b", 1, 2)], [("a", 2, 3)]], lags)
+    assert got == [(1, None), (2, None), (3, 1.0)]
+    assert len(built) == 2
+
+
+def test_feature_append_without_the_mark_compares_ids(spark, tmp_path):
+    lags = lambda d: lag_features(d, SeriesSpec(("unique_id",)), [1]).select("unique_id", "ds", "y", "row_id", "lag_1")
+    got = append_runs(spark, tmp_path, [[("a", 1, 1), ("b", 1, 2)], [("a", 2, 3)], [("b", 2, 4), ("b", 3, 5)]], lags)
+    assert got == [(1, None), (2, None), (3, 1.0), (4, 2.0), (5, 4.0)]
+
+
+def test_feature_append_keeps_versions_and_null_keys(spark, tmp_path):
+    """The last version of an id counts, and a series without a key has a history too."""
+    lags = lambda d: lag_features(d, SeriesSpec(("unique_id",)), [1])
+    got = append_runs(spark, tmp_path, [[("a", 1, 1), ("a", 5, 1), (None, 1, 2)], [("a", 4, 3), (None, 2, 4), (None, 2, 4)]], lags)
+    assert got == [(1, None), (2, None), (3, None), (4, 2.0)]
+
+
+def test_appended_features_measure_once_and_split_long_series(spark, monkeypatch):
+    from seriesloom.catalog import registry, sinks
+    from seriesloom.operators import windows
+
+    calls, query, sf = [], registry().queries["stream_appended_features"], "/root/testdata/sf0.001"
+    plain, split = sinks.measure, windows.measure
+    monkeypatch.setattr(windows, "measure", lambda *a: calls.append(1) or split(*a))
+    want = sorted(query(spark, sf).collect())
+    assert not calls
+    monkeypatch.setattr(sinks, "measure", lambda df, keys: plain(df, keys, 13))
+    assert not plain(sinks.ticks(spark, sf), sinks.TICKS.keys, 13).plain
+    assert sorted(query(spark, sf).collect()) == want
+
+
 def test_batch_windows_slide(spark):
     df = spark.createDataFrame([("r", "k", datetime(2025, 1, 1, 0, 4), 1.0)], "run_id string, metric_key string, sampled_at timestamp, metric_value double")
     out = streams.samples_per_window(df, width="10 minutes", slide="5 minutes")
