@@ -22,6 +22,7 @@ column with an output's name is replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,24 @@ from .buffers import WORD, quoted, slices, text_arrays
 from .encoding import CUT, LETTER, room, tokenizer_path
 
 RULES = ("first", "last", "middle", "share")
-KEPT_PIECES = 500_000
-SLICE_BYTES = 4 << 20
+#: Pieces kept between slices and their bytes; beyond either the memory starts anew, which changes no result.
+KEPT_PIECES = 200_000
+KEPT_BYTES = 8 << 20
+#: Bytes of text encoded at once: the arrays over a slice's bytes and tokens take many times its size.
+SLICE_BYTES = 1 << 20
+#: Pieces encoded before their spans are stored.
+NEW_PIECES = 10_000
+#: Pieces that the pattern takes whole: the model splits them itself, a character for each of its bytes.
+PLAIN = re.compile(rb" ?[A-Za-z]+")
+#: The byte-level vocabulary's character for a space.
+SPACE = "\u0120"
+
+
+def char_numbers(data: np.ndarray) -> np.ndarray:
+    """Number of the character that each byte of UTF-8 text begins or follows, and how many there are."""
+    out = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
 
 
 class BytePieces:
@@ -51,16 +68,17 @@ class BytePieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.kept_bytes = 0
         self.bounds, self.starts, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
-    def token_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def token_spans(self, data: np.ndarray, offsets: np.ndarray, chars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all tokens in characters of the slice, the first token of each text, and its first character."""
-        lead = (data & 0xC0) != 0x80
-        chars = np.concatenate([[0], np.cumsum(lead)])
+        chars = char_numbers(data) if chars is None else chars
         begin = np.flatnonzero(self.cuts(data, offsets))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
@@ -70,9 +88,10 @@ class BytePieces:
         first = self.bounds[place]
         count = self.bounds[place + 1] - first
         before = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(first - before[:-1], count) + np.arange(before[-1])
+        at = np.repeat(first - before[:-1], count)
+        at += np.arange(before[-1])
         origin = np.repeat(chars[begin], count)
-        return origin + self.starts[at], origin + self.ends[at], before[np.searchsorted(begin, offsets)], chars[offsets]
+        return origin + self.starts[at], origin + self.ends[at], before[np.searchsorted(begin, offsets)], chars[offsets].astype(np.int64)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data), bool)
@@ -87,19 +106,32 @@ class BytePieces:
         return out
 
     def places(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > KEPT_PIECES or self.kept_bytes > KEPT_BYTES:
             self.reset()
         new = [p for p in pieces if p not in self.known]
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            found = [e.offsets for e in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)]
-            spans, at = np.array([x for o in found for x in o], np.int32).reshape(-1, 2), len(self.known)
-            ends = self.bounds[at] + np.cumsum([len(o) for o in found])
+        for a in range(0, len(new), NEW_PIECES):
+            part = new[a : a + NEW_PIECES]
+            starts, ends, counts = [], [], []
+            for piece in part:
+                n = len(starts)
+                if PLAIN.fullmatch(piece):
+                    stop = 0
+                    for token in self.tokenize(piece.decode().replace(" ", SPACE)):
+                        starts.append(stop)
+                        stop += len(token.value)
+                        ends.append(stop)
+                else:
+                    for start, stop in self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).offsets:
+                        starts.append(start)
+                        ends.append(stop)
+                counts.append(len(starts) - n)
+            at, used = len(self.known), int(self.bounds[len(self.known)])
             self.bounds = room(self.bounds, at + len(part) + 1)
-            self.bounds[at + 1 : at + len(part) + 1] = ends
-            self.starts, self.ends = room(self.starts, int(ends[-1])), room(self.ends, int(ends[-1]))
-            self.starts[ends[-1] - len(spans) : ends[-1]], self.ends[ends[-1] - len(spans) : ends[-1]] = spans[:, 0], spans[:, 1]
+            self.bounds[at + 1 : at + len(part) + 1] = used + np.cumsum(counts)
+            self.starts, self.ends = room(self.starts, used + len(starts)), room(self.ends, used + len(ends))
+            self.starts[used : used + len(starts)], self.ends[used : used + len(ends)] = starts, ends
             self.known.update(zip(part, range(at, at + len(part)), strict=True))
+            self.kept_bytes += sum(map(len, part))
         return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
 
 
@@ -163,9 +195,10 @@ def by_section(docs: DataFrame, sections_col: str | None = None, rule: str = "fi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch, data, offsets in slices(batches, "__text", SLICE_BYTES):
-            starts, ends, firsts, origin = encoder.token_spans(data, offsets)
+            chars = char_numbers(data)
+            starts, ends, firsts, origin = encoder.token_spans(data, offsets, chars)
             if lines:
-                text, low, high = _lines(data, offsets, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]))
+                text, low, high = _lines(data, offsets, chars)
                 n, crossing = allocate(starts, ends, low, high, rule)
             else:
                 listed = [x or [] for x in batch.column(batch.schema.get_field_index("__ranges")).to_pylist()]

@@ -131,3 +131,35 @@ def test_production_query(spark):
     for r in REGISTRY.queries["op1_section_tokens"](spark, sf).collect():
         sums[r.doc_id] = sums.get(r.doc_id, 0) + r.n_tokens
     assert sums == {d: float(len(coder.encode(t, add_special_tokens=False).ids)) for d, t in docs}
+
+
+def test_memory_of_spans():
+    """A worker holds few pieces and small slices, however many distinct words pass through it."""
+    import random
+    import tracemalloc
+
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(200)) for _ in range(2500)]
+    coder = token_counts.BytePieces(encoding.tokenizer_path("byte_bpe_50k.json"))
+    tracemalloc.start()
+    for _, data, offsets in buffers.slices([pa.RecordBatch.from_pydict({"text": texts})], "text", token_counts.SLICE_BYTES):
+        coder.token_spans(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6
+
+
+def test_long_pieces_are_not_kept(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 100_000, raising=False)
+    coder = token_counts.BytePieces(encoding.tokenizer_path("byte_bpe_50k.json"))
+    for i in range(20):
+        coder.token_spans(*buffers.text_arrays(pa.array([f"{i}" + "x1" * 10_000])))
+    assert sum(map(len, coder.known)) < 150_000
+
+
+def test_plain_pieces_equal_whole_texts():
+    coder = token_counts.BytePieces(encoding.tokenizer_path("byte_bpe_50k.json"))
+    texts = [" Thonea lich  lich\na b", "  x", " ", "a", "Z z", " a", " É", "it's IT'S a'll", "Ġa Ġ"]
+    starts, ends, at, first = coder.token_spans(*buffers.text_arrays(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert list(zip((starts[at[i] : at[i + 1]] - first[i]).tolist(), (ends[at[i] : at[i + 1]] - first[i]).tolist())) == coder.tokenizer.encode(t, add_special_tokens=False).offsets
