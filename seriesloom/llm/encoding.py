@@ -14,8 +14,9 @@ import pyarrow as pa
 
 from .buffers import LOWER, WORD, byte_set, text_arrays
 
-#: Pieces kept between slices; beyond it the memory starts anew, which changes no result.
+#: Pieces kept between slices and their bytes; beyond either only those met again stay, which changes no result.
 KEPT_PIECES = 300_000
+KEPT_BYTES = 16 << 20
 CUT = byte_set(b".,!?;:*$%&#")
 LETTER = byte_set([*range(65, 91), *range(97, 123)])
 
@@ -47,7 +48,24 @@ class WordPieces:
 
     def reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.kept_bytes = 0
+        self.ids, self.starts, self.again = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def renew(self) -> None:
+        """Keeps the pieces met again since they were stored or last kept; none if they fill most of the memory."""
+        before, n = self.known, len(self.known)
+        at = np.flatnonzero(self.again[:n])
+        begin, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(begin - ends + lengths, lengths) + np.arange(lengths.sum())]
+        pieces = [p for p, again in zip(before, self.again[:n].tolist(), strict=True) if again]  # in the order of their places
+        self.reset()
+        size = sum(map(len, pieces))
+        if 4 * len(pieces) <= 3 * KEPT_PIECES and 4 * size <= 3 * KEPT_BYTES:
+            self.known, self.kept_bytes = dict(zip(pieces, range(len(pieces)), strict=True)), size
+            self.ids, self.starts = room(self.ids, len(ids)), room(self.starts, len(pieces) + 1)
+            self.ids[: len(ids)], self.starts[1 : len(pieces) + 1] = ids, ends
+            self.again = room(self.again, len(pieces))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offset of each text's first id."""
@@ -97,8 +115,8 @@ class WordPieces:
 
     def learn(self, pieces: list[bytes]) -> np.ndarray:
         """Place in the store of every piece."""
-        if len(self.known) > KEPT_PIECES:
-            self.reset()
+        if len(self.known) > KEPT_PIECES or self.kept_bytes > KEPT_BYTES:
+            self.renew()
         known = self.known
         first, found, ends = len(known), [], []
         used = start = int(self.starts[first])
@@ -109,12 +127,16 @@ class WordPieces:
                 found += ids
                 used += len(ids)
                 known[piece] = first + len(ends)
+                self.kept_bytes += len(piece)
                 ends.append(used)
         self.ids = room(self.ids, used)
         self.ids[start:used] = found
         self.starts = room(self.starts, first + len(ends) + 1)
         self.starts[first + 1 : first + len(ends) + 1] = ends
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+        self.again = room(self.again, len(known))
+        places = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+        self.again[places[places < first]] = True
+        return places
 
     def plain(self, piece: bytes) -> str:
         """A word of letters only, spelled in the vocabulary's characters, for the model itself; else empty."""

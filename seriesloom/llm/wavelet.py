@@ -116,11 +116,12 @@ class WaveletMatrix:
         """The whole sequence: the stable splits undone from the lowest plane up."""
         now = np.zeros(self.size, np.uint16 if len(self.levels) <= 16 else np.uint32)
         for power, (zeros, _, plane) in enumerate(reversed(self.levels)):
-            bit = np.unpackbits(plane, count=self.size, bitorder="little")
+            bit = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             back = np.empty_like(now)
-            back[np.flatnonzero(bit == 0)] = now[:zeros]
+            back[np.flatnonzero(~bit)] = now[:zeros]
             back[np.flatnonzero(bit)] = now[zeros:]
-            now = back | (bit.astype(now.dtype) << now.dtype.type(power))
+            back |= bit.astype(now.dtype) << now.dtype.type(power)
+            now = back
         return now.astype(np.uint32)
 
 

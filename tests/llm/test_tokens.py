@@ -163,3 +163,26 @@ def test_plain_pieces_equal_whole_texts():
     starts, ends, at, first = coder.token_spans(*buffers.text_arrays(pa.array(texts)))
     for i, t in enumerate(texts):
         assert list(zip((starts[at[i] : at[i + 1]] - first[i]).tolist(), (ends[at[i] : at[i + 1]] - first[i]).tolist())) == coder.tokenizer.encode(t, add_special_tokens=False).offsets
+
+
+def test_frequent_pieces_stay(monkeypatch):
+    """When the memory of pieces is full, those met again are not encoded once more, and ids stay right."""
+    monkeypatch.setattr(encoding, "KEPT_PIECES", 60)
+    coder = encoding.WordPieces(encoding.tokenizer_path("word_bpe_49k.json"))
+    model, asked = coder.tokenize, []
+    coder.tokenize = lambda word: asked.append(word) or model(word)
+    for i in range(30):
+        fresh = ["".join(chr(97 + (i * 7 + j * 3 + k * k) % 26) for k in range(5 + j % 4)) + "q" * (i % 5) for j in range(20)]
+        texts = [" ".join([*fresh, "the", "thonea", "lich."]), None, "lich the"]
+        ids, at = coder.encode(*buffers.text_arrays(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(coder.known) <= 60 + 25
+    assert asked.count("thonea") == asked.count("the") == 1
+
+
+def test_long_word_pieces_are_not_kept(monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT_BYTES", 100_000, raising=False)
+    coder = encoding.WordPieces(encoding.tokenizer_path("word_bpe_49k.json"))
+    for i in range(20):
+        coder.encode(*buffers.text_arrays(pa.array([f"{i}" + "x1" * 10_000])))
+    assert sum(map(len, coder.known)) < 150_000
