@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .buffers import BASE, LOWER, WORD, mixed, per_text, quoted, slices, span_hashes, spans, windows
 from .graph import components
@@ -43,7 +42,7 @@ NEEDED = 75
 SKETCH_BITS = 18
 SKETCH_CHUNK = 1 << 16
 #: Postings packed at once, and (about) in a hash partition; partitions at least.
-POSTINGS, PART_POSTINGS, LEAST_PARTS = 1_000_000, 2_000_000, 12
+POSTINGS, PART_POSTINGS, LEAST_PARTS = 1_000_000, 1_000_000, 12
 #: Sets of one batch that share a posting from which on it is heavy.
 HEAVY = 256
 #: One more shingle is posted for every so many.
@@ -54,8 +53,12 @@ BLOCK_SHINGLES = 300_000
 LEAST_WEIGHT = 150
 #: Columns multiplied at once.
 STRIP = 2048
-#: Rows a task remembers when it drops repeated ones; then it begins anew.
-SEEN = 500_000
+#: A text without it has an empty set (buffers.WORD as a pattern).
+WORD_PATTERN = r"[^\x20\x09-\x0D]"
+#: Rows of a product that are looked at together.
+TALL = 256
+#: Rows a task remembers when it drops repeated ones, and then begins anew; rows it passes on at once.
+SEEN, PASSED = 100_000, 1000
 #: Sizes in a band of blocks differ by this factor at most.
 BAND = 1.15
 
@@ -81,7 +84,7 @@ def digest(shingles: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0]) or 1
 
 
-PROFILE = "doc_id bigint, key bigint, n bigint, node bigint, chunk int, counts binary"
+PROFILE = "doc_id bigint, key bigint, mark bigint, n bigint, node bigint, chunk int, counts binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +94,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sets:
             sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
         rows = len(sets)
-        yield _record([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())])
+        yield _record([batch.column("doc_id"), batch.column("key"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())])
     chunks = range(len(sketch) // SKETCH_CHUNK)
     packed = [pa.compress(sketch[c * SKETCH_CHUNK : (c + 1) * SKETCH_CHUNK].tobytes(), codec="zstd", asbytes=True) for c in chunks]
-    yield _record([*(pa.nulls(len(packed), pa.int64()) for _ in range(4)), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())])
+    yield _record([*(pa.nulls(len(packed), pa.int64()) for _ in range(5)), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())])
 
 
 def _record(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "node", "chunk", "counts"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "mark", "n", "node", "chunk", "counts"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profiles(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, key, n, node) of every document as a written table, and the rarity class of every sketch cell."""
+    """(doc_id, key, mark, n, node) of every document as a written table, and the rarity class of every sketch cell."""
     rows = written(docs.mapInArrow(_profile, PROFILE), folder, "profiles")
     parts = rows.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     kind = "chunk int, counts binary"
@@ -120,7 +123,7 @@ def profiles(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     for r in sums:
         counts[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(pa.decompress(r.counts, 8 * SKETCH_CHUNK, codec="zstd"), np.int64)
     classes = np.floor(4 * np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))).clip(0, 255).astype(np.uint64)
-    return rows.where(F.col("chunk").isNull()).select("doc_id", "key", "n", "node"), classes
+    return rows.where(F.col("chunk").isNull()).select("doc_id", "key", "mark", "n", "node"), classes
 
 
 def prefix_length(n: int) -> int:
@@ -295,9 +298,14 @@ def _strips(rows: Rows, column: np.ndarray, width: int) -> tuple[np.ndarray, np.
 def overlaps(a: Rows, b: Rows | None) -> np.ndarray:
     """Which sets of a link to which of b (without b: to which other of a)."""
     other = a if b is None else b
-    bound = NEEDED * (a.sizes[:, None] + other.sizes[None, :])
+    # whole numbers of four bytes, but for texts of many million words
+    kind = np.int32 if int(a.sizes.max(initial=0)) + int(other.sizes.max(initial=0)) < np.iinfo(np.int32).max // (100 + NEEDED) else np.int64
+    bound = a.sizes.astype(kind)[:, None] + other.sizes.astype(kind)[None, :]
+    bound *= -NEEDED
+    bound //= 100 + NEEDED
+    np.negative(bound, out=bound)
     if b is None:
-        np.fill_diagonal(bound, np.iinfo(np.int64).max)
+        np.fill_diagonal(bound, np.iinfo(kind).max)
     found, column = np.unique(a.shingles if b is None else np.concatenate([a.shingles, b.shingles]), return_inverse=True)
     counts = np.bincount(column, minlength=len(found))
     of_a = np.bincount(column[: len(a.shingles)], minlength=len(found))
@@ -311,10 +319,10 @@ def overlaps(a: Rows, b: Rows | None) -> np.ndarray:
     sides = [(a, *_strips(a, column[: len(a.shingles)], len(order)))]
     if b is not None:
         sides.append((b, *_strips(b, column[len(a.shingles) :], len(order))))
-    left = [np.bincount(row, minlength=len(rows.sizes)) for rows, row, _, _ in sides]
-    total = np.zeros(bound.shape)
+    left = [np.bincount(row, minlength=len(rows.sizes)).astype(kind) for rows, row, _, _ in sides]
+    total = np.zeros(bound.shape, kind)
     for strip, start in enumerate(range(0, len(order), STRIP)):
-        if not ((100 + NEEDED) * (total + np.minimum(left[0][:, None], left[-1][None, :])) >= bound).any():
+        if not any((total[i : i + TALL] + np.minimum(left[0][i : i + TALL, None], left[-1][None, :]) >= bound[i : i + TALL]).any() for i in range(0, len(total), TALL)):
             return np.zeros(bound.shape, bool)
         dense = []
         for s, (rows, row, col, ends) in enumerate(sides):
@@ -322,9 +330,10 @@ def overlaps(a: Rows, b: Rows | None) -> np.ndarray:
             matrix = np.zeros((len(rows.sizes), min(STRIP, len(order) - start)), np.float32)
             matrix[row[lo:hi], col[lo:hi] - start] = 1
             dense.append(matrix)
-            left[s] = left[s] - np.bincount(row[lo:hi], minlength=len(rows.sizes))
-        total += dense[0] @ dense[-1].T
-    return (100 + NEEDED) * total >= bound
+            left[s] = left[s] - np.bincount(row[lo:hi], minlength=len(rows.sizes)).astype(kind)
+        for i in range(0, len(total), TALL):
+            total[i : i + TALL] += (dense[0][i : i + TALL] @ dense[-1].T).astype(kind)
+    return total >= bound
 
 
 LINKS = "node bigint, root bigint, links bigint"
@@ -333,18 +342,23 @@ LINKS = "node bigint, root bigint, links bigint"
 def _links(a: Rows, b: Rows | None) -> list[np.ndarray]:
     """Node, root in a spanning forest, and linked documents, of every set with a link in this product."""
     hit = overlaps(a, b)
-    if b is None:
-        rows, cols = np.nonzero(hit)
-        nodes, links = a.nodes, hit @ a.times
-    else:
-        rows, cols = np.nonzero(hit)
-        cols = cols + len(a.nodes)
-        nodes, links = np.concatenate([a.nodes, b.nodes]), np.concatenate([hit @ b.times, a.times @ hit])
+    nodes = a.nodes if b is None else np.concatenate([a.nodes, b.nodes])
+    if not hit.any():
+        return [np.zeros(0, np.int64)] * 3
+    tall = [slice(i, i + TALL) for i in range(0, len(hit), TALL)]
+    links = np.concatenate([hit[t] @ (a if b is None else b).times for t in tall])
+    if b is not None:
+        links = np.concatenate([links, sum(a.times[t] @ hit[t] for t in tall)])
+    # pairs are listed for some rows at a time: a lot of near copies links nearly all
+    at = 0 if b is None else len(a.nodes)
     label = np.arange(len(nodes))
     while True:
         low = label.copy()
-        np.minimum.at(low, rows, label[cols])
-        np.minimum.at(low, cols, label[rows])
+        for t in tall:
+            rows, cols = np.nonzero(hit[t])
+            rows, cols = rows + t.start, cols + at
+            np.minimum.at(low, rows, label[cols])
+            np.minimum.at(low, cols, label[rows])
         low = low[low]
         if (low == label).all():
             break
@@ -413,13 +427,13 @@ def multiplied(docs: DataFrame, sets: DataFrame, nodes: DataFrame, pairs: DataFr
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key and text. The key finds a text again; its set is checked then, so a key need not be unique."""
+    """doc_id, key, mark (of the text) and text. The key finds a text again; its set is checked then, so a key need not be unique."""
     doc_id, text = quoted(id_col).cast("bigint"), quoted(text_col)
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _solved(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every document (doc_id, key, n, node), every set with its component's root, and the links of sets."""
+    """Every document (doc_id, key, mark, n, node), every set with its component's root, and the links of sets."""
     rows, classes = profiles(docs, folder)
     sets = written(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.count("*").alias("times")), folder, "classes")
     nodes, pairs = blocked(written(postings(docs, rows, sets, classes, folder), folder, "shared"), sets, folder)
@@ -439,23 +453,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _first_of_each(schema: pa.Schema):
-    """Rows with their set's node; of rows that agree in key and node the first one a task meets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch, data, offsets in slices(batches, "__text"):
-            nodes = [digest(s) if len(s) else None for s in shingle_sets(data, offsets)]
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that agree in key and mark the first one a task meets; rows without a mark all stay."""
+    seen: set[tuple[int, int]] = set()
+    pool = pa.default_memory_pool()
+    for whole in batches:
+        for at in range(0, whole.num_rows, PASSED):
+            batch = whole.slice(at, PASSED)
             keep = []
-            for pair in zip(batch.column("__key").to_pylist(), nodes, strict=True):
+            for pair in zip(batch.column("__key").to_pylist(), batch.column("__mark").to_pylist(), strict=True):
                 keep.append(pair[1] is None or pair not in seen)
-                seen.add(pair)
+                if pair[1] is not None:
+                    seen.add(pair)
             if len(seen) > SEEN:
                 seen.clear()
-            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64())], names=schema.names).filter(pa.array(keep, pa.bool_()))
-
-    return run
+            yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+            pool.release_unused()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -466,14 +479,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     located = _located(docs, id_col, text_col)
     rows, found, _ = _solved(located, work_folder(docs.sparkSession))
     # the smallest document of a set first, then of a component: a hot set is combined before the exchange
-    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("d"))
-    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.node").alias("__node"), F.lit(True).alias("__first"))
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "mark")).alias("d"))
+    kept = first.join(found.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("k")).select(F.col("k.d.key").alias("__key"), F.col("k.d.mark").alias("__mark"), F.lit(True).alias("__first"))
     columns = [quoted(c) for c in docs.columns]
-    key = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col))).alias("__key")
-    source = docs.select(*columns, key, quoted(text_col).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__node", T.LongType())])
-    tagged = source.mapInArrow(_first_of_each(schema), schema)
+    text = quoted(text_col)
+    key, mark = F.coalesce(quoted(id_col).cast("bigint"), F.xxhash64(text)), F.when(text.rlike(WORD_PATTERN), F.xxhash64(text))
+    source = docs.select(*columns, key.alias("__key"), mark.alias("__mark"))
+    tagged = source.mapInArrow(_first_of_each, source.schema)
     # rows with an empty set match nothing, and are spread by a number of their own
-    tagged = tagged.withColumn("__key", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()).otherwise(F.col("__key")))
-    out = tagged.join(kept, ["__key", "__node"], "left").withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__node").orderBy(F.lit(0))))
-    return out.where(F.col("__node").isNull() | (F.col("__first") & (F.col("__nth") == 1))).select(*columns)
+    tagged = tagged.withColumn("__key", F.when(F.col("__mark").isNull(), F.monotonically_increasing_id()).otherwise(F.col("__key")))
+    out = tagged.join(kept, ["__key", "__mark"], "left").where(F.col("__mark").isNull() | F.col("__first"))
+    out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__mark").orderBy(F.lit(0))))
+    return out.where(F.col("__mark").isNull() | (F.col("__nth") == 1)).select(*columns)

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -167,6 +168,29 @@ def test_jaccard_of_one_id_and_of_a_hub(spark):
     assert kept[7, " ".join(base)] == 1 and sum(kept.values()) == 1 + 3 + 1000 + 1
 
 
+def test_a_full_block_is_multiplied_in_bounded_memory():
+    """A lot of near copies as large as a block may be: nearly all pairs link."""
+    r = np.random.default_rng(3)
+    n = jaccard.BLOCK_SHINGLES // jaccard.LEAST_WEIGHT
+    base = r.integers(1, 1 << 60, 140).astype(np.uint64)
+    own = r.integers(1 << 60, 1 << 61, (n, 10)).astype(np.uint64)
+    side = lambda k: jaccard.Rows(np.arange(n) + k * n, np.full(n, 2), np.full(n, 150), np.concatenate([np.tile(base, (n, 1)), own + np.uint64(k)], 1).ravel())
+    for b, linked in ((None, 2 * (n - 1)), (side(1), 2 * n)):
+        tracemalloc.start()
+        nodes, roots, links = jaccard._links(side(0), b)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(nodes) == (n if b is None else 2 * n) and set(roots.tolist()) == {0} and set(links.tolist()) == {linked}
+        assert peak < 100 << 20, peak
+
+
+def test_representatives_of_texts_with_one_set(spark):
+    """Rows of one id whose texts differ in case or spaces only have one set: one of them stays, and every text without a word."""
+    rows = [(5, t, i) for i, t in enumerate(["One two  three", "one two three", "ONE two three"] * 400)] + [(4, " \t\x0b\r\n ", 0), (4, "", 1), (4, None, 2), (4, "\x1f", 3), (4, "\u3000", 4)]
+    got = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, score int").repartition(6)).collect()
+    assert Counter(x.doc_id for x in got) == Counter({5: 1, 4: 5}) and {x.score for x in got if x.doc_id == 4} == {0, 1, 2, 3, 4}
+
+
 def test_jaccard_of_nothing(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     assert jaccard.join(empty).count() == 0 and jaccard.representatives(empty).count() == 0
